@@ -16,22 +16,27 @@ from .. import schema as S
 from ..functions import scalar as X
 from .ranks import order_statistics, quantiles
 
-FRAUD = F.col("is_fraud") == 1
-LEGIT = F.col("is_fraud") == 0
+
+def fraud_flag() -> Column:
+    return F.col("is_fraud") == 1
+
+
+def legit_flag() -> Column:
+    return F.col("is_fraud") == 0
 
 
 def fraud_rows(df: DataFrame) -> DataFrame:
-    return df.where(FRAUD)
+    return df.where(fraud_flag())
 
 
 def legit_rows(df: DataFrame) -> DataFrame:
-    return df.where(LEGIT)
+    return df.where(legit_flag())
 
 
 def headline_metrics(df: DataFrame) -> DataFrame:
     """Total, fraud count, fraud rate in % (2 dp), mean fraud amount (0 if none, 2 dp)."""
-    a = df.agg(F.count(F.lit(1)).alias("t"), F.count_if(FRAUD).alias("f"),
-               F.avg(F.when(FRAUD, F.col("amount"))).alias("m"))
+    a = df.agg(F.count(F.lit(1)).alias("t"), F.count_if(fraud_flag()).alias("f"),
+               F.avg(F.when(fraud_flag(), F.col("amount"))).alias("m"))
     return a.select(
         F.col("t").alias("total_transactions"),
         F.col("f").alias("fraud_transactions"),
@@ -41,7 +46,7 @@ def headline_metrics(df: DataFrame) -> DataFrame:
 
 def fraud_counts(df: DataFrame) -> DataFrame:
     """Fraud and legitimate counts and the fraud rate as a fraction (0 if empty)."""
-    a = df.agg(F.count_if(FRAUD).alias("fraud_count"), F.count_if(LEGIT).alias("legitimate_count"),
+    a = df.agg(F.count_if(fraud_flag()).alias("fraud_count"), F.count_if(legit_flag()).alias("legitimate_count"),
                F.count(F.lit(1)).alias("_n"))
     return a.select("fraud_count", "legitimate_count",
                     X.safe_ratio(F.col("fraud_count"), F.col("_n")).alias("fraud_rate"))
@@ -71,17 +76,19 @@ def amount_stats_by_class(df: DataFrame) -> DataFrame:
         F.when(present, F.col("mean")).otherwise(zero).alias("mean"),
         F.when(present, F.col("median")).otherwise(zero).alias("median"),
         F.when(present, F.col("std")).otherwise(zero).alias("std"),
-        F.when(present, F.col("total")).otherwise(zero).alias("total"))
+        # Sums of doubles depend on addition order in their last digits; the
+        # total is reported in cents.
+        F.round(F.when(present, F.col("total")).otherwise(zero), 2).alias("total"))
 
 
 def total_fraud_amount(df: DataFrame) -> DataFrame:
-    return df.agg(F.coalesce(F.sum(F.when(FRAUD, F.col("amount"))), F.lit(0.0))
+    return df.agg(F.coalesce(F.sum(F.when(fraud_flag(), F.col("amount"))), F.lit(0.0))
                   .alias("total_fraud_amount"))
 
 
 def fraud_by_hour(df: DataFrame) -> DataFrame:
     """Fraud count per hour of day (missing hours excluded), ordered by hour."""
-    return (df.where(FRAUD & F.col("hour").isNotNull()).groupBy("hour")
+    return (df.where(fraud_flag() & F.col("hour").isNotNull()).groupBy("hour")
             .agg(F.count(F.lit(1)).alias("fraud_count")).orderBy("hour"))
 
 
@@ -91,7 +98,7 @@ def top_fraud_category(df: DataFrame, column: str, n: int = S.TOP_CATEGORIES) ->
     Ties are broken by value (the reference keeps first-appearance order,
     which a distributed table does not have).
     """
-    return (df.where(FRAUD & F.col(column).isNotNull()).groupBy(column)
+    return (df.where(fraud_flag() & F.col(column).isNotNull()).groupBy(column)
             .agg(F.count(F.lit(1)).alias("fraud_count"))
             .orderBy(F.col("fraud_count").desc(), F.col(column).asc()).limit(n))
 
@@ -112,7 +119,7 @@ def _day(df: DataFrame) -> Column:
 def daily_timeline(df: DataFrame) -> DataFrame:
     """Per day: total, fraud count and fraud rate in %; one aggregate, no join."""
     a = (df.where(F.col("timestamp").isNotNull()).groupBy(_day(df).alias("date"))
-         .agg(F.count(F.lit(1)).alias("total_count"), F.count_if(FRAUD).alias("fraud_count")))
+         .agg(F.count(F.lit(1)).alias("total_count"), F.count_if(fraud_flag()).alias("fraud_count")))
     return a.select(F.col("date").cast("string").alias("date"), "total_count", "fraud_count",
                     (F.col("fraud_count") * 100.0 / F.col("total_count")).alias("fraud_rate"))
 
@@ -124,7 +131,7 @@ def daily_timeline_join(df: DataFrame) -> DataFrame:
     is between two small aggregates.
     """
     days = df.where(F.col("timestamp").isNotNull()).withColumn("date", _day(df))
-    fraud = days.where(FRAUD).groupBy("date").agg(F.count(F.lit(1)).alias("fraud_count"))
+    fraud = days.where(fraud_flag()).groupBy("date").agg(F.count(F.lit(1)).alias("fraud_count"))
     total = days.groupBy("date").agg(F.count(F.lit(1)).alias("total_count"))
     j = fraud.join(total, "date", "right").fillna(0, subset=["fraud_count"])
     return j.select(F.col("date").cast("string").alias("date"), "total_count", "fraud_count",
@@ -155,17 +162,17 @@ def amount_histogram(df: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
 
 def fraud_head(df: DataFrame, key: str, n: int = S.HEAD_ROWS) -> DataFrame:
     """First n fraud rows in input order (``key`` carries the order)."""
-    return df.where(FRAUD).orderBy(F.col(key).asc()).limit(n)
+    return df.where(fraud_flag()).orderBy(F.col(key).asc()).limit(n)
 
 
 def fraud_by_amount(df: DataFrame, key: str) -> DataFrame:
     """All fraud rows, largest amount first (``key`` breaks ties)."""
-    return df.where(FRAUD).orderBy(F.col("amount").desc(), F.col(key).asc())
+    return df.where(fraud_flag()).orderBy(F.col("amount").desc(), F.col(key).asc())
 
 
 def fraud_amount_range(df: DataFrame, lo: float = 0.0, hi: float | None = None) -> DataFrame:
     """Fraud rows with lo <= amount <= hi; hi defaults to the largest fraud amount."""
-    fr = df.where(FRAUD)
+    fr = df.where(fraud_flag())
     if hi is None:
         top = fr.agg(F.max("amount").alias("_hi"))
         return (fr.crossJoin(F.broadcast(top))   # one-row side

@@ -66,7 +66,7 @@ FIXTURE_MAPPINGS = {
             "merchant": "merchant_name", "location": "country", "card_type": "payment_method"},
     "fx3": {"amount": "amount", "fraud_label": "label", "timestamp": "date", "merchant": "vendor",
             "card_type": "type"},
-    "fx4": {"amount": "amount", "fraud_label": "fraud", "user_id": "id"},
+    "fx4": {"amount": "amount", "fraud_label": "fraud"},
     "fx6": {"amount": "amount", "fraud_label": "is_fraud", "timestamp": "date"},
 }
 
