@@ -7,6 +7,7 @@ oracle does the same) so engines that sum in a different order agree.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -235,3 +236,122 @@ def _merchant_risk(spark, sf):
     m = F.create_map(*[x for k, v in S.MERCHANT_RISK.items() for x in (F.lit(k), F.lit(v))])
     return round6(df.select("transaction_id", "merchant", F.coalesce(
         F.element_at(m, F.col("merchant")), F.lit(S.DEFAULT_MERCHANT_RISK)).alias("merchant_risk_score")))
+
+
+# --- models (rows-only: no SQL restatement of a fitted model) --------------------------
+
+def _train(algorithm: str, cv: bool):
+    def q(spark, sf):
+        from . import ml
+        model, spec, metrics = ml.train_model(processed(spark, sf, "fx1"), algorithm,
+                                              cross_validation=cv)
+        return round6(ml.metrics_frame(spark, algorithm, metrics))
+    return q
+
+
+QUERIES.update({
+    "train_rf": _train("random_forest", False),
+    "train_gbt": _train("xgboost", False),
+    "train_logreg": _train("logistic_regression", False),
+    "train_svm": _train("svm", False),
+    "cross_validate": _train("logistic_regression", True),
+})
+
+
+@query("stratified_split")
+def _split(spark, sf):
+    from . import ml
+    df = processed(spark, sf, "fx1")
+    train, test = ml.stratified_split(df, 0.2, 42)
+    parts = (train.withColumn("split", F.lit("train"))
+             .unionByName(test.withColumn("split", F.lit("test"))))
+    return parts.groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("assemble_features")
+def _assemble(spark, sf):
+    from . import ml
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    df = processed(spark, sf, "fx1")
+    spec = ml.feature_spec(df)
+    data = ml.prepare(df, spec)
+    vec = VectorAssembler(inputCols=spec.numeric, outputCol="features").transform(data)
+    return vec.select("transaction_id", "label", vector_to_array("features").alias("features"))
+
+
+@query("scale_features")
+def _scale(spark, sf):
+    from . import ml
+    df = processed(spark, sf, "fx1")
+    spec = ml.feature_spec(df)
+    data = ml.prepare(df, spec)
+    aggs = []
+    for c in spec.numeric:
+        aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"),
+                             F.stddev_pop(c).alias("std")))
+    return round6(data.agg(F.array(*aggs).alias("s")).select(F.inline("s")))
+
+
+@query("encode_text")
+def _encode(spark, sf):
+    from pyspark.ml.feature import StringIndexer
+    df = raw(spark, sf, "fx2")
+    cols = ["merchant_name", "country", "payment_method"]
+    data = df.select("transaction_id", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c)
+                                         for c in cols])
+    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_code" for c in cols],
+                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
+    out = idx.transform(data)
+    return out.select("transaction_id", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code")
+                                          for c in cols])
+
+
+@query("align_features")
+def _align(spark, sf):
+    from . import ml
+    ref = ml.feature_spec(processed(spark, sf, "fx1"))
+    return round6(ml.align_features(processed(spark, sf, "fx6"), ["transaction_id"] + ref.numeric))
+
+
+@query("score_model")
+def _score_model(spark, sf):
+    """Train, save under the checkpoint folder, load, score the whole table, summarise."""
+    from . import ml
+    from ..session import scratch_path
+    df = processed(spark, sf, "fx1")
+    model, spec, _ = ml.train_model(df, "logistic_regression", cross_validation=False)
+    path = ml.save_model(model, scratch_path(spark, "model"))
+    scored = ml.score(ml.load_model(path), df, spec)
+    return evaluate.prediction_summary(scored)
+
+
+# --- synthetic tables (one id per event row; the table grows with events) -------------
+
+SYNTH_BASE_TIME = datetime.datetime(2024, 2, 1)
+
+
+def synthetic_events(spark, sf, **kw):
+    from ..operators import synthetic
+    from ..sources.tables import read_table
+    ids = read_table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    n = ids.count()
+    return synthetic.generate_from_ids(ids, n, base_time=SYNTH_BASE_TIME, **kw)
+
+
+@query("synthetic_transactions")
+def _synth(spark, sf):
+    return round6(synthetic_events(spark, sf))
+
+
+@query("synthetic_summary")
+def _synth_summary(spark, sf):
+    from ..operators import synthetic
+    return round6(synthetic.synthetic_summary(synthetic_events(spark, sf)))
+
+
+@query("synthetic_features")
+def _synth_features(spark, sf):
+    """The generated table through the fixed synthetic mapping and the feature builder."""
+    df = synthetic_events(spark, sf, dataset_type="debit_card")
+    return round6(features.build_features(df, detect.synthetic_mapping(df.columns)))

@@ -439,3 +439,27 @@ ORACLE["merchant_risk"] = on_processed("fx2", (
     " when 'ATM Withdrawal' then 0.7 when 'Online Store' then 0.6 when 'Restaurant' then 0.3"
     " when 'Grocery Store' then 0.2 when 'Pharmacy' then 0.2 else 0.4 end::double, 6)"
     " as merchant_risk_score from p"))
+
+# --- model inputs ----------------------------------------------------------------------------
+_FX1_FEATURES = ["amount", "customer_id", "hour", "day_of_week", "is_weekend", "location_encoded",
+                 "location_frequency", "card_type_encoded", "card_type_frequency", "amount_log",
+                 "amount_rounded", "amount_percentile", "is_high_amount", "is_night",
+                 "is_business_hours", "location_frequency_log", "is_rare_location"]
+ORACLE["scale_features"] = on_processed("fx1", "\nunion all\n".join(
+    f"select '{c}' as feature, round(avg(cast({c} as double)), 6) as mean,"
+    f" round(stddev_pop(cast({c} as double)), 6) as std from p" for c in _FX1_FEATURES))
+ORACLE["encode_text"] = fixture_cte("fx2") + (
+    "select transaction_id,"
+    " cast(dense_rank() over (order by coalesce(merchant_name, 'nan')) - 1 as integer) as merchant_name_code,"
+    " cast(dense_rank() over (order by coalesce(country, 'nan')) - 1 as integer) as country_code,"
+    " cast(dense_rank() over (order by coalesce(payment_method, 'nan')) - 1 as integer) as payment_method_code"
+    " from fx2")
+_, _FX6_COLS = processed_cte("fx6", drop_ts=True)
+ORACLE["align_features"] = on_processed("fx6", "select transaction_id, " + ", ".join(
+    (f"round({c}, 6) as {c}" if c in DOUBLE_COLS else c) if c in _FX6_COLS
+    else f"0.0::double as {c}" for c in _FX1_FEATURES) + " from p", drop_ts=True)
+
+# --- synthetic tables ---------------------------------------------------------------------------
+ORACLE["synthetic_summary"] = (
+    "select count(*) as total_samples, cast(floor(count(*) * 0.1::double) as bigint) as fraud_samples,"
+    " round(floor(count(*) * 0.1::double) / count(*), 3) as actual_fraud_ratio from events")
