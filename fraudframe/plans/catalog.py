@@ -355,3 +355,36 @@ def _synth_features(spark, sf):
     """The generated table through the fixed synthetic mapping and the feature builder."""
     df = synthetic_events(spark, sf, dataset_type="debit_card")
     return round6(features.build_features(df, detect.synthetic_mapping(df.columns)))
+
+
+# --- sources and sinks (round trips through the checkpoint folder) ----------------------
+
+@query("scan_csv")
+def _scan_csv(spark, sf):
+    """The dirty fx4 table written as CSV and scanned back with pandas' rules."""
+    from ..session import scratch_path
+    from ..sources import ingest
+    path = ingest.export_csv(raw(spark, sf, "fx4"), scratch_path(spark, "csv"))
+    schema = "id long, amount string, fraud string"
+    return ingest.scan_csv(spark, path, schema=schema)
+
+
+@query("export_json")
+def _export_json(spark, sf):
+    """fx7 rows out as JSON records and back in."""
+    from ..session import scratch_path
+    from ..sources import ingest
+    df = raw(spark, sf, "fx7")
+    path = ingest.export_json(df, scratch_path(spark, "json"))
+    return round6(ingest.records_in(spark, path, df.schema))
+
+
+@query("export_csv")
+def _export_csv(spark, sf):
+    """Processed fraud rows of fx1 written as CSV and read back."""
+    from ..session import scratch_path
+    from ..sources import ingest
+    df = profile.fraud_rows(processed(spark, sf, "fx1")).select(
+        "transaction_id", "amount", "location", "card_type", "is_fraud", "amount_percentile")
+    path = ingest.export_csv(df, scratch_path(spark, "csv"))
+    return round6(ingest.scan_csv(spark, path, schema=df.schema))

@@ -17,6 +17,7 @@ import math
 import random
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -188,7 +189,7 @@ def build_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: in
             est.setWeightCol(wcol)
         stages.append(est)
     else:  # svm: linear SVM on the random features + Platt calibration of its margin
-        svc = LinearSVC(maxIter=50, regParam=1e-4, labelCol="label", rawPredictionCol="_svm_raw",
+        svc = LinearSVC(maxIter=30, tol=1e-4, regParam=1e-4, labelCol="label", rawPredictionCol="_svm_raw",
                         predictionCol="_svm_pred")
         if wcol:
             svc.setWeightCol(wcol)
@@ -225,14 +226,21 @@ def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: floa
                 keep_transaction_id: bool = False, cv_folds: int = 5):
     """Fit on a hash split, report hold-out metrics and (optionally) k-fold F1."""
     spec = feature_spec(df, keep_transaction_id)
-    data = prepare(df, spec)
-    train, test = stratified_split(data, test_size, random_state)
-    weights = balanced_weights(train)
-    pipe = build_pipeline(train, spec, algorithm, random_state, weights)
-    model = pipe.fit(_weighted(train, algorithm, weights))
-    metrics = evaluate_predictions(model.transform(test))
-    if cross_validation and len(weights) > 1:
-        metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds))
+    # Iterative fitting re-reads its input many times: keep the prepared
+    # feature columns (not the wide source rows) persisted for the duration.
+    keep = spec.columns + ["label"]
+    data = prepare(df, spec).select(*[F.col(f"`{c}`") for c in keep])
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = stratified_split(data, test_size, random_state)
+        weights = balanced_weights(train)
+        pipe = build_pipeline(train, spec, algorithm, random_state, weights)
+        model = pipe.fit(_weighted(train, algorithm, weights))
+        metrics = evaluate_predictions(model.transform(test))
+        if cross_validation and len(weights) > 1:
+            metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds))
+    finally:
+        data.unpersist()
     return model, spec, metrics
 
 

@@ -463,3 +463,10 @@ ORACLE["align_features"] = on_processed("fx6", "select transaction_id, " + ", ".
 ORACLE["synthetic_summary"] = (
     "select count(*) as total_samples, cast(floor(count(*) * 0.1::double) as bigint) as fraud_samples,"
     " round(floor(count(*) * 0.1::double) / count(*), 3) as actual_fraud_ratio from events")
+
+# --- sources and sinks --------------------------------------------------------------------------
+ORACLE["scan_csv"] = fixture_cte("fx4") + "select * from fx4"
+ORACLE["export_json"] = _FX7 + f"select {_FX7_COLS} from fx7"
+ORACLE["export_csv"] = on_processed("fx1", (
+    "select transaction_id, round(amount, 6) as amount, location, card_type, is_fraud,"
+    " round(amount_percentile, 6) as amount_percentile from p where is_fraud = 1"))
