@@ -149,6 +149,12 @@ def _rff_sql(inputs: list[str], seed: int, d: int = RFF_COMPONENTS) -> tuple[SQL
 
 def build_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
                    weights: dict | None = None) -> Pipeline:
+    """The whole (unfitted) pipeline; ``fit_pipeline`` fits it in two parts."""
+    return Pipeline(stages=pipeline_stages(train, spec, algorithm, seed, weights))
+
+
+def pipeline_stages(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
+                    weights: dict | None = None) -> list:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unsupported algorithm: {algorithm}")
     stages = []
@@ -196,7 +202,24 @@ def build_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: in
         stages += [svc,
                    VectorSlicer(inputCol="_svm_raw", outputCol="_svm_margin", indices=[1]),
                    LogisticRegression(featuresCol="_svm_margin", labelCol="label", maxIter=100)]
-    return Pipeline(stages=stages)
+    return stages
+
+
+def fit_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
+                 weights: dict | None = None) -> PipelineModel:
+    """Fit the feature stages, persist the assembled vectors once, fit the
+    estimator stages on them, and return one PipelineModel of both."""
+    stages = pipeline_stages(train, spec, algorithm, seed, weights)
+    cut = next(i for i, st in enumerate(stages) if isinstance(st, VectorAssembler)) + 1
+    data = _weighted(train, algorithm, weights) if weights else train
+    feat = Pipeline(stages=stages[:cut]).fit(data)
+    keep = ["label", "features"] + (["weight"] if weights else [])
+    vec = feat.transform(data).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        est = Pipeline(stages=stages[cut:]).fit(vec)
+    finally:
+        vec.unpersist()
+    return PipelineModel(stages=feat.stages + est.stages)
 
 
 def _weighted(df: DataFrame, algorithm: str, weights: dict) -> DataFrame:
@@ -212,11 +235,16 @@ def probability_column(model_df: DataFrame) -> DataFrame:
 
 
 def evaluate_predictions(pred: DataFrame) -> dict:
-    m = evaluate.classification_metrics(
-        pred.withColumn("_y", F.col("label").cast("int")).withColumn("_p", F.col("prediction").cast("int")),
-        "_y", "_p").first()
-    auc = evaluate.roc_auc(probability_column(pred).withColumn("_y", F.col("label").cast("int")),
-                           "_y", "fraud_probability").first()["auc"]
+    """Hold-out metrics; the scored rows are persisted for the three metric jobs."""
+    scored = (probability_column(pred)
+              .select(F.col("label").cast("int").alias("_y"), F.col("prediction").cast("int").alias("_p"),
+                      "fraud_probability")
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        m = evaluate.classification_metrics(scored, "_y", "_p").first()
+        auc = evaluate.roc_auc(scored, "_y", "fraud_probability").first()["auc"]
+    finally:
+        scored.unpersist()
     return {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
             "f1": m["f1"], "auc": auc}
 
@@ -234,8 +262,7 @@ def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: floa
     try:
         train, test = stratified_split(data, test_size, random_state)
         weights = balanced_weights(train)
-        pipe = build_pipeline(train, spec, algorithm, random_state, weights)
-        model = pipe.fit(_weighted(train, algorithm, weights))
+        model = fit_pipeline(train, spec, algorithm, random_state, weights)
         metrics = evaluate_predictions(model.transform(test))
         if cross_validation and len(weights) > 1:
             metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds))
@@ -253,7 +280,7 @@ def cross_validate(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: in
         tr = folded.where(F.col("_fold") != f).drop("_fold")
         te = folded.where(F.col("_fold") == f).drop("_fold")
         w = balanced_weights(tr)
-        mdl = build_pipeline(tr, spec, algorithm, seed, w).fit(_weighted(tr, algorithm, w))
+        mdl = fit_pipeline(tr, spec, algorithm, seed, w)
         scores.append(evaluate_predictions(mdl.transform(te))["f1"])
     mean = sum(scores) / k
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
