@@ -16,6 +16,7 @@ step is the prefix sum over P numbers on the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,8 @@ class OrderStats:
     groups: list[str]
     totals: dict | None  # group tuple -> (n_rows, n_distinct); None when left lazy
     distinct: int  # exact, or an upper estimate on the lazy path
+    counts: DataFrame | None = None  # (groups, value, cnt) before ranking
+    parts: list | None = None  # ranged path: (group key, pid, rows before pid, rows in pid)
 
     @property
     def lookup_rows(self) -> int:
@@ -108,7 +111,7 @@ def _small_order_statistics(counts: DataFrame, groups: list[str], weight, d_est:
         (F.row_number().over(w) - 1).alias("distinct_below"),
         F.sum("cnt").over(whole).alias("n_total"),
         F.count(F.lit(1)).over(whole).alias("d_total"))
-    return OrderStats(table.select(*_keep(groups, weight)), groups, None, d_est)
+    return OrderStats(table.select(*_keep(groups, weight)), groups, None, d_est, counts=counts)
 
 
 def _ranged_order_statistics(df: DataFrame, counts: DataFrame, groups: list[str], weight,
@@ -126,9 +129,11 @@ def _ranged_order_statistics(df: DataFrame, counts: DataFrame, groups: list[str]
                   key=lambda t: (t[1],))
     totals: dict = {}
     offsets = []
+    part_list = []
     for key, pid, d, n in rows:
         n0, d0 = totals.get(key, (0, 0))
         offsets.append((pid, *key, n0, d0))
+        part_list.append((key, pid, n0, n))
         totals[key] = (n0 + n, d0 + d)
     src_schema = {f.name: f.dataType for f in ranged.schema.fields}
     fields = [T.StructField("pid", T.IntegerType())]
@@ -154,7 +159,8 @@ def _ranged_order_statistics(df: DataFrame, counts: DataFrame, groups: list[str]
         table = table.withColumn("n_total", F.lit(n_all).cast("long")).withColumn(
             "d_total", F.lit(d_all).cast("long"))
     d = sum(v[1] for v in totals.values())
-    return OrderStats(table.select(*_keep(groups, weight)), groups, totals, d)
+    return OrderStats(table.select(*_keep(groups, weight), "pid"), groups, totals, d,
+                      counts=counts, parts=part_list)
 
 
 def average_rank_pct(stats: OrderStats) -> DataFrame:
@@ -167,12 +173,26 @@ def average_rank_pct(stats: OrderStats) -> DataFrame:
 def quantiles(stats: OrderStats, probs: list[float], names: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default), per group.
 
-    For each p the two order statistics k0 = floor((n-1)p) and k1 = k0+1 are
-    located by the rows_below interval of their distinct value; one small
-    aggregate returns one row per group.
+    Bounded distinct table: ``percentile(value, p, cnt)`` over the (value,
+    count) rows -- its buffer holds at most the checked number of distinct
+    values.  Range-partitioned table: the order statistics k0 = floor((n-1)p)
+    and k0+1 are located in the partitions the driver-side offsets point to,
+    and only those partitions are ranked (the pid filter sits below the window).
     """
     names = names or [f"q{i}" for i in range(len(probs))]
-    t = stats.table
+    if stats.parts is None:
+        aggs = [F.percentile("value", F.lit(float(p)), F.col("cnt")).alias(nm)
+                for p, nm in zip(probs, names)]
+        return stats.counts.groupBy(*stats.groups).agg(*aggs)
+    wanted = set()
+    for key, (n_rows, _) in stats.totals.items():
+        for p in probs:
+            h = (n_rows - 1) * p
+            for k in {math.floor(h), min(math.floor(h) + 1, n_rows - 1)}:
+                for gkey, pid, before, inside in stats.parts:
+                    if gkey == key and before <= k < before + inside:
+                        wanted.add(pid)
+    t = stats.table.where(F.col("pid").isin(sorted(wanted))) if wanted else stats.table.limit(0)
     n1 = (F.col("n_total") - 1).cast("double")
     lo, hi = F.col("rows_below"), F.col("rows_below") + F.col("cnt")
     aggs = []
