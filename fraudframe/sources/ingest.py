@@ -27,12 +27,13 @@ def normalize_missing(df: DataFrame, tokens: bool = False) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer_schema: bool = True) -> DataFrame:
+             infer_schema: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
     """Header CSV scan (one or many files) with pandas' missing-value rules.
 
     Give ``schema`` in production; inference costs an extra pass over the data.
+    ``mode="FAILFAST"`` turns a malformed row into an error (the input gate).
     """
-    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", True).option("mode", mode)
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if schema is not None:
         reader = reader.schema(schema)
