@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalar as X
-from .ranks import average_rank_pct, dense_codes, order_statistics, quantile_values
+from .ranks import average_rank_pct, dense_codes, order_statistics, quantiles
 
 # Lookup tables up to this many rows are broadcast; larger ones are joined by
 # shuffle.  A row of (value, code, freq) or (amount, pct) is < 100 bytes, so
@@ -39,7 +39,6 @@ class FeatureFacts:
     label_mode: str = "map"            # "map" or "numeric"
     timestamp_dropped: bool = False
     bad_timestamps: int = 0
-    high_amount_threshold: float | None = None
     lookup_sizes: dict = field(default_factory=dict)
     distinct_estimates: dict = field(default_factory=dict)
 
@@ -172,20 +171,22 @@ def amount_features(df: DataFrame, facts: FeatureFacts | None = None,
     est = facts.distinct_estimates.get("amount") if facts is not None else None
     stats = order_statistics(source if source is not None else df, "amount",
                              distinct_estimate=est)
-    (q95,) = quantile_values(stats, [S.HIGH_AMOUNT_QUANTILE])
     size = stats.lookup_rows
     if facts is not None:
-        facts.high_amount_threshold = q95
         facts.lookup_sizes["amount"] = size
     pct = average_rank_pct(stats).withColumnRenamed("pct", "_pct")
+    # The p95 threshold stays lazy: a one-row side joined to every row, so it
+    # runs inside the final job instead of as a separate action.
+    q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"])
     df = df.withColumns({
         "amount_log": F.log1p("amount"),
         "amount_rounded": X.is_whole(F.col("amount")),
     })
     df = _join_lookup(df, pct, "amount", size)
-    high = (F.col("amount") > F.lit(q95)) if q95 is not None else F.lit(False)
-    return df.withColumn("amount_percentile", F.col("_pct")).drop("_pct").withColumn(
-        "is_high_amount", F.coalesce(high, F.lit(False)).cast("int"))
+    df = df.crossJoin(F.broadcast(q95))
+    high = F.coalesce(F.col("amount") > F.col("_q95"), F.lit(False)).cast("int")
+    return (df.withColumn("amount_percentile", F.col("_pct"))
+            .withColumn("is_high_amount", high).drop("_pct", "_q95"))
 
 
 def hour_flags(df: DataFrame) -> DataFrame:

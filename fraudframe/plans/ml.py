@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import evaluate
-from ..operators.ranks import estimate_distinct
+from ..session import checkpoint_dir
 
 ALGORITHMS = ["random_forest", "xgboost", "logistic_regression", "svm"]
 # Text features are label-encoded with StringIndexer, whose fitted labels
@@ -58,19 +58,22 @@ def feature_spec(df: DataFrame, keep_transaction_id: bool = False) -> FeatureSpe
     excluded = set(S.MODEL_EXCLUDED_COLUMNS)
     if not keep_transaction_id:
         excluded.add("transaction_id")
-    numeric, text, dropped = [], [], []
+    numeric, text, dropped, strings = [], [], [], []
     for f in df.schema.fields:
         if f.name in excluded:
             continue
         if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
             numeric.append(f.name)
         elif isinstance(f.dataType, T.StringType):
-            if estimate_distinct(df, f.name) <= MAX_TEXT_LEVELS:
-                text.append(f.name)
-            else:
-                dropped.append(f.name)
+            strings.append(f.name)
         else:
             dropped.append(f.name)
+    if strings:
+        # One aggregate estimates every text column's cardinality.
+        est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}")
+                       for i, c in enumerate(strings)]).first()
+        for i, c in enumerate(strings):
+            (text if est[f"d{i}"] <= MAX_TEXT_LEVELS else dropped).append(c)
     return FeatureSpec(numeric, text, dropped)
 
 
@@ -177,12 +180,15 @@ def pipeline_stages(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: i
     wcol = "weight" if weights else None
     if algorithm == "random_forest":
         est = RandomForestClassifier(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt",
-                                     seed=seed, labelCol="label")
+                                     seed=seed, labelCol="label", cacheNodeIds=True,
+                                     checkpointInterval=10)
         if wcol:
             est.setWeightCol(wcol)
         stages.append(est)
     elif algorithm == "xgboost":
-        est = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label")
+        # Boosting lineage grows per round: checkpoint it (to spark.checkpoint.dir).
+        est = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label",
+                            cacheNodeIds=True, checkpointInterval=10)
         if wcol:
             est.setWeightCol(wcol)
         stages.append(est)
@@ -253,6 +259,7 @@ def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: floa
                 random_state: int = 42, cross_validation: bool = True,
                 keep_transaction_id: bool = False, cv_folds: int = 5):
     """Fit on a hash split, report hold-out metrics and (optionally) k-fold F1."""
+    checkpoint_dir(df.sparkSession)  # tree learners checkpoint long lineages there
     spec = feature_spec(df, keep_transaction_id)
     # Iterative fitting re-reads its input many times: keep the prepared
     # feature columns (not the wide source rows) persisted for the duration.
