@@ -18,9 +18,12 @@ NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_TEXT = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_text(c: Column) -> Column:
-    """Strip leading/trailing whitespace including tabs and newlines."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    """Strip leading/trailing whitespace including tabs and newlines (no regex)."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def to_number(c: Column, dtype: T.DataType) -> Column:

@@ -33,7 +33,6 @@ EXACT_NAME_SCORE = 100.0
 PARTIAL_NAME_WEIGHT = 50.0
 MIN_NAME_SCORE = 30.0
 USER_ID_MIN_UNIQUE_RATIO = 0.1
-TIMESTAMP_PROBE_ROWS = 100
 
 # Label spellings (lower-cased, stripped) and their class.
 LABEL_VALUES = {
