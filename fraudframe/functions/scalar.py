@@ -109,15 +109,3 @@ def format_percentage(x: Column) -> Column:
 def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:
     """num / den, ``default`` when den is 0 or missing."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(default))
-
-
-def pairwise_corr(x: Column, y: Column) -> Column:
-    """Pearson r over rows where both are present; null for a constant side.
-
-    ``corr`` raises on a zero variance under ANSI mode, so the ratio is
-    built from population moments with ``try_divide``.
-    """
-    x_pair = F.when(y.isNotNull(), x)
-    y_pair = F.when(x.isNotNull(), y)
-    den = F.stddev_pop(x_pair) * F.stddev_pop(y_pair)
-    return F.try_divide(F.covar_pop(x, y), F.when(den != 0, den))

@@ -140,10 +140,6 @@ FX1_NUMERIC = ["transaction_id", "amount", "customer_id", "is_fraud", "hour", "d
                "is_business_hours", "location_frequency_log", "is_rare_location"]
 
 
-def _classes_join(body_cte: str) -> str:
-    return body_cte
-
-
 ORACLE: dict[str, str] = {}
 
 # --- sources / mapping ---------------------------------------------------------------

@@ -52,7 +52,10 @@ def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode:
     for c in S.CATEGORICAL_FIELDS:
         if c in df.columns:
             lk = spark.read.parquet(f"{snapshot}/{c}")
-            df = (df.join(F.broadcast(lk), df[c] == lk["value"], "left").drop("value")
+            # The row count comes from parquet footers; broadcast only under the bound.
+            if lk.count() <= SNAPSHOT_BROADCAST_MAX_ROWS:
+                lk = F.broadcast(lk)
+            df = (df.join(lk, df[c] == lk["value"], "left").drop("value")
                   .withColumns({f"{c}_encoded": F.coalesce(F.col("code"), F.lit(-1)).cast("int"),
                                 f"{c}_frequency": F.col("freq")}).drop("code", "freq"))
     thr = spark.read.parquet(f"{snapshot}/_threshold")
