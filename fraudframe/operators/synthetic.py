@@ -163,3 +163,12 @@ def synthetic_summary(df: DataFrame) -> DataFrame:
                F.coalesce(F.sum("is_fraud"), F.lit(0)).cast("long").alias("fraud_samples"))
     return a.withColumn("actual_fraud_ratio",
                         F.round(F.col("fraud_samples") / F.col("total_samples"), 3))
+
+
+def seeded_shuffle(df: DataFrame, seed: int = 42) -> DataFrame:
+    """A reproducible full shuffle of the rows (order by a seeded row hash).
+
+    Row order carries no meaning in a table; this exists for callers that
+    want the reference's shuffled output order, at the cost of a range sort.
+    """
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))

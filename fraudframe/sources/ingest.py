@@ -39,7 +39,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", infer_schema)
-    return normalize_missing(reader.csv(path), tokens=True)
+    return check_column_names(normalize_missing(reader.csv(path), tokens=True))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -83,3 +83,31 @@ def records_in(spark: SparkSession, path: str, schema: T.StructType | str | None
     if schema is not None:
         reader = reader.schema(schema)
     return normalize_missing(reader.json(path))
+
+
+def readable_sample(spark: SparkSession, path: str, rows: int = 10) -> tuple[bool, str]:
+    """The readability gate: the first ``rows`` rows parse (FAILFAST), at least 2 columns.
+
+    Reads only the leading split(s) of the input, never the whole file.
+    """
+    try:
+        df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        sample = df.limit(rows).collect()
+    except Exception as e:  # malformed input is the answer, not a crash
+        return False, f"Failed to read CSV file: {str(e).splitlines()[0]}"
+    if not sample:
+        return False, "Uploaded file is empty"
+    if len(df.columns) < 2:
+        return False, "File must have at least 2 columns"
+    return True, "File validation successful"
+
+
+def check_column_names(df: DataFrame) -> DataFrame:
+    """Reject names that differ only by case (Spark resolves names case-insensitively)."""
+    seen: dict[str, str] = {}
+    for c in df.columns:
+        low = c.lower()
+        if low in seen and seen[low] != c:
+            raise ValueError(f"Columns {seen[low]!r} and {c!r} differ only by case")
+        seen[low] = c
+    return df

@@ -103,3 +103,27 @@ def test_bad_timestamp_drops_column(spark):
                                "amount double, fraud_label string, timestamp string")
     out = features.build_features(df, {})
     assert "timestamp" not in out.columns and "hour" not in out.columns
+
+
+def test_readable_sample_and_case_guard(spark, tmp_path):
+    from fraudframe.sources import ingest
+    good = tmp_path / "good.csv"
+    good.write_text("amount,label\n1.5,yes\nNA,no\n")
+    ok, _ = ingest.readable_sample(spark, str(good))
+    assert ok
+    df = ingest.scan_csv(spark, str(good))
+    assert df.where("amount is null").count() == 1      # 'NA' is missing, as in pandas
+    one = tmp_path / "one.csv"
+    one.write_text("amount\n1\n")
+    assert not ingest.readable_sample(spark, str(one))[0]
+    dup = spark.createDataFrame([(1, 2)], "Amount int, amount int")
+    with pytest.raises(ValueError):
+        ingest.check_column_names(dup)
+
+
+def test_seeded_shuffle_is_reproducible(spark):
+    from fraudframe.operators import synthetic
+    df = spark.range(200).withColumn("v", F.col("id") * 3)
+    a = [r["id"] for r in synthetic.seeded_shuffle(df, 7).collect()]
+    b = [r["id"] for r in synthetic.seeded_shuffle(df.repartition(5), 7).collect()]
+    assert a == b and sorted(a) == list(range(200)) and a != list(range(200))
