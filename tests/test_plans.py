@@ -26,3 +26,11 @@ def test_scan_prunes_columns(spark):
     df = QUERIES["headline_metrics"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan     # the events column no query needs is never read
+
+
+def test_ranged_path_gives_the_same_feature_table(spark, monkeypatch):
+    small = QUERIES["build_features_fx2"](spark, SF_SMALL).cache()
+    monkeypatch.setattr(ranks, "SMALL_DISTINCT", 0)
+    ranged = QUERIES["build_features_fx2"](spark, SF_SMALL)
+    assert small.count() == ranged.count()
+    assert small.exceptAll(ranged).count() == 0 and ranged.exceptAll(small).count() == 0
