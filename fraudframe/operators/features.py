@@ -28,10 +28,12 @@ from .. import schema as S
 from ..functions import scalar as X
 from .ranks import average_rank_pct, dense_codes, order_statistics, quantiles
 
-# Lookup tables up to this many rows are broadcast; larger ones are joined by
-# shuffle.  A row of (value, code, freq) or (amount, pct) is < 100 bytes, so
-# the default stays below ~200 MB per executor.
+# Lookup tables are broadcast only when both bounds hold (rows from the HLL
+# estimate with a 10% margin, bytes from rows x measured average key width);
+# larger ones are joined by shuffle, where AQE splits skewed keys.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+LOOKUP_ROW_OVERHEAD = 40  # code/frequency/pct columns plus row headers, bytes
 
 
 @dataclass
@@ -41,6 +43,7 @@ class FeatureFacts:
     bad_timestamps: int = 0
     lookup_sizes: dict = field(default_factory=dict)
     distinct_estimates: dict = field(default_factory=dict)
+    key_widths: dict = field(default_factory=dict)
 
 
 def rename_mapped(df: DataFrame, mapping: dict) -> DataFrame:
@@ -90,6 +93,7 @@ def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts
     # Upper estimates of the lookup-table sizes, from the same pass.
     est_cols = [c for c in S.CATEGORICAL_FIELDS if c in df.columns]
     aggs += [F.approx_count_distinct(c, 0.02).alias(f"_d_{c}") for c in est_cols]
+    aggs += [F.avg(F.length(F.col(c).cast("string"))).alias(f"_w_{c}") for c in est_cols]
     aggs.append(F.approx_count_distinct(amount_column(df), 0.02).alias("_d_amount"))
     has_ts = "timestamp" in df.columns
     if has_ts:
@@ -104,6 +108,8 @@ def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts
                or r["mapped"] == 0)
     facts.label_mode = "numeric" if numeric else "map"
     facts.distinct_estimates = {c: r[f"_d_{c}"] for c in est_cols + ["amount"]}
+    facts.key_widths = {c: float(r[f"_w_{c}"] or 0.0) for c in est_cols}
+    facts.key_widths["amount"] = 8.0
     if has_ts:
         bad_n = r["bad_all"] if numeric else r["bad_mapped"]
         facts.bad_timestamps = int(bad_n)
@@ -134,8 +140,13 @@ def time_features(df: DataFrame, drop: bool) -> DataFrame:
     }).withColumn("is_weekend", X.is_weekend(F.col("day_of_week")))
 
 
-def _join_lookup(df: DataFrame, lookup: DataFrame, key: str, size: int) -> DataFrame:
-    lk = F.broadcast(lookup) if size <= BROADCAST_MAX_ROWS else lookup
+def broadcastable(rows: int, key_width: float = 16.0) -> bool:
+    return rows <= BROADCAST_MAX_ROWS and rows * (key_width + LOOKUP_ROW_OVERHEAD) <= BROADCAST_MAX_BYTES
+
+
+def _join_lookup(df: DataFrame, lookup: DataFrame, key: str, size: int,
+                 key_width: float = 16.0) -> DataFrame:
+    lk = F.broadcast(lookup) if broadcastable(size, key_width) else lookup
     return df.join(lk, df[key] == lk["value"], "left").drop("value")
 
 
@@ -153,7 +164,8 @@ def category_features(df: DataFrame, cols: list[str] | None = None,
             facts.lookup_sizes[c] = size
         codes = dense_codes(stats).select("value", F.col("code").alias("_code"),
                                           F.col("freq").alias("_freq"))
-        df = _join_lookup(df, codes, c, size)
+        width = facts.key_widths.get(c, 16.0) if facts is not None else 16.0
+        df = _join_lookup(df, codes, c, size, width)
         df = df.withColumns({
             f"{c}_encoded": F.coalesce(F.col("_code"), F.lit(-1)).cast("int"),
             f"{c}_frequency": F.col("_freq"),
@@ -182,7 +194,7 @@ def amount_features(df: DataFrame, facts: FeatureFacts | None = None,
         "amount_log": F.log1p("amount"),
         "amount_rounded": X.is_whole(F.col("amount")),
     })
-    df = _join_lookup(df, pct, "amount", size)
+    df = _join_lookup(df, pct, "amount", size, 8.0)
     df = df.crossJoin(F.broadcast(q95))
     high = F.coalesce(F.col("amount") > F.col("_q95"), F.lit(False)).cast("int")
     return (df.withColumn("amount_percentile", F.col("_pct"))

@@ -23,7 +23,6 @@ from ..functions import scalar as X
 from ..operators import features as FE
 from ..plans import ml
 
-SNAPSHOT_BROADCAST_MAX_ROWS = FE.BROADCAST_MAX_ROWS
 
 
 def fit_snapshot(processed: DataFrame, path: str) -> str:
@@ -53,7 +52,7 @@ def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode:
         if c in df.columns:
             lk = spark.read.parquet(f"{snapshot}/{c}")
             # The row count comes from parquet footers; broadcast only under the bound.
-            if lk.count() <= SNAPSHOT_BROADCAST_MAX_ROWS:
+            if FE.broadcastable(lk.count(), 64.0):
                 lk = F.broadcast(lk)
             df = (df.join(lk, df[c] == lk["value"], "left").drop("value")
                   .withColumns({f"{c}_encoded": F.coalesce(F.col("code"), F.lit(-1)).cast("int"),
