@@ -138,6 +138,11 @@ def generate_from_ids(ids: DataFrame, n: int, fraud_ratio: float = 0.1,
         cols["merchant_risk_score"] = F.coalesce(F.element_at(risk, F.col("merchant_category")),
                                                  F.lit(S.DEFAULT_MERCHANT_RISK))
     out = ids.select("id").where((F.col("id") >= 0) & (F.col("id") < n))
+    # Generation is CPU-heavy per row: an id source with fewer partitions than
+    # cores (one small file) is spread first; a wide source is left as it is.
+    cores = ids.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < cores:
+        out = out.repartition(cores)
     out = out.select("id", *[v.alias(k) for k, v in cols.items() if k != "merchant_risk_score"])
     if correlation_features:
         out = out.withColumn("merchant_risk_score", cols["merchant_risk_score"])
