@@ -71,7 +71,20 @@ def coerce_amount(df: DataFrame) -> DataFrame:
 
 
 def filter_amount(df: DataFrame) -> DataFrame:
-    """Coerce, then keep rows with a present, non-negative amount."""
+    """Keep rows with a present, non-negative amount, then coerce.
+
+    For a numeric source column the condition is stated on the raw column, so
+    ``IS NOT NULL`` and ``>= 0`` reach the parquet scan as pushed filters (only
+    the NaN test stays behind); text amounts are filtered after parsing.
+    """
+    if "amount" not in df.columns:
+        raise ValueError("Amount column is required but not found")
+    dtype = _dtype(df, "amount")
+    raw = F.col("amount")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return coerce_amount(df.where(raw.isNotNull() & (raw >= 0) & ~F.isnan(raw)))
+    if isinstance(dtype, T.NumericType):
+        return coerce_amount(df.where(raw.isNotNull() & (raw >= 0)))
     df = coerce_amount(df)
     return df.where(F.col("amount").isNotNull() & (F.col("amount") >= 0))
 
