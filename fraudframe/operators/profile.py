@@ -67,7 +67,9 @@ def amount_stats_by_class(df: DataFrame) -> DataFrame:
         F.stddev_samp("amount").alias("std"), F.sum("amount").alias("total"))
     stats = order_statistics(df, "amount", groups=["is_fraud"], distinct_estimate=None)
     med = quantiles(stats, [0.5], ["median"])
-    out = (_classes(df).join(basic, "is_fraud", "left").join(med, "is_fraud", "left"))
+    # Both per-class aggregates hold at most one row per class: broadcast.
+    out = (_classes(df).join(F.broadcast(basic), "is_fraud", "left")
+           .join(F.broadcast(med), "is_fraud", "left"))
     zero = F.lit(0.0)
     present = F.coalesce(F.col("n"), F.lit(0)) > 0
     return out.select(
@@ -106,7 +108,7 @@ def top_fraud_category(df: DataFrame, column: str, n: int = S.TOP_CATEGORIES) ->
 def fraud_distribution(df: DataFrame) -> DataFrame:
     """Class counts for the pie; an absent class counts 0."""
     counts = df.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
-    return (_classes(df).join(counts, "is_fraud", "left").select(
+    return (_classes(df).join(F.broadcast(counts), "is_fraud", "left").select(
         "is_fraud",
         F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legitimate").alias("label"),
         F.coalesce(F.col("n"), F.lit(0)).alias("count")))
