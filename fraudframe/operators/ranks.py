@@ -87,6 +87,9 @@ def order_statistics(df: DataFrame, value: str | Column, groups: list[str] | tup
                      distinct_estimate: int | None = None) -> OrderStats:
     """Order statistics of ``value`` (nulls excluded), optionally per group.
 
+    ``groups`` is meant for a few groups (classes): per-partition totals are
+    collected per (partition, group).
+
     ``weight`` adds ``wsum``: the sum of the weight per distinct value (e.g.
     the number of positives per score, for the rank-sum AUC).
     ``distinct_estimate`` (an upper estimate of the distinct count, e.g. from

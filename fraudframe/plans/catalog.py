@@ -56,6 +56,13 @@ def _preview(spark, sf):
     return round6(raw(spark, sf, "fx1").orderBy("transaction_id").limit(10))
 
 
+@query("dataset_shape")
+def _shape(spark, sf):
+    """Rows and columns of the uploaded table (the preview's shape line)."""
+    df = raw(spark, sf, "fx1")
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
 @query("validate_source")
 def _validate_source(spark, sf):
     return detect.validate_source(raw(spark, sf, "fx1"))

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +15,18 @@ from ..operators import charts, detect, evaluate, profile
 from ..operators.features import build_features
 
 
-def analyse(raw: DataFrame, mapping: dict | None = None) -> dict:
-    """Analysis results of the upload page: lazy DataFrames keyed like the reference."""
+def analyse(raw: DataFrame, mapping: dict | None = None, persist: bool = False) -> dict:
+    """Analysis results of the upload page: lazy DataFrames keyed like the reference.
+
+    ``persist=True`` keeps the processed table (MEMORY_AND_DISK) for the ~10
+    actions that follow; the default re-reads the column-pruned source per
+    action, which is cheaper when the table is much larger than memory.
+    The caller unpersists ``result["processed"]`` when done.
+    """
     mapping = mapping if mapping is not None else detect.detect_columns(raw)
     df = build_features(raw, mapping)
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = {
         "processed": df,
         "fraud_transactions": profile.fraud_rows(df),

@@ -146,6 +146,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["preview"] = fixture_cte("fx1") + (
     "select transaction_id, round(transaction_amount, 6) as transaction_amount, is_fraud, created_at,"
     " payment_method, city, customer_id from fx1 order by transaction_id limit 10")
+ORACLE["dataset_shape"] = fixture_cte("fx1") + "select count(*) as n_rows, 7 as n_columns from fx1"
 ORACLE["validate_source"] = fixture_cte("fx1") + (
     "select 7 as n_columns, count(*) > 0 as non_empty, count(*) > 0 as ok,"
     " case when count(*) > 0 then 'File validation successful' else 'Uploaded file is empty' end"

@@ -34,3 +34,16 @@ def test_ranged_path_gives_the_same_feature_table(spark, monkeypatch):
     ranged = QUERIES["build_features_fx2"](spark, SF_SMALL)
     assert small.count() == ranged.count()
     assert small.exceptAll(ranged).count() == 0 and ranged.exceptAll(small).count() == 0
+
+
+def test_analyse_flow_runs(spark):
+    from fraudframe.plans import flows
+    from fraudframe.sources.tables import fixture
+    res = flows.analyse(fixture(spark, SF_SMALL, "fx1"), persist=True)
+    try:
+        assert res["headline_metrics"].first()["total_transactions"] == res["processed"].count()
+        assert {"fraud_by_hour", "daily_timeline", "top_fraud_location"} <= set(res)
+        text = flows.report_text(flows.summary_report(res["processed"]))
+        assert text.startswith("=== FRAUD DETECTION ANALYSIS REPORT ===")
+    finally:
+        res["processed"].unpersist()
