@@ -467,3 +467,10 @@ ORACLE["export_json"] = _FX7 + f"select {_FX7_COLS} from fx7"
 ORACLE["export_csv"] = on_processed("fx1", (
     "select transaction_id, round(amount, 6) as amount, location, card_type, is_fraud,"
     " round(amount_percentile, 6) as amount_percentile from p where is_fraud = 1"))
+
+# --- column types (DuckDB type names mapped to Spark's) -----------------------------------------
+ORACLE["column_types"] = fixture_cte("fx5") + (
+    "select column_name as column, case column_type when 'BIGINT' then 'bigint'"
+    " when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string'"
+    " when 'BOOLEAN' then 'boolean' when 'TIMESTAMP' then 'timestamp_ntz' when 'DATE' then 'date'"
+    " else lower(column_type) end as data_type from (describe (select * from fx5))")
