@@ -1,8 +1,9 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Every query reads the driver's parquet tables through the FX views, runs
-the operator over the whole view, and rounds doubles to 6 places (the
-oracle does the same) so engines that sum in a different order agree.
+the operator over the whole view, and returns ``canonical`` output: doubles
+rounded to 6 places (engines sum in different orders) and timestamps as ISO
+text; the oracle SQL does the same.
 """
 
 from __future__ import annotations
@@ -31,10 +32,21 @@ def query(name: str):
     return deco
 
 
-def round6(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{f.name}`"), 6).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
-                       for f in df.schema.fields])
+TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """Output form for the cross-engine check: doubles rounded to 6 places,
+    timestamps as ISO text with microseconds (both engines print them alike)."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.round(c, 6)
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, TS_TEXT)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
 
 
 def raw(spark, sf, fx):
@@ -53,7 +65,7 @@ def renamed(spark, sf, fx):
 
 @query("preview")
 def _preview(spark, sf):
-    return round6(raw(spark, sf, "fx1").orderBy("transaction_id").limit(10))
+    return canonical(raw(spark, sf, "fx1").orderBy("transaction_id").limit(10))
 
 
 @query("dataset_shape")
@@ -79,7 +91,7 @@ for _fx in ["fx1", "fx2", "fx3", "fx4", "fx5", "fx6"]:
 
 @query("rename_mapped")
 def _rename(spark, sf):
-    return round6(renamed(spark, sf, "fx1"))
+    return canonical(renamed(spark, sf, "fx1"))
 
 
 @query("validate_model_input")
@@ -91,12 +103,12 @@ def _vmi(spark, sf):
 
 @query("coerce_amount")
 def _coerce(spark, sf):
-    return round6(features.coerce_amount(renamed(spark, sf, "fx4")).select("id", "amount"))
+    return canonical(features.coerce_amount(renamed(spark, sf, "fx4")).select("id", "amount"))
 
 
 @query("filter_amount")
 def _filter_amount(spark, sf):
-    return round6(features.filter_amount(renamed(spark, sf, "fx4")).select("id", "amount"))
+    return canonical(features.filter_amount(renamed(spark, sf, "fx4")).select("id", "amount"))
 
 
 @query("standardize_label")
@@ -104,7 +116,7 @@ def _std_label(spark, sf):
     df = renamed(spark, sf, "fx4")
     facts = features.collect_facts(df)
     out = features.standardize_label(features.filter_amount(df), facts.label_mode)
-    return round6(out.select("id", "amount", "is_fraud"))
+    return canonical(out.select("id", "amount", "is_fraud"))
 
 
 @query("standardize_label_numeric")
@@ -118,14 +130,14 @@ def _std_label_numeric(spark, sf):
 
 @query("time_features")
 def _time(spark, sf):
-    return processed(spark, sf, "fx1").select(
+    return canonical(processed(spark, sf, "fx1").select(
         "transaction_id", "timestamp", "hour", "day_of_week", "is_weekend", "is_night",
-        "is_business_hours")
+        "is_business_hours"))
 
 
 @query("drop_bad_timestamp")
 def _drop_ts(spark, sf):
-    return round6(processed(spark, sf, "fx6"))
+    return canonical(processed(spark, sf, "fx6"))
 
 
 @query("category_codes")
@@ -142,36 +154,36 @@ def _freq(spark, sf):
 
 @query("rarity_flags")
 def _rare(spark, sf):
-    return round6(processed(spark, sf, "fx1").select(
+    return canonical(processed(spark, sf, "fx1").select(
         "transaction_id", "location_frequency", "location_frequency_log", "is_rare_location"))
 
 
 @query("amount_features")
 def _amount_feats(spark, sf):
-    return round6(processed(spark, sf, "fx1").select(
+    return canonical(processed(spark, sf, "fx1").select(
         "transaction_id", "amount", "amount_log", "amount_rounded"))
 
 
 @query("amount_percentile")
 def _pct(spark, sf):
-    return round6(processed(spark, sf, "fx3").select("amount", "amount_percentile"))
+    return canonical(processed(spark, sf, "fx3").select("amount", "amount_percentile"))
 
 
 @query("is_high_amount")
 def _high(spark, sf):
-    return round6(processed(spark, sf, "fx2").select("transaction_id", "amount", "is_high_amount"))
+    return canonical(processed(spark, sf, "fx2").select("transaction_id", "amount", "is_high_amount"))
 
 
 for _fx in ["fx1", "fx2", "fx3"]:
     def _make_bf(fx):
-        return lambda spark, sf: round6(processed(spark, sf, fx))
+        return lambda spark, sf: canonical(processed(spark, sf, fx))
     QUERIES[f"build_features_{_fx}"] = _make_bf(_fx)
 
 
 # --- profiling -------------------------------------------------------------------
 
 def _on(fx, op):
-    return lambda spark, sf: round6(op(processed(spark, sf, fx)))
+    return lambda spark, sf: canonical(op(processed(spark, sf, fx)))
 
 
 QUERIES.update({
@@ -203,11 +215,11 @@ QUERIES.update({
 # --- quality -----------------------------------------------------------------------
 
 QUERIES.update({
-    "basic_stats": lambda spark, sf: round6(quality.basic_stats(raw(spark, sf, "fx4"), "amount")),
+    "basic_stats": lambda spark, sf: canonical(quality.basic_stats(raw(spark, sf, "fx4"), "amount")),
     "missing_counts": lambda spark, sf: quality.missing_counts(raw(spark, sf, "fx5")),
     "duplicate_rows": lambda spark, sf: quality.duplicate_rows(raw(spark, sf, "fx5")),
     "amount_sign_issues": lambda spark, sf: quality.amount_sign_issues(raw(spark, sf, "fx5")),
-    "iqr_outliers": lambda spark, sf: round6(quality.iqr_outliers(raw(spark, sf, "fx5"))),
+    "iqr_outliers": lambda spark, sf: canonical(quality.iqr_outliers(raw(spark, sf, "fx5"))),
     "column_types": lambda spark, sf: quality.column_types(raw(spark, sf, "fx5")),
 })
 
@@ -215,7 +227,7 @@ QUERIES.update({
 # --- scored rows ---------------------------------------------------------------------
 
 def _fx7(op):
-    return lambda spark, sf: round6(op(raw(spark, sf, "fx7")))
+    return lambda spark, sf: canonical(op(raw(spark, sf, "fx7")))
 
 
 QUERIES.update({
@@ -241,7 +253,7 @@ QUERIES.update({
 def _merchant_risk(spark, sf):
     df = processed(spark, sf, "fx2")
     m = F.create_map(*[x for k, v in S.MERCHANT_RISK.items() for x in (F.lit(k), F.lit(v))])
-    return round6(df.select("transaction_id", "merchant", F.coalesce(
+    return canonical(df.select("transaction_id", "merchant", F.coalesce(
         F.element_at(m, F.col("merchant")), F.lit(S.DEFAULT_MERCHANT_RISK)).alias("merchant_risk_score")))
 
 
@@ -252,7 +264,7 @@ def _train(algorithm: str, cv: bool):
         from . import ml
         model, spec, metrics = ml.train_model(processed(spark, sf, "fx1"), algorithm,
                                               cross_validation=cv)
-        return round6(ml.metrics_frame(spark, algorithm, metrics))
+        return canonical(ml.metrics_frame(spark, algorithm, metrics))
     return q
 
 
@@ -297,7 +309,7 @@ def _scale(spark, sf):
     for c in spec.numeric:
         aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"),
                              F.stddev_pop(c).alias("std")))
-    return round6(data.agg(F.array(*aggs).alias("s")).select(F.inline("s")))
+    return canonical(data.agg(F.array(*aggs).alias("s")).select(F.inline("s")))
 
 
 @query("encode_text")
@@ -318,7 +330,7 @@ def _encode(spark, sf):
 def _align(spark, sf):
     from . import ml
     ref = ml.feature_spec(processed(spark, sf, "fx1"))
-    return round6(ml.align_features(processed(spark, sf, "fx6"), ["transaction_id"] + ref.numeric))
+    return canonical(ml.align_features(processed(spark, sf, "fx6"), ["transaction_id"] + ref.numeric))
 
 
 @query("score_model")
@@ -348,20 +360,20 @@ def synthetic_events(spark, sf, **kw):
 
 @query("synthetic_transactions")
 def _synth(spark, sf):
-    return round6(synthetic_events(spark, sf))
+    return canonical(synthetic_events(spark, sf))
 
 
 @query("synthetic_summary")
 def _synth_summary(spark, sf):
     from ..operators import synthetic
-    return round6(synthetic.synthetic_summary(synthetic_events(spark, sf)))
+    return canonical(synthetic.synthetic_summary(synthetic_events(spark, sf)))
 
 
 @query("synthetic_features")
 def _synth_features(spark, sf):
     """The generated table through the fixed synthetic mapping and the feature builder."""
     df = synthetic_events(spark, sf, dataset_type="debit_card")
-    return round6(features.build_features(df, detect.synthetic_mapping(df.columns)))
+    return canonical(features.build_features(df, detect.synthetic_mapping(df.columns)))
 
 
 # --- sources and sinks (round trips through the checkpoint folder) ----------------------
@@ -383,7 +395,7 @@ def _export_json(spark, sf):
     from ..sources import ingest
     df = raw(spark, sf, "fx7")
     path = ingest.export_json(df, scratch_path(spark, "json"))
-    return round6(ingest.records_in(spark, path, df.schema))
+    return canonical(ingest.records_in(spark, path, df.schema))
 
 
 @query("export_csv")
@@ -394,4 +406,4 @@ def _export_csv(spark, sf):
     df = profile.fraud_rows(processed(spark, sf, "fx1")).select(
         "transaction_id", "amount", "location", "card_type", "is_fraud", "amount_percentile")
     path = ingest.export_csv(df, scratch_path(spark, "csv"))
-    return round6(ingest.scan_csv(spark, path, schema=df.schema))
+    return canonical(ingest.scan_csv(spark, path, schema=df.schema))

@@ -103,8 +103,16 @@ def processed_cte(fx: str, text_amount: bool = False, drop_ts: bool = False) ->
     return "\n".join(parts) + "\n", out
 
 
+TS_COLS = {"timestamp", "created_at"}
+
+
+def ts_text(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') as {c}"
+
+
 def rounded(cols: list[str], doubles: set[str] = DOUBLE_COLS) -> str:
-    return ", ".join(f"round({c}, 6) as {c}" if c in doubles else c for c in cols)
+    return ", ".join(f"round({c}, 6) as {c}" if c in doubles else ts_text(c) if c in TS_COLS else c
+                     for c in cols)
 
 
 def on_processed(fx: str, body: str, **kw) -> str:
@@ -144,8 +152,8 @@ ORACLE: dict[str, str] = {}
 
 # --- sources / mapping ---------------------------------------------------------------
 ORACLE["preview"] = fixture_cte("fx1") + (
-    "select transaction_id, round(transaction_amount, 6) as transaction_amount, is_fraud, created_at,"
-    " payment_method, city, customer_id from fx1 order by transaction_id limit 10")
+    "select transaction_id, round(transaction_amount, 6) as transaction_amount, is_fraud,"
+    f" {ts_text('created_at')}, payment_method, city, customer_id from fx1 order by transaction_id limit 10")
 ORACLE["dataset_shape"] = fixture_cte("fx1") + "select count(*) as n_rows, 7 as n_columns from fx1"
 ORACLE["validate_source"] = fixture_cte("fx1") + (
     "select 7 as n_columns, count(*) > 0 as non_empty, count(*) > 0 as ok,"
@@ -153,7 +161,8 @@ ORACLE["validate_source"] = fixture_cte("fx1") + (
     " as message from (select * from fx1 limit 1)")
 ORACLE["rename_mapped"] = fixture_cte("fx1") + (
     "select transaction_id, round(transaction_amount, 6) as amount, is_fraud as fraud_label,"
-    " created_at as timestamp, payment_method as card_type, city as location, customer_id from fx1")
+    " strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as timestamp, payment_method as card_type,"
+    " city as location, customer_id from fx1")
 ORACLE["validate_model_input"] = on_processed("fx1", (
     "select count(*) >= 10 and count(distinct is_fraud) >= 2 as ok,"
     " case when count(*) < 10 then 'Insufficient data. Need at least 10 rows for model training.'"
@@ -254,7 +263,8 @@ ORACLE["standardize_label_numeric"] = fixture_cte("fx7") + (
     "select transaction_id, cast(coalesce(fraud_probability > 0, false) as integer) as is_fraud"
     " from fx7 where amount is not null and amount >= 0")
 ORACLE["time_features"] = on_processed("fx1", (
-    "select transaction_id, timestamp, hour, day_of_week, is_weekend, is_night, is_business_hours from p"))
+    f"select transaction_id, {ts_text('timestamp')}, hour, day_of_week, is_weekend, is_night,"
+    " is_business_hours from p"))
 ORACLE["drop_bad_timestamp"] = build_features_sql("fx6", drop_ts=True)
 ORACLE["category_codes"] = on_processed("fx2", (
     "select transaction_id, merchant, merchant_encoded, location_encoded, card_type_encoded from p"))
