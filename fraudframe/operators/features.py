@@ -202,16 +202,17 @@ def amount_features(df: DataFrame, facts: FeatureFacts | None = None,
     pct = average_rank_pct(stats).withColumnRenamed("pct", "_pct")
     # The p95 threshold stays lazy: a one-row side joined to every row, so it
     # runs inside the final job instead of as a separate action.
-    q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"])
+    # The p95 threshold is a scalar subquery: it runs inside the final job, and
+    # Catalyst drops it from plans that never read is_high_amount.
+    q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"]).select("_q95").scalar()
     df = df.withColumns({
         "amount_log": F.log1p("amount"),
         "amount_rounded": X.is_whole(F.col("amount")),
     })
     df = _join_lookup(df, pct, "amount", size, 8.0)
-    df = df.crossJoin(F.broadcast(q95))
-    high = F.coalesce(F.col("amount") > F.col("_q95"), F.lit(False)).cast("int")
+    high = F.coalesce(F.col("amount") > q95, F.lit(False)).cast("int")
     return (df.withColumn("amount_percentile", F.col("_pct"))
-            .withColumn("is_high_amount", high).drop("_pct", "_q95"))
+            .withColumn("is_high_amount", high).drop("_pct"))
 
 
 def hour_flags(df: DataFrame) -> DataFrame:
