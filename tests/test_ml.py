@@ -44,3 +44,14 @@ def test_align_adds_missing_as_zero(spark):
     df = spark.createDataFrame([(1.0, 2)], "a double, b int")
     out = ml.align_features(df, ["b", "c", "a"])
     assert out.columns == ["b", "c", "a"] and out.first()["c"] == 0.0
+
+
+def test_feature_spec_excludes_ids_and_bounds_text(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [(i, f"T{i}", ["a", "b"][i % 2], float(i), i % 2) for i in range(50)],
+        "transaction_id long, note string, channel string, amount double, is_fraud int")
+    monkeypatch.setattr(ml, "MAX_TEXT_LEVELS", 10)
+    spec = ml.feature_spec(df)
+    assert "transaction_id" not in spec.columns and "is_fraud" not in spec.columns
+    assert spec.text == ["channel"] and spec.dropped == ["note"]
+    assert ml.feature_spec(df, keep_transaction_id=True).numeric[0] == "transaction_id"
