@@ -45,3 +45,16 @@ def test_moments(spark):
 def test_mobile_money_has_no_card_type(spark):
     df = synthetic.generate_fraud_data(spark, 100, dataset_type="mobile_money", base_time=BASE)
     assert "card_type" not in df.columns
+
+
+def test_fraud_amount_mix(spark):
+    pdf = synthetic.generate_fraud_data(spark, 20000, 0.25, base_time=BASE,
+                                        correlation_features=False).toPandas()
+    fraud = pdf[pdf.is_fraud == 1].amount
+    # 40% anomalies sit at the range maximum (then 1% noise); 60% of the rest are round amounts.
+    near_max = fraud.between(5000 * 0.95, 5000 * 1.05).mean()
+    assert 0.35 < near_max < 0.5
+    rounds = [100, 200, 500, 1000, 1500, 2000]
+    near_round = sum(fraud.between(r * 0.95, r * 1.05).mean() for r in rounds)
+    assert 0.3 < near_round < 0.45
+    assert "transactions_last_hour" not in pdf.columns
