@@ -92,3 +92,25 @@ def test_correlation_matches_pandas(spark, rows):
             if math.isnan(w) or degenerate:
                 continue   # pandas gives NaN (or noise) where the engine gives null
             assert g == pytest.approx(w, abs=1e-9)
+
+
+SPELLINGS = ["true", "false", "1", "0", "yes", "no", "fraud", "legitimate", "normal", "fraudulent",
+             "genuine", "maybe", "2", ""]
+
+
+@SETTINGS
+@given(labels=st.lists(st.tuples(st.sampled_from(SPELLINGS), st.sampled_from(["", " ", "\t"]),
+                                 st.booleans()), min_size=1, max_size=30))
+def test_label_mapping_matches_python_rule(spark, labels):
+    from fraudframe import schema as S
+    texts = [(pad + (w.upper() if up else w) + pad) for w, pad, up in labels]
+    df = spark.createDataFrame([(float(i), t) for i, t in enumerate(texts)],
+                               "amount double, fraud_label string")
+    facts = features.collect_facts(df)
+    out = features.standardize_label(df, facts.label_mode).orderBy("amount").collect()
+    want = [S.LABEL_VALUES.get(t.strip().lower()) for t in texts]
+    if all(w is None for w in want):
+        # nothing maps: numeric fallback, every row kept (text > 0 -> 1)
+        assert facts.label_mode == "numeric" and len(out) == len(texts)
+    else:
+        assert [r["is_fraud"] for r in out] == [w for w in want if w is not None]
