@@ -47,3 +47,12 @@ def test_analyse_flow_runs(spark):
         assert text.startswith("=== FRAUD DETECTION ANALYSIS REPORT ===")
     finally:
         res["processed"].unpersist()
+
+
+def test_timeline_join_equals_single_aggregate_and_class_split_is_complete(spark):
+    a = QUERIES["daily_timeline"](spark, SF_SMALL)
+    b = QUERIES["daily_timeline_join"](spark, SF_SMALL)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    whole = QUERIES["build_features_fx1"](spark, SF_SMALL)
+    parts = QUERIES["union_sources"](spark, SF_SMALL)
+    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
