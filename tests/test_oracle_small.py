@@ -16,7 +16,8 @@ FAST_KEYS = ["headline_metrics", "build_features_fx1", "build_features_fx2", "am
              "amount_histogram", "standardize_label", "drop_bad_timestamp", "classification_metrics",
              "roc_auc", "high_risk_ui", "duplicate_rows", "iqr_outliers", "basic_stats",
              "detect_columns_fx1", "detect_columns_fx6", "synthetic_summary", "summary_report",
-             "correlation_matrix"]
+             "correlation_matrix", "scan_csv", "export_json", "column_types", "dataset_shape",
+             "encode_text", "align_features", "merchant_risk"]
 
 
 @pytest.fixture(scope="module")
