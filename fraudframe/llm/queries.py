@@ -17,13 +17,17 @@ def _sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _count(found: str, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [_count("base", k) for k in pii.KINDS]
     return found.select("doc_id", *counts, _sha(secrets.digest(F.col("base"))).alias("base_sha256"),
                         secrets.digest(F.col("found")).alias("spans"))
 
@@ -41,7 +45,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    counts = [_count("found", k) for k in secrets.BASE]
     return found.select("doc_id", *counts, _sha(secrets.digest(F.col("found"), secrets.BASE)).alias("base_sha256"),
                         secrets.digest(F.col("found")).alias("spans"))
 

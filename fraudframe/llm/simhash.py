@@ -67,6 +67,10 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
 
 
+def _around(key: Column, ball: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in ball]), lambda m: key.bitwiseXOR(m))
+
+
 def links(distinct: DataFrame, max_distance: int = 4, segments=SEGMENTS) -> DataFrame:
     """All (src, dst), src < dst, of distinct ``fp`` values within ``max_distance`` bits.
 
@@ -78,8 +82,7 @@ def links(distinct: DataFrame, max_distance: int = 4, segments=SEGMENTS) -> Data
     for i, (first, width, radius) in enumerate(segments):
         key = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << 40)
         keys.append(key)
-        masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius)])
-        probes.append(F.transform(masks, lambda m, key=key: key.bitwiseXOR(m)))
+        probes.append(_around(key, _ball(width, radius)))
     rows = distinct.select(F.col("fp").alias("dst"), F.explode(F.array(*keys)).alias("k"))
     asks = distinct.select(F.col("fp").alias("src"), F.explode(F.concat(*probes)).alias("k"))
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance

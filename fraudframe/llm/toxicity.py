@@ -168,9 +168,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, fit_r
 
 def _patterns(text: Column) -> Column:
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n),
-                         lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in PREFIXES]
-    return F.array_distinct(F.concat(words, *stems))
+    return F.array_distinct(F.concat(words, *[_stems(words, n) for n in PREFIXES]))
+
+
+def _stems(words: Column, n: int) -> Column:
+    longer = F.filter(words, lambda w: F.length(w) > n)
+    return F.transform(longer, lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
 
 
 def _bound(hits: float, misses: float, prior: float) -> float:
