@@ -4,8 +4,8 @@
 small transducers rewrite the text and remember, for every run of output, the source run it came
 from: lookalike letters and digits of other scripts become ASCII, spelled digits become digits,
 disguised at and dot become ``@`` and ``.``.  The same detectors run on the rewritten text; what
-they find across a rewritten run is mapped back to source positions and added, unless it overlaps
-a span of its kind already found.  Texts without a trigger are never rewritten.
+they find across a rewritten run is mapped back to source positions and added, unless a
+base span of its kind covers it.  Texts without a trigger are never rewritten.
 
 Matches of a kind are leftmost and do not overlap; one that fails its check is dropped without a
 retry.  All detectors take time linear in the text.
@@ -52,8 +52,10 @@ _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?:[\x20,-]{{1,2}}(?:{_WORDS})
 _DIGIT_WORD = re.compile(_WORDS, re.I | re.A)
 _MARKED = re.compile(r"\x20{0,2}(?:[\[({<]\x20{0,2}(at|dot|punkt|point|punto|arroba)\x20{0,2}[\])}>])\x20{0,2}",
                      re.I | re.A)
-# A bare " at " counts only where a bare " dot " and a plausible domain follow.
-_BARE = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20[A-Za-z0-9-]{2,63})", re.A)
+# Last parts of a domain that a bare " at ... dot ..." must end in.
+_LAST = "com|org|net|edu|gov|info|biz|io|dev|app|ai|me|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|pl|ru|jp|cn|in|br|example|test"
+_BARE = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){0,5}\x20dot\x20"
+                   rf"(?:{_LAST})(?![A-Za-z0-9-]))", re.A)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.A)
 
 
@@ -194,7 +196,7 @@ def find_pii(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
     for kind, a, b in detect(r.text):
         if r.touched(a, b):
             s, e = r.source(a, b)
-            if all(e <= x or s >= y for x, y in used[kind]):
+            if not any(x <= s and e <= y for x, y in used[kind]):
                 added.append((kind, s, e))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, secrets, simhash, toxicity
+from . import (cws, embeddings, html_text, licenses, mixing, pieces, pii, secrets, simhash,
+               toxicity)
 from .common import table
 
 
@@ -25,6 +26,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
     counts = [_count("base", k) for k in pii.KINDS]
@@ -43,6 +48,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     counts = [_count("found", k) for k in secrets.BASE]
@@ -50,14 +59,33 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.digest(F.col("found")).alias("spans"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_pii, op4_mix_sources, op5_sentencepiece, op7_secret_scan,
-                                   op9_toxicity)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_pii, op4_mix_sources, op5_sentencepiece,
+                                   op6_embedding_near_dedup, op7_secret_scan, op8_document_fingerprints, op9_toxicity,
+                                   op10_html_text)}
 
 ORACLE = {
+    "op6_embedding_near_dedup": """
+with recursive v as (select vec_id, embedding::double[] as x from embeddings),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+      where len(a.x) = len(b.x) and list_dot_product(a.x, a.x) > 0 and list_dot_product(b.x, b.x) > 0
+        and list_cosine_similarity(a.x, b.x) >= 0.9),
+r as (select vec_id as id, vec_id as other from v union select r.id, p.b from r join p on r.other = p.a)
+select v.vec_id, (select count(*) from p where p.a = v.vec_id)::bigint as n_links, min(r.other) as component_id,
+       v.vec_id = min(r.other) as kept
+from v join r on r.id = v.vec_id group by v.vec_id
+""",
     "op4_mix_sources": """
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
            from documents),

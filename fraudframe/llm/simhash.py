@@ -124,6 +124,6 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first")
     least = fps.groupBy("fp").agg(first)
     keep = (least.join(roots(fps, max_distance, segments), "fp").groupBy("root").agg(F.min("first").alias("first"))
-            .select(F.col("first.row").alias("row")))
+            .select(F.col("first.row").alias("_keep_row")))
     keep = materialize(keep, "simhash-keep")
-    return tagged.join(keep, F.col("_simhash_row") == F.col("row"), "left_semi").select(*columns)
+    return tagged.join(keep, F.col("_simhash_row") == F.col("_keep_row"), "left_semi").select(*columns)
