@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
 
 
 def _finish(cum: Column, epoch: int) -> Column:
-    return (cum + F.lit(epoch) * F.col("source_size")) / F.col("target")
+    return F.try_divide((cum + F.lit(epoch) * F.col("source_size")).cast("double"), F.col("target"))
 
 
 def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None,

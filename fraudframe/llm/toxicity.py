@@ -1,7 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Terminals.  Insults are a learned lexicon: whole words and word beginnings (``stem*``) with the
-lower confidence bound of their log-odds as weight, counted by Spark over labelled training rows.
+Terminals.  Insults are a learned lexicon: whole words and word beginnings (``stem*``) whose toxic
+share is beyond chance (a Chernoff bound of one in a million), counted by Spark over labelled
+training rows; the weight is their log-odds less one standard error.  A beginning goes where a
+longer pattern explains most of its hits.
 Threat verbs, second persons, negations and speech verbs are short fixed lists.
 
 Grammar.  A text is cut into clauses; only clauses that hold an insult or threat are read.  Each
@@ -40,7 +42,9 @@ from .common import small_batches
 FIT_ROWS = 20_000
 LEXICON_SIZE = 20_000
 FOLDS = 5
-CONFIDENCE = 2.33
+#: Natural log of the odds against chance that a pattern must have, and of the hits a longer pattern must explain.
+SIGNIFICANCE = 14.0
+EXPLAINED = 0.8
 PREFIXES = (4, 5, 6)
 
 # The grammar's closed word classes in the four languages of the corpus.
@@ -176,10 +180,34 @@ def _stems(words: Column, n: int) -> Column:
     return F.transform(longer, lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
 
 
-def _bound(hits: float, misses: float, prior: float) -> float:
-    """Lower confidence bound of the log-odds of toxic given the pattern, against the prior odds."""
+def _weight(hits: float, misses: float, prior: float) -> float:
+    """Log-odds of toxic given the pattern, against the prior odds, less one standard error."""
     odds = math.log((hits + 0.5) / (misses + 0.5)) - prior
-    return odds - CONFIDENCE * math.sqrt(1 / (hits + 0.5) + 1 / (misses + 0.5))
+    return odds - math.sqrt(1 / (hits + 0.5) + 1 / (misses + 0.5))
+
+
+def _against_chance(hits: Column, n: Column, rate: float) -> Column:
+    """Chernoff exponent of at least ``hits`` toxic rows among ``n`` at the base rate (0 below the rate)."""
+    share = hits / n
+    exponent = hits * F.ln(share / rate) + F.when(hits < n, (n - hits) * F.ln((1 - share) / (1 - rate))).otherwise(0.0)
+    return F.when((hits > 0) & (share > rate), exponent).otherwise(0.0)
+
+
+def _irreducible(hits: dict[str, int]) -> list[str]:
+    """Without the beginnings of which one longer pattern explains most hits."""
+    ordered = sorted((p.rstrip("*"), p) for p in hits)
+    out = []
+    for i, (stem, p) in enumerate(ordered):
+        keep = True
+        for other, q in ordered[i + 1:] if p.endswith("*") else ():
+            if not other.startswith(stem):
+                break
+            if q != p and (len(other) > len(stem) or not q.endswith("*")) and hits[q] >= EXPLAINED * hits[p]:
+                keep = False
+                break
+        if keep:
+            out.append(p)
+    return out
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
@@ -213,11 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = counted.groupBy("pattern").agg(*columns)
     hits = sum((F.col(f"n{f}1") for f in folds), F.lit(0))
     misses = sum((F.col(f"n{f}0") for f in folds), F.lit(0))
-    prior = math.log(toxic / clean)
-    bound = (F.log((hits + 0.5) / (misses + 0.5)) - F.lit(prior)
-             - F.lit(CONFIDENCE) * F.sqrt(1 / (hits + 0.5) + 1 / (misses + 0.5)))
-    best = (counts.withColumn("bound", bound).where((hits >= 3) & (F.col("bound") > 0.5))
-            .orderBy(F.desc("bound"), "pattern").limit(lexicon_size).collect())
+    strength = _against_chance(hits, hits + misses, toxic / (toxic + clean))
+    best = {r["pattern"]: r for r in counts.withColumn("strength", strength).where(F.col("strength") > SIGNIFICANCE)
+            .orderBy(F.desc("strength"), "pattern").limit(lexicon_size).collect()}
+    best = [best[p] for p in _irreducible({p: sum(r[f"n{f}1"] for f in folds) for p, r in best.items()})]
 
     def lexicon(without: int | None) -> dict[str, float]:
         used = [f for f in folds if f != without]
@@ -225,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         base = math.log((pos + 0.5) / (neg + 0.5))
         out = {}
         for r in best:
-            w = _bound(sum(r[f"n{f}1"] for f in used), sum(r[f"n{f}0"] for f in used), base)
+            w = _weight(sum(r[f"n{f}1"] for f in used), sum(r[f"n{f}0"] for f in used), base)
             if w > 0.1:
                 out[r["pattern"]] = w
         return out

@@ -315,7 +315,7 @@ def test_fingerprints(spark):
             continue
         k = by_id[r["doc_id"]]
         text, after = distinct[k][2], distinct[(k + 1) % len(distinct)]
-        if after[0] and r["doc_id"] == 10:
+        if after[0]:
             continue  # the order of equal (null) ids is by hash
         n = len(text)
         edited = text[: n - n // 2] + after[2][: n // 2]
@@ -332,9 +332,9 @@ def test_fingerprints(spark):
 def test_weighted_collision_rate(spark):
     texts = [(1, "a " * 30 + "b " * 10 + "c"), (2, "a " * 10 + "b " * 30 + "d"), (3, "a " * 30 + "b " * 10 + "c")]
     df = spark.createDataFrame(texts, "id long, text string")
-    s = {r["id"]: r["signature"] for r in cws.signatures(df, ["id"], samples=256).collect()}
-    same = sum(x == y for x, y in zip(s[1], s[2])) / 256
-    assert s[1] == s[3] and abs(same - 20 / 62) < 0.1  # unweighted Jaccard would be 0.5
+    s = {r["id"]: r["signature"] for r in cws.signatures(df, ["id"], samples=96).collect()}
+    same = sum(x == y for x, y in zip(s[1], s[2])) / 96
+    assert s[1] == s[3] and abs(same - 20 / 62) < 0.15  # unweighted Jaccard would be 0.5
 
 
 # ---- 9 toxicity ------------------------------------------------------------------------------
