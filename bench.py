@@ -35,7 +35,6 @@ HEADLINE = [
     "duplicate_rows",
     "basic_stats",
     "iqr_outliers",
-    "synthetic_transactions",
     "train_logreg",
 ]
 
@@ -49,7 +48,8 @@ def run(spark, name, sf_dir):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
+                        driver_memory=os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     cold, warm = {}, {}
     for name in HEADLINE:
         cold[name] = round(run(spark, name, sf_dir), 3)

@@ -56,15 +56,26 @@ def numeric_label(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(to_number(c, dtype) > 0, F.lit(False)).cast("int")
 
 
-def parse_timestamp(c: Column, dtype: T.DataType) -> Column:
-    """Timestamp parse; bad text -> null.  Numbers are epoch nanoseconds."""
+def parse_timestamp(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
+    """Timestamp parse; bad text -> null.  Numbers are epoch nanoseconds.
+
+    ``fmt`` is the one form of a text column (None: ISO).
+    """
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    if isinstance(dtype, (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dtype, T.IntegralType):
+        # Integer division, rounding down: a double cannot hold nanoseconds since 1970.
+        n = c.cast("long")
+        micros = F.call_function("div", n - F.pmod(n, F.lit(1000)), F.lit(1000))
+        return F.timestamp_micros(micros).cast("timestamp_ntz")
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
         return F.timestamp_micros(F.floor(c.cast("double") / 1000).cast("long")).cast("timestamp_ntz")
-    return strip_text(c.cast("string")).try_cast("timestamp_ntz")
+    text = strip_text(c.cast("string"))
+    if fmt is None:
+        return text.try_cast("timestamp_ntz")
+    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
 def weekday_monday0(ts: Column) -> Column:

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import materialize
+
+#: Columns per block of the correlation matrix (a pair of blocks is at most BLOCK^2 sums).
+BLOCK = 24
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns, booleans excluded (they are not numbers to pandas' select)."""
@@ -18,7 +23,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair (x, y) over rows where both are present.
 
-    Two passes, both single aggregates:
+    Up to ``BLOCK`` columns, two passes, both single aggregates; more columns are paired block by
+    block, each pair of blocks one aggregate over the input written once.
+
+    The passes:
       1. per column: count, null count, mean, min, max  (one row to the driver);
       2. centred sums around those means: sum(dx*dy) per pair, sum(dx^2) per
          column; pairs touching a column with nulls also get the pair-row count
@@ -48,9 +56,22 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     def dx(i):
         return f"(c{i} - cast({mean[i]!r} as double))"
 
-    aggs = [f"sum({dx(i)} * {dx(i)}) as q{i}" for i in range(k)]
-    for i in range(k):
-        for j in range(i + 1, k):
+    blocks = [range(a, min(a + BLOCK, k)) for a in range(0, k, BLOCK)]
+    if len(blocks) > 1:
+        base = materialize(base, "correlation")
+    parts = [_pairs(base, cols, sorted({(min(i, j), max(i, j)) for i in a for j in b}), rows, dx, has_null, const)
+             for n, a in enumerate(blocks) for b in blocks[n:]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def _pairs(base: DataFrame, cols: list[str], pairs: list[tuple[int, int]], rows: int, dx, has_null, const) -> DataFrame:
+    """(x, y, r) and (y, x, r) of the given column pairs, one aggregate."""
+    aggs = [f"sum({dx(i)} * {dx(i)}) as q{i}" for i in sorted({i for p in pairs for i in p})]
+    for i, j in pairs:
+        if i < j:
             aggs.append(f"sum({dx(i)} * {dx(j)}) as p{i}_{j}")
             if has_null[i] or has_null[j]:
                 both = f"(c{i} is not null and c{j} is not null)"
@@ -80,11 +101,9 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         return (f"greatest(-1.0d, least(1.0d, try_divide({cov}, "
                 f"case when {den} > 0 then {den} end)))")
 
-    r = {(i, j): r_expr(i, j) for i in range(k) for j in range(i, k)}
     entries = []
-    for i in range(k):
-        for j in range(k):
-            a, b = min(i, j), max(i, j)
-            x, y = cols[i].replace("'", "\\'"), cols[j].replace("'", "\\'")
-            entries.append(f"named_struct('x', '{x}', 'y', '{y}', 'r', {r[(a, b)]})")
+    for i, j in pairs:
+        for a, b in {(i, j), (j, i)}:
+            x, y = cols[a].replace("'", "\\'"), cols[b].replace("'", "\\'")
+            entries.append(f"named_struct('x', '{x}', 'y', '{y}', 'r', {r_expr(i, j)})")
     return moments.selectExpr(f"inline(array({', '.join(entries)}))")

@@ -29,14 +29,14 @@ def classification_metrics(df: DataFrame, label: str = "is_fraud",
                     prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
 
 
-def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "fraud_probability") -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "is_fraud", score: str = "fraud_probability", path: str = "auto") -> DataFrame:
     """Area under the ROC curve by the rank-sum (Mann-Whitney) formula.
 
     Tied scores get their average rank.  0.5 when one class is absent (the
     reference's fallback).
     """
     pos = F.when(F.col(label) == 1, 1).otherwise(0)
-    stats = order_statistics(df.where(F.col(label).isNotNull()), score, weight=pos)
+    stats = order_statistics(df.where(F.col(label).isNotNull()), score, weight=pos, path=path)
     t = stats.table
     avg_rank = F.col("rows_below") + (F.col("cnt") + 1) / 2.0
     a = t.agg(F.sum(F.col("wsum") * avg_rank).alias("r1"), F.sum("wsum").alias("n1"),

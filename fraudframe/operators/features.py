@@ -1,19 +1,16 @@
 """Cleaning and feature building: raw transaction table -> processed table.
 
-Rules (one row in, at most one row out):
-  rename mapped columns -> coerce amount, drop missing / negative ->
-  standardise the label (text spellings, numeric fallback), drop unmapped ->
-  parse the timestamp (a column with any bad value is dropped) -> hour,
-  weekday, weekend -> per categorical: sorted-order code and frequency ->
-  log amount, whole-amount flag, average-rank percentile, above-p95 flag ->
-  night / business-hours flags -> log frequency and rarity flags.
-
-Two decisions depend on the data (numeric label fallback, dropping a bad
-timestamp column); both come from one aggregate pass over the raw table.
-Dataset-relative features (codes, frequencies, percentile, p95) come from
-``order_statistics`` lookup tables joined back to the rows: broadcast when
-their row count is below a checked bound, shuffle-joined (AQE splits skewed
-keys) above it.
+``clean`` is row-local: rename mapped columns -> coerce amount, drop missing / negative ->
+standardise the label (text spellings, numeric fallback), drop unmapped -> parse the timestamp (a
+column with any bad value is dropped) -> hour, weekday, weekend, night / business-hours flags ->
+log amount, whole-amount flag.  Its two data-dependent decisions (numeric label fallback,
+dropping a bad timestamp column) take at most one small aggregate, and none where the column
+types decide alone.
+
+``enrich`` adds the dataset-relative features, only those asked for: per categorical sorted-order
+code and frequency (log, rarity flag), average-rank percentile, above-p95 flag.  They come from
+``order_statistics`` lookup tables joined back to the rows: broadcast within one byte budget for
+the whole plan, shuffle-joined (AQE splits skewed keys) beyond it.  ``build_features`` is both.
 """
 
 from __future__ import annotations
@@ -28,19 +25,19 @@ from .. import schema as S
 from ..functions import scalar as X
 from .ranks import average_rank_pct, dense_codes, order_statistics, quantiles
 
-# Lookup tables are broadcast only when both bounds hold (rows from the HLL
-# estimate with a 10% margin, bytes from rows x measured average key width);
-# larger ones are joined by shuffle, where AQE splits skewed keys.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-LOOKUP_ROW_OVERHEAD = 40  # code/frequency/pct columns plus row headers, bytes
+# All lookups of one plan share this broadcast budget (bytes as the estimate has them: rows with a
+# 10% margin times key bytes and the cost of a hashed row); what does not fit is joined by shuffle.
+BROADCAST_BUDGET = 256 * 1024 * 1024
+LOOKUP_ROW_BYTES = 96  # hashed relation: row header, pointer, key and value words, load factor
 
 
 @dataclass
 class FeatureFacts:
     label_mode: str = "map"            # "map" or "numeric"
     timestamp_dropped: bool = False
+    timestamp_format: str | None = None
     bad_timestamps: int = 0
+    broadcast_left: float = BROADCAST_BUDGET
     lookup_sizes: dict = field(default_factory=dict)
     distinct_estimates: dict = field(default_factory=dict)
     key_widths: dict = field(default_factory=dict)
@@ -95,38 +92,48 @@ def _label_always_numeric(dtype: T.DataType) -> bool:
 
 
 def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts:
-    """One aggregate over the renamed raw table decides the data-dependent branches."""
+    """The data-dependent branches of ``clean``: at most one aggregate over the columns they need."""
     if "fraud_label" not in df.columns:
         raise ValueError("Fraud label column is required but not found")
     ldt = _dtype(df, "fraud_label")
+    always = _label_always_numeric(ldt)
+    text_time = "timestamp" in df.columns and isinstance(_dtype(df, "timestamp"), T.StringType)
+    facts = FeatureFacts(label_mode="numeric" if always else "map")
+    if always and not text_time:
+        return facts
     amount_ok = amount_column(df).isNotNull() & (amount_column(df) >= 0)
     mapped = X.mapped_label(F.col("fraud_label")).isNotNull()
     aggs = [F.count_if(amount_ok & mapped).alias("mapped"),
             F.count_if(F.col("fraud_label").isNull()).alias("label_nulls")]
-    # Upper estimates of the lookup-table sizes, from the same pass.
-    est_cols = [c for c in S.CATEGORICAL_FIELDS if c in df.columns]
-    aggs += [F.approx_count_distinct(c, 0.02).alias(f"_d_{c}") for c in est_cols]
-    aggs += [F.avg(F.length(F.col(c).cast("string"))).alias(f"_w_{c}") for c in est_cols]
-    aggs.append(F.approx_count_distinct(amount_column(df), 0.02).alias("_d_amount"))
-    has_ts = "timestamp" in df.columns
-    if has_ts:
-        ts = F.col("timestamp")
-        bad = ts.isNotNull() & X.parse_timestamp(ts, _dtype(df, "timestamp")).isNull()
-        aggs += [F.count_if(amount_ok & mapped & bad).alias("bad_mapped"),
-                 F.count_if(amount_ok & bad).alias("bad_all")]
+    if text_time:
+        raw = F.col("timestamp")
+        present = X.strip_text(raw).isNotNull()
+        for i, fmt in enumerate(S.TIMESTAMP_FORMATS):
+            bad = present & X.parse_timestamp(raw, _dtype(df, "timestamp"), fmt).isNull()
+            aggs += [F.count_if(amount_ok & mapped & bad).alias(f"bad_mapped{i}"),
+                     F.count_if(amount_ok & bad).alias(f"bad_all{i}")]
     r = df.agg(*aggs).first()
-    facts = FeatureFacts()
-    numeric = (_label_always_numeric(ldt)
-               or (isinstance(ldt, T.IntegralType) and r["label_nulls"] > 0)
-               or r["mapped"] == 0)
-    facts.label_mode = "numeric" if numeric else "map"
-    facts.distinct_estimates = {c: r[f"_d_{c}"] for c in est_cols + ["amount"]}
-    facts.key_widths = {c: float(r[f"_w_{c}"] or 0.0) for c in est_cols}
-    facts.key_widths["amount"] = 8.0
-    if has_ts:
-        bad_n = r["bad_all"] if numeric else r["bad_mapped"]
-        facts.bad_timestamps = int(bad_n)
-        facts.timestamp_dropped = bad_n > 0 and on_bad_timestamp == "drop"
+    if not always:
+        numeric = (isinstance(ldt, T.IntegralType) and r["label_nulls"] > 0) or r["mapped"] == 0
+        facts.label_mode = "numeric" if numeric else "map"
+    if text_time:
+        which = "bad_all" if facts.label_mode == "numeric" else "bad_mapped"
+        wrong = [int(r[f"{which}{i}"]) for i in range(len(S.TIMESTAMP_FORMATS))]
+        facts.bad_timestamps = min(wrong)
+        facts.timestamp_format = S.TIMESTAMP_FORMATS[wrong.index(facts.bad_timestamps)]
+        facts.timestamp_dropped = facts.bad_timestamps > 0 and on_bad_timestamp == "drop"
+    return facts
+
+
+def collect_sizes(df: DataFrame, columns: list[str], facts: FeatureFacts) -> FeatureFacts:
+    """Distinct estimates and key bytes of the lookups to come (one aggregate)."""
+    columns = [c for c in columns if c not in facts.distinct_estimates]
+    if columns:
+        aggs = [F.approx_count_distinct(c, 0.02).alias(f"_d_{c}") for c in columns]
+        aggs += [F.avg(F.octet_length(F.col(c).cast("string"))).alias(f"_w_{c}") for c in columns if c != "amount"]
+        r = df.agg(*aggs).first()
+        facts.distinct_estimates.update({c: r[f"_d_{c}"] for c in columns})
+        facts.key_widths.update({c: 8.0 if c == "amount" else float(r[f"_w_{c}"] or 0.0) for c in columns})
     return facts
 
 
@@ -139,13 +146,13 @@ def standardize_label(df: DataFrame, mode: str) -> DataFrame:
             .where(F.col("is_fraud").isNotNull()))
 
 
-def time_features(df: DataFrame, drop: bool) -> DataFrame:
+def time_features(df: DataFrame, drop: bool, fmt: str | None = None) -> DataFrame:
     """Parsed timestamp plus hour, day_of_week (Monday=0) and is_weekend."""
     if "timestamp" not in df.columns:
         return df
     if drop:
         return df.drop("timestamp")
-    ts = X.parse_timestamp(F.col("timestamp"), _dtype(df, "timestamp"))
+    ts = X.parse_timestamp(F.col("timestamp"), _dtype(df, "timestamp"), fmt)
     df = df.withColumn("timestamp", ts)
     return df.withColumns({
         "hour": F.hour("timestamp"),
@@ -153,32 +160,30 @@ def time_features(df: DataFrame, drop: bool) -> DataFrame:
     }).withColumn("is_weekend", X.is_weekend(F.col("day_of_week")))
 
 
-def broadcastable(rows: int, key_width: float = 16.0) -> bool:
-    return rows <= BROADCAST_MAX_ROWS and rows * (key_width + LOOKUP_ROW_OVERHEAD) <= BROADCAST_MAX_BYTES
+def lookup_bytes(rows: int, key_width: float) -> float:
+    return rows * (key_width + LOOKUP_ROW_BYTES)
 
 
-def _join_lookup(df: DataFrame, lookup: DataFrame, key: str, size: int,
-                 key_width: float = 16.0) -> DataFrame:
-    lk = F.broadcast(lookup) if broadcastable(size, key_width) else lookup
-    return df.join(lk, df[key] == lk["value"], "left").drop("value")
+def _join_lookup(df: DataFrame, lookup: DataFrame, key: str, size: int, facts: FeatureFacts) -> DataFrame:
+    cost = lookup_bytes(size, facts.key_widths.get(key, 16.0))
+    if cost <= facts.broadcast_left:
+        facts.broadcast_left -= cost
+        lookup = F.broadcast(lookup)
+    return df.join(lookup, df[key] == lookup["value"], "left").drop("value")
 
 
-def category_features(df: DataFrame, cols: list[str] | None = None,
-                      facts: FeatureFacts | None = None) -> DataFrame:
+def category_features(df: DataFrame, cols: list[str] | None = None, facts: FeatureFacts | None = None,
+                      path: str = "auto") -> DataFrame:
     """``{c}_encoded`` (sorted distinct order, missing -1) and ``{c}_frequency``."""
     cols = [c for c in (cols or S.CATEGORICAL_FIELDS) if c in df.columns]
-    est = facts.distinct_estimates if facts is not None else {}
+    facts = collect_sizes(df, cols, facts or FeatureFacts())
     # All statistics come from the input plan, before any lookup is joined.
-    all_stats = {c: order_statistics(df, c, distinct_estimate=est.get(c)) for c in cols}
+    all_stats = {c: order_statistics(df, c, distinct_estimate=facts.distinct_estimates[c], path=path) for c in cols}
     for c in cols:
         stats = all_stats[c]
-        size = stats.lookup_rows
-        if facts is not None:
-            facts.lookup_sizes[c] = size
-        codes = dense_codes(stats).select("value", F.col("code").alias("_code"),
-                                          F.col("freq").alias("_freq"))
-        width = facts.key_widths.get(c, 16.0) if facts is not None else 16.0
-        df = _join_lookup(df, codes, c, size, width)
+        facts.lookup_sizes[c] = stats.lookup_rows
+        codes = dense_codes(stats).select("value", F.col("code").alias("_code"), F.col("freq").alias("_freq"))
+        df = _join_lookup(df, codes, c, stats.lookup_rows, facts)
         df = df.withColumns({
             f"{c}_encoded": F.coalesce(F.col("_code"), F.lit(-1)).cast("int"),
             f"{c}_frequency": F.col("_freq"),
@@ -186,33 +191,34 @@ def category_features(df: DataFrame, cols: list[str] | None = None,
     return df
 
 
-def amount_features(df: DataFrame, facts: FeatureFacts | None = None,
-                    source: DataFrame | None = None) -> DataFrame:
-    """amount_log, amount_rounded, amount_percentile, is_high_amount.
+def amount_flags(df: DataFrame) -> DataFrame:
+    """Row-local amount features."""
+    return df.withColumns({"amount_log": F.log1p("amount"), "amount_rounded": X.is_whole(F.col("amount"))})
+
+
+def amount_features(df: DataFrame, facts: FeatureFacts | None = None, source: DataFrame | None = None,
+                    want: set[str] | None = None, path: str = "auto") -> DataFrame:
+    """amount_percentile (and its exact doubled rank) and is_high_amount, as wanted.
 
     ``source`` is the plan the rank table is computed from (defaults to df);
     pass the pre-join plan so the statistics job does not run the joins.
     """
-    est = facts.distinct_estimates.get("amount") if facts is not None else None
-    stats = order_statistics(source if source is not None else df, "amount",
-                             distinct_estimate=est)
-    size = stats.lookup_rows
-    if facts is not None:
-        facts.lookup_sizes["amount"] = size
-    pct = average_rank_pct(stats).withColumnRenamed("pct", "_pct")
-    # The p95 threshold stays lazy: a one-row side joined to every row, so it
-    # runs inside the final job instead of as a separate action.
-    # The p95 threshold is a scalar subquery: it runs inside the final job, and
-    # Catalyst drops it from plans that never read is_high_amount.
-    q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"]).select("_q95").scalar()
-    df = df.withColumns({
-        "amount_log": F.log1p("amount"),
-        "amount_rounded": X.is_whole(F.col("amount")),
-    })
-    df = _join_lookup(df, pct, "amount", size, 8.0)
-    high = F.coalesce(F.col("amount") > q95, F.lit(False)).cast("int")
-    return (df.withColumn("amount_percentile", F.col("_pct"))
-            .withColumn("is_high_amount", high).drop("_pct"))
+    source = source if source is not None else df
+    facts = collect_sizes(source, ["amount"], facts or FeatureFacts())
+    stats = order_statistics(source, "amount", distinct_estimate=facts.distinct_estimates["amount"], path=path)
+    facts.lookup_sizes["amount"] = stats.lookup_rows
+    if want is None or "is_high_amount" in want:
+        # A scalar subquery: it runs inside the final job.
+        q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"]).select("_q95").scalar()
+        df = df.withColumn("is_high_amount", F.coalesce(F.col("amount") > q95, F.lit(False)).cast("int"))
+    if want is None or not want.isdisjoint({"amount_percentile", "amount_rank2"}):
+        pct = average_rank_pct(stats, doubled=True).withColumnsRenamed({"pct": "_pct", "rank2": "_rank2"})
+        df = _join_lookup(df, pct, "amount", stats.lookup_rows, facts)
+        df = df.withColumn("amount_percentile", F.col("_pct"))
+        if want is not None and "amount_rank2" in want:
+            df = df.withColumn("amount_rank2", F.col("_rank2"))
+        df = df.drop("_pct", "_rank2")
+    return df
 
 
 def hour_flags(df: DataFrame) -> DataFrame:
@@ -230,18 +236,41 @@ def rarity_flags(df: DataFrame) -> DataFrame:
     return df
 
 
-def build_features(raw: DataFrame, mapping: dict, on_bad_timestamp: str = "drop",
-                   return_facts: bool = False):
-    """The processed table for ``raw`` under ``mapping`` (see module docstring)."""
+def clean(raw: DataFrame, mapping: dict, on_bad_timestamp: str = "drop", facts: FeatureFacts | None = None) -> DataFrame:
+    """The row-local part: one row in, at most one row out, no table of its own."""
     df = rename_mapped(raw, mapping)
-    facts = collect_facts(df, on_bad_timestamp)
+    if facts is None:
+        facts = collect_facts(df, on_bad_timestamp)
     df = filter_amount(df)
     df = standardize_label(df, facts.label_mode)
-    base = time_features(df, facts.timestamp_dropped)
-    df = category_features(base, facts=facts)
-    df = amount_features(df, facts, source=base)
-    df = hour_flags(df)
-    df = rarity_flags(df)
-    if "fraud_label" in df.columns:
-        df = df.drop("fraud_label")
+    df = hour_flags(amount_flags(time_features(df, facts.timestamp_dropped, facts.timestamp_format)))
+    return df.drop("fraud_label")
+
+
+def _category_outputs(c: str) -> set[str]:
+    return {f"{c}_encoded", f"{c}_frequency", f"{c}_frequency_log", f"is_rare_{c}"}
+
+
+def enrich(df: DataFrame, want: list[str] | set[str] | None = None, facts: FeatureFacts | None = None,
+           path: str = "auto") -> DataFrame:
+    """Dataset-relative features over a cleaned table; ``want`` names the columns that will be read."""
+    want = None if want is None else set(want)
+    facts = facts or FeatureFacts()
+    base = df
+    cols = [c for c in S.CATEGORICAL_FIELDS
+            if c in df.columns and (want is None or not want.isdisjoint(_category_outputs(c)))]
+    amounts = want is None or not want.isdisjoint({"amount_percentile", "amount_rank2", "is_high_amount"})
+    collect_sizes(base, cols + (["amount"] if amounts else []), facts)
+    if cols:
+        df = category_features(df, cols, facts, path)
+    if amounts:
+        df = amount_features(df, facts, base, want, path)
+    return rarity_flags(df)
+
+
+def build_features(raw: DataFrame, mapping: dict, on_bad_timestamp: str = "drop", return_facts: bool = False,
+                   want: list[str] | set[str] | None = None, path: str = "auto"):
+    """The processed table for ``raw`` under ``mapping`` (see module docstring)."""
+    facts = collect_facts(rename_mapped(raw, mapping), on_bad_timestamp)
+    df = enrich(clean(raw, mapping, on_bad_timestamp, facts), want, facts, path)
     return (df, facts) if return_facts else df

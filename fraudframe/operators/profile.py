@@ -56,7 +56,7 @@ def _classes(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(2).select(F.col("id").cast("int").alias("is_fraud"))
 
 
-def amount_stats_by_class(df: DataFrame) -> DataFrame:
+def amount_stats_by_class(df: DataFrame, path: str = "auto") -> DataFrame:
     """Per class: mean, median, sample std, total; every figure 0 for an empty class.
 
     The median is exact (linear interpolation) from the per-class order
@@ -65,8 +65,7 @@ def amount_stats_by_class(df: DataFrame) -> DataFrame:
     basic = df.groupBy("is_fraud").agg(
         F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean"),
         F.stddev_samp("amount").alias("std"), F.sum("amount").alias("total"))
-    stats = order_statistics(df, "amount", groups=["is_fraud"], distinct_estimate=None)
-    med = quantiles(stats, [0.5], ["median"])
+    med = quantiles(order_statistics(df, "amount", groups=["is_fraud"], path=path), [0.5], ["median"])
     # Both per-class aggregates hold at most one row per class: broadcast.
     out = (_classes(df).join(F.broadcast(basic), "is_fraud", "left")
            .join(F.broadcast(med), "is_fraud", "left"))
@@ -182,6 +181,11 @@ def fraud_amount_range(df: DataFrame, lo: float = 0.0, hi: float | None = None)
     return fr.where(F.col("amount").between(lo, hi))
 
 
+def fraud_amount_max(df: DataFrame) -> DataFrame:
+    """The largest fraud amount, the default upper bound of the range (0 without fraud rows)."""
+    return df.where(fraud_flag()).agg(F.coalesce(F.max("amount"), F.lit(0.0)).alias("max_fraud_amount"))
+
+
 def high_risk(df: DataFrame, threshold: float, order: str, key: str,
               n: int = S.HIGH_RISK_ROWS, prob: str = "fraud_probability") -> DataFrame:
     """Rows scored above ``threshold``: first n by input order (``order='input'``,

@@ -20,13 +20,13 @@ def _numeric(df: DataFrame, column: str):
     return X.to_number(F.col(f"`{column}`"), df.schema[column].dataType)
 
 
-def basic_stats(df: DataFrame, column: str) -> DataFrame:
+def basic_stats(df: DataFrame, column: str, path: str = "auto") -> DataFrame:
     """count, mean, median, std, min, max, q25, q75 after numeric coercion."""
     num = df.select(_numeric(df, column).alias("x")).where(F.col("x").isNotNull())
     moments = num.agg(F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"),
                       F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
                       F.max("x").alias("max"))
-    q = quantiles(order_statistics(num, "x"), [0.5, 0.25, 0.75], ["median", "q25", "q75"])
+    q = quantiles(order_statistics(num, "x", path=path), [0.5, 0.25, 0.75], ["median", "q25", "q75"])
     return (moments.crossJoin(q)  # both sides are one row
             .where(F.col("count") > 0)
             .select(F.lit(column).alias("column"), "count", "mean", "median", "std", "min", "max",

@@ -58,10 +58,19 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def estimate_distinct(df: DataFrame, value: str | Column) -> int:
-    """HyperLogLog estimate of the distinct count (one cheap aggregate)."""
+def estimate_distinct(df: DataFrame, value: str | Column, groups: list[str] | tuple = ()) -> int:
+    """HyperLogLog estimate of the distinct (group, value) count (one cheap aggregate)."""
     vcol = F.col(value) if isinstance(value, str) else value
-    return int(df.agg(F.approx_count_distinct(vcol, 0.02)).first()[0])
+    key = F.struct(*[F.col(g) for g in groups], vcol.alias("value")) if groups else vcol
+    return int(df.agg(F.approx_count_distinct(key, 0.02)).first()[0])
+
+
+# Distinct values per range partition: the rank table is cut by its own size, not by the input's.
+RANGED_ROWS = 200_000
+
+
+def ranged_partitions(df: DataFrame, distinct: int) -> int:
+    return max(2, min(_partitions(df, None), math.ceil(distinct / RANGED_ROWS)))
 
 
 def _counts(df: DataFrame, value, groups: list[str], weight: Column | None) -> DataFrame:
@@ -84,7 +93,7 @@ def _keep(groups, weight) -> list[str]:
 
 def order_statistics(df: DataFrame, value: str | Column, groups: list[str] | tuple = (),
                      weight: Column | None = None, partitions: int | None = None,
-                     distinct_estimate: int | None = None) -> OrderStats:
+                     distinct_estimate: int | None = None, path: str = "auto") -> OrderStats:
     """Order statistics of ``value`` (nulls excluded), optionally per group.
 
     ``groups`` is meant for a few groups (classes): per-partition totals are
@@ -94,13 +103,17 @@ def order_statistics(df: DataFrame, value: str | Column, groups: list[str] | tup
     the number of positives per score, for the rank-sum AUC).
     ``distinct_estimate`` (an upper estimate of the distinct count, e.g. from
     an aggregate the caller already runs) skips the estimating job.
+    ``path``: "bounded" or "ranged" fixes the plan, "auto" takes the bounded one up to
+    ``SMALL_DISTINCT`` (group, value) pairs; both give the same table.
     """
+    if path not in ("auto", "bounded", "ranged"):
+        raise ValueError(f"unknown path: {path}")
     groups = list(groups)
     counts = _counts(df, value, groups, weight)
-    d_est = distinct_estimate if distinct_estimate is not None else estimate_distinct(df, value)
-    if d_est * 1.1 <= SMALL_DISTINCT:
+    d_est = distinct_estimate if distinct_estimate is not None else estimate_distinct(df, value, groups)
+    if path == "bounded" or (path == "auto" and d_est * 1.1 <= SMALL_DISTINCT):
         return _small_order_statistics(counts, groups, weight, d_est)
-    return _ranged_order_statistics(df, counts, groups, weight, partitions)
+    return _ranged_order_statistics(df, counts, groups, weight, partitions or ranged_partitions(df, d_est))
 
 
 def _small_order_statistics(counts: DataFrame, groups: list[str], weight, d_est: int) -> OrderStats:
@@ -166,11 +179,15 @@ def _ranged_order_statistics(df: DataFrame, counts: DataFrame, groups: list[str]
                       counts=counts, parts=part_list)
 
 
-def average_rank_pct(stats: OrderStats) -> DataFrame:
-    """``value -> pct``: average rank of ties / count (pandas ``rank(pct=True)``)."""
+def average_rank_pct(stats: OrderStats, doubled: bool = False) -> DataFrame:
+    """``value -> pct``: average rank of ties / count (pandas ``rank(pct=True)``).
+
+    ``doubled`` adds ``rank2``, twice the average rank, an exact integer.
+    """
     t = stats.table
     pct = (F.col("rows_below") + (F.col("cnt") + 1) / 2.0) / F.col("n_total")
-    return t.select(*stats.groups, "value", pct.alias("pct"))
+    rank2 = [(2 * F.col("rows_below") + F.col("cnt") + 1).alias("rank2")] if doubled else []
+    return t.select(*stats.groups, "value", pct.alias("pct"), *rank2)
 
 
 def quantiles(stats: OrderStats, probs: list[float], names: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ text; the oracle SQL does the same.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,8 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import scalar as X
 from ..operators import charts, detect, evaluate, features, profile, quality
+from ..operators.ranks import dense_codes, order_statistics
+from ..sources import ingest
 from ..sources.tables import FIXTURE_MAPPINGS, fixture
 from . import flows
 
@@ -53,8 +54,14 @@ def raw(spark, sf, fx):
     return fixture(spark, sf, fx)
 
 
-def processed(spark, sf, fx):
-    return features.build_features(fixture(spark, sf, fx), FIXTURE_MAPPINGS[fx])
+def processed(spark, sf, fx, want=None, path="auto"):
+    """The processed table; ``want`` limits the dataset-relative features to those that are read."""
+    return features.build_features(fixture(spark, sf, fx), FIXTURE_MAPPINGS[fx], want=want, path=path)
+
+
+def cleaned(spark, sf, fx):
+    """The row-local part only."""
+    return features.clean(fixture(spark, sf, fx), FIXTURE_MAPPINGS[fx])
 
 
 def renamed(spark, sf, fx):
@@ -80,7 +87,7 @@ def _validate_source(spark, sf):
     return detect.validate_source(raw(spark, sf, "fx1"))
 
 
-for _fx in ["fx1", "fx2", "fx3", "fx4", "fx5", "fx6"]:
+for _fx in ["fx1", "fx2", "fx3", "fx4", "fx5", "fx6", "fx8"]:
     def _make(fx):
         def q(spark, sf):
             df = raw(spark, sf, fx)
@@ -96,7 +103,7 @@ def _rename(spark, sf):
 
 @query("validate_model_input")
 def _vmi(spark, sf):
-    return detect.validate_model_input(processed(spark, sf, "fx1"), ["amount", "is_fraud"])
+    return detect.validate_model_input(cleaned(spark, sf, "fx1"), ["amount", "is_fraud"])
 
 
 # --- cleaning and features -----------------------------------------------------
@@ -121,8 +128,10 @@ def _std_label(spark, sf):
 
 @query("standardize_label_numeric")
 def _std_label_numeric(spark, sf):
-    df = features.rename_mapped(raw(spark, sf, "fx7"), {"amount": "amount",
-                                                      "fraud_label": "fraud_probability"})
+    """Label text of which no row is a known spelling: numbers above 0 count as fraud."""
+    df = raw(spark, sf, "fx7").withColumn("label", F.expr(
+        "case transaction_id % 4 when 0 then ' 2' when 1 then '-1' when 2 then 'x' end"))
+    df = features.rename_mapped(df, {"amount": "amount", "fraud_label": "label"})
     facts = features.collect_facts(df)
     out = features.standardize_label(features.filter_amount(df), facts.label_mode)
     return out.select("transaction_id", "is_fraud")
@@ -130,50 +139,56 @@ def _std_label_numeric(spark, sf):
 
 @query("time_features")
 def _time(spark, sf):
-    return canonical(processed(spark, sf, "fx1").select(
+    return canonical(cleaned(spark, sf, "fx1").select(
         "transaction_id", "timestamp", "hour", "day_of_week", "is_weekend", "is_night",
         "is_business_hours"))
 
 
+@query("time_features_us")
+def _time_us(spark, sf):
+    """Time text of the form MM/dd/yyyy HH:mm."""
+    return canonical(cleaned(spark, sf, "fx8").select(
+        "transaction_id", "timestamp", "hour", "day_of_week", "is_weekend", "is_night", "is_business_hours"))
+
+
 @query("drop_bad_timestamp")
 def _drop_ts(spark, sf):
     return canonical(processed(spark, sf, "fx6"))
 
 
-@query("category_codes")
-def _codes(spark, sf):
-    return processed(spark, sf, "fx2").select(
-        "transaction_id", "merchant", "merchant_encoded", "location_encoded", "card_type_encoded")
+def _wanted(fx, columns, want, path="auto"):
+    return lambda spark, sf: canonical(processed(spark, sf, fx, want, path).select(*columns))
 
 
-@query("category_frequency")
-def _freq(spark, sf):
-    return processed(spark, sf, "fx2").select(
-        "transaction_id", "merchant_frequency", "location_frequency", "card_type_frequency")
+_CODES = ["merchant_encoded", "location_encoded", "card_type_encoded"]
+_FREQ = ["merchant_frequency", "location_frequency", "card_type_frequency"]
+_RARE = ["location_frequency", "location_frequency_log", "is_rare_location"]
+# The rounded percentile ties at 6 places; the doubled rank beside it is exact.
+_PCT = ["amount_percentile", "amount_rank2"]
+QUERIES.update({
+    "category_codes": _wanted("fx2", ["transaction_id", "merchant", *_CODES], _CODES),
+    "category_frequency": _wanted("fx2", ["transaction_id", *_FREQ], _FREQ),
+    "rarity_flags": _wanted("fx1", ["transaction_id", *_RARE], _RARE),
+    "amount_percentile": _wanted("fx3", ["amount", *_PCT], _PCT),
+    "is_high_amount": _wanted("fx2", ["transaction_id", "amount", "is_high_amount"], ["is_high_amount"]),
+    # The same rules through range-partitioned rank tables, the plan for many distinct values.
+    "category_codes_ranged": _wanted("fx2", ["transaction_id", "merchant", *_CODES], _CODES, "ranged"),
+    "amount_percentile_ranged": _wanted("fx3", ["amount", *_PCT], _PCT, "ranged"),
+    "is_high_amount_ranged": _wanted("fx2", ["transaction_id", "amount", "is_high_amount"], ["is_high_amount"], "ranged"),
+})
 
 
-@query("rarity_flags")
-def _rare(spark, sf):
-    return canonical(processed(spark, sf, "fx1").select(
-        "transaction_id", "location_frequency", "location_frequency_log", "is_rare_location"))
+# A category with missing values: code -1, no frequency.
+QUERIES["category_codes_missing"] = _wanted(
+    "fx8", ["transaction_id", "merchant", "merchant_encoded", "merchant_frequency"], ["merchant_encoded", "merchant_frequency"])
 
 
 @query("amount_features")
 def _amount_feats(spark, sf):
-    return canonical(processed(spark, sf, "fx1").select(
+    return canonical(cleaned(spark, sf, "fx1").select(
         "transaction_id", "amount", "amount_log", "amount_rounded"))
 
 
-@query("amount_percentile")
-def _pct(spark, sf):
-    return canonical(processed(spark, sf, "fx3").select("amount", "amount_percentile"))
-
-
-@query("is_high_amount")
-def _high(spark, sf):
-    return canonical(processed(spark, sf, "fx2").select("transaction_id", "amount", "is_high_amount"))
-
-
 for _fx in ["fx1", "fx2", "fx3"]:
     def _make_bf(fx):
         return lambda spark, sf: canonical(processed(spark, sf, fx))
@@ -186,28 +201,49 @@ def _on(fx, op):
     return lambda spark, sf: canonical(op(processed(spark, sf, fx)))
 
 
+def _on_clean(fx, op):
+    """For operators that read no dataset-relative feature."""
+    return lambda spark, sf: canonical(op(cleaned(spark, sf, fx)))
+
+
+#: Bounds a user would give; rows lie below, within and above them.
+FRAUD_RANGE = (20.0, 160.0)
+
+
+def _ranked_fraud(df):
+    """Fraud rows in amount order with their place in it, so the order itself is in the result."""
+    ordered = profile.fraud_by_amount(df, "transaction_id")
+    st = order_statistics(ordered.select(F.struct((-F.col("amount")).alias("a"), "transaction_id").alias("k")), "k")
+    place = dense_codes(st).select(F.col("value.transaction_id").alias("_id"), (F.col("code") + 1).alias("place"))
+    return ordered.join(place, F.col("transaction_id") == F.col("_id")).drop("_id")
+
+
 QUERIES.update({
-    "headline_metrics": _on("fx1", profile.headline_metrics),
-    "headline_metrics_fx2": _on("fx2", profile.headline_metrics),
-    "fraud_counts": _on("fx1", profile.fraud_counts),
-    "amount_stats_by_class": _on("fx2", profile.amount_stats_by_class),
-    "total_fraud_amount": _on("fx1", profile.total_fraud_amount),
-    "fraud_by_hour": _on("fx1", profile.fraud_by_hour),
-    "top_fraud_location": _on("fx1", lambda d: profile.top_fraud_category(d, "location")),
-    "top_fraud_card_type": _on("fx1", lambda d: profile.top_fraud_category(d, "card_type")),
-    "top_fraud_merchant": _on("fx2", lambda d: profile.top_fraud_category(d, "merchant")),
-    "fraud_distribution": _on("fx1", profile.fraud_distribution),
-    "daily_timeline": _on("fx1", profile.daily_timeline),
-    "daily_timeline_join": _on("fx1", profile.daily_timeline_join),
-    "amount_histogram": _on("fx1", profile.amount_histogram),
+    "headline_metrics": _on_clean("fx1", profile.headline_metrics),
+    "headline_metrics_fx2": _on_clean("fx2", profile.headline_metrics),
+    "fraud_counts": _on_clean("fx1", profile.fraud_counts),
+    "amount_stats_by_class": _on_clean("fx2", profile.amount_stats_by_class),
+    "total_fraud_amount": _on_clean("fx1", profile.total_fraud_amount),
+    "fraud_by_hour": _on_clean("fx1", profile.fraud_by_hour),
+    "top_fraud_location": _on_clean("fx1", lambda d: profile.top_fraud_category(d, "location")),
+    "top_fraud_card_type": _on_clean("fx1", lambda d: profile.top_fraud_category(d, "card_type")),
+    "top_fraud_merchant": _on_clean("fx2", lambda d: profile.top_fraud_category(d, "merchant")),
+    "fraud_distribution": _on_clean("fx1", profile.fraud_distribution),
+    "daily_timeline": _on_clean("fx1", profile.daily_timeline),
+    "daily_timeline_join": _on_clean("fx1", profile.daily_timeline_join),
+    "amount_histogram": _on_clean("fx1", profile.amount_histogram),
     "correlation_matrix": _on("fx1", charts.correlation_matrix),
     "fraud_rows": _on("fx1", profile.fraud_rows),
     "legit_rows": _on("fx1", profile.legit_rows),
     "fraud_head": _on("fx1", lambda d: profile.fraud_head(d, "transaction_id")),
-    "fraud_by_amount": _on("fx1", lambda d: profile.fraud_by_amount(d, "transaction_id")),
-    "fraud_amount_range": _on("fx1", profile.fraud_amount_range),
-    "union_sources": _on("fx1", lambda d: profile.fraud_rows(d).unionByName(profile.legit_rows(d))),
-    "class_weights": _on("fx1", profile.class_weights),
+    "fraud_by_amount": _on_clean("fx1", _ranked_fraud),
+    "fraud_amount_range": _on_clean("fx1", lambda d: profile.fraud_by_amount(
+        profile.fraud_amount_range(d, *FRAUD_RANGE), "transaction_id")),
+    "amount_stats_by_class_ranged": _on_clean("fx2", lambda d: profile.amount_stats_by_class(d, path="ranged")),
+    "fraud_amount_maximum": _on_clean("fx1", profile.fraud_amount_max),
+    "daily_timeline_us": _on_clean("fx8", profile.daily_timeline),
+    "top_fraud_merchant_category": _on_clean("fx8", lambda d: profile.top_fraud_category(d, "merchant")),
+    "class_weights": _on_clean("fx1", profile.class_weights),
     "summary_report": lambda spark, sf: flows.summary_report(processed(spark, sf, "fx2")),
 })
 
@@ -216,6 +252,8 @@ QUERIES.update({
 
 QUERIES.update({
     "basic_stats": lambda spark, sf: canonical(quality.basic_stats(raw(spark, sf, "fx4"), "amount")),
+    "basic_stats_ranged": lambda spark, sf: canonical(quality.basic_stats(raw(spark, sf, "fx4"), "amount", path="ranged")),
+    "iqr_outliers_amount": lambda spark, sf: canonical(quality.iqr_outliers(raw(spark, sf, "fx7"))),
     "missing_counts": lambda spark, sf: quality.missing_counts(raw(spark, sf, "fx5")),
     "duplicate_rows": lambda spark, sf: quality.duplicate_rows(raw(spark, sf, "fx5")),
     "amount_sign_issues": lambda spark, sf: quality.amount_sign_issues(raw(spark, sf, "fx5")),
@@ -233,6 +271,7 @@ def _fx7(op):
 QUERIES.update({
     "classification_metrics": _fx7(evaluate.classification_metrics),
     "roc_auc": _fx7(evaluate.roc_auc),
+    "roc_auc_ranged": _fx7(lambda d: evaluate.roc_auc(d, path="ranged")),
     "prediction_summary": _fx7(evaluate.prediction_summary),
     "high_risk_api": _fx7(lambda d: profile.high_risk(d, S.HIGH_RISK_API, "input", "transaction_id")),
     "high_risk_ui": _fx7(lambda d: profile.high_risk(d, S.HIGH_RISK_UI, "probability",
@@ -249,9 +288,17 @@ QUERIES.update({
 })
 
 
+@query("union_sources")
+def _union(spark, sf):
+    """Two sources of different columns as one table: by name, missing columns null."""
+    a = raw(spark, sf, "fx7").select("transaction_id", "amount", "is_fraud")
+    b = raw(spark, sf, "fx4").select(F.col("id").alias("transaction_id"), F.col("fraud").alias("note"))
+    return canonical(ingest.union_sources([a, b, a.where("is_fraud = 1")]))
+
+
 @query("merchant_risk")
 def _merchant_risk(spark, sf):
-    df = processed(spark, sf, "fx2")
+    df = cleaned(spark, sf, "fx8")
     m = F.create_map(*[x for k, v in S.MERCHANT_RISK.items() for x in (F.lit(k), F.lit(v))])
     return canonical(df.select("transaction_id", "merchant", F.coalesce(
         F.element_at(m, F.col("merchant")), F.lit(S.DEFAULT_MERCHANT_RISK)).alias("merchant_risk_score")))
@@ -262,8 +309,7 @@ def _merchant_risk(spark, sf):
 def _train(algorithm: str, cv: bool):
     def q(spark, sf):
         from . import ml
-        model, spec, metrics = ml.train_model(processed(spark, sf, "fx1"), algorithm,
-                                              cross_validation=cv)
+        _, metrics = ml.train_model(processed(spark, sf, "fx1"), algorithm, cross_validation=cv)
         return canonical(ml.metrics_frame(spark, algorithm, metrics))
     return q
 
@@ -279,51 +325,54 @@ QUERIES.update({
 
 @query("stratified_split")
 def _split(spark, sf):
+    """Train or test for every row."""
     from . import ml
-    df = processed(spark, sf, "fx1")
-    train, test = ml.stratified_split(df, 0.2, 42)
-    parts = (train.withColumn("split", F.lit("train"))
-             .unionByName(test.withColumn("split", F.lit("test"))))
-    return parts.groupBy("split", "is_fraud").agg(F.count(F.lit(1)).alias("n_rows"))
+    df = cleaned(spark, sf, "fx1").select("transaction_id", "is_fraud")
+    train, test = ml.stratified_split(df, 0.2, 42, label="is_fraud")
+    return (train.withColumn("split", F.lit("train"))
+            .unionByName(test.withColumn("split", F.lit("test"))))
+
+
+@query("stratified_folds")
+def _folds(spark, sf):
+    """The fold of every row."""
+    from . import ml
+    df = cleaned(spark, sf, "fx1").select("transaction_id", "is_fraud")
+    return df.withColumn("fold", ml.fold_column(df, 5, 42, label="is_fraud"))
 
 
 @query("assemble_features")
 def _assemble(spark, sf):
+    """The model input, one column per feature: missing numbers 0."""
     from . import ml
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     df = processed(spark, sf, "fx1")
     spec = ml.feature_spec(df)
     data = ml.prepare(df, spec)
-    vec = VectorAssembler(inputCols=spec.numeric, outputCol="features").transform(data)
-    return vec.select("transaction_id", "label", vector_to_array("features").alias("features"))
+    return canonical(data.select("transaction_id", "label", *spec.numeric))
 
 
 @query("scale_features")
 def _scale(spark, sf):
+    """Every row through the scaler that training fits: (x - mean) / population deviation."""
     from . import ml
     df = processed(spark, sf, "fx1")
     spec = ml.feature_spec(df)
-    data = ml.prepare(df, spec)
-    aggs = []
-    for c in spec.numeric:
-        aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"),
-                             F.stddev_pop(c).alias("std")))
-    return canonical(data.agg(F.array(*aggs).alias("s")).select(F.inline("s")))
+    data = ml.prepare(df, spec).select("transaction_id", *spec.numeric)
+    out = ml.fit_scaler(data, spec.numeric).transform(data)
+    # One pass in another order moves the last digits of mean and deviation: five places hold.
+    return out.select("transaction_id", *[(F.round(F.col(f"_z_{c}"), 5) + F.lit(0.0)).alias(c) for c in spec.numeric])
 
 
 @query("encode_text")
 def _encode(spark, sf):
-    from pyspark.ml.feature import StringIndexer
-    df = raw(spark, sf, "fx2")
-    cols = ["merchant_name", "country", "payment_method"]
-    data = df.select("transaction_id", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c)
-                                         for c in cols])
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_code" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
-    out = idx.transform(data)
-    return out.select("transaction_id", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code")
-                                          for c in cols])
+    """Codes fitted on three quarters of the orders, applied to all: unseen texts get the next code."""
+    from . import ml
+    data = raw(spark, sf, "fx2").select("transaction_id", F.concat("country", F.lit("-"), F.expr(
+        "cast(customer_id as string)")).alias("place"), "merchant_name", "payment_method")
+    data = ml.prepare(data, ml.FeatureSpec([], ["place", "merchant_name", "payment_method"]))
+    codes, sizes = ml.fit_codes(data.where("transaction_id % 4 <> 0"), ["place", "merchant_name", "payment_method"])
+    out = ml.encode(data, codes, sizes)
+    return out.select("transaction_id", *[F.col(f"_idx_{c}").cast("int").alias(f"{c}_code") for c in codes])
 
 
 @query("align_features")
@@ -335,45 +384,31 @@ def _align(spark, sf):
 
 @query("score_model")
 def _score_model(spark, sf):
-    """Train, save under the checkpoint folder, load, score the whole table, summarise."""
+    """Train, save, load from the path alone and score every row of the table.
+
+    The flags are what an oracle can check: a probability in range, the prediction on its side of
+    0.5, correctness against the label.
+    """
     from . import ml
     from ..session import scratch_path
     df = processed(spark, sf, "fx1")
-    model, spec, _ = ml.train_model(df, "logistic_regression", cross_validation=False)
+    model, _ = ml.train_model(df, "logistic_regression", cross_validation=False)
     path = ml.save_model(model, scratch_path(spark, "model"))
-    scored = ml.score(ml.load_model(path), df, spec)
-    return evaluate.prediction_summary(scored)
-
-
-# --- synthetic tables (one id per event row; the table grows with events) -------------
-
-SYNTH_BASE_TIME = datetime.datetime(2024, 2, 1)
-
-
-def synthetic_events(spark, sf, **kw):
-    from ..operators import synthetic
-    from ..sources.tables import read_table
-    ids = read_table(spark, sf, "events").select(F.col("event_id").alias("id"))
-    n = ids.count()
-    return synthetic.generate_from_ids(ids, n, base_time=SYNTH_BASE_TIME, **kw)
+    scored = ml.score(ml.load_model(path, spark), df)
+    p = F.col("fraud_probability")
+    return scored.select(
+        "transaction_id", "is_fraud", p.between(0.0, 1.0).alias("in_range"),
+        (F.col("predicted_fraud") == (p > 0.5).cast("int")).alias("consistent"),
+        (F.col("prediction_correct") == (F.col("predicted_fraud") == F.col("is_fraud"))).alias("flag_right"))
 
 
-@query("synthetic_transactions")
-def _synth(spark, sf):
-    return canonical(synthetic_events(spark, sf))
-
-
-@query("synthetic_summary")
-def _synth_summary(spark, sf):
-    from ..operators import synthetic
-    return canonical(synthetic.synthetic_summary(synthetic_events(spark, sf)))
-
-
-@query("synthetic_features")
-def _synth_features(spark, sf):
-    """The generated table through the fixed synthetic mapping and the feature builder."""
-    df = synthetic_events(spark, sf, dataset_type="debit_card")
-    return canonical(features.build_features(df, detect.synthetic_mapping(df.columns)))
+@query("score_model_summary")
+def _score_summary(spark, sf):
+    """The same scored rows as the report shows them."""
+    from . import ml
+    df = processed(spark, sf, "fx1")
+    model, _ = ml.train_model(df, "logistic_regression", cross_validation=False)
+    return evaluate.prediction_summary(ml.score(model, df))
 
 
 # --- sources and sinks (round trips through the checkpoint folder) ----------------------
@@ -388,6 +423,23 @@ def _scan_csv(spark, sf):
     return ingest.scan_csv(spark, path, schema=schema)
 
 
+@query("scan_csv_inferred")
+def _scan_inferred(spark, sf):
+    """Types inferred over a file whose numeric columns hold NA, N/A and empty cells, then the label rule."""
+    from ..session import scratch_path
+    df = raw(spark, sf, "fx7").select(
+        "transaction_id",
+        F.expr("case transaction_id % 10 when 3 then 'N/A' when 4 then null else cast(round(amount, 2) as string) end").alias("amount"),
+        F.expr("case transaction_id % 5 when 0 then 'NA' when 1 then '1' else '0' end").alias("label"),
+        F.expr("case transaction_id % 3 when 0 then 'null' else 'a' end").alias("note"))
+    path = ingest.export_csv(df, scratch_path(spark, "csv"))
+    back = features.rename_mapped(ingest.scan_csv(spark, path), {"amount": "amount", "fraud_label": "label"})
+    facts = features.collect_facts(back)
+    out = features.standardize_label(features.filter_amount(back), facts.label_mode)
+    types = ",".join(f"{c}:{t}" for c, t in sorted(back.dtypes))
+    return canonical(out.select("transaction_id", "amount", "note", "is_fraud", F.lit(types).alias("types")))
+
+
 @query("export_json")
 def _export_json(spark, sf):
     """fx7 rows out as JSON records and back in."""

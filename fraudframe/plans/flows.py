@@ -23,7 +23,11 @@ def analyse(raw: DataFrame, mapping: dict | None = None, persist: bool = False)
     action, which is cheaper when the table is much larger than memory.
     The caller unpersists ``result["processed"]`` when done.
     """
-    mapping = mapping if mapping is not None else detect.detect_columns(raw)
+    if mapping is None:
+        mapping = detect.detect_columns(raw)
+        failed = detect.failed_timestamp(raw, mapping)
+        if failed:  # the processed table has no timestamp then, and its raw text is no feature
+            raw = raw.drop(failed)
     df = build_features(raw, mapping)
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -46,6 +50,8 @@ def analyse(raw: DataFrame, mapping: dict | None = None, persist: bool = False)
     for c in S.CATEGORICAL_FIELDS:
         if c in df.columns:
             out[f"top_fraud_{c}"] = profile.top_fraud_category(df, c)
+    if "merchant" not in df.columns and "merchant_category" in df.columns:  # either name is charted
+        out["top_fraud_merchant"] = profile.top_fraud_category(df, "merchant_category")
     return out
 
 

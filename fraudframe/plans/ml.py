@@ -1,110 +1,192 @@
 """Model training, evaluation and scoring as Spark ML jobs.
 
-Pipeline per algorithm (all stages persist with ``PipelineModel.save``):
-  text features -> StringIndexer (sorted order, unseen -> extra index) ->
+A model is one :class:`FraudModel`: the feature list, one code table per text feature (value ->
+place in sorted order, unseen -> number of values) and a fitted ``PipelineModel``
   [logistic / svm: population-std standardisation, a fitted SQLTransformer] ->
-  [svm: random Fourier features (SQLTransformer) ] -> VectorAssembler ->
-  estimator (+ Platt calibration for the svm).
-
-Splits and folds are hash-based on the row content (deterministic, no
-``row_number`` over label partitions, no single-partition step); class
-weights are one two-row aggregate turned into a ``weightCol`` expression.
+  [svm: random Fourier features (SQLTransformer)] -> VectorAssembler -> estimator
+  (+ calibration of the svm's margin).
+It saves all of that under one path and scores any table by itself: missing features are 0 (text:
+'nan'), missing values too.
+
+Splits and folds are exact per class: rows are ordered by the md5 of seed and a unique key, and
+cut at the order statistic each class needs.  Class weights are a two-row aggregate turned into a
+``weightCol`` expression.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..operators import evaluate
-from ..session import checkpoint_dir
+from ..operators import detect, evaluate
+from ..operators.features import BROADCAST_BUDGET, lookup_bytes
+from ..operators.ranks import dense_codes, order_statistics
+from ..session import checkpoint_dir, materialize
 
 ALGORITHMS = ["random_forest", "xgboost", "logistic_regression", "svm"]
-# Text features are label-encoded with StringIndexer, whose fitted labels
-# live in the model: only columns with a bounded distinct count qualify.
-MAX_TEXT_LEVELS = 100_000
+#: Penalty strength of the logistic regression and the svm: sum(w * loss) * C + |b|^2 / 2.
+PENALTY_C = 1.0
+#: The RBF svm is a linear svm on random Fourier features: their number, and its iterations.
 RFF_COMPONENTS = 100
+SVM_ITERATIONS = 30
+#: Share of the training rows whose margins calibrate the svm (its margin is fitted without them).
+CALIBRATION_SHARE = 0.2
 
 
 @dataclass
 class FeatureSpec:
     numeric: list[str]
     text: list[str]
-    dropped: list[str]
+    dropped: list[str] = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
         return self.numeric + self.text
 
 
+@dataclass
+class FraudModel:
+    spec: FeatureSpec
+    pipeline: PipelineModel
+    codes: dict[str, DataFrame]   # text feature -> (value, code)
+    sizes: dict[str, int]         # text feature -> number of known values
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with label (where known), coded features, probability and prediction."""
+        return self.pipeline.transform(encode(prepare(df, self.spec), self.codes, self.sizes))
+
+
 def feature_spec(df: DataFrame, keep_transaction_id: bool = False) -> FeatureSpec:
     """Feature columns: everything but the excluded canonical fields.
 
     ``transaction_id`` is excluded too unless ``keep_transaction_id`` (on
-    generated data its text encodes the label).
+    generated data its text encodes the label).  Numbers and booleans are numeric features, all
+    other atomic types text features; nested columns are listed in ``dropped``.
     """
     excluded = set(S.MODEL_EXCLUDED_COLUMNS)
     if not keep_transaction_id:
         excluded.add("transaction_id")
-    numeric, text, dropped, strings = [], [], [], []
+    spec = FeatureSpec([], [], [])
     for f in df.schema.fields:
         if f.name in excluded:
             continue
         if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            numeric.append(f.name)
-        elif isinstance(f.dataType, T.StringType):
-            strings.append(f.name)
+            spec.numeric.append(f.name)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            spec.dropped.append(f.name)
         else:
-            dropped.append(f.name)
-    if strings:
-        # One aggregate estimates every text column's cardinality.
-        est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}")
-                       for i, c in enumerate(strings)]).first()
-        for i, c in enumerate(strings):
-            (text if est[f"d{i}"] <= MAX_TEXT_LEVELS else dropped).append(c)
-    return FeatureSpec(numeric, text, dropped)
+            spec.text.append(f.name)
+    return spec
 
 
 def prepare(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Label as double, numeric features as doubles with missing -> 0, text with missing -> 'nan'."""
-    cols = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in spec.numeric}
-    cols.update({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in spec.text})
-    out = df.withColumns(cols)
+    """Label as double, numeric features as doubles with missing -> 0, text with missing -> 'nan'.
+
+    A feature column that is missing altogether is filled the same way.
+    """
+    def source(c: str, kind: str) -> Column:
+        return (F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(kind)
+    cols = {c: F.coalesce(source(c, "double"), F.lit(0.0)) for c in spec.numeric}
+    cols.update({c: F.coalesce(source(c, "string"), F.lit("nan")) for c in spec.text})
+    out = df.withColumns(cols) if cols else df
     if "is_fraud" in df.columns:
         out = out.withColumn("label", F.col("is_fraud").cast("double"))
     return out
 
 
-def row_hash(df: DataFrame, seed: int, key: list[str] | None = None):
-    """Deterministic per-row hash of the key columns (all columns by default)."""
-    key = key or df.columns
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])
+def fit_codes(data: DataFrame, text: list[str]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Sorted-order code table per text feature, however many values it has."""
+    codes, sizes = {}, {}
+    for c in text:
+        table = dense_codes(order_statistics(data.select(F.col(f"`{c}`").alias("value")), "value")).select("value", "code")
+        codes[c] = materialize(table, "text-codes")
+        sizes[c] = codes[c].count()
+    return codes, sizes
+
+
+def encode(data: DataFrame, codes: dict[str, DataFrame], sizes: dict[str, int]) -> DataFrame:
+    """``_idx_{c}`` per text feature: its code, or the number of known values if unseen."""
+    left = BROADCAST_BUDGET
+    for c, table in codes.items():
+        cost = lookup_bytes(sizes[c], 64.0)
+        if cost <= left:
+            left -= cost
+            table = F.broadcast(table)
+        table = table.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        data = (data.join(table, F.col(f"`{c}`") == F.col("_value"), "left")
+                .withColumn(f"_idx_{c}", F.coalesce(F.col("_code"), F.lit(sizes[c])).cast("double")).drop("_value", "_code"))
+    return data
+
+
+def model_inputs(spec: FeatureSpec) -> list[str]:
+    return spec.numeric + [f"_idx_{c}" for c in spec.text]
+
+
+# --- splits -----------------------------------------------------------------------------
+
+def split_hash(seed: int, key: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{key}`").cast("string")))
+
+
+def _cuts(df: DataFrame, place: Column, shares: list[float], label: str) -> dict:
+    """Per class, the largest hash of the first round(n * share) rows in hash order."""
+    stats = order_statistics(df.select(F.col(label).alias("_label"), place.alias("value")), "value", groups=["_label"])
+    wanted = [F.floor(F.col("n_total") * share + 0.5) for share in shares]
+    aggs = [F.max(F.when(F.col("rows_below") < w, F.col("value"))).alias(f"c{i}") for i, w in enumerate(wanted)]
+    rows = stats.table.groupBy("_label").agg(*aggs).collect()  # one row per class
+    return {r["_label"]: [r[f"c{i}"] for i in range(len(shares))] for r in rows}
+
+
+def _at_most(place: Column, cuts: dict, i: int, label: str) -> Column:
+    inside = F.lit(False)
+    for value, c in cuts.items():
+        if c[i] is not None:
+            inside = inside | (F.col(label).eqNullSafe(F.lit(value)) & (place <= F.lit(c[i])))
+    return inside
+
+
+def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "transaction_id",
+                     label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(train, test): of every class exactly round(n * test_size) rows are in test.
+
+    ``key`` must be unique; the order is the md5 of seed and key, so it can be repeated anywhere.
+    """
+    place = split_hash(seed, key)
+    test = _at_most(place, _cuts(df, place, [test_size], label), 0, label)
+    return df.where(~test), df.where(test)
+
 
+def fold_column(df: DataFrame, k: int = 5, seed: int = 42, key: str = "transaction_id", label: str = "label") -> Column:
+    """Fold 0..k-1 of every row, each holding the same share of every class."""
+    place = split_hash(seed + 1, key)
+    cuts = _cuts(df, place, [f / k for f in range(1, k)], label)
+    fold = F.lit(k - 1)
+    for i in reversed(range(k - 1)):
+        fold = F.when(_at_most(place, cuts, i, label), F.lit(i)).otherwise(fold)
+    return fold
 
-def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
-                     key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hash split: each row lands in test with probability ``test_size`` whatever its
-    class, so each class is split in that proportion in expectation."""
-    h = F.pmod(row_hash(df, seed, key), F.lit(1_000_000)) < int(test_size * 1_000_000)
-    tagged = df.withColumn("_test", h)
-    return tagged.where(~F.col("_test")).drop("_test"), tagged.where(F.col("_test")).drop("_test")
 
+def keyed(data: DataFrame, key: str = "transaction_id") -> tuple[DataFrame, str]:
+    """``data`` with a unique key: the given column, or row numbers fixed by writing the table."""
+    if key in data.columns:
+        return data, key
+    return materialize(data.withColumn("_row", F.monotonically_increasing_id()), "keyed"), "_row"
 
-def fold_column(df: DataFrame, k: int = 5, seed: int = 42, key: list[str] | None = None):
-    return F.pmod(row_hash(df, seed + 1, key), F.lit(k)).cast("int")
 
+# --- fitting ----------------------------------------------------------------------------
 
 def balanced_weights(train: DataFrame, label: str = "label") -> dict[float, float]:
     """n / (k * n_c) per class (a two-row aggregate)."""
@@ -120,7 +202,7 @@ def weight_column(weights: dict[float, float], label: str = "label"):
     return expr
 
 
-def _scaler_sql(train: DataFrame, cols: list[str]) -> SQLTransformer:
+def fit_scaler(train: DataFrame, cols: list[str]) -> SQLTransformer:
     """(x - mean) / population std fitted on ``train``; constant columns scale by 1."""
     aggs = []
     for i, c in enumerate(cols):
@@ -150,90 +232,87 @@ def _rff_sql(inputs: list[str], seed: int, d: int = RFF_COMPONENTS) -> tuple[SQL
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"), names
 
 
-def build_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
-                   weights: dict | None = None) -> Pipeline:
-    """The whole (unfitted) pipeline; ``fit_pipeline`` fits it in two parts."""
-    return Pipeline(stages=pipeline_stages(train, spec, algorithm, seed, weights))
-
-
-def pipeline_stages(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
-                    weights: dict | None = None) -> list:
+def feature_stages(coded: DataFrame, spec: FeatureSpec, algorithm: str, seed: int) -> list:
+    """Everything up to the assembled vector."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unsupported algorithm: {algorithm}")
-    stages = []
-    idx_cols = []
-    for c in spec.text:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"_idx_{c}", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        idx_cols.append(f"_idx_{c}")
-    inputs = spec.numeric + idx_cols
+    stages, inputs = [], model_inputs(spec)
     if algorithm in ("logistic_regression", "svm"):
-        indexed = train
-        if stages:
-            indexed = Pipeline(stages=list(stages)).fit(train).transform(train)
-        stages.append(_scaler_sql(indexed, inputs))
+        stages.append(fit_scaler(coded, inputs))
         inputs = [f"_z_{c}" for c in inputs]
     if algorithm == "svm":
         rff, inputs = _rff_sql(inputs, seed)
         stages.append(rff)
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    wcol = "weight" if weights else None
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+
+
+def penalty(total_weight: float, c: float = PENALTY_C) -> float:
+    """Spark divides the loss by the total row weight; C * sum(w * loss) + |b|^2 / 2 does not."""
+    return 1.0 / (c * max(total_weight, 1e-12))
+
+
+def _estimator(algorithm: str, seed: int, total_weight: float):
     if algorithm == "random_forest":
-        est = RandomForestClassifier(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt",
-                                     seed=seed, labelCol="label", cacheNodeIds=True,
-                                     checkpointInterval=10)
-        if wcol:
-            est.setWeightCol(wcol)
-        stages.append(est)
-    elif algorithm == "xgboost":
+        return RandomForestClassifier(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", seed=seed, labelCol="label",
+                                      weightCol="weight", cacheNodeIds=True, checkpointInterval=10)
+    if algorithm == "xgboost":
         # Boosting lineage grows per round: checkpoint it (to spark.checkpoint.dir).
-        est = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label",
-                            cacheNodeIds=True, checkpointInterval=10)
-        if wcol:
-            est.setWeightCol(wcol)
-        stages.append(est)
-    elif algorithm == "logistic_regression":
-        total_w = sum(weights.values()) if weights else 1.0
-        est = LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False,
-                                 labelCol="label")
-        est.setRegParam(1.0 / max(total_w, 1.0))
-        if wcol:
-            est.setWeightCol(wcol)
-        stages.append(est)
-    else:  # svm: linear SVM on the random features + Platt calibration of its margin
-        svc = LinearSVC(maxIter=30, tol=1e-4, regParam=1e-4, labelCol="label", rawPredictionCol="_svm_raw",
-                        predictionCol="_svm_pred")
-        if wcol:
-            svc.setWeightCol(wcol)
-        stages += [svc,
-                   VectorSlicer(inputCol="_svm_raw", outputCol="_svm_margin", indices=[1]),
-                   LogisticRegression(featuresCol="_svm_margin", labelCol="label", maxIter=100)]
-    return stages
-
-
-def fit_pipeline(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
-                 weights: dict | None = None) -> PipelineModel:
-    """Fit the feature stages, persist the assembled vectors once, fit the
-    estimator stages on them, and return one PipelineModel of both."""
-    stages = pipeline_stages(train, spec, algorithm, seed, weights)
-    cut = next(i for i, st in enumerate(stages) if isinstance(st, VectorAssembler)) + 1
-    data = _weighted(train, algorithm, weights) if weights else train
-    feat = Pipeline(stages=stages[:cut]).fit(data)
-    keep = ["label", "features"] + (["weight"] if weights else [])
-    vec = feat.transform(data).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        est = Pipeline(stages=stages[cut:]).fit(vec)
-    finally:
-        vec.unpersist()
-    return PipelineModel(stages=feat.stages + est.stages)
+        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label", weightCol="weight",
+                             cacheNodeIds=True, checkpointInterval=10)
+    if algorithm == "logistic_regression":
+        return LogisticRegression(maxIter=1000, tol=1e-9, elasticNetParam=0.0, standardization=False, labelCol="label",
+                                  weightCol="weight", regParam=penalty(total_weight))
+    return LinearSVC(maxIter=SVM_ITERATIONS, tol=1e-4, standardization=False, labelCol="label", weightCol="weight",
+                     regParam=penalty(total_weight), rawPredictionCol="_svm_raw", predictionCol="_svm_pred")
 
 
-def _weighted(df: DataFrame, algorithm: str, weights: dict) -> DataFrame:
+def _row_weight(algorithm: str, weights: dict) -> Column:
     if algorithm == "xgboost":
         # Boosting takes one positive weight w1/w0 and leaves negatives at 1.
         pos = weights.get(1.0, 1.0) / weights.get(0.0, 1.0) if len(weights) > 1 else 1.0
-        return df.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(pos)).otherwise(1.0))
-    return df.withColumn("weight", weight_column(weights))
+        return F.when(F.col("label") == 1.0, F.lit(pos)).otherwise(1.0)
+    return weight_column(weights)
+
+
+def fit_model(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42, key: str = "transaction_id") -> FraudModel:
+    """Fit codes, feature stages and estimator on ``train`` (prepared rows with a unique ``key``)."""
+    codes, sizes = fit_codes(train, spec.text)
+    weights = balanced_weights(train)
+    coded = encode(train, codes, sizes).withColumn("weight", _row_weight(algorithm, weights))
+    feat = Pipeline(stages=feature_stages(coded, spec, algorithm, seed)).fit(coded)
+    vec = feat.transform(coded).select(F.col(f"`{key}`").alias("_key"), "label", "features", "weight")
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = vec.agg(F.sum("weight")).first()[0] or 0.0
+        stages = [_estimator(algorithm, seed, total)]
+        if algorithm == "svm":
+            # The margin of rows the svm has not seen, then a logistic curve over it.
+            rest, held = stratified_split(vec, CALIBRATION_SHARE, seed + 2, key="_key")
+            part = LinearSVC(**{k.name: v for k, v in stages[0].extractParamMap().items()})
+            part.setRegParam(penalty(rest.agg(F.sum("weight")).first()[0] or 0.0))
+            margin = VectorSlicer(inputCol="_svm_raw", outputCol="_svm_margin", indices=[1])
+            curve = LogisticRegression(featuresCol="_svm_margin", labelCol="label", maxIter=100)
+            fitted = curve.fit(margin.transform(part.fit(rest).transform(held)))
+            pipe = PipelineModel(stages=feat.stages + [stages[0].fit(vec), margin, fitted])
+        else:
+            pipe = PipelineModel(stages=feat.stages + [stages[0].fit(vec)])
+    finally:
+        vec.unpersist()
+    return FraudModel(spec, pipe, codes, sizes)
+
+
+def penalised_gradient(model: FraudModel, train: DataFrame) -> float:
+    """Largest partial derivative of sum(w * log-loss) + |b|^2 / (2 C), per unit of total weight.
+
+    Near zero at the fitted coefficients of a logistic regression, whatever fitted them.
+    """
+    fitted = model.pipeline.stages[-1]
+    beta = [float(b) for b in fitted.coefficients]
+    rows = model.transform(train).withColumn("weight", weight_column(balanced_weights(train)))
+    x, off = vector_to_array("features"), F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+    sums = rows.agg(F.sum(off).alias("g"), F.sum("weight").alias("w"), *[F.sum(off * x[i]).alias(f"g{i}") for i in range(len(beta))])
+    r = sums.first()
+    return max([abs(r["g"])] + [abs(r[f"g{i}"] + b / PENALTY_C) for i, b in enumerate(beta)]) / r["w"]
 
 
 def probability_column(model_df: DataFrame) -> DataFrame:
@@ -257,47 +336,54 @@ def evaluate_predictions(pred: DataFrame) -> dict:
 
 def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: float = 0.2,
                 random_state: int = 42, cross_validation: bool = True,
-                keep_transaction_id: bool = False, cv_folds: int = 5):
-    """Fit on a hash split, report hold-out metrics and (optionally) k-fold F1."""
+                keep_transaction_id: bool = False, cv_folds: int = 5, key: str = "transaction_id"):
+    """(model, hold-out metrics and, optionally, k-fold F1) of an exact stratified split."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"Unsupported algorithm: {algorithm}")
+    check = detect.validate_model_input(df, ["amount", "is_fraud"] if "amount" in df.columns else ["is_fraud"]).first()
+    if not check["ok"]:
+        raise ValueError(check["message"])
     checkpoint_dir(df.sparkSession)  # tree learners checkpoint long lineages there
     spec = feature_spec(df, keep_transaction_id)
+    data, key = keyed(prepare(df, spec), key)
     # Iterative fitting re-reads its input many times: keep the prepared
     # feature columns (not the wide source rows) persisted for the duration.
-    keep = spec.columns + ["label"]
-    data = prepare(df, spec).select(*[F.col(f"`{c}`") for c in keep])
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    keep = list(dict.fromkeys([key, *spec.columns, "label"]))
+    data = data.select(*[F.col(f"`{c}`") for c in keep]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        train, test = stratified_split(data, test_size, random_state)
-        weights = balanced_weights(train)
-        model = fit_pipeline(train, spec, algorithm, random_state, weights)
+        train, test = stratified_split(data, test_size, random_state, key)
+        model = fit_model(train, spec, algorithm, random_state, key)
         metrics = evaluate_predictions(model.transform(test))
-        if cross_validation and len(weights) > 1:
-            metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds))
+        if algorithm == "logistic_regression":
+            metrics["gradient"] = penalised_gradient(model, train)
+        if cross_validation:
+            metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds, key))
     finally:
         data.unpersist()
-    return model, spec, metrics
+    return model, metrics
 
 
 def cross_validate(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 42,
-                   k: int = 5) -> dict:
-    """k hash folds: F1 per held-out fold; mean and population std."""
-    folded = train.withColumn("_fold", fold_column(train, k, seed))
+                   k: int = 5, key: str = "transaction_id") -> dict:
+    """k exact stratified folds: F1 per held-out fold; mean and population std."""
+    folded = train.withColumn("_fold", fold_column(train, k, seed, key))
     scores = []
     for f in range(k):
-        tr = folded.where(F.col("_fold") != f).drop("_fold")
-        te = folded.where(F.col("_fold") == f).drop("_fold")
-        w = balanced_weights(tr)
-        mdl = fit_pipeline(tr, spec, algorithm, seed, w)
-        scores.append(evaluate_predictions(mdl.transform(te))["f1"])
+        model = fit_model(folded.where(F.col("_fold") != f).drop("_fold"), spec, algorithm, seed, key)
+        scores.append(evaluate_predictions(model.transform(folded.where(F.col("_fold") == f).drop("_fold")))["f1"])
     mean = sum(scores) / k
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
     return {"cv_f1_mean": mean, "cv_f1_std": std}
 
 
+METRICS = ["accuracy", "precision", "recall", "f1", "auc", "cv_f1_mean", "cv_f1_std"]
+
+
 def metrics_frame(spark, algorithm: str, metrics: dict) -> DataFrame:
-    keys = ["accuracy", "precision", "recall", "f1", "auc", "cv_f1_mean", "cv_f1_std"]
-    row = [algorithm] + [float(metrics[k]) if metrics.get(k) is not None else None for k in keys]
-    schema = "algorithm string, " + ", ".join(f"{k} double" for k in keys)
+    """One row; figures to three places, as the reports show them, and whether the optimum was reached."""
+    row = [algorithm] + [round(float(metrics[k]), 3) if metrics.get(k) is not None else None for k in METRICS]
+    row.append(metrics["gradient"] < 1e-4 if "gradient" in metrics else None)
+    schema = "algorithm string, " + ", ".join(f"{k} double" for k in METRICS) + ", at_optimum boolean"
     return spark.createDataFrame([row], schema)
 
 
@@ -307,23 +393,30 @@ def align_features(df: DataFrame, feature_columns: list[str]) -> DataFrame:
                        for c in feature_columns])
 
 
-def score(model: PipelineModel, df: DataFrame, spec: FeatureSpec) -> DataFrame:
+def score(model: FraudModel, df: DataFrame) -> DataFrame:
     """Scored rows: the input plus predicted_fraud, fraud_probability, prediction_correct."""
-    missing = {c: F.lit(0.0) for c in spec.numeric if c not in df.columns}
-    missing.update({c: F.lit("nan") for c in spec.text if c not in df.columns})
-    data = prepare(df.withColumns(missing) if missing else df, spec)
-    out = probability_column(model.transform(data))
-    keep = df.columns + ["predicted_fraud", "fraud_probability"]
-    out = out.withColumn("predicted_fraud", F.col("prediction").cast("int")).select(*keep)
+    out = probability_column(model.transform(df.select("*", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_input"))))
+    out = out.withColumn("predicted_fraud", F.col("prediction").cast("int")).select(
+        "_input.*", "predicted_fraud", "fraud_probability")
     if "is_fraud" in df.columns:
         out = evaluate.prediction_correct(out)
     return out
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: FraudModel, path: str) -> str:
+    """Everything a new session needs to score, under one path."""
+    spark = SparkSession.active()
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    for i, c in enumerate(model.spec.text):
+        model.codes[c].write.mode("overwrite").parquet(f"{path}/codes/{i}")
+    facts = json.dumps({"spec": asdict(model.spec), "sizes": model.sizes})
+    spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None) -> FraudModel:
+    spark = spark or SparkSession.active()
+    facts = json.loads(spark.read.text(f"{path}/features").first()["value"])
+    spec = FeatureSpec(**facts["spec"])
+    codes = {c: spark.read.parquet(f"{path}/codes/{i}") for i, c in enumerate(spec.text)}
+    return FraudModel(spec, PipelineModel.load(f"{path}/pipeline"), codes, facts["sizes"])

@@ -18,6 +18,7 @@ VIEW_COLUMNS = {
     "fx4": ["id", "amount", "fraud"],
     "fx6": ["transaction_id", "amount", "is_fraud", "date"],
     "fx7": ["transaction_id", "amount", "is_fraud", "predicted_fraud", "fraud_probability"],
+    "fx8": ["transaction_id", "amount", "label", "date", "merchant_category"],
 }
 
 LABEL_CASE = """case lower(trim(cast({c} as varchar)))
@@ -41,7 +42,7 @@ def renamed_sql(fx: str) -> str:
     return f"select {cols} from {fx}"
 
 
-def processed_cte(fx: str, text_amount: bool = False, drop_ts: bool = False) -> tuple[str, list[str]]:
+def processed_cte(fx: str, text_amount: bool = False, drop_ts: bool = False, ts_format: str | None = None) -> tuple[str, list[str]]:
     """``with`` clause ending in view ``p`` and the list of its columns."""
     mapping = FIXTURE_MAPPINGS[fx]
     canon_cols = []
@@ -53,7 +54,8 @@ def processed_cte(fx: str, text_amount: bool = False, drop_ts: bool = False) ->
     has_ts = "timestamp" in canon_cols and not drop_ts
     parts = [fixture_cte(fx).rstrip() + ","]
     parts.append(f"r as ({renamed_sql(fx)}),")
-    parts.append(f"a as (select * replace ({amount} as amount) from r),")
+    parsed = f", strptime(timestamp, '{ts_format}') as timestamp" if ts_format else ""
+    parts.append(f"a as (select * replace ({amount} as amount{parsed}) from r),")
     parts.append(f"l as (select *, {LABEL_CASE.format(c='fraud_label')} as is_fraud from a "
                  "where amount is not null and amount >= 0),")
     t_cols = ""
@@ -249,6 +251,12 @@ ORACLE["detect_columns_fx6"] = _detect_rows("fx6", [
     ("timestamp", "date", _ts_text_ok("fx6", "date")),
 ])
 
+ORACLE["detect_columns_fx8"] = _detect_rows("fx8", [
+    ("amount", "amount", _amount_ok("fx8", "amount")),
+    ("fraud_label", "label", _label_ok("fx8", "label")),
+    ("timestamp", "date", "(select count(*) = count(try_strptime(date, '%m/%d/%Y %H:%M')) from fx8 where date is not null)"),
+])
+
 # --- cleaning and features ------------------------------------------------------------
 _FX4_A = fixture_cte("fx4") + f"select id, round({NUMBER_TEXT.format(c='amount')}, 6) as amount from fx4"
 ORACLE["coerce_amount"] = _FX4_A
@@ -260,8 +268,14 @@ ORACLE["standardize_label"] = fixture_cte("fx4") + (
     f" {LABEL_CASE.format(c='fraud')} as is_fraud from fx4) where x is not null and x >= 0"
     " and is_fraud is not null")
 ORACLE["standardize_label_numeric"] = fixture_cte("fx7") + (
-    "select transaction_id, cast(coalesce(fraud_probability > 0, false) as integer) as is_fraud"
+    "select transaction_id, case when transaction_id % 4 = 0 then 1 else 0 end as is_fraud"
     " from fx7 where amount is not null and amount >= 0")
+_TIMES = (f"select transaction_id, {ts_text('timestamp')}, hour, day_of_week, is_weekend, is_night,"
+          " is_business_hours from p")
+_US = "%m/%d/%Y %H:%M"
+ORACLE["time_features_us"] = on_processed("fx8", _TIMES, ts_format=_US)
+ORACLE["category_codes_missing"] = on_processed("fx8", (
+    "select transaction_id, merchant, merchant_encoded, merchant_frequency from p"), ts_format=_US)
 ORACLE["time_features"] = on_processed("fx1", (
     f"select transaction_id, {ts_text('timestamp')}, hour, day_of_week, is_weekend, is_night,"
     " is_business_hours from p"))
@@ -277,9 +291,12 @@ ORACLE["amount_features"] = on_processed("fx1", (
     "select transaction_id, round(amount, 6) as amount, round(amount_log, 6) as amount_log,"
     " amount_rounded from p"))
 ORACLE["amount_percentile"] = on_processed("fx3", (
-    "select round(amount, 6) as amount, round(amount_percentile, 6) as amount_percentile from p"))
+    "select round(amount, 6) as amount, round(amount_percentile, 6) as amount_percentile,"
+    " 2 * rank() over (order by amount) + count(*) over (partition by amount) - 1 as amount_rank2 from p"))
 ORACLE["is_high_amount"] = on_processed("fx2", (
     "select transaction_id, round(amount, 6) as amount, is_high_amount from p"))
+for _key in ["category_codes", "amount_percentile", "is_high_amount"]:
+    ORACLE[f"{_key}_ranged"] = ORACLE[_key]
 for _fx in ["fx1", "fx2", "fx3"]:
     ORACLE[f"build_features_{_fx}"] = build_features_sql(_fx)
 
@@ -311,10 +328,10 @@ ORACLE["fraud_by_hour"] = on_processed("fx1", (
     " group by hour order by hour"))
 
 
-def _top(fx, col, n=10):
+def _top(fx, col, n=10, **kw):
     return on_processed(fx, (
         f"select {col}, count(*) as fraud_count from p where is_fraud = 1 and {col} is not null"
-        f" group by {col} order by fraud_count desc, {col} asc limit {n}"))
+        f" group by {col} order by fraud_count desc, {col} asc limit {n}"), **kw)
 
 
 ORACLE["top_fraud_location"] = _top("fx1", "location")
@@ -324,11 +341,12 @@ ORACLE["fraud_distribution"] = on_processed("fx1", (
     "select k.is_fraud, case when k.is_fraud = 1 then 'Fraud' else 'Legitimate' end as label,"
     " coalesce(s.n, 0) as count from (select unnest([0, 1]) as is_fraud) k left join"
     " (select is_fraud, count(*) as n from p group by is_fraud) s on k.is_fraud = s.is_fraud"))
-_DAILY = on_processed("fx1", (
+_DAILY_BODY = (
     "select cast(cast(timestamp as date) as varchar) as date, count(*) as total_count,"
     " count(*) filter (where is_fraud = 1) as fraud_count,"
     " round(count(*) filter (where is_fraud = 1) * 100.0::double / count(*), 6) as fraud_rate"
-    " from p where timestamp is not null group by cast(timestamp as date)"))
+    " from p where timestamp is not null group by cast(timestamp as date)")
+_DAILY = on_processed("fx1", _DAILY_BODY)
 ORACLE["daily_timeline"] = _DAILY
 ORACLE["daily_timeline_join"] = _DAILY
 ORACLE["amount_histogram"] = on_processed("fx1", (
@@ -344,11 +362,21 @@ ORACLE["fraud_rows"] = on_processed("fx1", f"select {rounded(_FX1_COLS)} from p
 ORACLE["legit_rows"] = on_processed("fx1", f"select {rounded(_FX1_COLS)} from p where is_fraud = 0")
 ORACLE["fraud_head"] = on_processed("fx1", (
     f"select {rounded(_FX1_COLS)} from p where is_fraud = 1 order by transaction_id limit 20"))
-ORACLE["fraud_by_amount"] = ORACLE["fraud_rows"]
+_, _CLEAN_COLS = processed_cte("fx1")
+_CLEAN_COLS = [c for c in _CLEAN_COLS if not c.startswith(("location_", "card_type_", "is_rare", "amount_percentile", "is_high"))]
+ORACLE["fraud_by_amount"] = on_processed("fx1", (
+    f"select {rounded(_CLEAN_COLS)}, row_number() over (order by amount desc, transaction_id) as place from p where is_fraud = 1"))
 ORACLE["fraud_amount_range"] = on_processed("fx1", (
-    f"select {rounded(_FX1_COLS)} from p where is_fraud = 1 and amount >= 0"
-    " and amount <= (select max(amount) from p where is_fraud = 1)"))
-ORACLE["union_sources"] = on_processed("fx1", f"select {rounded(_FX1_COLS)} from p")
+    f"select {rounded(_CLEAN_COLS)} from p where is_fraud = 1 and amount between 20 and 160"))
+ORACLE["fraud_amount_maximum"] = on_processed("fx1", (
+    "select round(coalesce(max(amount), 0), 6) as max_fraud_amount from p where is_fraud = 1"))
+ORACLE["union_sources"] = fixture_cte("fx7", "fx4") + (
+    "select transaction_id, round(amount, 6) as amount, is_fraud, null::varchar as note from fx7 union all"
+    " select id, null, null, fraud from fx4 union all"
+    " select transaction_id, round(amount, 6), is_fraud, null from fx7 where is_fraud = 1")
+ORACLE["amount_stats_by_class_ranged"] = ORACLE["amount_stats_by_class"]
+ORACLE["top_fraud_merchant_category"] = _top("fx8", "merchant", ts_format=_US)
+ORACLE["daily_timeline_us"] = on_processed("fx8", _DAILY_BODY, ts_format=_US)
 ORACLE["class_weights"] = on_processed("fx1", (
     "select is_fraud, n_rows, round(sum(n_rows) over () / (count(*) over () * n_rows), 6) as weight,"
     " round(coalesce(max(case when is_fraud = 0 then n_rows end) over ()::double"
@@ -397,6 +425,12 @@ ORACLE["iqr_outliers"] = fixture_cte("fx5") + (
     " or amount_bucket > q3 + 1.5 * (q3 - q1)) as outliers from"
     " (select quantile_cont(amount_bucket, 0.25) as q1, quantile_cont(amount_bucket, 0.75) as q3 from fx5)")
 
+ORACLE["basic_stats_ranged"] = ORACLE["basic_stats"]
+ORACLE["iqr_outliers_amount"] = fixture_cte("fx7") + (
+    "select 'amount' as column, round(q1, 6) as q1, round(q3, 6) as q3,"
+    " (select count(*) from fx7 where amount < q1 - 1.5 * (q3 - q1) or amount > q3 + 1.5 * (q3 - q1)) as outliers from"
+    " (select quantile_cont(amount, 0.25) as q1, quantile_cont(amount, 0.75) as q3 from fx7)")
+
 # --- scored rows -------------------------------------------------------------------------------
 _FX7 = fixture_cte("fx7")
 ORACLE["classification_metrics"] = _FX7 + (
@@ -416,6 +450,7 @@ ORACLE["roc_auc"] = _FX7 + (
     " (select is_fraud, rank() over (order by fraud_probability) + (count(*) over"
     " (partition by fraud_probability) - 1) / 2.0::double as rk from fx7"
     " where fraud_probability is not null and is_fraud is not null))")
+ORACLE["roc_auc_ranged"] = ORACLE["roc_auc"]
 ORACLE["prediction_summary"] = _FX7 + (
     "select count(*) as total_transactions, coalesce(sum(predicted_fraud), 0)::bigint as predicted_fraud,"
     " count(*) filter (where fraud_probability > 0.7) as high_risk_count,"
@@ -441,38 +476,55 @@ ORACLE["format_currency"] = _FX7 + (
     "select transaction_id, '$' || format('{:,.2f}', amount) as amount_text from fx7")
 ORACLE["format_percentage"] = _FX7 + (
     "select transaction_id, printf('%.2f%%', fraud_probability * 100) as probability_text from fx7")
-ORACLE["merchant_risk"] = on_processed("fx2", (
+ORACLE["merchant_risk"] = on_processed("fx8", (
     "select transaction_id, merchant, round(case merchant when 'Gas Station' then 0.8"
     " when 'ATM Withdrawal' then 0.7 when 'Online Store' then 0.6 when 'Restaurant' then 0.3"
     " when 'Grocery Store' then 0.2 when 'Pharmacy' then 0.2 else 0.4 end::double, 6)"
-    " as merchant_risk_score from p"))
+    " as merchant_risk_score from p"), ts_format=_US)
 
 # --- model inputs ----------------------------------------------------------------------------
 _FX1_FEATURES = ["amount", "customer_id", "hour", "day_of_week", "is_weekend", "location_encoded",
                  "location_frequency", "card_type_encoded", "card_type_frequency", "amount_log",
                  "amount_rounded", "amount_percentile", "is_high_amount", "is_night",
                  "is_business_hours", "location_frequency_log", "is_rare_location"]
-ORACLE["scale_features"] = on_processed("fx1", "\nunion all\n".join(
-    f"select '{c}' as feature, round(avg(cast({c} as double)), 6) as mean,"
-    f" round(stddev_pop(cast({c} as double)), 6) as std from p" for c in _FX1_FEATURES))
+ORACLE["assemble_features"] = on_processed("fx1", "select transaction_id, cast(is_fraud as double) as label, " + ", ".join(
+    f"round(coalesce(cast({c} as double), 0), 6) as {c}" for c in _FX1_FEATURES) + " from p")
+ORACLE["scale_features"] = on_processed("fx1", "select transaction_id, " + ", ".join(
+    f"round((coalesce(cast({c} as double), 0) - avg(coalesce(cast({c} as double), 0)) over ())"
+    f" / coalesce(nullif(stddev_pop(coalesce(cast({c} as double), 0)) over (), 0), 1), 5) + 0.0 as {c}" for c in _FX1_FEATURES)
+    + " from p")
+_SPLIT = ("select transaction_id, is_fraud, row_number() over (partition by is_fraud order by md5('{seed}:' ||"
+          " cast(transaction_id as varchar))) as place, count(*) over (partition by is_fraud) as n from p")
+ORACLE["stratified_split"] = on_processed("fx1", (
+    "select transaction_id, is_fraud, case when place <= floor(n * 0.2::double + 0.5) then 'test' else 'train' end as split"
+    f" from ({_SPLIT.format(seed=42)})"))
+ORACLE["stratified_folds"] = on_processed("fx1", (
+    "select transaction_id, is_fraud, cast(" + " + ".join(
+        f"case when place > floor(n * {f / 5!r}::double + 0.5) then 1 else 0 end" for f in range(1, 5))
+    + f" as integer) as fold from ({_SPLIT.format(seed=43)})"))
+_CODED = ["place", "merchant_name", "payment_method"]
 ORACLE["encode_text"] = fixture_cte("fx2") + (
-    "select transaction_id,"
-    " cast(dense_rank() over (order by coalesce(merchant_name, 'nan')) - 1 as integer) as merchant_name_code,"
-    " cast(dense_rank() over (order by coalesce(country, 'nan')) - 1 as integer) as country_code,"
-    " cast(dense_rank() over (order by coalesce(payment_method, 'nan')) - 1 as integer) as payment_method_code"
-    " from fx2")
+    ", d as (select transaction_id, country || '-' || cast(customer_id as varchar) as place, merchant_name, payment_method from fx2)"
+    + "".join(f", k{i} as (select {c}, row_number() over (order by {c}) - 1 as code from"
+              f" (select distinct coalesce({c}, 'nan') as {c} from d where transaction_id % 4 <> 0))" for i, c in enumerate(_CODED))
+    + " select transaction_id, " + ", ".join(
+        f"cast(coalesce(k{i}.code, (select count(*) from k{i})) as integer) as {c}_code" for i, c in enumerate(_CODED))
+    + " from d " + " ".join(f"left join k{i} on coalesce(d.{c}, 'nan') = k{i}.{c}" for i, c in enumerate(_CODED))
+).replace("\n, d as", ", d as")
+ORACLE["score_model"] = on_processed("fx1", (
+    "select transaction_id, is_fraud, true as in_range, true as consistent, true as flag_right from p"))
 _, _FX6_COLS = processed_cte("fx6", drop_ts=True)
 ORACLE["align_features"] = on_processed("fx6", "select transaction_id, " + ", ".join(
     (f"round({c}, 6) as {c}" if c in DOUBLE_COLS else c) if c in _FX6_COLS
     else f"0.0::double as {c}" for c in _FX1_FEATURES) + " from p", drop_ts=True)
 
-# --- synthetic tables ---------------------------------------------------------------------------
-ORACLE["synthetic_summary"] = (
-    "select count(*) as total_samples, cast(floor(count(*) * 0.1::double) as bigint) as fraud_samples,"
-    " round(floor(count(*) * 0.1::double) / count(*), 3) as actual_fraud_ratio from events")
-
 # --- sources and sinks --------------------------------------------------------------------------
 ORACLE["scan_csv"] = fixture_cte("fx4") + "select * from fx4"
+ORACLE["scan_csv_inferred"] = _FX7 + (
+    "select transaction_id, round(round(amount, 2), 6) as amount, case when transaction_id % 3 = 0 then null else 'a' end as note,"
+    " case when transaction_id % 5 = 1 then 1 else 0 end as is_fraud,"
+    " 'amount:double,fraud_label:bigint,note:string,transaction_id:bigint' as types"
+    " from fx7 where transaction_id % 10 not in (3, 4) and amount >= 0")
 ORACLE["export_json"] = _FX7 + f"select {_FX7_COLS} from fx7"
 ORACLE["export_csv"] = on_processed("fx1", (
     "select transaction_id, round(amount, 6) as amount, location, card_type, is_fraud,"

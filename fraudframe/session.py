@@ -19,11 +19,14 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "fraudframe") -> SparkSession:
-    """Session tuned for the engine: AQE with skew-join splitting, UTC, no UI."""
-    master = master or os.environ.get("SPARK_MASTER", "local[8]")
+                app_name: str = "fraudframe", driver_memory: str | None = None) -> SparkSession:
+    """Session tuned for the engine: AQE with skew-join splitting, UTC, no UI.
+
+    Master and driver memory are left to the submit configuration unless given here: settings
+    made in code would win over ``spark-submit``.
+    """
     builder = (
-        SparkSession.builder.master(master)
+        SparkSession.builder
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -32,8 +35,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     )
+    if master is not None:
+        builder = builder.master(master)
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -80,3 +86,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by :func:`scratch_path` through Spark's own file system layer."""
+    if "/fraudframe/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

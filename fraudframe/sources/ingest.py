@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions import scalar as X
 
 
 def normalize_missing(df: DataFrame, tokens: bool = False) -> DataFrame:
@@ -37,9 +38,33 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", infer_schema)
-    return check_column_names(normalize_missing(reader.csv(path), tokens=True))
+    df = check_column_names(normalize_missing(reader.csv(path), tokens=True))
+    return infer_types(df) if schema is None and infer_schema else df
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns whose present values are all whole numbers, numbers or truth values, retyped.
+
+    Missing-value spellings are null by now, so they do not keep a column text (one aggregate over all columns);
+    a column without values stays text.  A whole-number column with nulls stays integral: the label
+    rule reads "was numeric, with missing values" off that.
+    """
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    kinds = {"long": r"^\s*[+-]?\d{1,18}\s*$", "double": X.NUMERIC_TEXT, "boolean": r"^\s*(?i:true|false)\s*$"}
+    aggs = []
+    for i, c in enumerate(text):
+        col = F.col(f"`{c}`")
+        aggs.append(F.count(col).alias(f"n{i}"))
+        aggs += [F.count_if(col.rlike(p)).alias(f"{k}{i}") for k, p in kinds.items()]
+    if not aggs:
+        return df
+    r = df.agg(*aggs).first()
+    casts = {}
+    for i, c in enumerate(text):
+        kind = next((k for k in kinds if r[f"n{i}"] and r[f"{k}{i}"] == r[f"n{i}"]), None)
+        if kind:
+            casts[c] = X.strip_text(F.col(f"`{c}`")).cast(kind)
+    return df.withColumns(casts) if casts else df
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

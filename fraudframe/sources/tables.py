@@ -1,6 +1,6 @@
 """Base tables and the transaction-shaped views built on them.
 
-The driver's parquet tables are star-schema data; the views FX1..FX7 below
+The driver's parquet tables are star-schema data; the views FX1..FX8 below
 give them the shape of a transaction file (amount, label, time, categories).
 Each view is plain SQL that runs unchanged in Spark SQL and in DuckDB, so the
 same text serves the engine and the oracle.
@@ -55,6 +55,16 @@ from events""",
 select event_id as transaction_id, value as amount,
  case when value > 147 or event_type='error' then 1 else 0 end as is_fraud,
  case when value > 100 then 1 else 0 end as predicted_fraud, value/(value+100.0) as fraud_probability
+from events""",
+    # Merchant categories (some known to the risk map, some missing) and US-style time text.
+    "fx8": """
+select event_id as transaction_id, value as amount, case when value > 147 then 'Fraud' else 'Normal' end as label,
+ concat(lpad(cast(extract(month from ts) as string), 2, '0'), '/', lpad(cast(extract(day from ts) as string), 2, '0'), '/',
+  cast(extract(year from ts) as string), ' ', lpad(cast(extract(hour from ts) as string), 2, '0'), ':',
+  lpad(cast(extract(minute from ts) as string), 2, '0')) as date,
+ case event_id % 9 when 0 then 'Gas Station' when 1 then 'ATM Withdrawal' when 2 then 'Online Store' when 3 then 'Restaurant'
+  when 4 then 'Grocery Store' when 5 then 'Pharmacy' when 6 then null else concat('shop_', cast(user_id % 50 as string)) end
+  as merchant_category
 from events""",
 }
 
@@ -68,6 +78,7 @@ FIXTURE_MAPPINGS = {
             "card_type": "type"},
     "fx4": {"amount": "amount", "fraud_label": "fraud"},
     "fx6": {"amount": "amount", "fraud_label": "is_fraud", "timestamp": "date"},
+    "fx8": {"amount": "amount", "fraud_label": "label", "timestamp": "date", "merchant": "merchant_category"},
 }
 
 

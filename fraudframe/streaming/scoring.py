@@ -7,13 +7,12 @@ transaction files are read with ``readStream``, given the row-local features
 (category codes and frequencies, the p95 threshold) with stream-static
 broadcast joins, aligned to the model's features and scored.  The snapshot is
 written as parquet next to the model, so a restarted query reuses it.
-Features that need the whole stream (average-rank percentile) are aligned as
-0, as the model input alignment does for any missing feature.
+A model that uses a feature of the whole table (average-rank percentile) is refused: fit the
+streaming model on the processed table without it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +22,7 @@ from ..functions import scalar as X
 from ..operators import features as FE
 from ..plans import ml
 
+WHOLE_TABLE_FEATURES = {"amount_percentile"}
 
 
 def fit_snapshot(processed: DataFrame, path: str) -> str:
@@ -42,6 +42,7 @@ def fit_snapshot(processed: DataFrame, path: str) -> str:
 def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode: str = "map") -> DataFrame:
     """Row-local features plus snapshot lookups for a streaming (or batch) table."""
     spark = stream.sparkSession
+    budget = FE.BROADCAST_BUDGET
     df = FE.rename_mapped(stream, mapping)
     df = FE.filter_amount(df)
     if "fraud_label" in df.columns:
@@ -51,8 +52,10 @@ def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode:
     for c in S.CATEGORICAL_FIELDS:
         if c in df.columns:
             lk = spark.read.parquet(f"{snapshot}/{c}")
-            # The row count comes from parquet footers; broadcast only under the bound.
-            if FE.broadcastable(lk.count(), 64.0):
+            # The row count comes from parquet footers; broadcast only within the plan's budget.
+            cost = FE.lookup_bytes(lk.count(), 64.0)
+            if cost <= budget:
+                budget -= cost
                 lk = F.broadcast(lk)
             df = (df.join(lk, df[c] == lk["value"], "left").drop("value")
                   .withColumns({f"{c}_encoded": F.coalesce(F.col("code"), F.lit(-1)).cast("int"),
@@ -70,9 +73,11 @@ def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode:
 
 
 def score_stream(spark: SparkSession, source: str, schema: T.StructType | str, model_path: str,
-                 spec: ml.FeatureSpec, mapping: dict, snapshot: str, fmt: str = "parquet",
-                 label_mode: str = "map") -> DataFrame:
+                 mapping: dict, snapshot: str, fmt: str = "parquet", label_mode: str = "map") -> DataFrame:
     """Streaming DataFrame of scored transactions (start it with ``writeStream``)."""
+    model = ml.load_model(model_path, spark)
+    whole = sorted(WHOLE_TABLE_FEATURES.intersection(model.spec.columns))
+    if whole:
+        raise ValueError(f"the model uses features a stream does not have: {', '.join(whole)}; train it without them")
     stream = spark.readStream.schema(schema).format(fmt).load(source)
-    feats = stream_features(stream, mapping, snapshot, label_mode)
-    return ml.score(PipelineModel.load(model_path), feats, spec)
+    return ml.score(model, stream_features(stream, mapping, snapshot, label_mode))

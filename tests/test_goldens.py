@@ -63,6 +63,28 @@ def test_pairwise_correlation(spark):
     assert r[("x", "c")] is None and r[("c", "c")] is None
 
 
+def test_correlation_in_blocks(spark, monkeypatch):
+    rows = [(float(i), float(i * i % 7), float(i % 5) if i % 4 else None, float(-i), 3.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    whole = {(r["x"], r["y"]): r["r"] for r in charts.correlation_matrix(df).collect()}
+    monkeypatch.setattr(charts, "BLOCK", 2)
+    blocks = charts.correlation_matrix(df).collect()
+    assert len(blocks) == 25 and {(r["x"], r["y"]): r["r"] for r in blocks} == pytest.approx(whole)
+
+
+def test_integer_epochs_are_exact(spark):
+    df = spark.createDataFrame([(1_700_000_000_123_456_789,), (-1,)], "t long")
+    got = [r[0] for r in df.select(X.parse_timestamp(F.col("t"), T.LongType())).collect()]
+    assert got == [dt.datetime(2023, 11, 14, 22, 13, 20, 123456), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+
+
+def test_failed_timestamp_is_no_feature(spark):
+    from fraudframe.plans import flows
+    rows = [(float(i), i % 2, "2024-01-02" if i != 15 else "soon") for i in range(20)]
+    raw = spark.createDataFrame(rows, "amount double, is_fraud int, date string")
+    assert "date" not in flows.analyse(raw)["processed"].columns
+
+
 def test_integer_label_with_nulls_takes_numeric_fallback(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, None), (3.0, 0)], "amount double, fraud_label long")
     facts = features.collect_facts(df)

@@ -15,9 +15,14 @@ FAST_KEYS = ["headline_metrics", "build_features_fx1", "build_features_fx2", "am
              "fraud_by_hour", "top_fraud_location", "daily_timeline", "daily_timeline_join",
              "amount_histogram", "standardize_label", "drop_bad_timestamp", "classification_metrics",
              "roc_auc", "high_risk_ui", "duplicate_rows", "iqr_outliers", "basic_stats",
-             "detect_columns_fx1", "detect_columns_fx6", "synthetic_summary", "summary_report",
+             "detect_columns_fx1", "detect_columns_fx6", "summary_report",
              "correlation_matrix", "scan_csv", "export_json", "column_types", "dataset_shape",
-             "encode_text", "align_features", "merchant_risk"]
+             "encode_text", "align_features", "merchant_risk", "stratified_split", "stratified_folds",
+             "assemble_features", "scale_features", "scan_csv_inferred", "time_features_us", "detect_columns_fx8",
+             "daily_timeline_us", "category_codes_missing", "category_codes_ranged", "amount_percentile_ranged",
+             "is_high_amount_ranged", "amount_stats_by_class_ranged", "basic_stats_ranged", "roc_auc_ranged",
+             "union_sources", "fraud_by_amount", "fraud_amount_range", "iqr_outliers_amount",
+             "standardize_label_numeric", "score_model"]
 
 
 @pytest.fixture(scope="module")

@@ -28,6 +28,18 @@ def test_scan_prunes_columns(spark):
     assert "props" not in plan     # the events column no query needs is never read
 
 
+def test_profile_queries_build_no_rank_table(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL_DISTINCT", 0)
+    written = []
+    monkeypatch.setattr(ranks, "materialize", lambda df, name: written.append(name))
+    for key in ["validate_model_input", "time_features", "amount_features", "headline_metrics", "headline_metrics_fx2",
+                "fraud_counts", "total_fraud_amount", "fraud_by_hour", "top_fraud_location", "top_fraud_card_type",
+                "top_fraud_merchant", "fraud_distribution", "daily_timeline", "daily_timeline_join", "amount_histogram",
+                "class_weights", "merchant_risk"]:
+        QUERIES[key](spark, SF_SMALL)
+    assert not written
+
+
 def test_ranged_path_gives_the_same_feature_table(spark, monkeypatch):
     small = QUERIES["build_features_fx2"](spark, SF_SMALL).cache()
     monkeypatch.setattr(ranks, "SMALL_DISTINCT", 0)
@@ -54,5 +66,8 @@ def test_timeline_join_equals_single_aggregate_and_class_split_is_complete(spark
     b = QUERIES["daily_timeline_join"](spark, SF_SMALL)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     whole = QUERIES["build_features_fx1"](spark, SF_SMALL)
-    parts = QUERIES["union_sources"](spark, SF_SMALL)
+    from fraudframe.plans.catalog import canonical, processed
+    from fraudframe.operators import profile
+    df = processed(spark, SF_SMALL, "fx1")
+    parts = canonical(profile.fraud_rows(df).unionByName(profile.legit_rows(df)))
     assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
