@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,25 +39,31 @@ _DIGIT = re.compile("[0-9]")
 # Letters and digits that look like the ASCII one they stand beside.
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα",
                       "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXoa"))
-# Spelled digits.
+# Spelled digits in the languages of the corpus.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
-               "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+               "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+               "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7",
+               "acht": "8", "neun": "9",
+               "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+               "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7",
+               "ocho": "8", "nueve": "9"}
 #: Spelled digits in a row from which they are read as a number.
 LEAST_SPELLED = 4
 
+_HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WIDE = "！-～٠-٩۰-۹०-९"
 _LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}{_WIDE}]")
-_WORDS = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?:[\x20,-]{{1,2}}(?:{_WORDS})){{{LEAST_SPELLED - 1},}}(?![A-Za-z])",
-                      re.I | re.A)
-_DIGIT_WORD = re.compile(_WORDS, re.I | re.A)
-_MARKED = re.compile(r"\x20{0,2}(?:[\[({<]\x20{0,2}(at|dot|punkt|point|punto|arroba)\x20{0,2}[\])}>])\x20{0,2}",
-                     re.I | re.A)
+_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_GAP = r"(?:[\x20,-]{1,2}|\x20(?:dot|point|punkt|punto)\x20)"
+_SPELLED = re.compile(rf"(?<![^\W\d_])(?:plus\x20)?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})){{{LEAST_SPELLED - 1},}}(?![^\W\d_])", re.I)
+_SPELLED_PART = re.compile(rf"plus|dot|point|punkt|punto|{_WORDS}", re.I)
+_MARKED = re.compile(r"\x20{0,2}[\[({<]\x20{0,2}(?:(at|arroba)|dot|punkt|point|punto)\x20{0,2}[\])}>]\x20{0,2}", re.I | re.A)
+_ESCAPED = re.compile(r"(&#0*64;|&commat;|%40)|&#0*46;|&period;|%2e", re.I | re.A)
 # Last parts of a domain that a bare " at ... dot ..." must end in.
 _LAST = "com|org|net|edu|gov|info|biz|io|dev|app|ai|me|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|pl|ru|jp|cn|in|br|example|test"
 _BARE = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){0,5}\x20dot\x20"
-                   rf"(?:{_LAST})(?![A-Za-z0-9-]))", re.A)
-_BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.A)
+                   rf"(?:{_LAST})(?![A-Za-z0-9-]))", re.A | re.I)
+_BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.A | re.I)
 
 
 def emails(text: str):
@@ -128,7 +135,9 @@ class Rewritten:
         return at(start, False), at(end - 1, True)
 
     def touched(self, start: int, end: int) -> bool:
-        return any(r[4] and r[0] < end and r[1] > start for r in self.runs)
+        """Whether a rewritten run lies in the span, or something between was taken out."""
+        s, e = self.source(start, end)
+        return e - s != end - start or any(r[4] and r[0] < end and r[1] > start for r in self.runs)
 
     def apply(self, pattern: re.Pattern, to) -> Rewritten:
         """Replace every match; ``to`` gives the output, or the match's pieces as (start, end, output)."""
@@ -164,23 +173,58 @@ class Rewritten:
         return Rewritten("".join(out), runs)
 
 
+@cache
+def _digit_automaton():
+    import ahocorasick
+    a = ahocorasick.Automaton()
+    for w in DIGIT_WORDS:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def _may_spell(text: str) -> bool:
+    """Whether enough digit words follow each other closely; the expression is only tried then."""
+    near: list[tuple[int, int]] = []  # (end, words in the chain up to here) of the latest hits
+    for last, n in _digit_automaton().iter(text.lower()):
+        start, chain = last - n + 1, 1
+        near = [x for x in near if last - x[0] <= 24]
+        for end, length in near:
+            if 1 <= start - end <= 8 and length >= chain:
+                chain = length + 1
+        if chain >= LEAST_SPELLED:
+            return True
+        near.append((last + 1, chain))
+    return False
+
+
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    words = list(_DIGIT_WORD.finditer(m.string, m.start(), m.end()))
+    words = list(_SPELLED_PART.finditer(m.string, m.start(), m.end()))
     ends = [w.start() for w in words[1:]] + [m.end()]
-    return [(w.start(), end, DIGIT_WORDS[w[0].lower()]) for w, end in zip(words, ends)]
+    out, at = [], m.start()
+    for w, end in zip(words, ends):
+        word = w[0].lower()
+        new = DIGIT_WORDS.get(word) or ("+" if word == "plus" else ".")
+        # The gaps between words go with the word before; a dot takes the gap before it too.
+        out.append((at, end, new))
+        at = end
+    return out
 
 
 def deobfuscate(text: str) -> Rewritten:
     """The composed transducers: lookalikes, then spelled digits, then at and dot."""
     r = Rewritten(text)
     if not text.isascii():
+        r = r.apply(_HIDDEN, lambda m: "")
         r = r.apply(_LOOKALIKE, lambda m: _plain(m[0]))
-    r = r.apply(_SPELLED, _spelled)
-    r = r.apply(_MARKED, lambda m: "@" if m[1].lower() in ("at", "arroba") else ".")
-    if " dot " in r.text:
-        bare = r.apply(_BARE, lambda m: "@")
-        if bare is not r or "@" in r.text:
-            r = bare.apply(_BARE_DOT, lambda m: ".")
+    if _may_spell(r.text):
+        r = r.apply(_SPELLED, _spelled)
+    r = r.apply(_MARKED, lambda m: "@" if m[1] else ".")
+    if "&" in r.text or "%" in r.text:
+        r = r.apply(_ESCAPED, lambda m: "@" if m[1] else ".")
+    bare = r.apply(_BARE, lambda m: "@")
+    if bare is not r or "@" in r.text:
+        r = bare.apply(_BARE_DOT, lambda m: ".")
     return r
 
 

@@ -114,6 +114,11 @@ def test_base_spans_equal_plain_scan(text):
     ("card four one one one one one one one one one one one one one one one.", "card",
      "four one one one one one one one one one one one one one one one"),
     ("ip １９２.168.0.1 here", "ip", "１９２.168.0.1"),
+    ("ip one nine two dot one six eight dot one dot nine here", "ip", "one nine two dot one six eight dot one dot nine"),
+    ("mail john dot doe AT Site DOT com", "email", "john dot doe AT Site DOT com"),
+    ("mail joe&#64;site.org", "email", "joe&#64;site.org"),
+    ("mail jo\u200be@si\u200bte.org now", "email", "jo\u200be@si\u200bte.org"),
+    ("ruf plus vier neun eins sieben null null eins zwei drei an", "phone", "plus vier neun eins sieben null null eins zwei drei"),
 ])
 def test_disguises_map_back(text, kind, span):
     base, found = pii.find_pii(text)
