@@ -6,6 +6,9 @@ Everything written to disk goes through :func:`fraudframe.session.materialize`,
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the memory of one Arrow batch for the Python stages that follow (a session setting)."""
-    conf = df.sparkSession.conf
+    """Ready ``df`` for the Python stages that follow.
+
+    Bounds the memory of one Arrow batch (a session setting), and on a local master makes this
+    package importable for the workers; a cluster gets it as any package (``--py-files``).
+    """
+    conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
+    if re.fullmatch(r"local(\[.*\])?", context.master) and context.applicationId not in _SHIPPED:
+        context.addFile(str(Path(__file__).resolve().parents[1]), recursive=True)
+        _SHIPPED.add(context.applicationId)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= ARROW_ROWS:
         conf.set(key, str(ARROW_ROWS))
