@@ -40,8 +40,9 @@ def headline_metrics(df: DataFrame) -> DataFrame:
     return a.select(
         F.col("t").alias("total_transactions"),
         F.col("f").alias("fraud_transactions"),
-        F.round(X.safe_ratio(F.col("f") * 100.0, F.col("t")), 2).alias("fraud_rate"),
-        F.round(F.coalesce(F.col("m"), F.lit(0.0)), 2).alias("avg_fraud_amount"))
+        # Halves go to the even digit, as the reports round.
+        F.bround(X.safe_ratio(F.col("f") * 100.0, F.col("t")), 2).alias("fraud_rate"),
+        F.bround(F.coalesce(F.col("m"), F.lit(0.0)), 2).alias("avg_fraud_amount"))
 
 
 def fraud_counts(df: DataFrame) -> DataFrame:

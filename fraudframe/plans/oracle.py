@@ -302,9 +302,9 @@ for _fx in ["fx1", "fx2", "fx3"]:
 
 # --- profiling -------------------------------------------------------------------------
 _HEADLINE = ("select count(*) as total_transactions, count(*) filter (where is_fraud = 1) as fraud_transactions,"
-             " round(coalesce(count(*) filter (where is_fraud = 1) * 100.0::double / nullif(count(*), 0), 0), 2)"
+             " round_even(coalesce(count(*) filter (where is_fraud = 1) * 100.0::double / nullif(count(*), 0), 0), 2)"
              " as fraud_rate,"
-             " round(coalesce(avg(case when is_fraud = 1 then amount end), 0), 2) as avg_fraud_amount from p")
+             " round_even(coalesce(avg(case when is_fraud = 1 then amount end), 0), 2) as avg_fraud_amount from p")
 ORACLE["headline_metrics"] = on_processed("fx1", _HEADLINE)
 ORACLE["headline_metrics_fx2"] = on_processed("fx2", _HEADLINE)
 ORACLE["fraud_counts"] = on_processed("fx1", (

@@ -63,6 +63,13 @@ def test_pairwise_correlation(spark):
     assert r[("x", "c")] is None and r[("c", "c")] is None
 
 
+def test_headline_rounds_halves_to_even(spark):
+    from fraudframe.operators import profile
+    df = spark.createDataFrame([(0.125, 1)] + [(1.0, 0)] * 7, "amount double, is_fraud int")
+    r = profile.headline_metrics(df).first()
+    assert r["avg_fraud_amount"] == 0.12 and r["fraud_rate"] == 12.5
+
+
 def test_correlation_in_blocks(spark, monkeypatch):
     rows = [(float(i), float(i * i % 7), float(i % 5) if i % 4 else None, float(-i), 3.0) for i in range(40)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
