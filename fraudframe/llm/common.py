@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 #: Words everywhere in this package: maximal runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -115,7 +115,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         star = _with_minimum(down)
         small = star.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionAll(
             star.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-        e = materialize(small.where("src != dst").distinct(), name)
+        before, e = e, materialize(small.where("src != dst").distinct(), name)
+        release(before)
+        release(large)
         now = _signature(e)
         if now == seen:
             break
