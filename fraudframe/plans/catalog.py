@@ -72,14 +72,36 @@ def renamed(spark, sf, fx):
 
 @query("preview")
 def _preview(spark, sf):
-    return canonical(raw(spark, sf, "fx1").orderBy("transaction_id").limit(10))
+    return canonical(ingest.preview(raw(spark, sf, "fx1"), "transaction_id"))
 
 
 @query("dataset_shape")
 def _shape(spark, sf):
     """Rows and columns of the uploaded table (the preview's shape line)."""
-    df = raw(spark, sf, "fx1")
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+    n_rows, n_columns = ingest.shape(raw(spark, sf, "fx1"))
+    return spark.createDataFrame([(n_rows, n_columns)], "n_rows long, n_columns int")
+
+
+@query("readable_sample")
+def _readable(spark, sf):
+    """The readability gate on a whole table written as CSV, on one of a single column and on an empty one."""
+    from ..session import scratch_path
+    df = raw(spark, sf, "fx7")
+    cases = {"table": df, "one_column": df.select("transaction_id"), "empty": df.limit(0)}
+    rows = [(name, *ingest.readable_sample(spark, ingest.export_csv(part, scratch_path(spark, "csv"))))
+            for name, part in cases.items()]
+    return spark.createDataFrame(rows, "input string, ok boolean, message string")
+
+
+@query("validate_mapping")
+def _validate_mapping(spark, sf):
+    """Manual mappings of the fx1 table: right, without a required field, of an absent column, of one column twice."""
+    columns = raw(spark, sf, "fx1").columns
+    good = FIXTURE_MAPPINGS["fx1"]
+    cases = {"good": good, "missing": {k: v for k, v in good.items() if k != "fraud_label"},
+             "absent": good | {"merchant": "shop"}, "twice": good | {"user_id": good["amount"]}}
+    return spark.createDataFrame([(n, *detect.validate_mapping(m, columns)) for n, m in cases.items()],
+                                 "mapping string, ok boolean, message string")
 
 
 @query("validate_source")
@@ -351,6 +373,15 @@ def _assemble(spark, sf):
     return canonical(data.select("transaction_id", "label", *spec.numeric))
 
 
+@query("assemble_features_missing")
+def _assemble_missing(spark, sf):
+    """The model input of a table with missing categories: their code is -1, their frequency 0."""
+    from . import ml
+    df = processed(spark, sf, "fx8")
+    return canonical(ml.prepare(df, ml.feature_spec(df)).select(
+        "transaction_id", "label", "merchant_encoded", "merchant_frequency", "merchant_frequency_log", "is_rare_merchant"))
+
+
 @query("scale_features")
 def _scale(spark, sf):
     """Every row through the scaler that training fits: (x - mean) / population deviation."""

@@ -161,6 +161,15 @@ ORACLE["validate_source"] = fixture_cte("fx1") + (
     "select 7 as n_columns, count(*) > 0 as non_empty, count(*) > 0 as ok,"
     " case when count(*) > 0 then 'File validation successful' else 'Uploaded file is empty' end"
     " as message from (select * from fx1 limit 1)")
+ORACLE["readable_sample"] = fixture_cte("fx7") + (
+    "select 'table' as input, count(*) > 0 as ok, 'File validation successful' as message from fx7"
+    " union all select 'one_column', false, 'File must have at least 2 columns'"
+    " union all select 'empty', false, 'Uploaded file is empty'")
+ORACLE["validate_mapping"] = (
+    "select 'good' as mapping, true as ok, 'Mapping valid' as message"
+    " union all select 'missing', false, 'Missing required mappings: fraud_label'"
+    " union all select 'absent', false, 'Mapped columns not found: shop'"
+    " union all select 'twice', false, 'A source column is mapped to more than one field'")
 ORACLE["rename_mapped"] = fixture_cte("fx1") + (
     "select transaction_id, round(transaction_amount, 6) as amount, is_fraud as fraud_label,"
     " strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as timestamp, payment_method as card_type,"
@@ -489,6 +498,11 @@ _FX1_FEATURES = ["amount", "customer_id", "hour", "day_of_week", "is_weekend", "
                  "is_business_hours", "location_frequency_log", "is_rare_location"]
 ORACLE["assemble_features"] = on_processed("fx1", "select transaction_id, cast(is_fraud as double) as label, " + ", ".join(
     f"round(coalesce(cast({c} as double), 0), 6) as {c}" for c in _FX1_FEATURES) + " from p")
+ORACLE["assemble_features_missing"] = on_processed("fx8", (
+    "select transaction_id, cast(is_fraud as double) as label, cast(merchant_encoded as double) as merchant_encoded,"
+    " cast(coalesce(merchant_frequency, 0) as double) as merchant_frequency,"
+    " round(coalesce(merchant_frequency_log, 0), 6) as merchant_frequency_log,"
+    " cast(is_rare_merchant as double) as is_rare_merchant from p"), ts_format=_US)
 ORACLE["scale_features"] = on_processed("fx1", "select transaction_id, " + ", ".join(
     f"round((coalesce(cast({c} as double), 0) - avg(coalesce(cast({c} as double), 0)) over ())"
     f" / coalesce(nullif(stddev_pop(coalesce(cast({c} as double), 0)) over (), 0), 1), 5) + 0.0 as {c}" for c in _FX1_FEATURES)
