@@ -243,6 +243,8 @@ def embedding_links(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     place = ["dim", "t", "bucket"]
     sizes = meets.groupBy(*place).agg(F.count(F.lit(1)).alias("size"), F.count_if("own").alias("stored")).where(
         "size > 1 and stored > 0")
+    # Read from files, so that AQE can split the partition of a bucket with very many vectors.
+    sizes = materialize(sizes, "embeddings-buckets")
     parts = F.ceil(F.col("size") / F.lit(CELL))
     cells = meets.join(sizes, place).select(*place, "node", "tables", parts.alias("parts"),
                                             F.pmod(F.xxhash64("node"), parts).alias("chunk"))

@@ -105,7 +105,7 @@ def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", shing
     groups = roots(fps, max_distance, segments)
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     least = materialize(groups.join(least, "fp"), "simhash-groups")
-    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = materialize(least.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     named = materialize(least.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     # Both sides are read from files, so AQE can split the partition of a fingerprint with many copies.
     named = named.withColumnRenamed("fp", "_fp")
