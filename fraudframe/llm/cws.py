@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling (DataFrame functions only).
 
-A text is a weighted set: its words (A-Z lowered) with their counts.  For each of ``samples``
+A text is a weighted set: its words as they stand, with their counts.  For each of ``samples``
 independent samples, a term of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash:
 
     t = floor(ln S / r + b),   ln y = r (t - b),   ln a = ln c - ln y - r
@@ -9,9 +9,11 @@ and the term with the smallest a is sampled, together with t.  Two texts agree i
 probability equal to their generalised Jaccard similarity, sum min / sum max of the weights; the
 share of equal samples estimates it.
 
-A sample is kept as one long: an order-preserving 32-bit form of ln a above 32 bits of hash of
-(term, t), so a sample is a plain minimum that Spark aggregates in generated code.  Words are
-counted and sampled in two partial aggregates keyed by document; no text or word list is ever gathered.
+A sample is kept as one long: an order-preserving form of ln a above 16 bits of hash of (term, t),
+so a sample is a plain minimum that Spark aggregates in generated code; unequal samples agree
+by accident once in 65,536.  Words are counted and sampled in aggregates keyed by document; no
+text or word list is ever gathered.  Texts move once, to the partition of their key, and the
+half of each that the document before needs once more; both moves are shared by all that follows.
 
 Defined results: null text is empty; a text without words has the fingerprint of dashes, which is like itself
 and nothing else; a null id stays null and sorts last; rows with equal id are ordered by text, and
@@ -25,49 +27,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, with_pid
+from .common import with_pid
 
-SAMPLES = 64
+#: Samples per text, a multiple of LANES.
+SAMPLES = 48
+LANES = 4
 EMPTY = "-"
+SPACE = "[\\x20\\x09-\\x0D]+"
 _M21 = (1 << 21) - 1
+_STEP = 1.0 / (1 << 21)
 
 
 def _uniform(bits: Column, shift: int) -> Column:
     """(0, 1) from 21 bits of a long."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(_M21)).cast("double") + 0.5) / float(_M21 + 1)
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(_M21)).cast("double") + 0.5) * F.lit(_STEP)
 
 
-def _sample(term: Column, log_weight: Column, k: int) -> Column:
-    """One packed sample of a term: ordered ln a, then the hash of (term, t)."""
-    h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+def _sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """The packed k-th sample of a term: ordered ln a, then 16 bits that stand for (term, t)."""
+    h1, h2 = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
     r = -F.ln(_uniform(h1, 0) * _uniform(h1, 21))
     ln_c = F.ln(-F.ln(_uniform(h2, 0) * _uniform(h2, 21)))
-    b = _uniform(h1.bitwiseXOR(F.shiftleft(h2, 20)), 43)
-    t = F.floor(log_weight / r + b)
+    b = _uniform(h1, 42)
+    t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))
     ln_a = ln_c - r * (t.cast("double") - b) - r
     # ln a lies well within +-2000; as a fixed-point long it orders like the number itself.
-    ordered = ((ln_a + 2048.0) * float(1 << 19)).cast("long")
-    which = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(ordered, 32).bitwiseOR(which)
+    ordered = ((ln_a + 2048.0) * float(1 << 34)).cast("long")
+    which = (F.shiftrightunsigned(h2, 42) + t * 40503).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftleft(ordered, 16).bitwiseOR(which)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """keys, ``signature`` (array of longs) for every text with words.
+    """keys, ``signature`` (array of shorts) for every text with words.
 
     Where ``texts`` is partitioned by its keys already, this adds no shuffle.
     """
-    words = texts.select(*keys, F.explode(F.regexp_extract_all(F.translate(
-        F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORD})"))).alias("_w"))
+    words = texts.select(*keys, F.explode(F.split(F.col(text), SPACE)).alias("_w")).where(F.col("_w") != "")
     terms = words.select(*keys, F.xxhash64("_w").alias("_term")).groupBy(*keys, "_term").agg(F.count(F.lit(1)).alias("_n"))
-    terms = terms.withColumn("_log", F.ln(F.col("_n").cast("double")))
-    packed = [F.min(_sample(F.col("_term"), F.col("_log"), k)).alias(f"_s{k}") for k in range(samples)]
-    sampled = terms.groupBy(*keys).agg(*packed)
-    low = [F.col(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)]
-    return sampled.select(*keys, F.array(*low).alias("signature"))
+    # LANES samples side by side keep the generated code small; the rest are blocks of rows.
+    terms = terms.select(*keys, "_term", F.ln(F.col("_n").cast("double")).alias("_log"),
+                         F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))).alias("_block"))
+    packed = [F.min(_sample(F.col("_term"), F.col("_log"), F.col("_block") * LANES + j)).alias(f"_s{j}") for j in range(LANES)]
+    blocks = terms.groupBy(*keys, "_block").agg(*packed)
+    low = F.array(*[(F.col(f"_s{j}").bitwiseAND(F.lit(0xFFFF)) - 32768).cast("short") for j in range(LANES)])
+    blocks = blocks.select(*keys, F.struct("_block", low.alias("lanes")).alias("_b"))
+    return blocks.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_b")), lambda b: b["lanes"])).alias("signature"))
 
 
 def fingerprint(signature: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""), F.lit(EMPTY))
+    """Four hex digits per sample."""
+    digits = F.transform(signature, lambda x: F.lpad(F.hex(x.cast("int") + 32768), 4, "0"))
+    return F.coalesce(F.lower(F.array_join(digits, "")), F.lit(EMPTY))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -76,24 +86,25 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
+KEY = ["kid", "nul", "th"]  # a row's place in the order: id (0 if null), whether it is null, hash of the text
+ORDER = ["nul", "kid", "th"]
+
+
 def _successors(rows: DataFrame) -> DataFrame:
-    """(id, th, n) -> the same and the next row's id, th and the row before's n, in id order, around."""
-    order = [F.col("id").asc_nulls_last(), F.col("th")]
-    ranged = with_pid(rows.select("id", "th", "n").withColumn("missing", F.col("id").isNull()),
-                      [F.col("missing"), F.col("id"), F.col("th")], "cws-order")
-    inside = Window.partitionBy("_pid").orderBy(*order)
-    here = F.struct("id", "th", "n")
+    """KEY and n of distinct rows -> the same, ``next`` and ``before`` (KEY, n) in id order, around."""
+    ranged = with_pid(rows, [F.col(c) for c in ORDER], "cws-order")
+    inside = Window.partitionBy("_pid").orderBy(*ORDER)
+    here, place = F.struct(*KEY, "n"), F.struct(*ORDER)
     ranged = ranged.withColumns({"next": F.lead(here).over(inside), "before": F.lag(here).over(inside)})
     # First and last row of each partition (one row per partition) close the gaps and the circle.
-    ends = ranged.groupBy("_pid").agg(F.min_by(here, F.struct("missing", "id", "th")).alias("first"),
-                                      F.max_by(here, F.struct("missing", "id", "th")).alias("last"))
+    ends = ranged.groupBy("_pid").agg(F.min_by(here, place).alias("first"), F.max_by(here, place).alias("last"))
     by_pid, everything = Window.orderBy("_pid"), Window.partitionBy()
     ends = ends.select(
         F.col("_pid").alias("_p"),
         F.coalesce(F.lead("first").over(by_pid), F.min_by("first", "_pid").over(everything)).alias("after"),
         F.coalesce(F.lag("last").over(by_pid), F.max_by("last", "_pid").over(everything)).alias("ahead"))
     joined = ranged.join(ends, F.col("_pid") == F.col("_p"))
-    return joined.select("id", "th", F.coalesce("next", "after").alias("next"), F.coalesce("before", "ahead").alias("before"))
+    return joined.select(*KEY, F.coalesce("next", "after").alias("next"), F.coalesce("before", "ahead").alias("before"))
 
 
 def neighbour_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
@@ -101,37 +112,39 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_
 
     The edited text has its last half replaced by the beginning of the next document.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), body.alias("text"), F.xxhash64(body).alias("th"), F.length(body).alias("n"))
-    copies = rows.groupBy("id", "th", "n").agg(F.count(F.lit(1)).alias("copies"))
-    order = materialize(_successors(copies), "cws-next")
-    order = order.select(F.col("id").alias("i"), F.col("th").alias("h"), F.struct("next.id", "next.th").alias("next"),
-                         F.struct("before.id", "before.th").alias("to"), F.expr("before.n div 2").alias("lent"))
-
-    at = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
-    once = rows.groupBy("id", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    placed = once.join(order, at).drop("i", "h")
+    kind, body = dict(docs.dtypes)[key], F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(key), F.lit(0).cast(kind)).alias("kid"), F.col(key).isNull().alias("nul"),
+                       F.xxhash64(body).alias("th"), body.alias("text"))
+    distinct = rows.select(*KEY, F.length("text").alias("n")).distinct()
+    order = materialize(_successors(distinct), "cws-next")
+
+    at = order.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.struct(*[f"next.{c}" for c in KEY]).alias("next"),
+                      F.struct(*[f"before.{c}" for c in KEY]).alias("to"), F.expr("before.n div 2").alias("lent"))
+    mine = (F.col("kid") == F.col("_kid")) & (F.col("nul") == F.col("_nul")) & (F.col("th") == F.col("_th"))
+    placed = rows.join(at, mine)
     # Only what the document before needs of this text is sent to it.
-    lent = placed.select(F.col("to.id").alias("i"), F.col("to.th").alias("h"), F.left("text", F.col("lent")).alias("head"))
+    lent = placed.select(*[F.col(f"to.{c}").alias(f"_{c}") for c in KEY], F.left("text", F.col("lent")).alias("head"))
+    lent = lent.groupBy("_kid", "_nul", "_th").agg(F.first("head").alias("head"))
+    pairs = placed.select(*KEY, "text", "next").join(lent, mine).groupBy(*KEY).agg(
+        F.first("text").alias("text"), F.first("head").alias("head"), F.first("next").alias("next"), F.count(F.lit(1)).alias("copies"))
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.expr("length(text) div 2")), F.col("head"))
-    pairs = placed.drop("lent", "to").join(lent, at).select("id", "th", "next", "copies", "text", n.alias("n_chars"), edited.alias("edited"))
-    pairs = materialize(pairs, "cws-texts")
 
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
-                              F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("_t")
-    signed = signatures(pairs.select("id", "th", sides).select("id", "th", "_t.side", "_t.text"), ["id", "th", "side"],
-                        samples=samples)
-    signed = signed.groupBy("id", "th").agg(F.max(F.when(F.col("side") == 0, F.col("signature"))).alias("own"),
-                                            F.max(F.when(F.col("side") == 1, F.col("signature"))).alias("edit"))
-    signed = materialize(signed, "cws-signatures")
-    mine = signed.select(F.col("id").alias("i"), F.col("th").alias("h"), "own", "edit")
-    following = signed.select(F.col("id").alias("i"), F.col("th").alias("h"), F.col("own").alias("other"))
-    out = pairs.select("id", "th", "next", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    out = out.join(mine, at, "left").drop("i", "h")
-    out = out.join(following, F.col("next.id").eqNullSafe(F.col("i")) & (F.col("next.th") == F.col("h")), "left").drop("i", "h")
-    out = out.select(F.col("id").alias(key), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-                     fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"),
-                     likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"),
-                     likeness(F.col("own"), F.col("other"), samples).alias("near_next"), "copies")
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "_c")
+                              F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("_t")
+    signed = signatures(pairs.select(*KEY, sides).select(*KEY, "_t.side", "_t.text"), [*KEY, "side"], samples=samples)
+    signed = signed.groupBy(*KEY).agg(F.max(F.when(F.col("side") == 0, F.col("signature"))).alias("own"),
+                                      F.max(F.when(F.col("side") == 1, F.col("signature"))).alias("edit"))
+    signed = signed.select(*[F.col(c).alias(f"_{c}") for c in KEY], "own", "edit")
+    facts = pairs.select(*KEY, "next", "copies", n.alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    done = materialize(facts.join(signed, mine, "left").drop("_kid", "_nul", "_th"), "cws-signatures")
+
+    following = done.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("own").alias("other"))
+    behind = (F.col("next.kid") == F.col("_kid")) & (F.col("next.nul") == F.col("_nul")) & (F.col("next.th") == F.col("_th"))
+    out = done.join(following, behind).select(
+        F.when(~F.col("nul"), F.col("kid")).alias(key), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"),
+        likeness(F.col("own"), F.col("other"), samples).alias("near_next"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return out.drop("_copy")
