@@ -59,6 +59,29 @@ def with_pid(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return materialize(ranged, name)
 
 
+def row_key(df: DataFrame, key: str) -> list[Column]:
+    """Three plain columns that rows share only if they have the same ``key`` and the same content."""
+    return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k1"), F.col(key).isNull().alias("_k2"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_k3")]
+
+
+KEYS = ["_k1", "_k2", "_k3"]
+
+
+def rows_of(df: DataFrame, key: str, chosen: DataFrame, *more: str) -> DataFrame:
+    """(``_row``, the ``more`` columns of ``chosen``) for each key of ``chosen`` (unique), one row even if repeated.
+
+    The rows move once, to the partition of their key, where the join and the choice both happen.
+    """
+    packed = df.select(*row_key(df, key), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    chosen = chosen.select(*[F.col(c).alias(f"{c}c") for c in KEYS], *more)
+    same = F.lit(True)
+    for c in KEYS:
+        same = (packed[c] == chosen[f"{c}c"]) if c == KEYS[0] else same & (packed[c] == chosen[f"{c}c"])
+    met = packed.hint("merge").join(chosen, same)
+    return met.groupBy(*KEYS).agg(F.first("_row").alias("_row"), *[F.first(c).alias(c) for c in more])
+
+
 def running_total(ranged: DataFrame, value: str, order: list[Column], out: str,
                   within: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running sum of ``value`` in key order over a :func:`with_pid` table.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import running_total, with_pid, word_count
+from .common import KEYS, row_key, rows_of, running_total, with_pid, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -105,12 +105,10 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", size:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mixture itself: every document as often as it is taken, all columns kept."""
-    columns = docs.columns
-    tagged = materialize(docs.select(F.struct(*columns).alias("_doc"), F.col(key).alias("_mix_key"),
-                                     F.col(source).alias("_mix_source"), word_count(F.col(text)).alias("_mix_size"),
-                                     F.monotonically_increasing_id().alias("_mix_row")), "mix-docs")
-    plan = schedule(tagged, "_mix_key", "_mix_source", F.col("_mix_size"), keep=("_mix_row",), **options)
-    times = plan.where("taken > 0").select(F.col("_mix_row").alias("_row"),
-                                           (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = tagged.join(times, F.col("_mix_row") == F.col("_row"))
-    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_epoch")).select("_doc.*")
+    narrow = docs.select(F.col(key).alias("_mix_key"), F.col(source).alias("_mix_source"), word_count(F.col(text)).alias("_mix_size"),
+                         *row_key(docs, key))
+    plan = schedule(narrow, "_mix_key", "_mix_source", F.col("_mix_size"), keep=tuple(KEYS), **options)
+    # Repeated rows are one row here, taken as often as all of them together.
+    times = plan.where("taken > 0").groupBy(*KEYS).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    out = rows_of(docs, key, materialize(times, "mix-times-taken"), "_times")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_epoch")).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, small_batches
+from .common import KEYS, components, row_key, rows_of, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: (first bit, width, radius).  24 + 24 + 1 lookups per fingerprint; wide segments keep the tables
@@ -116,14 +116,11 @@ def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", shing
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4,
           max_distance: int = 4, segments=SEGMENTS) -> DataFrame:
     """The row with the smallest key of every group (of equal keys any one), all columns kept."""
-    columns = docs.columns
-    tagged = small_batches(docs).withColumns({"_simhash_fp": fingerprint_column(F.col(text), shingle),
-                                              "_simhash_row": F.monotonically_increasing_id()})
-    tagged = materialize(tagged, "simhash-docs")
-    fps = tagged.select(F.col(key).alias("id"), F.col("_simhash_row").alias("row"), F.col("_simhash_fp").alias("fp"))
-    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row")).alias("first")
-    least = fps.groupBy("fp").agg(first)
-    keep = (least.join(roots(fps, max_distance, segments), "fp").groupBy("root").agg(F.min("first").alias("first"))
-            .select(F.col("first.row").alias("_keep_row")))
-    keep = materialize(keep, "simhash-keep")
-    return tagged.join(keep, F.col("_simhash_row") == F.col("_keep_row"), "left_semi").select(*columns)
+    narrow = small_batches(docs).select(F.col(key).alias("id"), *row_key(docs, key),
+                                        fingerprint_column(F.col(text), shingle).alias("fp"))
+    narrow = materialize(narrow, "simhash-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", *KEYS)).alias("first")
+    least = narrow.groupBy("fp").agg(first)
+    keep = (least.join(roots(narrow, max_distance, segments), "fp").groupBy("root").agg(F.min("first").alias("first"))
+            .select(*[F.col(f"first.{c}").alias(c) for c in KEYS]))
+    return rows_of(docs, key, materialize(keep, "simhash-keep")).select("_row.*")
