@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling (DataFrame functions only).
 
-A text is a weighted set: its words as they stand, with their counts.  For each of ``samples``
+A text is a weighted set: its words (A-Z lowered) with their counts.  For each of ``samples``
 independent samples, a term of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash:
 
     t = floor(ln S / r + b),   ln y = r (t - b),   ln a = ln c - ln y - r
@@ -9,11 +9,12 @@ and the term with the smallest a is sampled, together with t.  Two texts agree i
 probability equal to their generalised Jaccard similarity, sum min / sum max of the weights; the
 share of equal samples estimates it.
 
-A sample is kept as one long: an order-preserving form of ln a above 16 bits of hash of (term, t),
-so a sample is a plain minimum that Spark aggregates in generated code; unequal samples agree
-by accident once in 65,536.  Words are counted and sampled in aggregates keyed by document; no
+A sample is kept as one long: an order-preserving 31-bit form of ln a above 32 bits of hash of
+(term, t), so a sample is a plain minimum that Spark aggregates in generated code; unequal samples
+agree by accident once in 4 billion.  Words are counted and sampled in aggregates keyed by document; no
 text or word list is ever gathered.  Texts move once, to the partition of their key, and the
 half of each that the document before needs once more; both moves are shared by all that follows.
+A text and its edited form are counted side by side, and a term draws its r, c and b once for both.
 
 Defined results: null text is empty; a text without words has the fingerprint of dashes, which is like itself
 and nothing else; a null id stays null and sorts last; rows with equal id are ordered by text, and
@@ -30,10 +31,13 @@ from ..session import materialize
 from .common import with_pid
 
 #: Samples per text, a multiple of LANES.
-SAMPLES = 48
+SAMPLES = 64
 LANES = 4
 EMPTY = "-"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Above every packed sample; that of a term which a side does not have.
+ABSENT = (1 << 63) - 1
 _M21 = (1 << 21) - 1
 _STEP = 1.0 / (1 << 21)
 
@@ -43,40 +47,58 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(_M21)).cast("double") + 0.5) * F.lit(_STEP)
 
 
-def _sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """The packed k-th sample of a term: ordered ln a, then 16 bits that stand for (term, t)."""
+def _samples(term: Column, weights: list[tuple[Column, Column]], k: Column) -> list[Column]:
+    """The packed k-th sample of a term for each (log weight, ABSENT or 0): ordered ln a, then 32 bits of hash of (term, t)."""
     h1, h2 = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
     r = -F.ln(_uniform(h1, 0) * _uniform(h1, 21))
     ln_c = F.ln(-F.ln(_uniform(h2, 0) * _uniform(h2, 21)))
     b = _uniform(h1, 42)
-    t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))
-    ln_a = ln_c - r * (t.cast("double") - b) - r
-    # ln a lies well within +-2000; as a fixed-point long it orders like the number itself.
-    ordered = ((ln_a + 2048.0) * float(1 << 34)).cast("long")
-    which = (F.shiftrightunsigned(h2, 42) + t * 40503).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftleft(ordered, 16).bitwiseOR(which)
+    out = []
+    for log_weight, absent in weights:
+        t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))
+        ln_a = ln_c - r * (t.cast("double") - b) - r
+        # ln a lies between -90 and 4; as a fixed-point long it orders like the number itself.
+        ordered = ((ln_a + 96.0) * float(1 << 24)).cast("long")
+        which = F.xxhash64(h2, t).bitwiseAND(F.lit(0xFFFFFFFF))
+        # No condition around it: what the sides share is then computed once.
+        out.append(F.shiftleft(ordered, 32).bitwiseOR(which).bitwiseOR(absent))
+    return out
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """keys, ``signature`` (array of shorts) for every text with words.
+    """keys, ``signature`` (array of ints) for every text with words."""
+    return side_signatures(texts, keys, {"signature": F.col(text)}, samples)
+
+
+def side_signatures(texts: DataFrame, keys: list[str], sides: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
+    """keys and one signature (array of ints, null without words) per text of ``sides``, for rows with any words.
 
     Where ``texts`` is partitioned by its keys already, this adds no shuffle.
     """
-    words = texts.select(*keys, F.explode(F.split(F.col(text), SPACE)).alias("_w")).where(F.col("_w") != "")
-    terms = words.select(*keys, F.xxhash64("_w").alias("_term")).groupBy(*keys, "_term").agg(F.count(F.lit(1)).alias("_n"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), c.alias("text")) for i, c in enumerate(sides.values())]))
+    lowered = F.translate(F.col("_t.text"), UPPER, LOWER)
+    words = texts.select(*keys, each.alias("_t")).select(*keys, F.col("_t.side").alias("_side"), F.explode(F.split(lowered, SPACE)).alias("_w"))
+    counts = [F.count(F.when(F.col("_side") == i, 1)).alias(f"_n{i}") for i in range(len(sides))]
+    terms = words.where(F.col("_w") != "").select(*keys, "_side", F.xxhash64("_w").alias("_term")).groupBy(*keys, "_term").agg(*counts)
+    weights = [(F.ln(F.greatest(F.col(f"_n{i}"), F.lit(1)).cast("double")).alias(f"_log{i}"),
+                F.when(F.col(f"_n{i}") == 0, F.lit(ABSENT)).otherwise(F.lit(0).cast("long")).alias(f"_absent{i}")) for i in range(len(sides))]
     # LANES samples side by side keep the generated code small; the rest are blocks of rows.
-    terms = terms.select(*keys, "_term", F.ln(F.col("_n").cast("double")).alias("_log"),
+    terms = terms.select(*keys, "_term", *[c for w in weights for c in w],
                          F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))).alias("_block"))
-    packed = [F.min(_sample(F.col("_term"), F.col("_log"), F.col("_block") * LANES + j)).alias(f"_s{j}") for j in range(LANES)]
+    named = [(F.col(f"_log{i}"), F.col(f"_absent{i}")) for i in range(len(sides))]
+    packed = [F.min(x).alias(f"_s{i}_{j}") for j in range(LANES)
+              for i, x in enumerate(_samples(F.col("_term"), named, F.col("_block") * LANES + j))]
     blocks = terms.groupBy(*keys, "_block").agg(*packed)
-    low = F.array(*[(F.col(f"_s{j}").bitwiseAND(F.lit(0xFFFF)) - 32768).cast("short") for j in range(LANES)])
-    blocks = blocks.select(*keys, F.struct("_block", low.alias("lanes")).alias("_b"))
-    return blocks.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_b")), lambda b: b["lanes"])).alias("signature"))
+    lanes = [F.when(F.col(f"_s{i}_0") != ABSENT, F.array(*[
+        (F.col(f"_s{i}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for j in range(LANES)])) for i in range(len(sides))]
+    blocks = blocks.select(*keys, F.struct("_block", *[x.alias(f"lanes{i}") for i, x in enumerate(lanes)]).alias("_b"))
+    in_order = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
+    return in_order.select(*keys, *[F.flatten(F.col(f"_bs.lanes{i}")).alias(name) for i, name in enumerate(sides)])
 
 
 def fingerprint(signature: Column) -> Column:
-    """Four hex digits per sample."""
-    digits = F.transform(signature, lambda x: F.lpad(F.hex(x.cast("int") + 32768), 4, "0"))
+    """Eight hex digits per sample."""
+    digits = F.transform(signature, lambda x: F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0"))
     return F.coalesce(F.lower(F.array_join(digits, "")), F.lit(EMPTY))
 
 
@@ -130,19 +152,16 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.expr("length(text) div 2")), F.col("head"))
 
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
-                              F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("_t")
-    signed = signatures(pairs.select(*KEY, sides).select(*KEY, "_t.side", "_t.text"), [*KEY, "side"], samples=samples)
-    signed = signed.groupBy(*KEY).agg(F.max(F.when(F.col("side") == 0, F.col("signature"))).alias("own"),
-                                      F.max(F.when(F.col("side") == 1, F.col("signature"))).alias("edit"))
+    signed = side_signatures(pairs.select(*KEY, "text", edited.alias("edited")), KEY, {"own": F.col("text"), "edit": F.col("edited")}, samples)
     signed = signed.select(*[F.col(c).alias(f"_{c}") for c in KEY], "own", "edit")
-    facts = pairs.select(*KEY, "next", "copies", n.alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    facts = pairs.select(*KEY, "next", "copies", n.alias("n_chars"), F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha"))
     done = materialize(facts.join(signed, mine, "left").drop("_kid", "_nul", "_th"), "cws-signatures")
 
     following = done.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("own").alias("other"))
     behind = (F.col("next.kid") == F.col("_kid")) & (F.col("next.nul") == F.col("_nul")) & (F.col("next.th") == F.col("_th"))
     out = done.join(following, behind).select(
-        F.when(~F.col("nul"), F.col("kid")).alias(key), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        F.when(~F.col("nul"), F.col("kid")).alias(key), F.col("n_chars").cast("long").alias("n_chars"),
+        F.lower(F.hex("sha")).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"),
         likeness(F.col("own"), F.col("other"), samples).alias("near_next"),

@@ -338,6 +338,25 @@ def test_weighted_collision_rate(spark):
     assert s[1] == s[3] and abs(same - 20 / 62) < 0.15  # unweighted Jaccard would be 0.5
 
 
+def test_fingerprints_are_whole(spark):
+    """64 samples of 32 bits each, over words with A-Z lowered; both sides as if signed alone."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words).upper(), "s"), (2, " ".join(words), "s"), (3, "É " + " ".join(words[:9]), "s"), (4, "é " + " ".join(words[:9]), "s"),
+            (5, "   ", "s"), (6, "a b c d", "s")]
+    got = {r["doc_id"]: r for r in cws.neighbour_fingerprints(frame(spark, rows)).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[1]["near_next"] == 1.0 > got[1]["near_edited"]
+    assert re.fullmatch("[0-9a-f]{512}", got[1]["fingerprint"]) and got[3]["near_next"] < 1.0
+    samples = {got[1]["fingerprint"][i:i + 8] for i in range(0, 512, 8)}
+    assert len(samples) == 64 and len({s[:4] for s in samples}) > 55 and len({s[4:] for s in samples}) > 55
+    assert got[5]["fingerprint"] == "-" and got[5]["near_next"] == 0.0 and got[6]["near_edited"] < 1.0
+    texts = spark.createDataFrame([(1, " ".join(words[:120]), "w3 " * 4 + " ".join(words[50:])), (2, "x", " "), (3, " ", "x y")],
+                                  "id long, text string, edited string")
+    both = {r["id"]: r for r in cws.side_signatures(texts, ["id"], {"own": F.col("text"), "edit": F.col("edited")}).collect()}
+    for column, side in (("text", "own"), ("edited", "edit")):
+        alone = {r["id"]: r["signature"] for r in cws.signatures(texts, ["id"], column).collect()}
+        assert {i: r[side] for i, r in both.items() if r[side] is not None} == alone
+
+
 # ---- 9 toxicity ------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark):
