@@ -10,6 +10,10 @@ Blocks whose terminal difference outweighs all their edges have the same label i
 cut; they are settled first and their edges become capacities of their neighbours, so the flow
 only runs on what is left.
 
+A form or a side name (class, id) costs a block less the more of the page's text it holds, so one around
+the whole page costs nothing; an article or main element inside ends it, and ends any other side matter but
+nav, aside, footer, comments and lists of related articles.
+
 Blocks end at block-level tags; ``br`` is white space.  Character references are decoded and
 white space within a block becomes one space.  Nothing else is dropped or cut.
 
@@ -39,6 +43,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style template noscript svg math iframe object canvas head title textarea select button".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 SIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
+# Side matter that may hold articles of its own: an article or main element in it is not the page's.
+CLOSED_TAGS = frozenset("nav aside footer".split())
+CLOSED_ROLES = frozenset("navigation complementary contentinfo".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
+CLOSED_WORDS = COMMENT_WORDS | frozenset("related recommended".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
                        "consent gdpr notice notification alert nav navbar navigation menu breadcrumb breadcrumbs header masthead "
@@ -59,6 +68,7 @@ _TOKEN = re.compile(r"""<!--|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_STATE = re.compile(r"(?:has|with|without|no)[-_]", re.I)  # such a name says what is inside, not what it is
 _STOP = re.compile(r"[.!?…:;]")
 
 
@@ -67,7 +77,10 @@ class Element:
     tag: str
     number: int
     unseen: bool = False
-    side: bool = False      # boilerplate by tag, role or class, itself or above
+    side: bool = False      # boilerplate by tag, role or comment block, itself or above
+    soft: bool = False      # within a form or an element with a name of side matter
+    wrapper: int = 0        # number of the nearest such element
+    closed: bool = False    # within side matter that an article or main element does not end
     main: bool = False      # within the main element
     side_in_main: bool = False
     inner: int = 0          # number of the nearest block-level element, itself included
@@ -80,6 +93,8 @@ class Block:
     side: bool
     main: bool
     side_in_main: bool
+    soft: bool
+    wrapper: int
     depth: int
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -94,8 +109,10 @@ def _names(attributes: str) -> tuple[set[str], set[str]]:
         if m[1].lower() == "role":
             roles.update(value.lower().split())
         else:
-            words.update(p.lower() for p in _PART.findall(value))
-            words.update(value.lower().split())
+            for name in value.split():
+                if not _STATE.match(name):
+                    words.update(p.lower() for p in _PART.findall(name))
+                    words.add(name.lower())
     return words, roles
 
 
@@ -105,6 +122,7 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.has_main = False
+        self.around: dict[int, int] = {}  # wrapper -> the next one around it
         self._open = [Element("", 0)]
         self._counts: Counter[str] = Counter()
         self._number, self._links, self._block = 0, 0, None
@@ -140,7 +158,7 @@ class Page:
         if self._block is None:
             if not text.strip():
                 return
-            self._block = Block(top.outer, top.side, top.main, top.side_in_main, len(self._open))
+            self._block = Block(top.outer, top.side, top.main, top.side_in_main, top.soft, top.wrapper, len(self._open))
         self._block.pieces.append(text)
         if self._links:
             self._block.linked += len(text.split())
@@ -164,18 +182,28 @@ class Page:
             return
         above = self._open[-1]
         self._number += 1
-        e = Element(tag, self._number, above.unseen or tag in UNSEEN, above.side, above.main, above.side_in_main,
-                    above.inner, above.outer)
+        e = Element(tag, self._number, above.unseen or tag in UNSEEN, above.side, above.soft, above.wrapper, above.closed,
+                    above.main, above.side_in_main, above.inner, above.outer)
         if tag in BLOCKS:
             e.inner, e.outer = e.number, above.inner
         words, roles = _names(attributes) if attributes.strip() else ((), ())
         structural = tag not in ("html", "body", "article", "main")
-        side = tag in SIDE_TAGS or (structural and (not SIDE_ROLES.isdisjoint(roles) or not SIDE_WORDS.isdisjoint(words)))
-        if side and not (above.main and tag == "header"):  # a header within the article is the article's own
-            e.side, e.side_in_main = True, above.main
-        elif tag in ("article", "main") or "main" in roles or "article" in roles or (
-                tag in BLOCKS and not MAIN_WORDS.isdisjoint(words)):
-            e.main = e.main or not above.side
+        roled = structural and not SIDE_ROLES.isdisjoint(roles)
+        named = structural and not SIDE_WORDS.isdisjoint(words)
+        if (tag in SIDE_TAGS or roled or named) and not (above.main and tag == "header"):  # a header within the article is its own
+            if (tag in SIDE_TAGS and tag != "form") or roled or not COMMENT_WORDS.isdisjoint(words):
+                e.side, e.side_in_main = True, above.main
+            else:  # a name or a form may be around the whole page; its cost follows its share of the text
+                e.soft, e.wrapper = True, e.number
+                self.around[e.number] = above.wrapper
+            e.closed = e.closed or tag in CLOSED_TAGS or not CLOSED_ROLES.isdisjoint(roles) or not CLOSED_WORDS.isdisjoint(words)
+        elif tag in ("article", "main") or "main" in roles or "article" in roles:
+            if not above.closed:
+                e.side = e.soft = e.side_in_main = False
+                e.main = True
+                self.has_main = True
+        elif tag in BLOCKS and not MAIN_WORDS.isdisjoint(words):
+            e.main = e.main or not (above.side or above.soft)
             self.has_main = self.has_main or e.main
         self._open.append(e)
         self._counts[tag] += 1
@@ -205,15 +233,26 @@ class Page:
 
 def costs(page: Page) -> list[tuple[float, float]]:
     """(capacity to content, capacity to boilerplate) per block."""
-    out = []
+    out, held, total = [], Counter(), 0
+    for b in page.blocks:
+        words = len(b.text.split())
+        total += words
+        held[b.wrapper] += words
+    for w in sorted(page.around, reverse=True):  # what is inside has the higher number
+        if page.around[w]:
+            held[page.around[w]] += held[w]
     for b in page.blocks:
         words = len(b.text.split())
         content = PRIOR + min(MOST_WORDS, PER_WORD * words) + STOPPED * bool(_STOP.search(b.text))
         boiler = PRIOR + LINKED * min(1.0, b.linked / words)
+        share = held[b.wrapper] / total if b.soft and not b.side else 1.0
         if b.side:
             boiler += SIDE_IN_MAIN if b.side_in_main else SIDE
+        else:
+            boiler += SIDE * (1.0 - share)
         if b.main and not b.side:
-            content += IN_MAIN
+            content += IN_MAIN * share
+            boiler += OUT_OF_MAIN * (1.0 - share)
         elif page.has_main:
             boiler += OUT_OF_MAIN
         out.append((content, boiler))

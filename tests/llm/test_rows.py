@@ -185,6 +185,26 @@ def test_main_text():
     assert html_text.main_text(plain).split("\n")[1] == "short" and "About" not in html_text.main_text(plain)
 
 
+TEXT = "A long paragraph with a number of words, and full stops. So it is."
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div class='header-fixed'>", "<div class='page with-sidebar_left'>",
+                                     "<form>", "<div role=banner>", "<header>", "<div class='has-comments'>", "<div id=sidebarWrapper>"])
+def test_an_article_survives_its_wrapper(wrapper):
+    end = f"</{wrapper[1:-1].split()[0]}>"
+    page = f"<nav>Home Away</nav>{wrapper}<div class=menu>Go there</div><article><p>{TEXT}<p>{TEXT}</article>{end}<footer>Imprint</footer>"
+    assert html_text.main_text(page) == f"{TEXT}\n{TEXT}"
+    if wrapper not in ("<div role=banner>", "<header>"):  # without an article the share of the text decides
+        page = f"<nav>Home Away</nav>{wrapper}<div class=menu>Go there</div><div><p>{TEXT}<p>{TEXT}</div>{end}<footer>Imprint</footer>"
+        assert html_text.main_text(page) == f"{TEXT}\n{TEXT}"
+
+
+@pytest.mark.parametrize("side", ["<nav>", "<aside>", "<footer>", "<div id=comments>", "<div class=related>", "<div role=complementary>"])
+def test_side_matter_stays_out_even_with_articles(side):
+    page = f"<main><p>{TEXT}<p>{TEXT}</main>{side}<article><p>Other words. Of another.</article></{side[1:-1].split()[0]}>"
+    assert html_text.main_text(page) == f"{TEXT}\n{TEXT}"
+
+
 def test_main_text_of_hostile_markup():
     for page in ("<div>" * 30_000 + "x", "<p><b>x" * 5_000, '<a "' * 20_000, "<" * 50_000, "<!--" * 20_000, "<script>" * 2_000,
                  "&amp;" * 50_000, "</p>" * 50_000):
