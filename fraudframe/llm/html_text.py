@@ -55,6 +55,8 @@ SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "discussion disqus subscribe subscription newsletter signup login form popup modal overlay widget "
                        "pagination pager toolbar copyright legal skip hidden".split())
 MAIN_WORDS = frozenset("article content post entry story main maincontent".split())
+#: What may stand in a head; its end tag may be missing, and anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
              "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -150,6 +152,8 @@ class Page:
         self._end()
 
     def _say(self, text: str) -> None:
+        if self._open[-1].tag == "head" and text.strip():
+            self._close("head")
         top = self._open[-1]
         if not text or top.unseen:
             return
@@ -171,6 +175,8 @@ class Page:
             self._block = None
 
     def _enter(self, tag: str, attributes: str) -> None:
+        if self._open[-1].tag == "head" and tag not in IN_HEAD:
+            self._close("head")
         if tag in BLOCKS:
             self._end()
             for old, by in CLOSED_BY.items():

@@ -205,6 +205,13 @@ def test_side_matter_stays_out_even_with_articles(side):
     assert html_text.main_text(page) == f"{TEXT}\n{TEXT}"
 
 
+@pytest.mark.parametrize("start", ["<body>", "<div>", "<p>", "", "<header>Site</header>", "<img src=x>", "<a href=y></a>"])
+def test_a_head_may_lack_its_end(start):
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p {}</style><template><p>no</p></template><link href=x>"
+    assert html_text.main_text(f"{head}\n{start}{TEXT}").split("\n")[-1] == TEXT
+    assert html_text.main_text(f"{head}\n</head>{start}{TEXT}") == html_text.main_text(f"{head}\n{start}{TEXT}")
+
+
 def test_main_text_of_hostile_markup():
     for page in ("<div>" * 30_000 + "x", "<p><b>x" * 5_000, '<a "' * 20_000, "<" * 50_000, "<!--" * 20_000, "<script>" * 2_000,
                  "&amp;" * 50_000, "</p>" * 50_000):
