@@ -71,6 +71,8 @@ _TOKEN = re.compile(r"""<!--|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _STATE = re.compile(r"(?:has|with|without|no)[-_]", re.I)  # such a name says what is inside, not what it is
+# Python reads no more than 4,300 digits, zeros included; a reference of 8 digits is beyond all characters.
+_ZEROS, _BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _STOP = re.compile(r"[.!?…:;]")
 
 
@@ -158,7 +160,7 @@ class Page:
         if not text or top.unseen:
             return
         if "&" in text:
-            text = unescape(text)
+            text = unescape(_BEYOND.sub("\ufffd", _ZEROS.sub("&#", text)))
         if self._block is None:
             if not text.strip():
                 return

@@ -94,7 +94,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     found = [("email", a, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() <= 40:

@@ -131,6 +131,14 @@ def test_plain_prose_adds_nothing():
         assert pii.find_pii(text) == ([], [])
 
 
+def test_numbers_beyond_what_python_reads():
+    zeros = "0" * 5_000
+    text = f"x {zeros}.1.1.1 y {zeros}12.{zeros}.3.4 z {'9' * 5_000}.1.1.1"
+    base, _ = pii.find_pii(text)
+    assert [text[a:b].replace(zeros, "Z") for k, a, b in base if k == "ip"] == ["Z.1.1.1", "Z12.Z.3.4"]
+    assert html_text.main_text(f"<p>a&#{zeros}65;b&#{'9' * 5_000};c&#{zeros};d&#x{zeros}41;e&#65f") == "aAb\ufffdc\ufffddAeAf"
+
+
 def test_linear_on_long_runs():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "@" * 200_000):
         pii.find_pii(text)
