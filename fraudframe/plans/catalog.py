@@ -93,17 +93,6 @@ def _readable(spark, sf):
     return spark.createDataFrame(rows, "input string, ok boolean, message string")
 
 
-@query("validate_mapping")
-def _validate_mapping(spark, sf):
-    """Manual mappings of the fx1 table: right, without a required field, of an absent column, of one column twice."""
-    columns = raw(spark, sf, "fx1").columns
-    good = FIXTURE_MAPPINGS["fx1"]
-    cases = {"good": good, "missing": {k: v for k, v in good.items() if k != "fraud_label"},
-             "absent": good | {"merchant": "shop"}, "twice": good | {"user_id": good["amount"]}}
-    return spark.createDataFrame([(n, *detect.validate_mapping(m, columns)) for n, m in cases.items()],
-                                 "mapping string, ok boolean, message string")
-
-
 @query("validate_source")
 def _validate_source(spark, sf):
     return detect.validate_source(raw(spark, sf, "fx1"))
