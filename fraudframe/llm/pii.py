@@ -37,8 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 # Letters and digits that look like the ASCII one they stand beside.
-LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα",
-                      "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXoa"))
+LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα" "ЅІЈҮԌԚԜӀӏһѵѡɡıϹϲϳρνικυχγωσοսոօհց",
+                      "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXoa" "SIJYGQWIlhvwgiCcjpvikuxywoouno" "hg"))
 # Spelled digits in the languages of the corpus.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
                "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -52,18 +52,39 @@ LEAST_SPELLED = 4
 
 _HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WIDE = "！-～٠-٩۰-۹०-९"
-_LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}{_WIDE}]")
+_MATHEMATICAL = "\U0001d400-\U0001d7ff\u24b6-\u24e9\u2102\u210a-\u2113\u2115\u2119-\u211d\u2124\u2128\u212a\u212c\u212d\u212f-\u2134"  # and circled letters, read by NFKC
+_LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}{_WIDE}{_MATHEMATICAL}]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"(?:[\x20,-]{1,2}|\x20(?:dot|point|punkt|punto)\x20)"
 _SPELLED = re.compile(rf"(?<![^\W\d_])(?:plus\x20)?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})){{{LEAST_SPELLED - 1},}}(?![^\W\d_])", re.I)
 _SPELLED_PART = re.compile(rf"plus|dot|point|punkt|punto|{_WORDS}", re.I)
 _MARKED = re.compile(r"\x20{0,2}[\[({<]\x20{0,2}(?:(at|arroba)|dot|punkt|point|punto)\x20{0,2}[\])}>]\x20{0,2}", re.I | re.A)
 _ESCAPED = re.compile(r"(&#0*64;|&commat;|%40)|&#0*46;|&period;|%2e", re.I | re.A)
-# Last parts of a domain that a bare " at ... dot ..." must end in.
+# Bare words.  A listed last part is enough for "at ... dot ..."; any other of two or more letters is taken too,
+# unless the words read as prose: a determiner behind "at", or a function word as the last part.
 _LAST = "com|org|net|edu|gov|info|biz|io|dev|app|ai|me|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|pl|ru|jp|cn|in|br|example|test"
-_BARE = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){0,5}\x20dot\x20"
-                   rf"(?:{_LAST})(?![A-Za-z0-9-]))", re.A | re.I)
+_PROSE_FIRST = ("the|this|that|these|those|a|an|any|each|every|some|one|which|what|my|your|his|her|its|our|their|no|"
+                "el|la|los|las|un|una|este|esta|ese|esa|le|les|une|ce|cette|der|die|das|dem|den|ein|eine")
+_PROSE_LAST = ("here|there|is|was|are|on|and|or|the|that|this|to|of|for|with|as|where|when|which|but|then|if|so|by|from|"
+               "que|en|el|la|los|las|del|con|por|para|donde|et|ou|le|les|des|und|oder|der|die|das|ist|wo")
+# "at ... point ..." is common English ("at boiling point in"): only these.
+_POINT_LAST = "com|org|net|edu|info|io|dev|app|eu|de|fr|ch|ca"
+_LABEL, _END = "[A-Za-z0-9-]{1,63}", "(?![A-Za-z0-9-])"
+
+
+def _tail(dots: str, last: str) -> str:
+    return rf"{_LABEL}(?:\x20(?:{dots})\x20{_LABEL}){{0,5}}\x20(?:{dots})\x20{last}{_END}"
+
+
+_ANY_LAST = f"(?!(?:{_PROSE_LAST}){_END})[A-Za-z]{{2,63}}"
+_BARE = re.compile(
+    r"(?<=[A-Za-z0-9])\x20(?:"
+    rf"at\x20(?=(?!(?:{_PROSE_FIRST})\x20)(?:{_tail('dot|punkt|punto', _ANY_LAST)}|{_tail('dot|punkt|point|punto', f'(?:{_POINT_LAST})')})"
+    rf"|{_tail('dot', f'(?:{_LAST})')})"
+    rf"|arroba\x20(?={_tail('dot|punkt|point|punto', _ANY_LAST)}|{_tail('dot|punkt|point|punto', f'(?:{_LAST})')}))", re.A | re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.A | re.I)
+# The words of other languages are common in prose, so only texts with a disguised at have theirs read.
+_BARE_DOTS = re.compile(r"(?<=[A-Za-z0-9])\x20(?:dot|punkt|point|punto)\x20(?=[A-Za-z0-9])", re.A | re.I)
 
 
 def emails(text: str):
@@ -113,7 +134,8 @@ def _plain(c: str) -> str:
     d = unicodedata.digit(c, None)
     if d is not None:
         return str(d)
-    return unicodedata.normalize("NFKC", c)[:1] or c
+    plain = unicodedata.normalize("NFKC", c)[:1] or c
+    return LOOKALIKES.get(plain, plain)  # a mathematical alpha is an alpha first
 
 
 class Rewritten:
@@ -223,8 +245,10 @@ def deobfuscate(text: str) -> Rewritten:
     if "&" in r.text or "%" in r.text:
         r = r.apply(_ESCAPED, lambda m: "@" if m[1] else ".")
     bare = r.apply(_BARE, lambda m: "@")
-    if bare is not r or "@" in r.text:
-        r = bare.apply(_BARE_DOT, lambda m: ".")
+    if bare is not r or r.text.count("@") > text.count("@"):
+        r = bare.apply(_BARE_DOTS, lambda m: ".")
+    elif "@" in r.text:
+        r = r.apply(_BARE_DOT, lambda m: ".")
     return r
 
 

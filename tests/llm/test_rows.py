@@ -126,6 +126,25 @@ def test_disguises_map_back(text, kind, span):
     assert added == ([(kind, span)] if kind else [])
 
 
+@pytest.mark.parametrize("disguised", [
+    "juan arroba ejemplo punto com", "max at firma punkt de", "jean at maison point fr", "juan punto doe arroba ejemplo punto com punto mx",
+    "joe at start dot co", "joe at site dot se", "joe at site dot xyz", "joe at mail dot site dot museum", "max [at] firma punkt de",
+    "ρετer@site.org".replace("ε", "e").replace("τ", "t"), "νiκι@site.org", "al\u04cfy@site.org", "\U0001d423\U0001d428\U0001d41e@site.org",
+    "\U0001d6d2at@site.org"])
+def test_more_disguises_map_back(disguised):
+    text = f"({disguised}), 2"
+    base, found = pii.find_pii(text)
+    assert ("email", 1, 1 + len(disguised)) in found and ("email", 1, 1 + len(disguised)) not in base
+
+
+def test_more_prose_adds_nothing():
+    for text in ("at this point in time", "arrived at that point be it", "we look at the dot matrix", "at boiling point in water",
+                 "a look at one dot or two", "water at freezing point is ice", "llegamos a este punto en casa", "at some point it ends"):
+        assert pii.find_pii(text) == ([], []), text
+    text = "en este punto joe@site.org point one"
+    assert pii.find_pii(text)[0] == pii.find_pii(text)[1]
+
+
 def test_plain_prose_adds_nothing():
     for text in ("look at this dot here", "one two three four five", "meet at noon", "[at] [dot]", None, ""):
         assert pii.find_pii(text) == ([], [])
