@@ -44,12 +44,12 @@ MARK = "▁"
 #: Steps of the merge per piece.
 PIECE = 1 << 16
 #: Bytes of text per block, and per call of a tokenizer.
-BLOCK, CALL = 1 << 24, 1 << 20
+BLOCK, CALL = 1 << 22, 1 << 19
 #: Places where the byte-level split always cuts, whatever stands around them: white space begins behind a plain
 #: sign or letter.  (After other characters, which may be white space themselves, nothing is cut here.)
 WORD_CUT = re.compile("(?<=[!-~\u00C0-\u024F])(?=[\x20\x09-\x0D])")
 #: Encoded words that a worker keeps, in each of two generations (a memory bound only).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
