@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalar as X
-from .ranks import average_rank_pct, dense_codes, order_statistics, quantiles
+from .ranks import average_rank_pct, dense_codes, order_statistics, quantile_table, quantiles
 
 # All lookups of one plan share this broadcast budget (bytes as the estimate has them: rows with a
 # 10% margin times key bytes and the cost of a hashed row); what does not fit is joined by shuffle.
@@ -205,13 +205,18 @@ def amount_features(df: DataFrame, facts: FeatureFacts | None = None, source: Da
     """
     source = source if source is not None else df
     facts = collect_sizes(source, ["amount"], facts or FeatureFacts())
-    stats = order_statistics(source, "amount", distinct_estimate=facts.distinct_estimates["amount"], path=path)
-    facts.lookup_sizes["amount"] = stats.lookup_rows
+    ranks = want is None or not want.isdisjoint({"amount_percentile", "amount_rank2"})
+    if ranks:
+        stats = order_statistics(source, "amount", distinct_estimate=facts.distinct_estimates["amount"], path=path)
+        facts.lookup_sizes["amount"] = stats.lookup_rows
     if want is None or "is_high_amount" in want:
         # A scalar subquery: it runs inside the final job.
-        q95 = quantiles(stats, [S.HIGH_AMOUNT_QUANTILE], ["_q95"]).select("_q95").scalar()
+        q = [S.HIGH_AMOUNT_QUANTILE], ["_q95"]
+        table = quantiles(stats, *q) if ranks else quantile_table(
+            source, "amount", *q, path=path, distinct_estimate=facts.distinct_estimates["amount"])
+        q95 = table.select("_q95").scalar()
         df = df.withColumn("is_high_amount", F.coalesce(F.col("amount") > q95, F.lit(False)).cast("int"))
-    if want is None or not want.isdisjoint({"amount_percentile", "amount_rank2"}):
+    if ranks:
         pct = average_rank_pct(stats, doubled=True).withColumnsRenamed({"pct": "_pct", "rank2": "_rank2"})
         df = _join_lookup(df, pct, "amount", stats.lookup_rows, facts)
         df = df.withColumn("amount_percentile", F.col("_pct"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as X
-from .ranks import order_statistics, quantiles
+from .ranks import quantile_table
 
 
 def _numeric(df: DataFrame, column: str):
@@ -26,7 +26,7 @@ def basic_stats(df: DataFrame, column: str, path: str = "auto") -> DataFrame:
     moments = num.agg(F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"),
                       F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
                       F.max("x").alias("max"))
-    q = quantiles(order_statistics(num, "x", path=path), [0.5, 0.25, 0.75], ["median", "q25", "q75"])
+    q = quantile_table(num, "x", [0.5, 0.25, 0.75], ["median", "q25", "q75"], path=path)
     return (moments.crossJoin(q)  # both sides are one row
             .where(F.col("count") > 0)
             .select(F.lit(column).alias("column"), "count", "mean", "median", "std", "min", "max",
@@ -66,12 +66,12 @@ def amount_sign_issues(df: DataFrame) -> DataFrame:
                   total(zero).cast("long").alias("zero_amounts"))
 
 
-def iqr_outliers(df: DataFrame) -> DataFrame:
+def iqr_outliers(df: DataFrame, path: str = "auto") -> DataFrame:
     """Per amount column: Q1, Q3 and the count strictly outside 1.5 IQR."""
     out = None
     for c in amount_columns(df):
         num = df.select(_numeric(df, c).alias("x"))
-        q = quantiles(order_statistics(num, "x"), [0.25, 0.75], ["q1", "q3"])
+        q = quantile_table(num, "x", [0.25, 0.75], ["q1", "q3"], path=path)
         iqr = F.col("q3") - F.col("q1")
         lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
         cnt = (num.crossJoin(F.broadcast(q))  # one-row side

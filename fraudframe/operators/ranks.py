@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .select import quantile_frame
 
 
 @dataclass
@@ -238,6 +239,21 @@ def quantiles(stats: OrderStats, probs: list[float], names: list[str] | None = N
     return agg.select(*out)
 
 
+def quantile_table(df: DataFrame, value: str, probs: list[float], names: list[str], groups: list[str] | tuple = (),
+                   path: str = "auto", distinct_estimate: int | None = None) -> DataFrame:
+    """Exact quantiles where nothing else of the order is needed, one row per group.
+
+    Few distinct values are counted in one lazy aggregate; many are never shuffled at all but found by radix selection.
+    ``path`` as in :func:`order_statistics` ("ranged": the plan for many values).
+    """
+    d_est = distinct_estimate if distinct_estimate is not None else 0 if path != "auto" else estimate_distinct(df, value, groups)
+    if path == "bounded" or (path == "auto" and d_est * 1.1 <= SMALL_DISTINCT):
+        return quantiles(order_statistics(df, value, groups, distinct_estimate=d_est, path="bounded"), probs, names)
+    if len(groups) > 1:
+        raise ValueError("radix selection takes one group column")
+    return quantile_frame(df, value, probs, names, groups[0] if groups else None)
+
+
 def quantile_values(stats: OrderStats, probs: list[float]) -> list[float | None]:
     """Quantiles of an ungrouped table as Python floats (one tiny job)."""
     row = quantiles(stats, probs).first()

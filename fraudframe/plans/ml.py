@@ -9,7 +9,7 @@ It saves all of that under one path and scores any table by itself: missing feat
 'nan'), missing values too.
 
 Splits and folds are exact per class: rows are ordered by the md5 of seed and a unique key, and
-cut at the order statistic each class needs.  Class weights are a two-row aggregate turned into a
+cut at the order statistic each class needs, found by radix selection (no sort of the keys).  Class weights are a two-row aggregate turned into a
 ``weightCol`` expression.
 """
 
@@ -34,7 +34,9 @@ from .. import schema as S
 from ..operators import detect, evaluate
 from ..operators.features import BROADCAST_BUDGET, lookup_bytes
 from ..operators.ranks import dense_codes, order_statistics
+from ..operators.select import hex_key, select_ranks
 from ..session import checkpoint_dir, materialize
+from .newton import fit_logistic
 
 ALGORITHMS = ["random_forest", "xgboost", "logistic_regression", "svm"]
 #: Penalty strength of the logistic regression and the svm: sum(w * loss) * C + |b|^2 / 2.
@@ -63,6 +65,8 @@ class FraudModel:
     pipeline: PipelineModel
     codes: dict[str, DataFrame]   # text feature -> (value, code)
     sizes: dict[str, int]         # text feature -> number of known values
+    weights: list[float] | None = None  # of a logistic regression: intercept and coefficients
+    gradient: float | None = None       # of its objective where the fit ended
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with label (where known), coded features, probability and prediction."""
@@ -143,11 +147,10 @@ def split_hash(seed: int, key: str) -> Column:
 
 def _cuts(df: DataFrame, place: Column, shares: list[float], label: str) -> dict:
     """Per class, the largest hash of the first round(n * share) rows in hash order."""
-    stats = order_statistics(df.select(F.col(label).alias("_label"), place.alias("value")), "value", groups=["_label"])
-    wanted = [F.floor(F.col("n_total") * share + 0.5) for share in shares]
-    aggs = [F.max(F.when(F.col("rows_below") < w, F.col("value"))).alias(f"c{i}") for i, w in enumerate(wanted)]
-    rows = stats.table.groupBy("_label").agg(*aggs).collect()  # one row per class
-    return {r["_label"]: [r[f"c{i}"] for i in range(len(shares))] for r in rows}
+    def last(n: int, share: float) -> int:
+        return math.floor(n * share + 0.5) - 1
+    found = select_ranks(df, place, hex_key(place), lambda _, n: [last(n, s) for s in shares], F.col(label))
+    return {g: [at.get(last(n, s)) for s in shares] for g, (n, at) in found.items()}
 
 
 def _at_most(place: Column, cuts: dict, i: int, label: str) -> Column:
@@ -259,9 +262,6 @@ def _estimator(algorithm: str, seed: int, total_weight: float):
         # Boosting lineage grows per round: checkpoint it (to spark.checkpoint.dir).
         return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label", weightCol="weight",
                              cacheNodeIds=True, checkpointInterval=10)
-    if algorithm == "logistic_regression":
-        return LogisticRegression(maxIter=1000, tol=1e-9, elasticNetParam=0.0, standardization=False, labelCol="label",
-                                  weightCol="weight", regParam=penalty(total_weight))
     return LinearSVC(maxIter=SVM_ITERATIONS, tol=1e-4, standardization=False, labelCol="label", weightCol="weight",
                      regParam=penalty(total_weight), rawPredictionCol="_svm_raw", predictionCol="_svm_pred")
 
@@ -283,6 +283,10 @@ def fit_model(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 4
     vec = feat.transform(coded).select(F.col(f"`{key}`").alias("_key"), "label", "features", "weight")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if algorithm == "logistic_regression":
+            fit = fit_logistic(vec, PENALTY_C)
+            inputs = [f"_z_{c}" for c in model_inputs(spec)]
+            return FraudModel(spec, PipelineModel(stages=feat.stages + fit.stages(inputs)), codes, sizes, fit.weights, fit.gradient)
         total = vec.agg(F.sum("weight")).first()[0] or 0.0
         stages = [_estimator(algorithm, seed, total)]
         if algorithm == "svm":
@@ -306,8 +310,7 @@ def penalised_gradient(model: FraudModel, train: DataFrame) -> float:
 
     Near zero at the fitted coefficients of a logistic regression, whatever fitted them.
     """
-    fitted = model.pipeline.stages[-1]
-    beta = [float(b) for b in fitted.coefficients]
+    beta = model.weights[1:]
     rows = model.transform(train).withColumn("weight", weight_column(balanced_weights(train)))
     x, off = vector_to_array("features"), F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
     sums = rows.agg(F.sum(off).alias("g"), F.sum("weight").alias("w"), *[F.sum(off * x[i]).alias(f"g{i}") for i in range(len(beta))])
@@ -355,7 +358,7 @@ def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: floa
         model = fit_model(train, spec, algorithm, random_state, key)
         metrics = evaluate_predictions(model.transform(test))
         if algorithm == "logistic_regression":
-            metrics["gradient"] = penalised_gradient(model, train)
+            metrics["gradient"] = model.gradient
         if cross_validation:
             metrics.update(cross_validate(train, spec, algorithm, random_state, cv_folds, key))
     finally:
@@ -409,7 +412,7 @@ def save_model(model: FraudModel, path: str) -> str:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     for i, c in enumerate(model.spec.text):
         model.codes[c].write.mode("overwrite").parquet(f"{path}/codes/{i}")
-    facts = json.dumps({"spec": asdict(model.spec), "sizes": model.sizes})
+    facts = json.dumps({"spec": asdict(model.spec), "sizes": model.sizes, "weights": model.weights, "gradient": model.gradient})
     spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
     return path
 
@@ -419,4 +422,5 @@ def load_model(path: str, spark: SparkSession | None = None) -> FraudModel:
     facts = json.loads(spark.read.text(f"{path}/features").first()["value"])
     spec = FeatureSpec(**facts["spec"])
     codes = {c: spark.read.parquet(f"{path}/codes/{i}") for i, c in enumerate(spec.text)}
-    return FraudModel(spec, PipelineModel.load(f"{path}/pipeline"), codes, facts["sizes"])
+    return FraudModel(spec, PipelineModel.load(f"{path}/pipeline"), codes, facts["sizes"],
+                      facts.get("weights"), facts.get("gradient"))
