@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as X
+from ..sources.ordering import POSITION
 from .ranks import quantile_table
 
 
@@ -96,11 +97,14 @@ def fraud_by_hour(df: DataFrame) -> DataFrame:
 def top_fraud_category(df: DataFrame, column: str, n: int = S.TOP_CATEGORIES) -> DataFrame:
     """The n most frequent values of ``column`` among fraud rows.
 
-    Ties are broken by value (the reference keeps first-appearance order,
-    which a distributed table does not have).
+    Ties stand in order of first appearance if the rows know their place in the files
+    (:func:`fraudframe.sources.ordering.with_position`), else in the order of the values.
     """
-    return (df.where(fraud_flag() & F.col(column).isNotNull()).groupBy(column)
-            .agg(F.count(F.lit(1)).alias("fraud_count"))
+    fraud = df.where(fraud_flag() & F.col(column).isNotNull())
+    if POSITION in df.columns:
+        counts = fraud.groupBy(column).agg(F.count(F.lit(1)).alias("fraud_count"), F.min(POSITION).alias("_first"))
+        return counts.orderBy(F.col("fraud_count").desc(), F.col("_first").asc()).limit(n).drop("_first")
+    return (fraud.groupBy(column).agg(F.count(F.lit(1)).alias("fraud_count"))
             .orderBy(F.col("fraud_count").desc(), F.col(column).asc()).limit(n))
 
 
@@ -162,7 +166,7 @@ def amount_histogram(df: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
 
 
 def fraud_head(df: DataFrame, key: str, n: int = S.HEAD_ROWS) -> DataFrame:
-    """First n fraud rows in input order (``key`` carries the order)."""
+    """First n fraud rows in input order (``key`` carries the order; ``_position`` is file order)."""
     return df.where(fraud_flag()).orderBy(F.col(key).asc()).limit(n)
 
 

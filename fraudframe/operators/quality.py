@@ -2,8 +2,8 @@
 duplicate rows, sign issues in amount columns, IQR outliers, column types.
 
 Each check is one aggregate (all columns at once where it applies); exact
-quartiles come from ``order_statistics``, not a whole-column percentile
-buffer.
+quartiles are counted or found by radix selection, not by a whole-column
+percentile buffer.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as X
+from ..session import materialize
+from .features import BROADCAST_BUDGET, lookup_bytes
 from .ranks import quantile_table
 
 
@@ -42,13 +44,27 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return agg.select(F.inline(pairs)).where(F.col("missing_count") > 0)
 
 
+def row_digest(df: DataFrame) -> list:
+    """128 bits of a row as two longs; rows equal with nulls equal have equal digests."""
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(F.lit(0), *parts).alias("_d0"), F.xxhash64(F.lit(1), *parts).alias("_d1")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal (nulls equal) to an earlier row, over all columns.
 
-    ``groupBy`` on every column treats nulls as equal and partially
-    aggregates map-side, so a hot duplicate costs one row per task.
+    What is shuffled are 128-bit digests with their counts, whatever a row's width; partial aggregates make a
+    hot duplicate one row per task.  Only rows whose digest is not alone are then grouped by their
+    content, so two different rows of one digest are never taken for duplicates.
     """
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    digest = row_digest(df)
+    met = df.select(*digest).groupBy("_d0", "_d1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+        F.col("_d0").alias("_m0"), F.col("_d1").alias("_m1"))
+    met = materialize(met, "digests")
+    if lookup_bytes(met.count(), 16.0) <= BROADCAST_BUDGET:
+        met = F.broadcast(met)
+    again = df.select("*", *digest).join(met, (F.col("_d0") == F.col("_m0")) & (F.col("_d1") == F.col("_m1")), "left_semi")
+    groups = again.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

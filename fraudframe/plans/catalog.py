@@ -18,8 +18,8 @@ from .. import schema as S
 from ..functions import scalar as X
 from ..operators import charts, detect, evaluate, features, profile, quality
 from ..operators.ranks import dense_codes, order_statistics
-from ..sources import ingest
-from ..sources.tables import FIXTURE_MAPPINGS, fixture
+from ..sources import ingest, ordering
+from ..sources.tables import FIXTURE_MAPPINGS, QUOTED_SQL, fixture, read_table
 from . import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +307,52 @@ def _union(spark, sf):
     return canonical(ingest.union_sources([a, b, a.where("is_fraud = 1")]))
 
 
+@query("union_sources_types")
+def _union_types(spark, sf):
+    """Sources whose columns clash in type: whole and broken numbers, numbers and text, truth values and numbers."""
+    df = raw(spark, sf, "fx7")
+    a = df.select("transaction_id", F.expr("cast(transaction_id % 7 as int)").alias("code"), (F.col("is_fraud") == 1).alias("flag"),
+                  F.expr("cast(transaction_id % 100 as int)").alias("amount"))
+    b = df.select("transaction_id", F.expr("concat('x', transaction_id % 5)").alias("code"), F.col("is_fraud").alias("flag"), "amount")
+    c = df.select("transaction_id", (F.col("transaction_id") * 3).alias("code"), F.lit(None).cast("boolean").alias("flag"))
+    return canonical(ingest.union_sources([a, b, c]))
+
+
+# --- file order ------------------------------------------------------------------------------
+
+def _placed(spark, sf, fx):
+    """The cleaned table with each row's place in the files."""
+    return features.clean(fixture(spark, sf, fx, position=True), FIXTURE_MAPPINGS[fx])
+
+
+@query("preview_file_order")
+def _preview_file_order(spark, sf):
+    return canonical(ordering.preview(read_table(spark, sf, "lineitem"), 10))
+
+
+@query("row_numbers")
+def _row_numbers(spark, sf):
+    """Every row with its number in the file, as a data frame's index has it."""
+    return canonical(ordering.with_row_number(fixture(spark, sf, "fx3", position=True)).select(
+        "row_number", "amount", "label", "vendor"))
+
+
+@query("fraud_head_file_order")
+def _fraud_head_file_order(spark, sf):
+    df = profile.fraud_head(_placed(spark, sf, "fx3"), ordering.POSITION)
+    return canonical(df.select("amount", "merchant", "card_type", "is_fraud"))
+
+
+@query("high_risk_file_order")
+def _high_risk_file_order(spark, sf):
+    df = profile.high_risk(fixture(spark, sf, "fx7", position=True), S.HIGH_RISK_API, "input", ordering.POSITION)
+    return canonical(df.drop(ordering.POSITION))
+
+
+for _name, _fx, _col in (("top_fraud_location_first_seen", "fx1", "location"), ("top_fraud_merchant_first_seen", "fx8", "merchant")):
+    QUERIES[_name] = (lambda fx, col: lambda spark, sf: canonical(profile.top_fraud_category(_placed(spark, sf, fx), col)))(_fx, _col)
+
+
 @query("merchant_risk")
 def _merchant_risk(spark, sf):
     df = cleaned(spark, sf, "fx8")
@@ -460,6 +506,31 @@ def _scan_inferred(spark, sf):
     return canonical(out.select("transaction_id", "amount", "note", "is_fraud", F.lit(types).alias("types")))
 
 
+@query("scan_csv_quoted")
+def _scan_quoted(spark, sf):
+    """Values with quotes, separators, line ends and backslashes and 19-digit ids, out as CSV and in with inferred types."""
+    from ..session import scratch_path
+    raw(spark, sf, "fx7").createOrReplaceTempView("fx7")
+    path = ingest.export_csv(spark.sql(QUOTED_SQL), scratch_path(spark, "csv"))
+    back = ingest.scan_csv(spark, path)
+    types = ",".join(f"{c}:{t}" for c, t in sorted(back.dtypes))
+    return canonical(back.withColumns({"reference": F.col("reference").cast("string"), "types": F.lit(types)}))
+
+
+@query("scan_csv_rejects")
+def _scan_rejects(spark, sf):
+    """A file with unquoted separators and bad numbers: every record is a good row or a reject with its cause."""
+    from ..session import scratch_path
+    df = raw(spark, sf, "fx7").select(
+        "transaction_id", F.expr("case when transaction_id % 7 = 0 then 'abc' when transaction_id % 11 = 0 then 'NA' else cast(transaction_id as string) end").alias("amount"),
+        F.expr("case when transaction_id % 13 = 0 then 'a,b' else 'plain' end").alias("note"))
+    path = scratch_path(spark, "csv")
+    df.write.option("header", True).option("quote", "\u0000").csv(path)  # as a careless writer leaves it
+    good, rejects = ingest.scan_csv_rejects(spark, path, "transaction_id long, amount double, note string")
+    bad = rejects.select(F.split("record", ",")[0].cast("long").alias("transaction_id"), F.lit(None).cast("double").alias("amount"), "cause")
+    return canonical(good.select("transaction_id", "amount", F.lit("good").alias("cause")).unionByName(bad))
+
+
 @query("export_json")
 def _export_json(spark, sf):
     """fx7 rows out as JSON records and back in."""

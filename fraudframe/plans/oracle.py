@@ -7,7 +7,7 @@ order-statistics tables.  Doubles are rounded to 6 places.
 
 from __future__ import annotations
 
-from ..sources.tables import FIXTURE_MAPPINGS, fixture_cte
+from ..sources.tables import FIXTURE_MAPPINGS, QUOTED_SQL, fixture_cte
 
 VIEW_COLUMNS = {
     "fx1": ["transaction_id", "transaction_amount", "is_fraud", "created_at", "payment_method",
@@ -550,3 +550,35 @@ ORACLE["column_types"] = fixture_cte("fx5") + (
     " when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string'"
     " when 'BOOLEAN' then 'boolean' when 'TIMESTAMP' then 'timestamp_ntz' when 'DATE' then 'date'"
     " else lower(column_type) end as data_type from (describe (select * from fx5))")
+
+# --- CSV as it comes, types over sources, file order ------------------------------------------------
+ORACLE["scan_csv_quoted"] = fixture_cte("fx7") + (
+    "select transaction_id, account, merchant, reference, round(amount, 6) as amount,"
+    " 'account:bigint,amount:double,merchant:string,reference:decimal(38,0),transaction_id:bigint' as types"
+    f" from ({QUOTED_SQL.strip()})")
+ORACLE["scan_csv_rejects"] = fixture_cte("fx7") + (
+    "select transaction_id, case when transaction_id % 13 = 0 or transaction_id % 7 = 0 or transaction_id % 11 = 0 then null"
+    " else transaction_id::double end as amount, case when transaction_id % 13 = 0 then 'wrong number of fields'"
+    " when transaction_id % 7 = 0 then 'amount: not a double' else 'good' end as cause from fx7")
+ORACLE["union_sources_types"] = fixture_cte("fx7") + (
+    "select transaction_id, (transaction_id % 7)::varchar as code, case when is_fraud = 1 then 'True' else 'False' end as flag,"
+    " (transaction_id % 100)::double as amount from fx7 union all"
+    " select transaction_id, 'x' || (transaction_id % 5), is_fraud::varchar, round(amount, 6) from fx7 union all"
+    " select transaction_id, (transaction_id * 3)::varchar, null, null from fx7")
+_LINES = fixture_cte("fx3").rstrip() + ", o as (select *, row_number() over () - 1 as row_number from fx3) "
+ORACLE["preview_file_order"] = "select * replace (%s) from lineitem limit 10" % ", ".join(
+    ["strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') as l_shipdate"] + [
+        f"round({c}, 6) as {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+ORACLE["row_numbers"] = _LINES + "select row_number, round(amount, 6) as amount, label, vendor from o"
+ORACLE["fraud_head_file_order"] = _LINES + (
+    "select round(amount, 6) as amount, vendor as merchant, type as card_type, 1 as is_fraud from o where label = 1 and amount >= 0"
+    " order by row_number limit 20")
+ORACLE["high_risk_file_order"] = _FX7 + (
+    f"select {_FX7_COLS} from (select *, row_number() over () as rn from fx7) where fraud_probability > 0.7 order by rn limit 20")
+ORACLE["top_fraud_location_first_seen"] = fixture_cte("fx1").rstrip() + (
+    ", o as (select *, row_number() over () as rn from fx1) select city as location, count(*) as fraud_count from o"
+    " where is_fraud = 'Fraud' and transaction_amount >= 0 and city is not null group by city order by fraud_count desc, min(rn) limit 10")
+ORACLE["top_fraud_merchant_first_seen"] = fixture_cte("fx8").rstrip() + (
+    ", o as (select *, row_number() over () as rn from fx8) select merchant_category as merchant, count(*) as fraud_count from o"
+    " where label = 'Fraud' and amount >= 0 and merchant_category is not null"
+    " group by merchant_category order by fraud_count desc, min(rn) limit 10")

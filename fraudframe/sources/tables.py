@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ordering import POSITION, with_position
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations"]
@@ -68,6 +70,15 @@ select event_id as transaction_id, value as amount, case when value > 147 then '
 from events""",
 }
 
+# Values that CSV must quote and ids of 19 digits, made of fx7 (char 34 is the quote, 10 a line end, 92 a backslash).
+QUOTED_SQL = """
+select transaction_id, 1234567890123456789 + transaction_id as account,
+ case transaction_id % 6 when 0 then concat('Joe ', chr(34), 'Big', chr(34), ' Bar') when 1 then 'a, b;'
+  when 2 then concat('two', chr(10), 'lines') when 3 then concat('back', chr(92), 'slash', chr(92))
+  when 4 then concat(chr(34), chr(10), ',') else ' plain ' end as merchant,
+ concat('98765432109876543210', lpad(cast(transaction_id as string), 9, '0')) as reference, amount
+from fx7"""
+
 # Mappings a user of each view would pass by hand (fx4 cannot be detected).
 FIXTURE_MAPPINGS = {
     "fx1": {"amount": "transaction_amount", "fraud_label": "is_fraud", "timestamp": "created_at",
@@ -91,16 +102,22 @@ def _tables_in(sql: str) -> list[str]:
     return [t for t in BASE_TABLES if t in words]
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, position: bool = False) -> DataFrame:
     """One of the FX views over the parquet tables under ``sf_dir``.
 
     The base tables are registered as temp views (the SQL names them) and the
     returned DataFrame is bound to those scans, so later re-registration for
-    another directory does not change it.
+    another directory does not change it.  With ``position`` the rows carry their place in the
+    files of the view's first table (``_position``).
     """
-    sql = FIXTURE_SQL[name]
-    for t in _tables_in(sql):
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
+    sql, tables = FIXTURE_SQL[name], _tables_in(FIXTURE_SQL[name])
+    scans = {t: read_table(spark, sf_dir, t) for t in tables}
+    if position:
+        first = re.search(r"\nfrom (\w+)", sql).group(1)
+        scans[first] = with_position(scans[first])
+        sql = sql.replace(f"\nfrom {first}", f", {POSITION}\nfrom {first}")
+    for t, scan in scans.items():
+        scan.createOrReplaceTempView(t)
     return spark.sql(sql)
 
 
