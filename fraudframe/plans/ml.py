@@ -4,7 +4,7 @@ A model is one :class:`FraudModel`: the feature list, one code table per text fe
 place in sorted order, unseen -> number of values) and a fitted ``PipelineModel``
   [logistic / svm: population-std standardisation, a fitted SQLTransformer] ->
   [svm: random Fourier features (SQLTransformer)] -> VectorAssembler -> estimator
-  (+ calibration of the svm's margin).
+  (+ calibration of the svm's margin); boosting ends in the trees of a :class:`Booster` instead.
 It saves all of that under one path and scores any table by itself: missing features are 0 (text:
 'nan'), missing values too.
 
@@ -22,8 +22,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,8 @@ from ..operators import detect, evaluate
 from ..operators.features import BROADCAST_BUDGET, lookup_bytes
 from ..operators.ranks import dense_codes, order_statistics
 from ..operators.select import hex_key, select_ranks
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, materialize, ship_package
+from .boosting import Booster, fit_booster
 from .newton import fit_logistic
 
 ALGORITHMS = ["random_forest", "xgboost", "logistic_regression", "svm"]
@@ -67,10 +67,16 @@ class FraudModel:
     sizes: dict[str, int]         # text feature -> number of known values
     weights: list[float] | None = None  # of a logistic regression: intercept and coefficients
     gradient: float | None = None       # of its objective where the fit ended
+    booster: Booster | None = None      # boosted trees take the place of the pipeline's estimator
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with label (where known), coded features, probability and prediction."""
-        return self.pipeline.transform(encode(prepare(df, self.spec), self.codes, self.sizes))
+        out = self.pipeline.transform(encode(prepare(df, self.spec), self.codes, self.sizes))
+        if self.booster:
+            ship_package(df.sparkSession)
+            out = out.withColumn("probability", self.booster.probability(model_inputs(self.spec)))
+            out = out.withColumn("prediction", (vector_to_array("probability")[1] > 0.5).cast("double"))
+        return out
 
 
 def feature_spec(df: DataFrame, keep_transaction_id: bool = False) -> FeatureSpec:
@@ -258,10 +264,6 @@ def _estimator(algorithm: str, seed: int, total_weight: float):
     if algorithm == "random_forest":
         return RandomForestClassifier(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", seed=seed, labelCol="label",
                                       weightCol="weight", cacheNodeIds=True, checkpointInterval=10)
-    if algorithm == "xgboost":
-        # Boosting lineage grows per round: checkpoint it (to spark.checkpoint.dir).
-        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label", weightCol="weight",
-                             cacheNodeIds=True, checkpointInterval=10)
     return LinearSVC(maxIter=SVM_ITERATIONS, tol=1e-4, standardization=False, labelCol="label", weightCol="weight",
                      regParam=penalty(total_weight), rawPredictionCol="_svm_raw", predictionCol="_svm_pred")
 
@@ -280,6 +282,8 @@ def fit_model(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 4
     weights = balanced_weights(train)
     coded = encode(train, codes, sizes).withColumn("weight", _row_weight(algorithm, weights))
     feat = Pipeline(stages=feature_stages(coded, spec, algorithm, seed)).fit(coded)
+    if algorithm == "xgboost":
+        return FraudModel(spec, feat, codes, sizes, booster=fit_booster(coded, model_inputs(spec)))
     vec = feat.transform(coded).select(F.col(f"`{key}`").alias("_key"), "label", "features", "weight")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -412,7 +416,8 @@ def save_model(model: FraudModel, path: str) -> str:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     for i, c in enumerate(model.spec.text):
         model.codes[c].write.mode("overwrite").parquet(f"{path}/codes/{i}")
-    facts = json.dumps({"spec": asdict(model.spec), "sizes": model.sizes, "weights": model.weights, "gradient": model.gradient})
+    facts = json.dumps({"spec": asdict(model.spec), "sizes": model.sizes, "weights": model.weights, "gradient": model.gradient,
+                        "booster": model.booster.to_dict() if model.booster else None})
     spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
     return path
 
@@ -423,4 +428,4 @@ def load_model(path: str, spark: SparkSession | None = None) -> FraudModel:
     spec = FeatureSpec(**facts["spec"])
     codes = {c: spark.read.parquet(f"{path}/codes/{i}") for i, c in enumerate(spec.text)}
     return FraudModel(spec, PipelineModel.load(f"{path}/pipeline"), codes, facts["sizes"],
-                      facts.get("weights"), facts.get("gradient"))
+                      facts.get("weights"), facts.get("gradient"), Booster.from_dict(facts["booster"]) if facts.get("booster") else None)

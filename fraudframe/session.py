@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers of a local master; a cluster gets it as any package (``--py-files``)."""
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" and sc.applicationId not in _SHIPPED:
+        sc.addFile(str(Path(__file__).resolve().parent), recursive=True)
+        _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
