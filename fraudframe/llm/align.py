@@ -5,9 +5,13 @@ places where its tokens end.  Merging the two lists gives the links and groups:
 neighbouring ends lies exactly one A and one B token, which overlap there; where both lists hold
 the same end, a group of tokens closes.
 
-The merge is cut by merge-path partitioning: the ends of a batch form one long merge of |A| + |B|
+Texts are cut into words where neither tokenizer's tokens can cross, and a word that comes again is not
+encoded or merged again: a text's links and groups are those of its words one after the other.  The
+merge works on the ends of many words (whole texts, where nothing can be cut) laid end to end.
+
+The merge is cut by merge-path partitioning: these ends form one long merge of |A| + |B|
 steps; binary searches along evenly spaced diagonals give the place (i, j) in both lists after every
-``PIECE`` steps, so pieces carry equal work whatever the texts are like and need nothing of each
+``PIECE`` steps, so pieces carry equal work whatever the words are like and need nothing of each
 other.  Each piece emits its overlaps and the groups that close in it; the group left open at the
 end of a piece is stitched to the next by adding up how many groups closed before.
 
@@ -24,11 +28,13 @@ and count as often; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from functools import cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +51,16 @@ MARK = "▁"
 PIECE = 1 << 16
 #: Bytes of text per block, and per call of a tokenizer.
 BLOCK, CALL = 1 << 22, 1 << 19
-#: Places where the byte-level split always cuts, whatever stands around them: white space begins behind a plain
-#: sign or letter.  (After other characters, which may be white space themselves, nothing is cut here.)
-WORD_CUT = re.compile("(?<=[!-~\u00C0-\u024F])(?=[\x20\x09-\x0D])")
-#: Encoded words that a worker keeps, in each of two generations (a memory bound only).
-KEPT_WORDS = 100_000
+#: Places that neither a byte-level split nor a piece ever crosses, whatever stands around them: a space with a
+#: character other than a space after it begins behind a plain sign or letter.  (Other characters may be white
+#: space themselves; at the end of a text the model would drop a space that stands alone.)
+WORD_CUT = re.compile("(?<=[!-~\u00C0-\u024F])(?= +[^ ])")
+#: How byte-level files split a text (a fixed value of the format), and texts in whose characters all
+#: libraries see the same letters, digits and white space.
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = re.compile("[\n\x20-\x7E\xA1-\u024F]*").fullmatch
+#: Aligned words that a worker keeps, in each of two generations (a memory bound only).
+KEPT_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,16 +71,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts, the bytes of every id, and ids as text."""
+    """One tokenizer: ids of texts that begin with a space, the bytes of every id, whether words may be encoded apart."""
 
-    def __init__(self, encode, spelled: list[bytes]):
-        self.encode, self.spelled = encode, spelled
+    def __init__(self, encode, spelled: list[bytes], cuts: bool):
+        self.encode, self.spelled, self.cuts = encode, spelled, cuts
         self.lengths = np.array([len(s) for s in spelled], np.int64)
-        names = [str(i) for i in range(len(spelled))]
-        self.inner = np.array([n + "," for n in names], object)
+        self._signed: dict[str, np.ndarray] = {}
 
-    def last(self, sign: str) -> np.ndarray:
-        return np.array([str(i) + sign for i in range(len(self.spelled))], object)
+    def signed(self, sign: str) -> np.ndarray:
+        """Every id as text with ``sign`` behind it."""
+        if sign not in self._signed:
+            self._signed[sign] = np.array([f"{i}{sign}" for i in range(len(self.spelled))], object)
+        return self._signed[sign]
 
 
 @cache
@@ -82,30 +95,37 @@ def byte_level(path: str) -> Side:
     spelled = [b""] * t.get_vocab_size(with_added_tokens=True)
     for name, i in t.get_vocab(with_added_tokens=True).items():
         spelled[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
-
-    def plain(texts):
-        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
     form = json.loads(t.to_str())
     split = form["pre_tokenizer"] or {}
     added = any(not x["special"] for x in form["added_tokens"])
-    if form["normalizer"] or added or split.get("type") != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"]:
-        return Side(lambda texts: plain([" " + x for x in texts]), spelled)
-    kept = [{}, {}]  # two generations of encoded words
+    cuts = not form["normalizer"] and not added and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
 
     def encode(texts):
-        cut = [WORD_CUT.split(" " + x) for x in texts]
-        words = set().union(*cut)
-        if len(kept[0]) > KEPT_WORDS:
-            kept[:] = [{}, kept[0]]
-        new, old = kept
-        words.difference_update(new)
-        known = words & old.keys()
-        new.update((w, old[w]) for w in known)
-        fresh = list(words - known)
-        new.update(zip(fresh, plain(fresh)))
-        return [list(chain.from_iterable(map(new.__getitem__, c))) for c in cut]
-    return Side(encode, spelled)
+        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    quick = _by_ranks(form, spelled) if cuts else None
+    if quick is None:
+        return Side(encode, spelled, cuts)
+
+    def encode_mixed(texts):
+        ids = [quick(x) if LATIN(x) else None for x in texts]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, encode([texts[k] for k in rest])):
+            ids[k] = x
+        return ids
+    return Side(encode_mixed, spelled, cuts)
+
+
+def _by_ranks(form: dict, spelled: list[bytes]):
+    """The file's vocabulary as an encoder by ranks (some times faster on short texts), if its merges are
+    numbered in the order they are made; None otherwise."""
+    import tiktoken
+    vocab, merges = form["model"]["vocab"], form["model"]["merges"]
+    made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in merges]
+    plain = {i for i in vocab.values() if len(spelled[i]) == 1}
+    if made != sorted(set(made) - {None}) or len(plain) != 256 or plain | set(made) != set(vocab.values()) or max(plain) > made[0]:
+        return None
+    ranks = {spelled[i]: i for i in vocab.values()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @cache
@@ -114,16 +134,9 @@ def piece_level(path: str) -> Side:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-    return Side(lambda texts: sp.encode(texts, num_threads=1), spelled)
-
-
-def spans_of(side: Side, texts: list[str], raws: list[bytes]) -> list[np.ndarray | None]:
-    """Ids of each text, None where their joined bytes are not a space and the text."""
-    out = []
-    for ids, raw in zip(side.encode(texts), raws):
-        ids = np.asarray(ids, np.int32)
-        out.append(ids if b"".join(map(side.spelled.__getitem__, ids.tolist())) == raw else None)
-    return out
+    crossing = re.compile(f"[^{MARK}]{MARK}")
+    # The model puts the space in front itself.
+    return Side(lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), spelled, not any(crossing.search(p) for p in names))
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,81 +181,132 @@ def align_ends(a: np.ndarray, b: np.ndarray, piece: int = PIECE):
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def _encoded(side: Side, kept: np.ndarray, ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, tokens before each text, lengths) of the kept texts laid end to end."""
-    own = [x for x, k in zip(ids, kept) if k]
-    flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-    before = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
-    return flat, before, side.lengths[flat]
-
-
-def align_block(texts: list[str | None], a: Side, b: Side, piece: int = PIECE) -> dict:
-    """All about one block: per text n_a, n_b, n_groups, n_links, groups, its distinct pairs (places in the block's list,
-    ascending, and how often each is linked), and the block's list of pairs with the number of texts that hold each."""
-    n = len(texts)
-    raws = [(" " + t).encode() if t else b"" for t in texts]
-    ids_a, ids_b = [None] * n, [None] * n
-    at = 0
-    while at < n:
-        end, size = at, 0
-        while end < n and (end == at or size + len(raws[end]) <= CALL):
-            size += len(raws[end])
-            end += 1
-        some = [k for k in range(at, end) if raws[k]]
-        if some:
-            mine, own = [texts[k] for k in some], [raws[k] for k in some]
-            for k, x, y in zip(some, spans_of(a, mine, own), spans_of(b, mine, own)):
-                ids_a[k], ids_b[k] = x, y
-        at = end
-    kept = np.array([x is not None and y is not None for x, y in zip(ids_a, ids_b)], bool)
-    flat_a, before_a, len_a = _encoded(a, kept, ids_a)
-    flat_b, before_b, len_b = _encoded(b, kept, ids_b)
-    del ids_a, ids_b
-    # Every text ends with an end of both, so no link or group reaches over to the next.
-    link_a, link_b, shut_a, shut_b = align_ends(np.cumsum(len_a), np.cumsum(len_b), piece)
-
-    text_of_link = np.searchsorted(before_a, link_a, "right") - 1
-    text_of_group = np.searchsorted(before_a, shut_a, "left") - 1
-    m = int(kept.sum())
-    n_links, n_groups = np.bincount(text_of_link, minlength=m), np.bincount(text_of_group, minlength=m)
+def _laid_out(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, tokens before each word) of words laid end to end."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    return flat, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _whole(side: Side, ids: list[list[int]], raw: list[bytes]) -> list[bool]:
+    """Whether the joined bytes of its tokens are the word."""
+    flat, before = _laid_out(ids)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(side.lengths[flat])])[before])
+    if sizes.tolist() == list(map(len, raw)) and b"".join(map(side.spelled.__getitem__, flat.tolist())) == b"".join(raw):
+        return [True] * len(raw)
+    return [b"".join(map(side.spelled.__getitem__, x)) == w for x, w in zip(ids, raw)]
+
+
+class Word(NamedTuple):
+    """What a word adds to every text it stands in."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    pairs: np.ndarray  # of every link: A id * 2^32 + B id
+    whole: bool        # the joined bytes of both tokenizers are the word
+
+
+def align_words(words: list[str], a: Side, b: Side, piece: int = PIECE) -> list[Word]:
+    """Encode words with both tokenizers and merge their ends, all words in one merge."""
+    raw = [w.encode() for w in words]
+    ids_a, ids_b = a.encode(words), b.encode(words)
+    whole = [x and y for x, y in zip(_whole(a, ids_a, raw), _whole(b, ids_b, raw))]
+    if not all(whole):
+        ids_a, ids_b = ([x if k else [] for x, k in zip(ids, whole)] for ids in (ids_a, ids_b))
+    (flat_a, before_a), (flat_b, before_b) = _laid_out(ids_a), _laid_out(ids_b)
+    # Every word ends with an end of both, so no link or group reaches over to the next.
+    link_a, link_b, shut_a, shut_b = align_ends(np.cumsum(a.lengths[flat_a]), np.cumsum(b.lengths[flat_b]), piece)
+    pairs = (flat_a[link_a] << 32) | flat_b[link_b]
+    links = np.searchsorted(link_a, before_a).tolist()
+    shut = np.searchsorted(shut_a, before_a, "right")
+    shut[0] = 0  # words without tokens before the first group
 
     # Groups as text: A ids, a bar, B ids, a semicolon; each id is written with the sign behind it.
     sizes_a, sizes_b = np.diff(shut_a, prepend=0), np.diff(shut_b, prepend=0)
-    words_a, words_b = a.inner[flat_a], b.inner[flat_b]
-    words_a[shut_a - 1] = _bars(a)[flat_a[shut_a - 1]]
-    words_b[shut_b - 1] = _semicolons(b)[flat_b[shut_b - 1]]
-    words = np.empty(len(flat_a) + len(flat_b), object)
-    words[np.arange(len(flat_a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = words_a
-    words[np.arange(len(flat_b)) + np.repeat(np.cumsum(sizes_a), sizes_b)] = words_b
-    cuts = (before_a + before_b).tolist()
-    groups = ["".join(words[x:y].tolist())[:-1] for x, y in zip(cuts[:-1], cuts[1:])]
-    del words, words_a, words_b
-
-    pairs, where = np.unique((flat_a[link_a].astype(np.int64) << 32) | flat_b[link_b], return_inverse=True)
-    held, uses = np.unique(text_of_link * max(len(pairs), 1) + where, return_counts=True)
-    of_text, place = np.divmod(held, max(len(pairs), 1))
-    bounds = np.searchsorted(of_text, np.arange(m + 1))
-    spread = np.full(n, -1)
-    spread[kept] = np.arange(m)
-
-    def column(values, empty=0):
-        return [values[k] if k >= 0 else empty for k in spread.tolist()]
-    offsets = np.zeros(n + 1, np.int32)
-    offsets[1:] = np.cumsum(column(np.diff(bounds).tolist()))
-    return {"n_a": column(np.diff(before_a).tolist()), "n_b": column(np.diff(before_b).tolist()),
-            "n_groups": column(n_groups.tolist()), "n_links": column(n_links.tolist()), "groups": column(groups, ""),
-            "offsets": offsets, "place": place.astype(np.int32), "uses": uses.astype(np.int32),
-            "pairs": pairs, "docs": np.bincount(place, minlength=len(pairs))}
-
-
-@cache
-def _bars(side: Side) -> np.ndarray:
-    return side.last("|")
+    signed_a, signed_b = a.signed(",")[flat_a], b.signed(",")[flat_b]
+    signed_a[shut_a - 1] = a.signed("|")[flat_a[shut_a - 1]]
+    signed_b[shut_b - 1] = b.signed(";")[flat_b[shut_b - 1]]
+    text = np.empty(len(flat_a) + len(flat_b), object)
+    text[np.arange(len(flat_a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = signed_a
+    text[np.arange(len(flat_b)) + np.repeat(np.cumsum(sizes_a), sizes_b)] = signed_b
+    text, cuts = text.tolist(), (before_a + before_b).tolist()
+    return [Word(n_a, n_b, n_groups, "".join(text[c0:c1])[:-1], pairs[p0:p1], k) for n_a, n_b, n_groups, c0, c1, p0, p1, k in zip(
+        np.diff(before_a).tolist(), np.diff(before_b).tolist(), np.diff(shut).tolist(), cuts, cuts[1:], links, links[1:], whole)]
+
+
+class Aligner:
+    """Aligns blocks of texts; words that come again are not encoded again."""
+
+    def __init__(self, a: Side, b: Side, piece: int = PIECE):
+        self.a, self.b, self.piece = a, b, piece
+        self.cut = WORD_CUT.split if a.cuts and b.cuts else lambda t: [t]
+        self.new: dict[str, Word] = {}
+        self.old: dict[str, Word] = {}
+
+    def words(self, wanted: set[str]) -> dict[str, Word]:
+        if len(self.new) > KEPT_WORDS:
+            self.old, self.new = self.new, {}
+        missing = wanted - self.new.keys()
+        known = missing & self.old.keys()
+        self.new.update((w, self.old[w]) for w in known)
+        missing = list(missing - known)
+        at = 0
+        while at < len(missing):
+            end, size = at, 0
+            while end < len(missing) and (end == at or size + len(missing[end]) <= CALL):
+                size += len(missing[end])
+                end += 1
+            self.new.update(zip(missing[at:end], align_words(missing[at:end], self.a, self.b, self.piece)))
+            at = end
+        return self.new
+
+    def block(self, texts: list[str | None]) -> dict:
+        """All about one block: per text n_a, n_b, n_groups, n_links, groups, its distinct pairs (places in the block's list,
+        ascending, and how often each is linked), and the block's list of pairs with the number of texts that hold each."""
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        names = list(set().union(*cut))
+        kept = self.words(set(names))
+        own = [kept[w] for w in names]
+        # A text is aligned if all its words are.
+        bad = {w for w, x in zip(names, own) if not x.whole}
+        if bad:
+            cut = [[] if not bad.isdisjoint(c) else c for c in cut]
+        n, sizes = len(texts), np.fromiter(map(len, cut), np.int64, len(texts))
+        number = dict(zip(names, range(len(names))))
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(n), sizes)
+        groups = {w: x.groups for w, x in zip(names, own)}
+        out = {"groups": [";".join(map(groups.__getitem__, c)) for c in cut]}
+        counts = {"n_a": [x.n_a for x in own], "n_b": [x.n_b for x in own], "n_groups": [x.n_groups for x in own],
+                  "n_links": [len(x.pairs) for x in own]}
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for c, of_word in counts.items():
+            out[c] = np.diff(np.concatenate([[0], np.cumsum(np.array(of_word, np.int64)[word])])[ends])
+        # Words of a text once each with their repeats, then their pairs.
+        pairs, places = np.unique(np.concatenate([np.zeros(0, np.int64), *[x.pairs for x in own]]), return_inverse=True)
+        per_word = np.array(counts["n_links"], np.int64)
+        starts = np.concatenate([[0], np.cumsum(per_word)])
+        held, times = np.unique(text * len(names) + word, return_counts=True)
+        text, word = np.divmod(held, max(len(names), 1))
+        reach = per_word[word]
+        inside = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+        place = places[np.repeat(starts[word], reach) + inside]
+        key = np.repeat(text, reach) * max(len(pairs), 1) + place
+        order = np.argsort(key, kind="stable")
+        key, uses = key[order], np.repeat(times, reach)[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        text, place = np.divmod(key[first], max(len(pairs), 1))
+        return out | {"offsets": np.searchsorted(text, np.arange(n + 1)).astype(np.int32), "place": place.astype(np.int32),
+                      "uses": (np.add.reduceat(uses, first) if len(first) else uses).astype(np.int32),
+                      "pairs": pairs, "docs": np.bincount(place, minlength=len(pairs))}
 
 
 @cache
-def _semicolons(side: Side) -> np.ndarray:
-    return side.last(";")
+def aligner(a_file: str, b_file: str) -> Aligner:
+    """One per worker process."""
+    return Aligner(byte_level(a_file), piece_level(b_file))
 
 
 def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", a_file: str = A_FILE, b_file: str = B_FILE,
@@ -253,7 +317,14 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", a_file:
     kind = docs.schema[key].dataType.simpleString()
 
     def one_block(ids: list, texts: list, number: int):
-        found = align_block(texts, byte_level(a_file), piece_level(b_file))
+        # A block makes many small objects and no cycles: looking for some costs a sixth of the time.
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            found = aligner(a_file, b_file).block(texts)
+        finally:
+            if looking:
+                gc.enable()
         none = [None] * (len(ids) - 1)
         lists = [pa.ListArray.from_arrays(pa.array(found["offsets"]), pa.array(found[c])) for c in ("place", "uses")]
         heads = [pa.array([found[c], *none], pa.list_(pa.int64())) for c in ("pairs", "docs")]

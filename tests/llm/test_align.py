@@ -79,10 +79,28 @@ def test_pieces_are_equal_work():
 
 def test_word_cuts_do_not_change_ids(encoders):
     rng = random.Random(3)
-    bits = [" ", "  ", "\n", "\t", "a", "é", "Word", "'s", "!", "\x1c", " ", "12", "<|endoftext|>", "ß", "日本", "\x85", "٣", "ⅷ", "́"]
+    bits = [" ", "  ", " ", "\n", "\t", "a", "é", "Word", "'s", "!", "\x1c", "\xa0", "12", "<|endoftext|>", "ß", "日本", "\x85", "٣", "ⅷ", "\u0301"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
-    got = align.byte_level(align.A_FILE).encode(texts)
-    assert got == [encoders[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+    side = align.Aligner(align.byte_level(align.A_FILE), align.piece_level(align.B_FILE))
+    assert side.a.cuts and side.b.cuts and sum(len(side.cut(" " + t)) > 2 for t in texts) > 500
+    for t in texts:
+        cut = side.cut(" " + t)
+        assert [i for ids in side.a.encode(cut) for i in ids] == encoders[0].encode(" " + t, add_special_tokens=False).ids
+        assert [i for ids in side.b.encode(cut) for i in ids] == encoders[1].encode(t)
+
+
+def test_blocks_equal_plain_alignment_with_and_without_cuts(encoders):
+    texts = [r[1] for r in odd_rows()[:-4]] + ["one two  two one", "日本語 text", "a", " ", "  lead and trail  "]
+    a, b = align.byte_level(align.A_FILE), align.piece_level(align.B_FILE)
+    for cuts in (True, False):
+        one = align.Aligner(a, align.Side(b.encode, b.spelled, cuts), piece=7)
+        found = one.block(texts)
+        for i, t in enumerate(texts):
+            ids_a, ids_b, groups, pairs = plain_alignment(t, encoders)
+            assert (found["n_a"][i], found["n_b"][i], found["n_links"][i], found["groups"][i]) == (len(ids_a), len(ids_b), len(pairs), groups)
+            at = slice(found["offsets"][i], found["offsets"][i + 1])
+            got = {(p >> 32, p & 0xFFFFFFFF): u for p, u in zip(found["pairs"][found["place"][at]].tolist(), found["uses"][at].tolist())}
+            assert got == Counter(pairs)
 
 
 def test_query_on_odd_rows(spark, encoders):
