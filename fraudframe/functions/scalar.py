@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from . import timeformat
 
 # A decimal or scientific number with optional sign and surrounding blanks;
 # anything else (currency signs, thousands separators, hex, Java suffixes such
@@ -59,7 +60,7 @@ def numeric_label(c: Column, dtype: T.DataType) -> Column:
 def parse_timestamp(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
     """Timestamp parse; bad text -> null.  Numbers are epoch nanoseconds.
 
-    ``fmt`` is the one form of a text column (None: ISO).
+    ``fmt`` is the one form of a text column (None: ISO), see :mod:`fraudframe.functions.timeformat`.
     """
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
@@ -75,7 +76,7 @@ def parse_timestamp(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     text = strip_text(c.cast("string"))
     if fmt is None:
         return text.try_cast("timestamp_ntz")
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    return timeformat.parse(text, fmt)
 
 
 def weekday_monday0(ts: Column) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalar as X
+from ..functions import timeformat
 from .ranks import average_rank_pct, dense_codes, order_statistics, quantile_table, quantiles
 
 # All lookups of one plan share this broadcast budget (bytes as the estimate has them: rows with a
@@ -92,7 +93,7 @@ def _label_always_numeric(dtype: T.DataType) -> bool:
 
 
 def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts:
-    """The data-dependent branches of ``clean``: at most one aggregate over the columns they need."""
+    """The data-dependent branches of ``clean``: one aggregate over the columns they need (two for times in text)."""
     if "fraud_label" not in df.columns:
         raise ValueError("Fraud label column is required but not found")
     ldt = _dtype(df, "fraud_label")
@@ -108,7 +109,8 @@ def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts
     if text_time:
         raw = F.col("timestamp")
         present = X.strip_text(raw).isNotNull()
-        for i, fmt in enumerate(S.TIMESTAMP_FORMATS):
+        forms = timeformat.candidates(df, "timestamp", amount_ok)
+        for i, fmt in enumerate(forms):
             bad = present & X.parse_timestamp(raw, _dtype(df, "timestamp"), fmt).isNull()
             aggs += [F.count_if(amount_ok & mapped & bad).alias(f"bad_mapped{i}"),
                      F.count_if(amount_ok & bad).alias(f"bad_all{i}")]
@@ -118,9 +120,9 @@ def collect_facts(df: DataFrame, on_bad_timestamp: str = "drop") -> FeatureFacts
         facts.label_mode = "numeric" if numeric else "map"
     if text_time:
         which = "bad_all" if facts.label_mode == "numeric" else "bad_mapped"
-        wrong = [int(r[f"{which}{i}"]) for i in range(len(S.TIMESTAMP_FORMATS))]
+        wrong = [int(r[f"{which}{i}"]) for i in range(len(forms))]
         facts.bad_timestamps = min(wrong)
-        facts.timestamp_format = S.TIMESTAMP_FORMATS[wrong.index(facts.bad_timestamps)]
+        facts.timestamp_format = forms[wrong.index(facts.bad_timestamps)]
         facts.timestamp_dropped = facts.bad_timestamps > 0 and on_bad_timestamp == "drop"
     return facts
 

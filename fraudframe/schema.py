@@ -43,13 +43,6 @@ LABEL_VALUES = {
     "fraudulent": 1, "genuine": 0,
 }
 
-# Text timestamp forms, tried in this order for a whole column (None: ISO date or date and time).
-TIMESTAMP_FORMATS = [
-    None, "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy",
-    "yyyyMMdd",
-]
-
 # Value sets a label column must be a subset or superset of.
 BINARY_LABEL_SETS = [
     ("0", "1"), ("true", "false"), ("yes", "no"),

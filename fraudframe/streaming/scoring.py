@@ -25,8 +25,13 @@ from ..plans import ml
 WHOLE_TABLE_FEATURES = {"amount_percentile"}
 
 
-def fit_snapshot(processed: DataFrame, path: str) -> str:
-    """Write the lookup tables and thresholds of a processed training table."""
+def fit_snapshot(processed: DataFrame, path: str, timestamp_format: str | None = None) -> str:
+    """Write the lookup tables and thresholds of a processed training table.
+
+    ``timestamp_format``: the form that was found in its times, if they were text (``FeatureFacts``).
+    """
+    form = processed.sparkSession.createDataFrame([(timestamp_format,)], "form string")
+    form.coalesce(1).write.mode("overwrite").parquet(f"{path}/_time")
     for c in S.CATEGORICAL_FIELDS:
         if c in processed.columns:
             (processed.where(F.col(c).isNotNull())
@@ -48,7 +53,8 @@ def stream_features(stream: DataFrame, mapping: dict, snapshot: str, label_mode:
     if "fraud_label" in df.columns:
         df = FE.standardize_label(df, label_mode).drop("fraud_label")
     if "timestamp" in df.columns:
-        df = FE.time_features(df, drop=False)
+        form = spark.read.parquet(f"{snapshot}/_time").first()["form"]
+        df = FE.time_features(df, False, form)
     for c in S.CATEGORICAL_FIELDS:
         if c in df.columns:
             lk = spark.read.parquet(f"{snapshot}/{c}")
