@@ -6,13 +6,12 @@ dataset in ``evaluate``.)
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..session import materialize
-
-#: Columns per block of the correlation matrix (a pair of blocks is at most BLOCK^2 sums).
-BLOCK = 24
+from .gram import pair_moments
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -23,87 +22,22 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair (x, y) over rows where both are present.
 
-    Up to ``BLOCK`` columns, two passes, both single aggregates; more columns are paired block by
-    block, each pair of blocks one aggregate over the input written once.
-
-    The passes:
-      1. per column: count, null count, mean, min, max  (one row to the driver);
-      2. centred sums around those means: sum(dx*dy) per pair, sum(dx^2) per
-         column; pairs touching a column with nulls also get the pair-row count
-         and pair sums of dx, dy, dx^2, dy^2, so the pairwise-complete moments
-         follow exactly from the identity cov = E[dx dy] - E[dx] E[dy].
-    Centring keeps the sums well conditioned at any row count; plain sums
-    compile to far smaller code than n^2 covariance aggregates.  r is null
-    for a constant side (min = max) or fewer than one pair row.
+    One pass for any number of columns (:func:`fraudframe.operators.gram.pair_moments`); what comes to the driver
+    are the moments of the pairs, as many as the result has rows.  r is null for a constant side
+    or fewer than one pair row.
     """
     cols = columns or numeric_columns(df)
+    schema = "x string, y string, r double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    m = pair_moments(df, cols)
+    cov, var = m.covariance()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.clip(cov / np.sqrt(var * var.T), -1.0, 1.0)
+    varies = m.low < m.high
+    r[np.diag_indices(len(cols))] = 1.0
+    r = np.where(varies[:, None] & varies[None, :] & np.isfinite(r), r, np.nan)
     k = len(cols)
-    if k == 0:
-        return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    # Expressions are built as SQL text: thousands of Column objects would each
-    # cost a driver round trip, one parsed string per expression does not.
-    base = df.selectExpr(*[f"cast(`{c}` as double) as c{i}" for i, c in enumerate(cols)])
-    first = ["count(1) as rows"]
-    for i in range(k):
-        first += [f"count(c{i}) as n{i}", f"avg(c{i}) as m{i}", f"min(c{i}) as lo{i}",
-                  f"max(c{i}) as hi{i}"]
-    s = base.selectExpr(*first).first()
-    rows = s["rows"]
-    mean = [s[f"m{i}"] if s[f"m{i}"] is not None else 0.0 for i in range(k)]
-    has_null = [s[f"n{i}"] < rows for i in range(k)]
-    const = [s[f"n{i}"] == 0 or s[f"lo{i}"] == s[f"hi{i}"] for i in range(k)]
-
-    def dx(i):
-        return f"(c{i} - cast({mean[i]!r} as double))"
-
-    blocks = [range(a, min(a + BLOCK, k)) for a in range(0, k, BLOCK)]
-    if len(blocks) > 1:
-        base = materialize(base, "correlation")
-    parts = [_pairs(base, cols, sorted({(min(i, j), max(i, j)) for i in a for j in b}), rows, dx, has_null, const)
-             for n, a in enumerate(blocks) for b in blocks[n:]]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
-
-
-def _pairs(base: DataFrame, cols: list[str], pairs: list[tuple[int, int]], rows: int, dx, has_null, const) -> DataFrame:
-    """(x, y, r) and (y, x, r) of the given column pairs, one aggregate."""
-    aggs = [f"sum({dx(i)} * {dx(i)}) as q{i}" for i in sorted({i for p in pairs for i in p})]
-    for i, j in pairs:
-        if i < j:
-            aggs.append(f"sum({dx(i)} * {dx(j)}) as p{i}_{j}")
-            if has_null[i] or has_null[j]:
-                both = f"(c{i} is not null and c{j} is not null)"
-                aggs += [f"count_if({both}) as np{i}_{j}",
-                         f"sum(case when {both} then {dx(i)} end) as sx{i}_{j}",
-                         f"sum(case when {both} then {dx(j)} end) as sy{i}_{j}",
-                         f"sum(case when {both} then {dx(i)} * {dx(i)} end) as sxx{i}_{j}",
-                         f"sum(case when {both} then {dx(j)} * {dx(j)} end) as syy{i}_{j}"]
-    moments = base.selectExpr(*aggs)
-
-    def r_expr(i, j):
-        if i == j:
-            return "cast(null as double)" if const[i] else "1.0d"
-        if const[i] or const[j]:
-            return "cast(null as double)"
-        if has_null[i] or has_null[j]:
-            n = f"cast(np{i}_{j} as double)"
-            ex, ey = f"(sx{i}_{j} / {n})", f"(sy{i}_{j} / {n})"
-            cov = f"(p{i}_{j} / {n} - {ex} * {ey})"
-            vx = f"(sxx{i}_{j} / {n} - {ex} * {ex})"
-            vy = f"(syy{i}_{j} / {n} - {ey} * {ey})"
-        else:
-            n = f"cast({rows} as double)"
-            cov, vx, vy = f"(p{i}_{j} / {n})", f"(q{i} / {n})", f"(q{j} / {n})"
-        den = f"sqrt({vx} * {vy})"
-        # Clamp rounding overshoot of |r| just above 1.
-        return (f"greatest(-1.0d, least(1.0d, try_divide({cov}, "
-                f"case when {den} > 0 then {den} end)))")
-
-    entries = []
-    for i, j in pairs:
-        for a, b in {(i, j), (j, i)}:
-            x, y = cols[a].replace("'", "\\'"), cols[b].replace("'", "\\'")
-            entries.append(f"named_struct('x', '{x}', 'y', '{y}', 'r', {r_expr(i, j)})")
-    return moments.selectExpr(f"inline(array({', '.join(entries)}))")
+    table = pa.table({"x": pa.array(cols).take(pa.array(np.repeat(np.arange(k), k))), "y": pa.array(cols * k),
+                      "r": pa.array(r.ravel(), from_pandas=True)})
+    return df.sparkSession.createDataFrame(table, schema)

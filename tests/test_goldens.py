@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,13 +72,19 @@ def test_headline_rounds_halves_to_even(spark):
     assert r["avg_fraud_amount"] == 0.12 and r["fraud_rate"] == 12.5
 
 
-def test_correlation_in_blocks(spark, monkeypatch):
-    rows = [(float(i), float(i * i % 7), float(i % 5) if i % 4 else None, float(-i), 3.0) for i in range(40)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
-    whole = {(r["x"], r["y"]): r["r"] for r in charts.correlation_matrix(df).collect()}
-    monkeypatch.setattr(charts, "BLOCK", 2)
-    blocks = charts.correlation_matrix(df).collect()
-    assert len(blocks) == 25 and {(r["x"], r["y"]): r["r"] for r in blocks} == pytest.approx(whole)
+def test_correlation_of_many_columns_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 200)) * rng.choice([1e-3, 1, 1e4], 200) + rng.choice([0, 1e3, -1e5], 200)
+    x[:, 7] = x[:, 3] * 2 + 5
+    x[:, 9] = 42.1
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 11] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(200)])
+    df = spark.createDataFrame(pdf).repartition(130)  # two groups of tasks and a rest
+    out = charts.correlation_matrix(df).toPandas().pivot(index="x", columns="y", values="r").loc[pdf.columns, pdf.columns].to_numpy(float)
+    want = pdf.corr().to_numpy()
+    want[[9, 11]], want[:, [9, 11]] = np.nan, np.nan  # no r with a constant or an empty side
+    assert np.allclose(out, want, atol=2e-6, equal_nan=True) and out[3, 7] == pytest.approx(1.0)
 
 
 def test_integer_epochs_are_exact(spark):
