@@ -1,4 +1,4 @@
-"""Document fingerprints by consistent weighted sampling (DataFrame functions only).
+"""Document fingerprints by consistent weighted sampling.
 
 A text is a weighted set: its words (A-Z lowered) with their counts.  For each of ``samples``
 independent samples, a term of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash:
@@ -9,12 +9,13 @@ and the term with the smallest a is sampled, together with t.  Two texts agree i
 probability equal to their generalised Jaccard similarity, sum min / sum max of the weights; the
 share of equal samples estimates it.
 
-A sample is kept as one long: an order-preserving 31-bit form of ln a above 32 bits of hash of
-(term, t), so a sample is a plain minimum that Spark aggregates in generated code; unequal samples
-agree by accident once in 4 billion.  Words are counted and sampled in aggregates keyed by document; no
-text or word list is ever gathered.  Texts move once, to the partition of their key, and the
-half of each that the document before needs once more; both moves are shared by all that follows.
-A text and its edited form are counted side by side, and a term draws its r, c and b once for both.
+A sample is kept as one 64-bit number: an order-preserving 31-bit form of ln a above 32 bits of hash of
+(term, t), so a sample is a plain minimum; unequal samples agree by accident once in 4 billion.  Which document
+follows which, and the edited texts, are made with DataFrame functions: texts move once, to the partition of
+their key, and the half of each that the document before needs once more.  The samples themselves are
+drawn in the tasks on arrays (see the README for the figures of the form without Python): every
+(word, count) is drawn once for all texts and edited forms that hold it while a worker keeps it; the kept draws are
+bounded by ``KEPT``, so a task's memory does not grow with the words.
 
 Defined results: null text is empty; a text without words has the fingerprint of dashes, which is like itself
 and nothing else; a null id stays null and sorts last; rows with equal id are ordered by text, and
@@ -24,44 +25,141 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import with_pid
+from .common import small_batches, with_pid
 
-#: Samples per text, a multiple of LANES.
 SAMPLES = 64
-LANES = 4
 EMPTY = "-"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACE = "[\\x20\\x09-\\x0D]+"
-#: Above every packed sample; that of a term which a side does not have.
-ABSENT = (1 << 63) - 1
-_M21 = (1 << 21) - 1
-_STEP = 1.0 / (1 << 21)
-
-
-def _uniform(bits: Column, shift: int) -> Column:
-    """(0, 1) from 21 bits of a long."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(_M21)).cast("double") + 0.5) * F.lit(_STEP)
-
-
-def _samples(term: Column, weights: list[tuple[Column, Column]], k: Column) -> list[Column]:
-    """The packed k-th sample of a term for each (log weight, ABSENT or 0): ordered ln a, then 32 bits of hash of (term, t)."""
-    h1, h2 = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
-    r = -F.ln(_uniform(h1, 0) * _uniform(h1, 21))
-    ln_c = F.ln(-F.ln(_uniform(h2, 0) * _uniform(h2, 21)))
-    b = _uniform(h1, 42)
-    out = []
-    for log_weight, absent in weights:
-        t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))
-        ln_a = ln_c - r * (t.cast("double") - b) - r
-        # ln a lies between -90 and 4; as a fixed-point long it orders like the number itself.
-        ordered = ((ln_a + 96.0) * float(1 << 24)).cast("long")
-        which = F.xxhash64(h2, t).bitwiseAND(F.lit(0xFFFFFFFF))
-        # No condition around it: what the sides share is then computed once.
-        out.append(F.shiftleft(ordered, 32).bitwiseOR(which).bitwiseOR(absent))
+#: Bytes of text handled at once (a longer text alone), terms drawn at once, and drawn terms that a worker keeps.
+CHUNK, ROWS, KEPT = 1 << 20, 256, 1 << 18
+_STEP = 1.0 / (1 << 32)
+_NONE = np.uint64((1 << 64) - 1)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of 64 bits."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _minus_log(bits: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1): less the logarithm of the product of two uniforms of 32 bits each."""
+    u = (bits >> np.uint64(32)).astype(np.float64)
+    u += 0.5
+    v = (bits & _LOW).astype(np.float64)
+    v += 0.5
+    u *= v
+    u *= _STEP * _STEP
+    np.log(u, out=u)
+    return np.negative(u, out=u)
+
+
+class Numbers(dict):
+    """(word, count) -> its row in a table; new ones get the next row and are listed in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[tuple[bytes, int]] = []
+
+    def __missing__(self, term):
+        self.fresh.append(term)
+        n = self[term] = len(self)
+        return n
+
+
+class Sampler:
+    """Signatures of texts; the draws of terms that come again are kept (``KEPT`` of them, then anew)."""
+
+    def __init__(self, samples: int = SAMPLES):
+        self.samples, self.numbers = samples, Numbers()
+        self.table = np.empty((0, samples), np.uint64)
+
+    def draw(self) -> None:
+        """Fill the rows of the fresh terms."""
+        fresh, end = self.numbers.fresh, len(self.numbers)
+        at = end - len(fresh)
+        if end > len(self.table):
+            grown = np.empty((max(end, min(KEPT, 2 * len(self.table))), self.samples), np.uint64)
+            grown[:at] = self.table[:at]
+            self.table = grown
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in fresh), np.uint64, len(fresh))
+        counts = np.fromiter((n for _, n in fresh), np.int64, len(fresh))
+        self.table[at:end] = drawn(hashes, counts, self.samples)
+        self.numbers.fresh = []
+
+    def sign(self, texts: list[bytes]) -> list[list[int] | None]:
+        """The 32-bit parts (as signed ints) of every text's samples; None for a text without words."""
+        # bytes.lower() lowers A-Z, bytes.split() cuts at ASCII white space.
+        held = [list(Counter(t.lower().split()).items()) for t in texts]
+        best = np.full((len(texts), self.samples), _NONE)
+        # Parts of texts, so that the terms of one round fit the table.
+        parts = [(i, p) for i, terms in enumerate(held) for p in range(0, len(terms), KEPT // 4)]
+        at = 0
+        while at < len(parts):
+            if len(self.numbers) > KEPT // 2:
+                self.numbers = Numbers()
+            rows, end = [], at
+            while end < len(parts) and len(self.numbers) <= KEPT * 3 // 4:
+                i, p = parts[end]
+                terms = held[i][p:p + KEPT // 4]
+                rows.append((i, np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))))
+                end += 1
+            self.draw()
+            for i, own in rows:
+                for a in range(0, len(own), ROWS):
+                    np.minimum(best[i], self.table[own[a:a + ROWS]].min(axis=0), out=best[i])
+            at = end
+        low = ((best & _LOW).astype(np.int64) - (1 << 31)).tolist()
+        return [x if terms else None for x, terms in zip(low, held)]
+
+
+@cache
+def sampler(samples: int) -> Sampler:
+    """One per worker process."""
+    return Sampler(samples)
+
+
+def drawn(terms: np.ndarray, counts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """The packed samples (rows) of terms (64-bit hashes) with their counts: ordered ln a, then 32 bits of hash of (term, t)."""
+    out = np.empty((len(terms), samples), np.uint64)
+    k = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(terms), ROWS):  # small enough to stay in the processor's cache
+        h1 = _mixed(terms[at:at + ROWS, None] + k)
+        h2 = _mixed(h1 + np.uint64(0xD1B54A32D192ED03))
+        h3 = _mixed(h2 + np.uint64(0x8CB92BA72F3D8DD7))
+        r = _minus_log(h1)
+        ln_c = np.log(_minus_log(h2))
+        b = (h3 >> np.uint64(32)).astype(np.float64)
+        b += 0.5
+        b *= _STEP
+        t = np.log(counts[at:at + ROWS].astype(np.float64))[:, None] / r
+        t += b
+        np.floor(t, out=t)
+        # ln a lies between -90 and 4; as a fixed-point number it orders like itself.
+        b -= t
+        b -= 1.0
+        b *= r
+        b += ln_c
+        b += 96.0
+        b *= float(1 << 24)
+        which = _mixed(h3 ^ (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        which &= _LOW
+        which |= b.astype(np.uint64) << np.uint64(32)
+        out[at:at + ROWS] = which
     return out
 
 
@@ -71,29 +169,35 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: i
 
 
 def side_signatures(texts: DataFrame, keys: list[str], sides: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
-    """keys and one signature (array of ints, null without words) per text of ``sides``, for rows with any words.
-
-    Where ``texts`` is partitioned by its keys already, this adds no shuffle.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), c.alias("text")) for i, c in enumerate(sides.values())]))
-    lowered = F.translate(F.col("_t.text"), UPPER, LOWER)
-    words = texts.select(*keys, each.alias("_t")).select(*keys, F.col("_t.side").alias("_side"), F.explode(F.split(lowered, SPACE)).alias("_w"))
-    counts = [F.count(F.when(F.col("_side") == i, 1)).alias(f"_n{i}") for i in range(len(sides))]
-    terms = words.where(F.col("_w") != "").select(*keys, "_side", F.xxhash64("_w").alias("_term")).groupBy(*keys, "_term").agg(*counts)
-    weights = [(F.ln(F.greatest(F.col(f"_n{i}"), F.lit(1)).cast("double")).alias(f"_log{i}"),
-                F.when(F.col(f"_n{i}") == 0, F.lit(ABSENT)).otherwise(F.lit(0).cast("long")).alias(f"_absent{i}")) for i in range(len(sides))]
-    # LANES samples side by side keep the generated code small; the rest are blocks of rows.
-    terms = terms.select(*keys, "_term", *[c for w in weights for c in w],
-                         F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))).alias("_block"))
-    named = [(F.col(f"_log{i}"), F.col(f"_absent{i}")) for i in range(len(sides))]
-    packed = [F.min(x).alias(f"_s{i}_{j}") for j in range(LANES)
-              for i, x in enumerate(_samples(F.col("_term"), named, F.col("_block") * LANES + j))]
-    blocks = terms.groupBy(*keys, "_block").agg(*packed)
-    lanes = [F.when(F.col(f"_s{i}_0") != ABSENT, F.array(*[
-        (F.col(f"_s{i}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for j in range(LANES)])) for i in range(len(sides))]
-    blocks = blocks.select(*keys, F.struct("_block", *[x.alias(f"lanes{i}") for i, x in enumerate(lanes)]).alias("_b"))
-    in_order = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
-    return in_order.select(*keys, *[F.flatten(F.col(f"_bs.lanes{i}")).alias(name) for i, name in enumerate(sides)])
+    """keys and one signature (array of ints, null without words) per text of ``sides``, for rows with any words."""
+    some = F.lit(False)
+    for name in sides:
+        some = some | F.col(name).isNotNull()
+    return _with_signatures(texts, keys, sides, samples).where(some)
+
+
+def _with_signatures(rows: DataFrame, keep: list[str], sides: dict[str, Column], samples: int) -> DataFrame:
+    """The ``keep`` columns and one signature per text of ``sides``, row by row: nothing moves."""
+    chosen = rows.select(*keep, *[c.alias(n) for n, c in sides.items()])
+
+    def batches(found):
+        for batch in found:
+            texts = [[t or b"" for t in c.cast(pa.binary()).to_pylist()] for c in batch.columns[len(keep):]]
+            out = [[] for _ in texts]
+            at = 0
+            while at < batch.num_rows:
+                end, size = at, 0
+                while end < batch.num_rows and (end == at or size + sum(len(t[end]) for t in texts) <= CHUNK):
+                    size += sum(len(t[end]) for t in texts)
+                    end += 1
+                signed = sampler(samples).sign([x for t in texts for x in t[at:end]])
+                for i, o in enumerate(out):
+                    o += signed[i * (end - at):(i + 1) * (end - at)]
+                at = end
+            yield pa.record_batch([*batch.columns[:len(keep)], *[pa.array(o, pa.list_(pa.int32())) for o in out]], batch.schema.names)
+
+    schema = ", ".join([f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` array<int>" for n in sides])
+    return small_batches(chosen).mapInArrow(batches, schema)
 
 
 def fingerprint(signature: Column) -> Column:
@@ -152,15 +256,15 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.expr("length(text) div 2")), F.col("head"))
 
-    signed = side_signatures(pairs.select(*KEY, "text", edited.alias("edited")), KEY, {"own": F.col("text"), "edit": F.col("edited")}, samples)
-    signed = signed.select(*[F.col(c).alias(f"_{c}") for c in KEY], "own", "edit")
-    facts = pairs.select(*KEY, "next", "copies", n.alias("n_chars"), F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha"))
-    done = materialize(facts.join(signed, mine, "left").drop("_kid", "_nul", "_th"), "cws-signatures")
+    facts = pairs.select(*KEY, "next", "copies", n.cast("long").alias("n_chars"),
+                         F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha"), "text", edited.alias("edited"))
+    kept = [*KEY, "next", "copies", "n_chars", "sha"]
+    done = materialize(_with_signatures(facts, kept, {"own": F.col("text"), "edit": F.col("edited")}, samples), "cws-signatures")
 
     following = done.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("own").alias("other"))
     behind = (F.col("next.kid") == F.col("_kid")) & (F.col("next.nul") == F.col("_nul")) & (F.col("next.th") == F.col("_th"))
     out = done.join(following, behind).select(
-        F.when(~F.col("nul"), F.col("kid")).alias(key), F.col("n_chars").cast("long").alias("n_chars"),
+        F.when(~F.col("nul"), F.col("kid")).alias(key), "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit"), samples).alias("near_edited"),
