@@ -40,7 +40,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
                    "menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript svg math iframe object canvas head title textarea select button".split())
+UNSEEN = frozenset("script style template noscript svg annotation annotation-xml iframe object canvas head title textarea select button".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 SIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 # Side matter that may hold articles of its own: an article or main element in it is not the page's.
@@ -54,6 +54,10 @@ SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "footer sidebar side rail related recommended share sharing social comment comments reply replies respond "
                        "discussion disqus subscribe subscription newsletter signup login form popup modal overlay widget "
                        "pagination pager toolbar copyright legal skip hidden".split())
+# Names that an article also gives to parts of its own: there they cost by what the part links to.
+OWN_WORDS = frozenset("header masthead banner legal share sharing social notice alert side rail form widget hidden copyright menu".split())
+OWN_NAMES = frozenset("header legal copyright".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("article content post entry story main maincontent".split())
 #: What may stand in a head; its end tag may be missing, and anything else ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -66,7 +70,7 @@ PER_WORD, MOST_WORDS, LINKED, STOPPED = 0.08, 3.0, 4.0, 0.8
 PRIOR = 1.0
 NEXT, SIBLING = 0.6, 0.9
 
-_TOKEN = re.compile(r"""<!--|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)/?>"""
+_TOKEN = re.compile(r"""<!--|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)/?>"""
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -84,6 +88,7 @@ class Element:
     side: bool = False      # boilerplate by tag, role or comment block, itself or above
     soft: bool = False      # within a form or an element with a name of side matter
     wrapper: int = 0        # number of the nearest such element
+    weak: bool = False      # that element is part of an article and may be its own
     closed: bool = False    # within side matter that an article or main element does not end
     main: bool = False      # within the main element
     side_in_main: bool = False
@@ -99,15 +104,16 @@ class Block:
     side_in_main: bool
     soft: bool
     wrapper: int
+    weak: bool
     depth: int
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _names(attributes: str) -> tuple[set[str], set[str]]:
-    """Lower-cased parts of class and id names, and roles."""
-    words, roles = set(), set()
+def _names(attributes: str) -> tuple[set[str], set[str], set[str]]:
+    """Lower-cased parts of class and id names, roles, and whole names."""
+    words, roles, wholes = set(), set(), set()
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
@@ -117,7 +123,8 @@ def _names(attributes: str) -> tuple[set[str], set[str]]:
                 if not _STATE.match(name):
                     words.update(p.lower() for p in _PART.findall(name))
                     words.add(name.lower())
-    return words, roles
+                    wholes.add(name.lower())
+    return words, roles, wholes
 
 
 class Page:
@@ -164,7 +171,7 @@ class Page:
         if self._block is None:
             if not text.strip():
                 return
-            self._block = Block(top.outer, top.side, top.main, top.side_in_main, top.soft, top.wrapper, len(self._open))
+            self._block = Block(top.outer, top.side, top.main, top.side_in_main, top.soft, top.wrapper, top.weak, len(self._open))
         self._block.pieces.append(text)
         if self._links:
             self._block.linked += len(text.split())
@@ -190,24 +197,28 @@ class Page:
             return
         above = self._open[-1]
         self._number += 1
-        e = Element(tag, self._number, above.unseen or tag in UNSEEN, above.side, above.soft, above.wrapper, above.closed,
+        e = Element(tag, self._number, above.unseen or tag in UNSEEN, above.side, above.soft, above.wrapper, above.weak, above.closed,
                     above.main, above.side_in_main, above.inner, above.outer)
         if tag in BLOCKS:
             e.inner, e.outer = e.number, above.inner
-        words, roles = _names(attributes) if attributes.strip() else ((), ())
+        words, roles, wholes = _names(attributes) if attributes.strip() else (set(), set(), set())
         structural = tag not in ("html", "body", "article", "main")
         roled = structural and not SIDE_ROLES.isdisjoint(roles)
-        named = structural and not SIDE_WORDS.isdisjoint(words)
+        named = structural and tag not in HEADINGS and not SIDE_WORDS.isdisjoint(words)
+        found = SIDE_WORDS & words
+        # Within an article: only such words, and none of them as a whole name but those of an article's own parts.
+        own = named and above.main and found <= OWN_WORDS and SIDE_WORDS & wholes <= OWN_NAMES
         if (tag in SIDE_TAGS or roled or named) and not (above.main and tag == "header"):  # a header within the article is its own
             if (tag in SIDE_TAGS and tag != "form") or roled or not COMMENT_WORDS.isdisjoint(words):
                 e.side, e.side_in_main = True, above.main
             else:  # a name or a form may be around the whole page; its cost follows its share of the text
+                e.weak = own and tag not in SIDE_TAGS and (above.weak or not above.soft)
                 e.soft, e.wrapper = True, e.number
                 self.around[e.number] = above.wrapper
             e.closed = e.closed or tag in CLOSED_TAGS or not CLOSED_ROLES.isdisjoint(roles) or not CLOSED_WORDS.isdisjoint(words)
         elif tag in ("article", "main") or "main" in roles or "article" in roles:
             if not above.closed:
-                e.side = e.soft = e.side_in_main = False
+                e.side = e.soft = e.side_in_main = e.weak = False
                 e.main = True
                 self.has_main = True
         elif tag in BLOCKS and not MAIN_WORDS.isdisjoint(words):
@@ -241,21 +252,25 @@ class Page:
 
 def costs(page: Page) -> list[tuple[float, float]]:
     """(capacity to content, capacity to boilerplate) per block."""
-    out, held, total = [], Counter(), 0
+    out, held, linked, total = [], Counter(), Counter(), 0
     for b in page.blocks:
         words = len(b.text.split())
         total += words
         held[b.wrapper] += words
+        linked[b.wrapper] += b.linked
     for w in sorted(page.around, reverse=True):  # what is inside has the higher number
         if page.around[w]:
             held[page.around[w]] += held[w]
+            linked[page.around[w]] += linked[w]
     for b in page.blocks:
         words = len(b.text.split())
         content = PRIOR + min(MOST_WORDS, PER_WORD * words) + STOPPED * bool(_STOP.search(b.text))
         boiler = PRIOR + LINKED * min(1.0, b.linked / words)
-        share = held[b.wrapper] / total if b.soft and not b.side else 1.0
+        share = held[b.wrapper] / total if b.soft and not b.side and not b.weak else 1.0
         if b.side:
             boiler += SIDE_IN_MAIN if b.side_in_main else SIDE
+        elif b.soft and b.weak:
+            boiler += SIDE * min(1.0, linked[b.wrapper] / held[b.wrapper])
         else:
             boiler += SIDE * (1.0 - share)
         if b.main and not b.side:

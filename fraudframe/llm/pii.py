@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import pandas as pd
@@ -73,7 +73,7 @@ _LABEL, _END = "[A-Za-z0-9-]{1,63}", "(?![A-Za-z0-9-])"
 
 
 def _tail(dots: str, last: str) -> str:
-    return rf"{_LABEL}(?:\x20(?:{dots})\x20{_LABEL}){{0,5}}\x20(?:{dots})\x20{last}{_END}"
+    return rf"{_LABEL}(?:\x20(?:{dots})\x20{_LABEL})*\x20(?:{dots})\x20{last}{_END}"
 
 
 _ANY_LAST = f"(?!(?:{_PROSE_LAST}){_END})[A-Za-z]{{2,63}}"
@@ -145,12 +145,11 @@ class Rewritten:
         self.text = text
         #: (position here, end here, source start, source end, rewritten?)
         self.runs = runs or [(0, len(text), 0, len(text), False)]
+        self._starts = [r[0] for r in self.runs]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        starts = [r[0] for r in self.runs]
-
         def at(p: int, last: bool) -> int:
-            a, b, s, e, changed = self.runs[bisect_right(starts, p) - 1]
+            a, b, s, e, changed = self.runs[bisect_right(self._starts, p) - 1]
             if changed:
                 return e if last else s
             return s + (p - a) + last
@@ -159,7 +158,8 @@ class Rewritten:
     def touched(self, start: int, end: int) -> bool:
         """Whether a rewritten run lies in the span, or something between was taken out."""
         s, e = self.source(start, end)
-        return e - s != end - start or any(r[4] and r[0] < end and r[1] > start for r in self.runs)
+        first, last = bisect_right(self._starts, start) - 1, bisect_left(self._starts, end)
+        return e - s != end - start or any(r[4] for r in self.runs[first:last])
 
     def apply(self, pattern: re.Pattern, to) -> Rewritten:
         """Replace every match; ``to`` gives the output, or the match's pieces as (start, end, output)."""

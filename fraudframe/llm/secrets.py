@@ -60,6 +60,7 @@ PATTERNS = {
     "package": re.compile("npm_[A-Za-z0-9]+"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
+_RUN = re.compile("[A-Za-z0-9_-]*")
 HEX_RUN = 16
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _CLASSES = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
@@ -140,6 +141,8 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             used[kind] = m.end()
             if CHECKS[kind](m):
                 found.append((m.start(), m.end(), kind))
+        elif kind == "jwt":  # no hit in the same run can end otherwise
+            used[kind] = _RUN.match(text, at).end()
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

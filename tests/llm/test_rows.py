@@ -279,3 +279,43 @@ def test_rotation_keeps_lengths_and_codes_repeat():
 
 def test_plan_grows_with_the_table():
     assert embeddings.plan(500, 64)[1] == 2 < embeddings.plan(10 ** 7, 64)[1]
+
+
+def test_markup_characters_in_quoted_values():
+    assert html_text.main_text('<article><p data-x="a<b">Hello world, this is it.</p></article>') == "Hello world, this is it."
+    page = '<article><p>Before the picture <img alt="if x < y then" src=a> and after it.</p><p title=\'a > b < c\'>More text here.</p></article>'
+    assert html_text.main_text(page) == "Before the picture and after it.\nMore text here."
+    # A quote that is never closed takes no more than its tag.
+    assert html_text.main_text('<article><p class="x>One two three four.</p><p>Five six "seven" eight.</p></article>').endswith('Five six "seven" eight.')
+
+
+def test_parts_of_an_article_with_names_of_side_matter():
+    body = "<p>The first paragraph has a good many words in it.</p><p>And so does the second one, which ends here.</p>"
+    kept = ['<h2 class="post-header">A heading that stays</h2>', '<div class="share-price">The price fell to 12.50 today.</div>',
+            '<section id="legal"><p>The court of law said so at last.</p></section>', '<div class="story-header"><h1>The headline</h1></div>',
+            "<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p>"]
+    for part in kept:
+        text = html_text.main_text(f"<body><nav><a href=a>Home</a></nav><article>{part}{body}</article></body>")
+        own = re.sub("<annotation>.*?</annotation>|<[^>]*>", "", part)
+        assert text.split("\n")[0] == own and len(text.split("\n")) == 3, part
+    for part in ('<div class="share-links"><a href=a>Facebook</a> <a href=b>Twitter</a></div>', '<div class="ad-slot">Buy this now.</div>',
+                 '<div class="ad">Buy this now.</div>', '<div class="newsletter-signup">Get our letter every day.</div>',
+                 '<div class="share">Tell your friends</div>'):
+        assert len(html_text.main_text(f"<body><article>{body}{part}</article></body>").split("\n")) == 2, part
+
+
+def test_long_disguises_and_chains_of_labels():
+    text = "write to me at " + " dot ".join(f"a{i}" for i in range(12)) + " dot com please"
+    base, found = pii.find_pii(text)
+    assert not base and [(k, text[a:b]) for k, a, b in found] == [("email", text[9:-7])]
+
+
+def test_linear_on_two_megabytes():
+    import time
+    for text in ("Привет мир почта[at]домен тест " * 65_000, "x at a" + " dot b" * 330_000):
+        start = time.time()
+        pii.find_pii(text)
+        assert time.time() - start < 30
+    for text in ("eyJ" * 700_000, "eyJ" * 350_000 + "." + "eyJ" * 350_000):
+        start = time.time()
+        assert secrets.find_secrets(text) == [] and time.time() - start < 10
