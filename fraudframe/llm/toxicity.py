@@ -2,20 +2,23 @@
 
 Terminals.  Insults are a learned lexicon: whole words and word beginnings (``stem*``) whose toxic
 share is beyond chance (a Chernoff bound of one in a million), counted by Spark over labelled
-training rows; the weight is their log-odds less one standard error.  A beginning goes where a
-longer pattern explains most of its hits.
+training rows; a pattern's strength grows with its log-odds (less one standard error) up to 1 at ``SURE``.  A
+beginning goes where a longer pattern explains most of its hits.
 Threat verbs, second persons, negations and speech verbs are short fixed lists.
 
-Grammar.  A text is cut into clauses; only clauses that hold an insult or threat are read.  Each
-runs through the composed machine (:class:`Clause`): a negation opens a window of a few words in
-which matches count as negated, a speech verb or an open quotation makes them reported, a second
-person near a match makes it targeted, a threat needs a second person to count.  A logistic
-function of the clause totals is the score; its few coefficients are fitted on the same training
-rows, each scored with a lexicon that leaves its fold out.
+Grammar.  Words become symbols, and three small transducers, each a transition table, read them: negation (a window
+of a few words behind a negating one), reported speech (from a speech verb to the end of the sentence, or
+within quotation marks over sentences) and target (a second person a few words before a match or, guessed
+by a second path that dies if none comes, behind it).  Their product is the grammar; the weight of a match is that of its
+kind and of what the three say about it (``WEIGHTS``), and a sentence weighs what its best path does.  So the same insult
+weighs more aimed at a person than alone, less reported, least negated, and a threat weighs nothing without a person.
 
-Training rows are at most ``fit_rows`` labelled rows (smallest hashes of their id) whose
-crc32(id) mod 5 is not 0; the lexicon has at most ``lexicon_size`` patterns.  These two bounds
-size the model; scoring reads every text whole.
+Score.  A text's total is its heaviest sentence and a little for the rest; the score is a logistic function of it.  Training
+only places and stretches that function within bounds (``MIDDLES``, ``SLOPES``) that keep one aimed insult or
+threat at 0.5 or more and one reported or negated below; every training row is read with a lexicon that leaves its fold out.
+
+Training rows are at most ``fit_rows`` labelled ids (smallest hashes), one row each, whose
+crc32(id) mod 5 is not 0; a lexicon of more than ``lexicon_size`` patterns is an error.  Scoring reads every text whole.
 
 Defined results: null and empty texts get the score of no match; a null id counts as the empty
 text in the hold-out rule and is never trained on; repeated labels of an id count as toxic if
@@ -28,9 +31,8 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -49,72 +51,176 @@ EXPLAINED = 0.8
 PREFIXES = (4, 5, 6)
 
 # The grammar's closed word classes in the four languages of the corpus.
-THREATS = frozenset("kill hurt beat stab shoot destroy töten umbringen schlagen tuer frapper matar golpear".split())
+THREATS = frozenset(
+    "kill kills killing hurt hurts hurting beat beats beating stab stabs stabbing shoot shoots shooting destroy destroys destroying "
+    "töten töte tötet umbringen umbringe umbringt schlagen schlage schlägt erschießen erschieße "
+    "tuer tue tuerai tuera frapper frappe frapperai frappera "
+    "matar mato mataré matará matarte matarlos golpear golpeo golpearé golpeará golpearte".split())
 TARGETS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti "
-                    "usted vosotros".split())
+                    "usted vosotros eres".split())
 NEGATIONS = frozenset("not no never isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca".split())
 REPORTS = frozenset("said says say called calls quote quoted wrote reported sagte schrieb nannte dit disait écrit "
                     "dijo llamó escribió".split())
+#: Threat verbs that hold their target: the verb itself names a second person.
+HELD = frozenset("matarte golpearte".split())
 
 NEGATION_REACH = 3
 TARGET_REACH = 4
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
-_CLAUSE_END = re.compile(r"[.!?;\n]")
-FEATURES = ("strongest", "plain", "targeted", "negated", "reported", "threats")
+_TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]|[,;:]|[.!?…]+|\n")
+MATCHES = ("insult", "threat", "held")
+SYMBOLS = (*MATCHES, "person", "negation", "report", "quote", "break", "stop", "line", "word")
+#: Weight of a match by kind, whether it is negated, reported, targeted.
+WEIGHTS = {(kind, n, r, t): w for kind, alone in (("insult", 0.6), ("threat", 0.0)) for t in (False, True) for n, r, w in (
+    (False, False, 1.0 if t else alone), (False, True, 0.25 if t or alone else 0.0),
+    (True, False, 0.1 if t or alone else 0.0), (True, True, 0.1 if t or alone else 0.0))}
+#: Log-odds from which a pattern has its full strength.
+SURE = 4.0
+REST = 0.3
+#: Where the score may be 0.5, and how steep it may be there.
+MIDDLES = tuple(x / 100 for x in range(35, 81, 5))
+SLOPES = (3.0, 4.0, 6.0, 8.0, 11.0, 15.0, 20.0)
+
+Table = dict  # (state, symbol) -> ((next state, output), ...); no entry: the path dies
+
+
+def negation_table() -> Table:
+    """States: words left in the window.  Output: whether the symbol is negated."""
+    out = {}
+    for left in range(NEGATION_REACH + 1):
+        for s in SYMBOLS:
+            after = NEGATION_REACH if s == "negation" else 0 if s in ("break", "stop", "line") else max(0, left - 1)
+            out[left, s] = ((after, left > 0),)
+    return out
 
 
-@dataclass
-class Clause:
-    """Totals of the composed machine over matched clauses."""
-
-    strongest: float = 0.0
-    plain: float = 0.0
-    targeted: float = 0.0
-    negated: float = 0.0
-    reported: float = 0.0
-    threats: float = 0.0
-
-    def read(self, clause: str, insults: dict[int, float]) -> None:
-        """``insults``: weight by start offset within the clause."""
-        tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(clause)]
-        persons = [i for i, (_, w) in enumerate(tokens) if w in TARGETS]
-        negation_left, speech, quoted = 0, False, False
-        for i, (at, w) in enumerate(tokens):
-            if w in '"“”«»':
-                quoted = not quoted
-                continue
-            weight = insults.get(at, 0.0)
-            if w in THREATS and persons:
-                self.threats += 1.0 if not (negation_left or speech or quoted) else 0.25
-            if weight > 0:
-                if negation_left:
-                    self.negated += weight
-                elif speech or quoted:
-                    self.reported += weight
-                elif any(abs(i - p) <= TARGET_REACH for p in persons):
-                    self.targeted += weight
-                else:
-                    self.plain += weight
-                if not negation_left:
-                    self.strongest = max(self.strongest, weight)
-            negation_left = NEGATION_REACH if w in NEGATIONS else max(0, negation_left - 1)
-            speech = speech or w in REPORTS
-
-    def vector(self) -> list[float]:
-        return [self.strongest, *(math.log1p(x) for x in (self.plain, self.targeted, self.negated, self.reported,
-                                                          self.threats))]
+def report_table() -> Table:
+    """States: (a speech verb in this sentence, within quotation marks).  Output: whether the symbol is reported."""
+    out = {}
+    for speech in (False, True):
+        for quoted in (False, True):
+            for s in SYMBOLS:
+                after = (speech, quoted)
+                if s == "report":
+                    after = (True, quoted)
+                elif s == "quote":
+                    after = (False, False) if quoted else (speech, True)
+                elif s == "stop":
+                    after = (speech and quoted, quoted)
+                elif s == "line":
+                    after = (False, False)
+                out[(speech, quoted), s] = ((after, speech or quoted),)
+    return out
+
+
+def target_table() -> Table:
+    """States: words a person may still be behind ("seen"), or words until one must have come ("wait").  Output: whether aimed."""
+    none, out = ("none", 0), {}
+    states = [none, *[("seen", n) for n in range(1, TARGET_REACH + 1)], *[("wait", n) for n in range(TARGET_REACH)]]
+    for state in states:
+        kind, left = state
+        # One word further: a person seen too long ago is forgotten, one waited for too long never came.
+        step = none if kind == "none" or state == ("seen", 1) else (kind, left - 1) if left else None
+        for s in SYMBOLS:
+            if s == "person":
+                ways = ((("seen", TARGET_REACH), False),)
+            elif s in ("stop", "line"):
+                ways = () if kind == "wait" else ((none, False),)
+            elif step is None:
+                ways = ()
+            elif s == "held" or (s in MATCHES and kind != "none"):
+                ways = ((step, True),)
+            elif s in MATCHES:
+                ways = ((none, False), (("wait", TARGET_REACH - 1), True))
+            else:
+                ways = ((step, False),)
+            if ways:
+                out[state, s] = ways
+    return out
+
+
+START = (0, (False, False), ("none", 0))
+
+
+def compose(*tables: Table) -> Table:
+    """The product: all read the same symbol, outputs are put together."""
+    out, states = {}, [START]
+    known = {START}
+    while states:
+        state = states.pop()
+        for s in SYMBOLS:
+            ways = [()]
+            for part, table in zip(state, tables):
+                ways = [w + (x,) for w in ways for x in table.get((part, s), ())]
+            if ways:
+                out[state, s] = tuple((tuple(n for n, _ in w), tuple(o for _, o in w)) for w in ways)
+                for w in ways:
+                    after = tuple(n for n, _ in w)
+                    if after not in known:
+                        known.add(after)
+                        states.append(after)
+    return out
+
+
+@cache
+def grammar_table() -> Table:
+    return compose(negation_table(), report_table(), target_table())
+
+
+def symbol(word: str) -> str:
+    if word in HELD:
+        return "held"
+    for words, name in ((THREATS, "threat"), (TARGETS, "person"), (NEGATIONS, "negation"), (REPORTS, "report")):
+        if word in words:
+            return name
+    if word[0].isalpha():
+        return "word"
+    return "quote" if word in '"“”«»' else "break" if word in ",;:" else "line" if word == "\n" else "stop"
+
+
+def weigh(symbols: list[tuple[str, float]], table: Table | None = None) -> list[float]:
+    """The weights of the sentences of one line: symbols with the strength of their match (1 for threats)."""
+    table = grammar_table() if table is None else table
+    out = []
+    paths = {START: 0.0}  # state -> weight of the best path since the sentence began
+    for s, strength in [*symbols, ("line", 0.0)]:
+        after: dict = {}
+        for state, weight in paths.items():
+            for there, (negated, reported, aimed) in table.get((state, s), ()):
+                w = weight
+                if strength and s in MATCHES:
+                    w += strength * WEIGHTS["insult" if s == "insult" else "threat", negated, reported, aimed]
+                if w > after.get(there, -1.0):
+                    after[there] = w
+        paths = after
+        if s in ("stop", "line"):
+            best = max(paths.values())  # a guess has its alternative, so some path is always left
+            if best:
+                out.append(best)
+            paths = dict.fromkeys(paths, 0.0)
+    return out
+
+
+def total(sentences: list[float]) -> float:
+    if not sentences:
+        return 0.0
+    heaviest = max(sentences)
+    return heaviest + REST * math.log1p(sum(sentences) - heaviest)
 
 
 @dataclass
 class Grammar:
-    """Insult patterns with weights (``stem*`` for beginnings) and the score's coefficients."""
+    """Insult patterns with log-odds (``stem*`` for beginnings) and the place and slope of the score.
+
+    ``share`` replaces the score where nothing could be learned.
+    """
 
     weights: dict[str, float]
-    coefficients: list[float] = field(default_factory=lambda: [0.0] * (len(FEATURES) + 1))
+    middle: float = 0.5
+    slope: float = 8.0
+    share: float | None = None
 
     def __getstate__(self):
-        return {"weights": self.weights, "coefficients": self.coefficients}
+        return {"weights": self.weights, "middle": self.middle, "slope": self.slope, "share": self.share}
 
     @cached_property
     def automaton(self):
@@ -130,8 +236,8 @@ class Grammar:
         a.make_automaton()
         return a
 
-    def features(self, text: str | None) -> list[float]:
-        low, total = (text or "").lower(), Clause()
+    def total(self, text: str | None) -> float:
+        low = (text or "").lower()
         hits: dict[int, float] = {}
         for end, (n, word, stem) in self.automaton.iter(low):
             start = end - n + 1
@@ -141,19 +247,25 @@ class Grammar:
             weight = max(x for x in (word if whole else None, stem, -1.0) if x is not None)
             if weight >= 0:
                 hits[start] = max(hits.get(start, 0.0), weight)
-        if hits:
-            ends = [-1, *(m.start() for m in _CLAUSE_END.finditer(low)), len(low)]
-            clauses: dict[int, dict[int, float]] = {}
-            for at, weight in hits.items():
-                k = bisect_right(ends, at) - 1
-                clauses.setdefault(k, {})[at - ends[k] - 1] = weight
-            for k, found in clauses.items():
-                total.read(low[ends[k] + 1:ends[k + 1]], found)
-        return total.vector()
+        sentences: list[float] = []
+        done = -1
+        for at in sorted(hits):  # only lines with a match are read
+            if at < done:
+                continue
+            begin, done = low.rfind("\n", 0, at) + 1, low.find("\n", at)
+            done = len(low) if done < 0 else done
+            line = []
+            for m in _TOKEN.finditer(low, begin, done):
+                strength = min(1.0, hits.get(m.start(), 0.0) / SURE)
+                name = "insult" if strength > 0 else symbol(m[0])
+                line.append((name, strength if name == "insult" else 1.0))
+            sentences += weigh(line)
+        return total(sentences)
 
     def score(self, text: str | None) -> float:
-        z = self.coefficients[0] + sum(c * x for c, x in zip(self.coefficients[1:], self.features(text)))
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
+        if self.share is not None:
+            return self.share
+        return 1.0 / (1.0 + math.exp(-self.slope * (self.total(text) - self.middle)))
 
 
 def held_out_remainder(key: str) -> Column:
@@ -161,14 +273,15 @@ def held_out_remainder(key: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, fit_rows: int) -> DataFrame:
-    """At most ``fit_rows`` labelled (id, text, fold, toxic) rows outside the hold-out."""
+    """At most ``fit_rows`` labelled (id, text, fold, toxic) rows outside the hold-out, one for each id."""
     marks = (labels.select(F.col(key).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("_id is not null and toxic is not null").groupBy("_id").agg(F.max("toxic").alias("toxic")))
     marks = marks.withColumn("fold", held_out_remainder("_id")).where("fold <> 0")
     marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The sample is bounded by fit_rows (a few hundred KB), so it is broadcast; texts are not moved.
-    return rows.join(F.broadcast(marks), rows["_key"] == marks["_id"]).select("_id", "text", "fold", "toxic")
+    met = rows.join(F.broadcast(marks), rows["_key"] == marks["_id"])
+    return met.groupBy("_id").agg(F.min("text").alias("text"), F.first("fold").alias("fold"), F.first("toxic").alias("toxic"))
 
 
 def _patterns(text: Column) -> Column:
@@ -211,17 +324,16 @@ def _irreducible(hits: dict[str, int]) -> list[str]:
     return out
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Newton steps on the ridge-penalised log-loss; the intercept is free."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    b, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
-        b = b + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return b.tolist()
+def place_score(totals: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The middle and slope within the bounds with the least log-loss (ties: the first)."""
+    best = None
+    for middle in MIDDLES:
+        for slope in SLOPES:
+            z = slope * (totals - middle)
+            loss = float((np.logaddexp(0, z) - toxic * z).sum())
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, middle, slope)
+    return best[1], best[2]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS,
@@ -234,9 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
              for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = (sum(n for (_, t), n in sizes.items() if t == v) for v in (1, 0))
     if not toxic or not clean:
-        share = toxic / max(1, toxic + clean)
-        z = math.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -40.0)
-        return Grammar({}, [z] + [0.0] * len(FEATURES))
+        return Grammar({}, share=toxic / max(1, toxic + clean))
 
     counted = rows.select("fold", "toxic", F.explode(_patterns(F.col("text"))).alias("pattern"))
     columns = [F.count_if((F.col("fold") == f) & (F.col("toxic") == v)).alias(f"n{f}{v}") for f in folds for v in (0, 1)]
@@ -245,7 +355,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     misses = sum((F.col(f"n{f}0") for f in folds), F.lit(0))
     strength = _against_chance(hits, hits + misses, toxic / (toxic + clean))
     best = {r["pattern"]: r for r in counts.withColumn("strength", strength).where(F.col("strength") > SIGNIFICANCE)
-            .orderBy(F.desc("strength"), "pattern").limit(lexicon_size).collect()}
+            .limit(lexicon_size + 1).collect()}
+    if len(best) > lexicon_size:
+        raise ValueError(f"more than {lexicon_size} patterns are beyond chance: raise lexicon_size")
     best = [best[p] for p in _irreducible({p: sum(r[f"n{f}1"] for f in folds) for p, r in best.items()})]
 
     def lexicon(without: int | None) -> dict[str, float]:
@@ -259,16 +371,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 out[r["pattern"]] = w
         return out
 
-    # Coefficients: every training row scored without its own fold.
+    # Every training row is read with the lexicon that leaves its own fold out.
     by_fold = {f: Grammar(lexicon(f)) for f in folds}
 
-    @F.pandas_udf("array<double>")
-    def fold_features(texts: pd.Series, fold: pd.Series) -> pd.Series:
-        return pd.Series([by_fold[f].features(t) for t, f in zip(texts, fold)])
+    @F.pandas_udf("double")
+    def fold_total(texts: pd.Series, fold: pd.Series) -> pd.Series:
+        return pd.Series([by_fold[f].total(t) for t, f in zip(texts, fold)], dtype="float64")
 
-    got = small_batches(rows).select("toxic", fold_features("text", "fold").alias("x")).collect()
-    x, y = np.array([r["x"] for r in got], float), np.array([r["toxic"] for r in got], float)
-    return Grammar(lexicon(None), _fit_logistic(x, y))
+    got = small_batches(rows).select("toxic", fold_total("text", "fold").alias("x")).collect()
+    middle, slope = place_score(np.array([r["x"] for r in got], float), np.array([r["toxic"] for r in got], float))
+    return Grammar(lexicon(None), middle, slope)
 
 
 def score_column(text: Column, grammar: Grammar) -> Column:

@@ -247,24 +247,71 @@ def test_main_text_of_hostile_markup():
 
 # ---- toxicity grammar ------------------------------------------------------------------------
 
-def features(text, **weights):
-    g = toxicity.Grammar({k.replace("_", "*"): v for k, v in weights.items()})
-    return dict(zip(toxicity.FEATURES, g.features(text)))
-
-
-def test_clause_grammar():
-    assert features("What an Idiot.", idiot=3.0)["plain"] > 0
-    assert features("You are an idiot!", idiot=3.0)["targeted"] > 0
-    f = features("He is not an idiot.", idiot=3.0)
-    assert f["negated"] > 0 and f["strongest"] == 0
-    assert features("He said idiot.", idiot=3.0)["reported"] > 0
-    assert features('The word "idiot" is old.', idiot=3.0)["reported"] > 0
-    assert features("I will kill you", idiot=3.0)["threats"] > features("do not kill you", idiot=3.0)["threats"] > 0
-    assert features("to kill time", idiot=3.0)["threats"] == 0
-    assert features("idiotic stuff", idiot=3.0)["plain"] == 0 and features("idiotic", idio_=2.0)["plain"] > 0
-    assert set(features("", idiot=3.0).values()) == {0.0} == set(features(None, idiot=3.0).values())
-    # A negation in the clause before does not reach over the clause end.
-    assert features("No. Idiot.", idiot=3.0)["plain"] > 0
+INSULTS = toxicity.Grammar(dict.fromkeys(["idiot", "idiota", "idiote", "dummkopf", "trash"], 5.0) | {"weak": 0.6, "idio*": 4.0})
+AIMED = ["You are an idiot!", "Du bist ein Dummkopf.", "Tu es un idiote.", "Tú eres idiota.", "an idiot is what you are"]
+THREATS = ["I will kill you", "they are killing you slowly", "Ich werde dich töten", "Je vais te tuer demain", "Voy a matarte", "tú vas a matar"]
+ALONE = ["What an idiot.", "So ein Dummkopf", "Quel idiote", "Qué idiota"]
+REPORTED = ["He said you are an idiot", "Er sagte: du bist ein Dummkopf", "Elle dit, tu es un idiote", "Dijo que tú eres idiota",
+            'The words "you are an idiot. You idiot." are old', "he said i will kill you", "« je vais te tuer »"]
+NEGATED = ["you are not an idiot", "Du bist kein Dummkopf", "tu n'es pas idiote", "tú nunca eres idiota", "i will never kill you"]
+
+
+def enumerated(symbols):
+    """Weights of the sentences of a line by walking every path of the three machines apart."""
+    out, sentence = [], []
+    tables = (toxicity.negation_table(), toxicity.report_table(), toxicity.target_table())
+    states = list(toxicity.START)
+
+    def walk(table, state, rest):
+        if not rest:
+            return [(state, [])]
+        return [(end, [o, *more]) for after, o in table.get((state, rest[0][0]), ()) for end, more in walk(table, after, rest[1:])]
+    for s in [*symbols, ("line", 0.0)]:
+        sentence.append(s)
+        if s[0] not in ("stop", "line"):
+            continue
+        best = None
+        for (na, neg), (ra, rep), (ta, aim) in itertools.product(*[walk(t, x, sentence) for t, x in zip(tables, states)]):
+            weight = sum(k * toxicity.WEIGHTS["insult" if name == "insult" else "threat", n, r, t]
+                         for (name, k), n, r, t in zip(sentence, neg, rep, aim) if name in toxicity.MATCHES)
+            if best is None or weight > best[0]:
+                best = (weight, [na, ra, ta])
+        if best[0]:
+            out.append(best[0])
+        states, sentence = best[1], []
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(toxicity.SYMBOLS), st.sampled_from([0.5, 1.0])), max_size=9))
+def test_composition_equals_all_paths(symbols):
+    assert toxicity.weigh(symbols) == pytest.approx(enumerated(symbols))
+
+
+def test_aimed_insults_and_threats_in_four_languages():
+    for middle, slope in itertools.product(toxicity.MIDDLES, toxicity.SLOPES):  # wherever training places the score
+        g = toxicity.Grammar(INSULTS.weights, middle, slope)
+        nothing = g.score("")
+        assert all(g.score(t) >= 0.5 for t in [*AIMED, *THREATS])
+        assert all(g.score(t) < 0.5 for t in [*REPORTED, *NEGATED])
+        for aimed, alone in zip(AIMED, ALONE):
+            assert g.score(aimed) > g.score(alone) > nothing
+        assert max(map(g.score, NEGATED)) < min(map(g.score, REPORTED)) < min(map(g.score, ALONE))
+        assert g.score("to kill time") == nothing == g.score(None) == g.score("nothing at all")
+
+
+def test_grammar_edges():
+    total = INSULTS.total
+    assert total("you said it. You idiot.") == 1.0  # the speech verb reaches to the end of its sentence
+    assert total("He said: listen, you idiot") == 0.25  # but over the breaks within it
+    assert total("No. Idiot.") == 0.6 == total("no, idiot")  # a negation does not reach over a break
+    assert total("idiotic stuff") == 0.6 and total("xidiot") == 0.0
+    assert total("you weak thing") == pytest.approx(0.15)  # a pattern of little evidence weighs little
+    assert total("you a b c idiot") == 1.0 and total("you a b c d idiot") == 0.6
+    assert total("idiot a b c you") == 1.0 and total("idiot a b c d you") == 0.6 and total("idiot.\nyou") == 0.6
+    assert 1.0 < total("you idiot. " * 3) < total("you idiot. " * 30)
+    long = "you idiot, " * 100_000
+    assert total(long) > 1000
 
 
 # ---- cross-polytope hashing ------------------------------------------------------------------
