@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalar as X
 from ..session import materialize
@@ -102,11 +101,11 @@ def iqr_outliers(df: DataFrame, path: str = "auto") -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """Column name -> Spark type name (metadata only)."""
-    return df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-        T.StructType([T.StructField("column", T.StringType()),
-                      T.StructField("data_type", T.StringType())]))
+    """Column name, type name and number of present values (one aggregate over all columns)."""
+    present = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema.fields)])
+    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                              F.col(f"n{i}").alias("present")) for i, f in enumerate(df.schema.fields)])
+    return present.select(F.inline(rows))
 
 
 def quality_report(df: DataFrame) -> dict:

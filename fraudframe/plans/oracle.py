@@ -549,7 +549,9 @@ ORACLE["column_types"] = fixture_cte("fx5") + (
     "select column_name as column, case column_type when 'BIGINT' then 'bigint'"
     " when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string'"
     " when 'BOOLEAN' then 'boolean' when 'TIMESTAMP' then 'timestamp_ntz' when 'DATE' then 'date'"
-    " else lower(column_type) end as data_type from (describe (select * from fx5))")
+    " else lower(column_type) end as data_type, present from (describe (select * from fx5)) join ("
+    + " union all ".join(f"select '{c}' as name, count({c}) as present from fx5" for c in ("nation", "segment", "amount_bucket", "location"))
+    + ") on name = column_name")
 
 # --- CSV as it comes, types over sources, file order ------------------------------------------------
 ORACLE["scan_csv_quoted"] = fixture_cte("fx7") + (

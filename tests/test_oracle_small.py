@@ -22,7 +22,9 @@ FAST_KEYS = ["headline_metrics", "build_features_fx1", "build_features_fx2", "am
              "daily_timeline_us", "category_codes_missing", "category_codes_ranged", "amount_percentile_ranged",
              "is_high_amount_ranged", "amount_stats_by_class_ranged", "basic_stats_ranged", "roc_auc_ranged",
              "union_sources", "fraud_by_amount", "fraud_amount_range", "iqr_outliers_amount",
-             "standardize_label_numeric", "score_model"]
+             "standardize_label_numeric", "score_model", "scan_csv_quoted", "scan_csv_rejects", "union_sources_types",
+             "preview_file_order", "row_numbers", "fraud_head_file_order", "high_risk_file_order",
+             "top_fraud_location_first_seen", "top_fraud_merchant_first_seen"]
 
 
 @pytest.fixture(scope="module")
