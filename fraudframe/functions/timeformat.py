@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -86,14 +86,24 @@ def forms_of(found: str, largest: list[int | None]) -> list[str]:
     return []
 
 
-def candidates(df: DataFrame, column: str, kept: Column | None = None) -> list[str | None]:
-    """Forms worth trying for a text column, from one aggregate over it; None (ISO) is always the first."""
+def candidates(df: DataFrame, column: str, kept: Column | None = None, group: str | None = None) -> list[str | None]:
+    """Forms worth trying for a text column, from one aggregate over it; None (ISO) is always the first.
+
+    With ``group`` the values of every group (a file, say) suggest forms of their own.
+    """
     text = wall_text(F.col(f"`{column}`"))
     rows = df.where(F.col(f"`{column}`").isNotNull()) if kept is None else df.where(F.col(f"`{column}`").isNotNull() & kept)
     numbers = F.regexp_extract_all("_t", F.lit(r"(\d+)"))
     tops = [F.max(F.try_element_at(numbers, F.lit(i + 1)).try_cast("int")).alias(f"n{i}") for i in range(3)]
-    found = (rows.select(text.alias("_t")).groupBy(template(F.col("_t")).alias("template")).agg(F.count(F.lit(1)).alias("n"), *tops)
-             .orderBy(F.col("n").desc(), "template").limit(TEMPLATES).collect())
+    part = F.col(group) if group else F.lit(0)
+    counts = (rows.select(part.alias("_g"), text.alias("_t")).groupBy("_g", template(F.col("_t")).alias("template"))
+              .agg(F.count(F.lit(1)).alias("n"), *tops))
+    order = [F.col("n").desc(), F.col("template").asc()]
+    if group:
+        place = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+        found = counts.withColumn("_place", place).where(F.col("_place") <= TEMPLATES).collect()
+    else:
+        found = counts.orderBy(*order).limit(TEMPLATES).collect()
     out: list[str | None] = [None]
     for r in found:
         out += [f for f in forms_of(r["template"], [r["n0"], r["n1"], r["n2"]]) if f not in out]

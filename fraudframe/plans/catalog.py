@@ -107,6 +107,19 @@ for _fx in ["fx1", "fx2", "fx3", "fx4", "fx5", "fx6", "fx8"]:
     QUERIES[f"detect_columns_{_fx}"] = _make(_fx)
 
 
+@query("detect_columns_by_file")
+def _detect_by_file(spark, sf):
+    """fx1 as files that arrive one after the other: facts of each are stored, detection reads the facts."""
+    from ..operators import facts
+    from ..session import scratch_path
+    folder, store = scratch_path(spark, "upload"), scratch_path(spark, "facts")
+    raw(spark, sf, "fx1").repartition(3, "transaction_id").write.parquet(folder)
+    files, read = sorted(spark.read.parquet(folder).inputFiles()), lambda paths: spark.read.parquet(*paths)
+    facts.update_facts(spark, files[:-1], read, store)
+    facts.update_facts(spark, files, read, store)
+    return detect.mapping_frame(spark, facts.detect_from_facts(spark, store, files, read))
+
+
 @query("rename_mapped")
 def _rename(spark, sf):
     return canonical(renamed(spark, sf, "fx1"))

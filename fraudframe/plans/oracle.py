@@ -584,3 +584,4 @@ ORACLE["top_fraud_merchant_first_seen"] = fixture_cte("fx8").rstrip() + (
     ", o as (select *, row_number() over () as rn from fx8) select merchant_category as merchant, count(*) as fraud_count from o"
     " where label = 'Fraud' and amount >= 0 and merchant_category is not null"
     " group by merchant_category order by fraud_count desc, min(rn) limit 10")
+ORACLE["detect_columns_by_file"] = ORACLE["detect_columns_fx1"]
