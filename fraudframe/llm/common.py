@@ -120,8 +120,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(src, dst) long pairs -> (node, root): root is the smallest node reachable.
 
     Alternating large-star and small-star steps; every round is written under the checkpoint
-    folder, so lineage stays short.  A star of any size is a partial aggregate and a join whose
-    skew AQE splits, never a collected group.  Nodes without an edge are not returned.
+    folder, so lineage stays short.  A star of any size is a partial aggregate and a join, never a
+    collected group (the join's aggregated side is not written, so a hub's edges stay in one join task).
+    Nodes without an edge are not returned.
     """
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
     e = e.where(F.col("src") != F.col("dst")).select(

@@ -5,12 +5,12 @@ a mark that follows a non-mark, and around line ends.  The distinct words of a b
 a trie, and walked depth-first: the forward state of a position depends on the prefix before it
 only, so a word starts from the states of the prefix it shares with the word before.
 
-The forward state of a prefix is its last piece and the position that piece starts at.  For a
-unigram model a state holds the best score.  For a merge model (the given file) the best
-segmentation is the one the merges give, and a segmentation is exactly that if each two
-neighbouring pieces would be merged into themselves; so a state holds the one piece that ends
-there and passes this test against the state at its start.  Both give the ids of the reference
-implementation of the model file, which the tests compare.
+The forward state of a prefix is its last piece and the position that piece starts at.  The given file is
+a merge model, for which the best segmentation is the one the merges give, and a segmentation is
+exactly that if each two neighbouring pieces would be merged into themselves; so a state holds the one piece
+that ends there and passes this test against the state at its start, and no score.  The ids are those of the reference
+implementation of the model file, which the tests compare.  Only merge models are supported: a unigram
+file would need scores in its states.
 
 Words, not texts, are the unit of work, and no text is ever cut short.  Decoding joins pieces,
 byte pieces through UTF-8, and drops the leading mark.

@@ -30,9 +30,9 @@ from ..session import materialize
 from .common import KEYS, components, row_key, rows_of, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: (first bit, width, radius).  24 + 24 + 1 lookups per fingerprint; wide segments keep the tables
-#: selective, so candidates stay near-linear up to some 10^9 distinct fingerprints.  Beyond that
-#: pass TWO_SEGMENTS: many more lookups, 2^-32 selectivity.
+#: (first bit, width, radius).  24 + 24 + 1 lookups per fingerprint.  Chance candidates of one among n are about
+#: n * 10^-5, some 100 at 10^7 distinct fingerprints; far beyond that pass TWO_SEGMENTS: many more
+#: lookups, 2^-32 selectivity.
 SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 TWO_SEGMENTS = ((0, 32, 2), (32, 32, 1))
 
