@@ -32,6 +32,8 @@ ROUNDS, DEPTH, RATE, LAMBDA, GAMMA, MIN_CHILD = 100, 6, 0.1, 1.0, 0.0, 1.0
 #: Bins per feature (a bin number is a byte), and the bits of the ordered key that values are counted by before.
 BINS, SKETCH_BITS = 256, 20
 REFRESH = 10
+#: Least rows of a task (never more tasks than the table has parts).
+TASK_ROWS = 25_000
 #: Gains this close count as equal; the first feature and bin wins, so that sums in another order give the same tree.
 SAME = 1e-9
 
@@ -233,7 +235,9 @@ def fit_booster(data: DataFrame, features: list[str], label: str = "label", weig
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
     base = 0.0
     table = materialize(_binned(data, features, cuts, label, weight).withColumn("m", F.lit(base)), "boosting")
-    rows = table.persist(StorageLevel.MEMORY_AND_DISK)
+    # Some hundred passes follow: a task should have enough rows to be worth its start.
+    tasks = max(1, -(-table.count() // TASK_ROWS))
+    rows = table.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[Tree] = []
     fresh: list[Tree] = []
     try:
@@ -246,7 +250,7 @@ def fit_booster(data: DataFrame, features: list[str], label: str = "label", weig
                 rows.unpersist()
                 release(table)
                 table, fresh = after, []
-                rows = table.persist(StorageLevel.MEMORY_AND_DISK)
+                rows = table.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     finally:
         rows.unpersist()
         release(table)
