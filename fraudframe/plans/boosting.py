@@ -1,15 +1,15 @@
 """Second-order gradient boosting of a 0/1 label over histograms.
 
 Features are cut into at most ``BINS`` weighted-quantile bins once; a row is then a few bytes, its label,
-weight and margin.  A tree grows level by level, one pass a level: every task adds up first and second derivatives of the
-log-loss, g = w(p - y) and h = w p(1 - p), per (node, feature, bin) of its rows, one aggregate adds up the
-tasks, and the driver reads the splits off sums whose number depends on the tree and the bins, never on the
+weight and margin, and some thousand rows are one block of arrays that stays with its executor.  A tree grows level by
+level, one short job a level: every task adds up first and second derivatives of the
+log-loss, g = w(p - y) and h = w p(1 - p), per (node, feature, bin) of its rows, a tree of tasks adds up the
+sums, and the driver reads the splits off sums whose number depends on the tree and the bins, never on the
 rows.  A split gains (GL^2 / (HL + l) + GR^2 / (HR + l) - G^2 / (H + l)) / 2 - gamma, both sides must weigh
 ``MIN_CHILD`` in h, and a leaf is -rate * G / (H + l).
 
-Margins are not rewritten after every tree: a pass walks its rows down the trees grown since the last
-written table, and every ``REFRESH`` trees the margins are written under the checkpoint folder, which also
-keeps the lineage short.
+The first pass of a tree adds the values of the tree before to the margins, so that a pass walks its rows down one tree
+only; every ``REFRESH`` trees the blocks are written under the checkpoint folder, which keeps the lineage short.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.select import double_key
@@ -32,8 +32,11 @@ ROUNDS, DEPTH, RATE, LAMBDA, GAMMA, MIN_CHILD = 100, 6, 0.1, 1.0, 0.0, 1.0
 #: Bins per feature (a bin number is a byte), and the bits of the ordered key that values are counted by before.
 BINS, SKETCH_BITS = 256, 20
 REFRESH = 10
-#: Least rows of a task (never more tasks than the table has parts).
-TASK_ROWS = 25_000
+#: Rows are kept in blocks; a task has at least and at most so many rows, and a core between them so many tasks.
+BLOCK, TASK_ROWS, MOST_ROWS, TASKS_PER_CORE = 4096, 50_000, 2_000_000, 2
+#: Bytes of sums that the tasks of a pass may send to the driver as they are.
+DIRECT = 4 << 20
+COLUMNS = ["bins", "y", "w", "m"]
 #: Gains this close count as equal; the first feature and bin wins, so that sums in another order give the same tree.
 SAME = 1e-9
 
@@ -96,7 +99,15 @@ def walk_arrays(tree: Tree, limits: list) -> tuple:
     feature, left = np.array(tree.feature), np.array(tree.left)
     leaf, here = feature < 0, np.arange(len(feature))
     return (np.where(leaf, 0, feature), np.array(limits), np.where(leaf, here, left), np.where(leaf, here, left + 1),
-            np.array(tree.value), DEPTH if len(feature) > 1 else 0)
+            np.array(tree.value), depth_of(tree))
+
+
+def depth_of(tree: Tree) -> int:
+    below = [0] * len(tree.feature)
+    for node in reversed(range(len(below))):  # children come after their parent
+        if tree.feature[node] >= 0:
+            below[node] = 1 + max(below[tree.left[node]], below[tree.left[node] + 1])
+    return below[0]
 
 
 def walk(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -135,55 +146,87 @@ def weighted_cuts(data: DataFrame, features: list[str], weight: str = "weight",
     return cuts
 
 
-def _binned(data: DataFrame, features: list[str], cuts: list[list[float]], label: str, weight: str) -> DataFrame:
-    """(bins, y, w): one byte per feature."""
+def _blocks(data: DataFrame, features: list[str], cuts: list[list[float]], label: str, weight: str) -> DataFrame:
+    """(bins, y, w, m): up to ``BLOCK`` rows as one, feature by feature; a bin is one byte, a margin 0 so far."""
     limits = [np.array(c) for c in cuts]
 
+    def block(x: list, y: list, w: list) -> pa.RecordBatch:
+        columns = [np.concatenate(part, axis=-1).tobytes() for part in (x, y, w)] + [np.zeros(sum(map(len, y))).tobytes()]
+        return pa.record_batch([pa.array([c], pa.binary()) for c in columns], COLUMNS)
+
     def batches(parts):
+        x, y, w, n = [], [], [], 0
         for batch in parts:
-            out = np.empty((batch.num_rows, len(limits)), np.uint8)
+            out = np.empty((len(limits), batch.num_rows), np.uint8)
             for i, c in enumerate(limits):
-                out[:, i] = np.minimum(np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False), "left"), len(c) - 1)
-            yield pa.record_batch([pa.array([r.tobytes() for r in out], pa.binary()), batch.column(len(limits)), batch.column(len(limits) + 1)],
-                                  ["bins", "y", "w"])
+                out[i] = np.minimum(np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False), "left"), len(c) - 1)
+            values = [batch.column(len(limits) + i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            at = 0
+            while at < batch.num_rows:
+                end = min(batch.num_rows, at + BLOCK - n)
+                for held, part in zip((x, y, w), (out, *values)):
+                    held.append(part[..., at:end])
+                n, at = n + end - at, end
+                if n == BLOCK:
+                    yield block(x, y, w)
+                    x, y, w, n = [], [], [], 0
+        if n:
+            yield block(x, y, w)
     rows = data.select(*[F.col(f"`{c}`").cast("double") for c in features], F.col(label).cast("double"), F.col(weight).cast("double"))
-    return rows.mapInArrow(batches, "bins binary, y double, w double")
+    return rows.mapInArrow(batches, ", ".join(f"{c} binary" for c in COLUMNS))
+
+
+def _spread(table: DataFrame, width: int, tasks: int) -> RDD:
+    """The blocks as (bins, y, w, margin) arrays, kept by the executors."""
+    def arrays(r) -> tuple:
+        y, w, m = (np.frombuffer(v, np.float64) for v in (r["y"], r["w"], r["m"]))
+        return np.frombuffer(r["bins"], np.uint8).reshape(width, len(y)), y, w, m
+    return table.rdd.map(arrays).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _frame(spark: SparkSession, rows: RDD) -> DataFrame:
+    return spark.createDataFrame(rows.map(lambda b: tuple(bytearray(a.tobytes()) for a in b)), ", ".join(f"{c} binary" for c in COLUMNS))
+
 
+def _in_place_of(table: DataFrame, blocks: DataFrame) -> DataFrame:
+    written = materialize(blocks, "boosting")
+    release(table)
+    return written
 
-def _matrix(batch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, width)
 
+def _raised(rows: RDD, tree: Tree) -> RDD:
+    """The blocks with the tree's values added to the margins."""
+    past = [walk_arrays(tree, tree.bin)]
+    return rows.map(lambda b: (*b[:3], b[3] + sum_of_trees(past, b[0].T)), preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
 
-def _level_sums(rows: DataFrame, grown: list[Tree], tree: Tree, open_: list[int], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _level_sums(rows: RDD, tree: Tree, open_: list[int], offsets: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """(G, H) per open node and (feature, bin), features laid end to end at ``offsets``; one pass."""
-    past, now = [walk_arrays(t, t.bin) for t in grown], walk_arrays(tree, tree.bin)
-    width, total = len(offsets) - 1, int(offsets[-1])
+    now = walk_arrays(tree, tree.bin)
+    total = int(offsets[-1])
     place = np.full(len(tree.feature), -1)
     place[open_] = np.arange(len(open_))
-    first = offsets[:-1]
 
-    def add_up(parts):
-        g, h = np.zeros(len(open_) * total), np.zeros(len(open_) * total)
-        for batch in parts:
-            x = _matrix(batch, width)
-            y, w, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            at = place[walk(now, x)]
-            x, y, w, m, at = x[at >= 0], y[at >= 0], w[at >= 0], m[at >= 0], at[at >= 0]
-            p = sigmoid(m + sum_of_trees(past, x))
-            slot = (at[:, None] * total + first + x).ravel()
-            g += np.bincount(slot, np.repeat(w * (p - y), width), len(g))
-            h += np.bincount(slot, np.repeat(w * p * (1 - p), width), len(h))
-        held = np.flatnonzero(h)
-        yield pa.record_batch([pa.array([held.tolist()], pa.list_(pa.int64())), pa.array([g[held].tolist()], pa.list_(pa.float64())),
-                               pa.array([h[held].tolist()], pa.list_(pa.float64()))], ["slot", "g", "h"])
-
-    sums = rows.mapInArrow(add_up, "slot array<long>, g array<double>, h array<double>")
-    sums = sums.select(F.inline(F.arrays_zip("slot", "g", "h"))).groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    got = sums.toArrow()
-    out = np.zeros((2, len(open_) * total))
-    slots = got.column("slot").to_numpy()
-    out[0, slots], out[1, slots] = got.column("g").to_numpy(), got.column("h").to_numpy()
-    return out[0].reshape(len(open_), total), out[1].reshape(len(open_), total)
+    def add_up(blocks):
+        sums = np.zeros((2, len(open_), total))
+        for x, y, w, m in blocks:
+            at = place[walk(now, x.T)]
+            held = at >= 0
+            if not held.all():
+                x, y, w, m, at = x[:, held], y[held], w[held], m[held], at[held]
+            p = sigmoid(m)
+            g, h = w * (p - y), w * p * (1 - p)
+            row = at * BINS
+            for f, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+                slot = row + x[f]
+                for out, v in zip(sums, (g, h)):
+                    out[:, a:b] += np.bincount(slot, v, len(open_) * BINS).reshape(-1, BINS)[:, :b - a]
+        yield sums
+
+    # Few and short sums are added up by the driver; many go through a round of tasks before.
+    depth = 1 if tasks * len(open_) * total * 16 <= DIRECT else 2
+    out = np.zeros((2, len(open_), total)) + rows.mapPartitions(add_up).treeAggregate(0.0, np.add, np.add, depth)
+    return out[0], out[1]
 
 
 def best_split(g: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> tuple[float, int, int] | None:
@@ -203,12 +246,12 @@ def best_split(g: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> tuple[float
     return best
 
 
-def grow_tree(rows: DataFrame, grown: list[Tree], cuts: list[list[float]], offsets: np.ndarray, depth: int, rate: float) -> Tree:
+def grow_tree(rows: RDD, cuts: list[list[float]], offsets: np.ndarray, depth: int, rate: float, tasks: int) -> Tree:
     tree, open_ = Tree(), [0]
     for level in range(depth + 1):
         if not open_:
             break
-        g, h = _level_sums(rows, grown, tree, open_, offsets)
+        g, h = _level_sums(rows, tree, open_, offsets, tasks)
         following = []
         for i, node in enumerate(open_):
             # Every feature's bins add up to the node's sums.
@@ -233,35 +276,33 @@ def fit_booster(data: DataFrame, features: list[str], label: str = "label", weig
     ship_package(data.sparkSession)
     cuts = weighted_cuts(data, features, weight, bins)
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
-    base = 0.0
-    table = materialize(_binned(data, features, cuts, label, weight).withColumn("m", F.lit(base)), "boosting")
-    # Some hundred passes follow: a task should have enough rows to be worth its start.
-    tasks = max(1, -(-table.count() // TASK_ROWS))
-    rows = table.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    base, width = 0.0, len(features)
+    table = materialize(_blocks(data, features, cuts, label, weight), "boosting")
+    # Some hundred passes follow: a task should have enough rows to be worth its start, and the cluster a few tasks a core.
+    n = (table.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
+    most = max(TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_ROWS))
+    tasks = max(1, min(-(-n // TASK_ROWS), most))
+    if table.rdd.getNumPartitions() < tasks:
+        table = _in_place_of(table, table.repartition(tasks))
+    rows = _spread(table, width, tasks)
     trees: list[Tree] = []
-    fresh: list[Tree] = []
+    older: RDD | None = None
     try:
         for i in range(rounds):
-            tree = grow_tree(rows, fresh, cuts, offsets, depth, rate)
-            trees.append(tree)
-            fresh.append(tree)
-            if len(fresh) == REFRESH and i + 1 < rounds:
-                after = materialize(_with_margins(rows, fresh, len(features)), "boosting")
+            trees.append(grow_tree(rows, cuts, offsets, depth, rate, tasks))
+            if older is not None:
+                older.unpersist()  # the first pass of the tree has filled ``rows``
+            if i + 1 == rounds:
+                break
+            older, rows = rows, _raised(rows, trees[-1])
+            if (i + 1) % REFRESH == 0:
+                table = _in_place_of(table, _frame(data.sparkSession, rows))
                 rows.unpersist()
-                release(table)
-                table, fresh = after, []
-                rows = table.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+                older.unpersist()
+                older, rows = None, _spread(table, width, tasks)
     finally:
-        rows.unpersist()
+        for held in (older, rows):
+            if held is not None:
+                held.unpersist()
         release(table)
     return Booster(trees, base)
-
-
-def _with_margins(rows: DataFrame, grown: list[Tree], width: int) -> DataFrame:
-    past = [walk_arrays(t, t.bin) for t in grown]
-
-    def batches(parts):
-        for batch in parts:
-            m = batch.column(3).to_numpy(zero_copy_only=False) + sum_of_trees(past, _matrix(batch, width))
-            yield pa.record_batch([*batch.columns[:3], pa.array(m)], ["bins", "y", "w", "m"])
-    return rows.mapInArrow(batches, "bins binary, y double, w double, m double")

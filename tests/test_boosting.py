@@ -91,6 +91,26 @@ def test_equals_plain_boosting_and_refreshes_its_margins(spark, monkeypatch):
     assert np.array_equal(again.margins(x), model.margins(x))
 
 
+def test_blocks_and_partial_sums_give_the_same_trees_in_one_job_a_level(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 9, 400), rng.normal(size=400).round(1)]).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 0.3)).astype(float)
+    df, names = table(spark, x, y, np.ones(400))
+    whole = boosting.fit_booster(df, names, rounds=4, depth=3)
+    for name, value in (("BLOCK", 32), ("TASK_ROWS", 40), ("DIRECT", 0), ("REFRESH", 100)):
+        monkeypatch.setattr(boosting, name, value)
+    cut = boosting.fit_booster(df, names, rounds=4, depth=3)
+    assert [t.feature for t in cut.trees] == [t.feature for t in whole.trees] and [t.cut for t in cut.trees] == [t.cut for t in whole.trees]
+    assert np.allclose(cut.margins(x), plain_boosting(x, y, np.ones(400), 4, 3), atol=1e-9)
+    jobs = {}
+    for rounds in (2, 6):
+        spark.sparkContext.setJobGroup(f"boost-{rounds}", "")
+        boosting.fit_booster(df, names, rounds=rounds, depth=3)
+        jobs[rounds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost-{rounds}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[6] - jobs[2] <= 4 * 3
+
+
 def test_bins_carry_about_equal_weight(spark):
     rng = np.random.default_rng(1)
     x = np.column_stack([np.exp(rng.normal(0, 4, 20_000)), np.where(rng.random(20_000) < 0.4, 7.5, rng.normal(size=20_000)), np.zeros(20_000)])
