@@ -46,6 +46,8 @@ PENALTY_C = 1.0
 #: The RBF svm is a linear svm on random Fourier features: their number, and its iterations.
 RFF_COMPONENTS = 100
 SVM_ITERATIONS = 30
+#: Most rows of a part of the training table: a forest keeps some 2 KB a row (100 sample weights, a place in each of 100 trees).
+PART_ROWS = 200_000
 #: Share of the training rows whose margins calibrate the svm (its margin is fitted without them).
 CALIBRATION_SHARE = 0.2
 
@@ -213,6 +215,18 @@ def weight_column(weights: dict[float, float], label: str = "label"):
     return expr
 
 
+def kept_in_parts(data: DataFrame) -> DataFrame:
+    """``data`` persisted, dealt anew where a part has more than ``PART_ROWS`` rows."""
+    held = data.persist(StorageLevel.MEMORY_AND_DISK)
+    r = held.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).first()
+    if (r["most"] or 0) <= PART_ROWS:
+        return held
+    dealt = held.repartition(max(r["parts"], -(-r["n"] // PART_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt.count()
+    held.unpersist()
+    return dealt
+
+
 def fit_scaler(train: DataFrame, cols: list[str]) -> SQLTransformer:
     """(x - mean) / population std fitted on ``train``; constant columns scale by 1."""
     aggs = []
@@ -358,7 +372,7 @@ def train_model(df: DataFrame, algorithm: str = "random_forest", test_size: floa
     # Iterative fitting re-reads its input many times: keep the prepared
     # feature columns (not the wide source rows) persisted for the duration.
     keep = list(dict.fromkeys([key, *spec.columns, "label"]))
-    data = data.select(*[F.col(f"`{c}`") for c in keep]).persist(StorageLevel.MEMORY_AND_DISK)
+    data = kept_in_parts(data.select(*[F.col(f"`{c}`") for c in keep]))
     try:
         train, test = stratified_split(data, test_size, random_state, key)
         model = fit_model(train, spec, algorithm, random_state, key)

@@ -72,6 +72,20 @@ def test_forest_learns_the_label(spark):
     assert metrics["auc"] > 0.95
 
 
+def test_no_task_of_a_fit_reads_more_than_part_rows(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 1).select(F.col("id").alias("transaction_id"), (F.col("id") % 7).cast("double").alias("amount"),
+                                           (F.col("id") % 7 > 4).cast("int").alias("is_fraud"))
+    monkeypatch.setattr(ml, "PART_ROWS", 500)
+    seen, fit = [], ml.fit_model
+
+    def watched(train, *more):
+        seen.extend(r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect())
+        return fit(train, *more)
+    monkeypatch.setattr(ml, "fit_model", watched)
+    _, metrics = ml.train_model(df, "logistic_regression", cross_validation=False)
+    assert sum(seen) == 3200 and max(seen) <= 500 and metrics["auc"] == 1.0
+
+
 def test_align_adds_missing_as_zero(spark):
     df = spark.createDataFrame([(1.0, 2)], "a double, b int")
     out = ml.align_features(df, ["b", "c", "a"])
