@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.select import double_key
 from ..session import materialize, release, ship_package
+from .blocks import added_up
 
 #: Fixed values of the model: rounds, depth, learning rate, penalty of leaves, least gain, least child weight.
 ROUNDS, DEPTH, RATE, LAMBDA, GAMMA, MIN_CHILD = 100, 6, 0.1, 1.0, 0.0, 1.0
@@ -34,8 +35,6 @@ BINS, SKETCH_BITS = 256, 20
 REFRESH = 10
 #: Rows are kept in blocks; a task has at least and at most so many rows, and a core between them so many tasks.
 BLOCK, TASK_ROWS, MOST_ROWS, TASKS_PER_CORE = 4096, 50_000, 2_000_000, 2
-#: Bytes of sums that the tasks of a pass may send to the driver as they are.
-DIRECT = 4 << 20
 COLUMNS = ["bins", "y", "w", "m"]
 #: Gains this close count as equal; the first feature and bin wins, so that sums in another order give the same tree.
 SAME = 1e-9
@@ -200,7 +199,7 @@ def _raised(rows: RDD, tree: Tree) -> RDD:
     return rows.map(lambda b: (*b[:3], b[3] + sum_of_trees(past, b[0].T)), preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _level_sums(rows: RDD, tree: Tree, open_: list[int], offsets: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+def _level_sums(rows: RDD, tree: Tree, open_: list[int], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(G, H) per open node and (feature, bin), features laid end to end at ``offsets``; one pass."""
     now = walk_arrays(tree, tree.bin)
     total = int(offsets[-1])
@@ -223,9 +222,7 @@ def _level_sums(rows: RDD, tree: Tree, open_: list[int], offsets: np.ndarray, ta
                     out[:, a:b] += np.bincount(slot, v, len(open_) * BINS).reshape(-1, BINS)[:, :b - a]
         yield sums
 
-    # Few and short sums are added up by the driver; many go through a round of tasks before.
-    depth = 1 if tasks * len(open_) * total * 16 <= DIRECT else 2
-    out = np.zeros((2, len(open_), total)) + rows.mapPartitions(add_up).treeAggregate(0.0, np.add, np.add, depth)
+    out = np.zeros((2, len(open_), total)) + added_up(rows.mapPartitions(add_up), 2 * len(open_) * total)
     return out[0], out[1]
 
 
@@ -246,12 +243,12 @@ def best_split(g: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> tuple[float
     return best
 
 
-def grow_tree(rows: RDD, cuts: list[list[float]], offsets: np.ndarray, depth: int, rate: float, tasks: int) -> Tree:
+def grow_tree(rows: RDD, cuts: list[list[float]], offsets: np.ndarray, depth: int, rate: float) -> Tree:
     tree, open_ = Tree(), [0]
     for level in range(depth + 1):
         if not open_:
             break
-        g, h = _level_sums(rows, tree, open_, offsets, tasks)
+        g, h = _level_sums(rows, tree, open_, offsets)
         following = []
         for i, node in enumerate(open_):
             # Every feature's bins add up to the node's sums.
@@ -289,7 +286,7 @@ def fit_booster(data: DataFrame, features: list[str], label: str = "label", weig
     older: RDD | None = None
     try:
         for i in range(rounds):
-            trees.append(grow_tree(rows, cuts, offsets, depth, rate, tasks))
+            trees.append(grow_tree(rows, cuts, offsets, depth, rate))
             if older is not None:
                 older.unpersist()  # the first pass of the tree has filled ``rows``
             if i + 1 == rounds:

@@ -301,12 +301,12 @@ def fit_model(train: DataFrame, spec: FeatureSpec, algorithm: str, seed: int = 4
     if algorithm == "xgboost":
         return FraudModel(spec, feat, codes, sizes, booster=fit_booster(coded, model_inputs(spec)))
     vec = feat.transform(coded).select(F.col(f"`{key}`").alias("_key"), "label", "features", "weight")
+    if algorithm == "logistic_regression":
+        fit = fit_logistic(vec, PENALTY_C)  # keeps the rows in a form of its own
+        inputs = [f"_z_{c}" for c in model_inputs(spec)]
+        return FraudModel(spec, PipelineModel(stages=feat.stages + fit.stages(inputs)), codes, sizes, fit.weights, fit.gradient)
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if algorithm == "logistic_regression":
-            fit = fit_logistic(vec, PENALTY_C)
-            inputs = [f"_z_{c}" for c in model_inputs(spec)]
-            return FraudModel(spec, PipelineModel(stages=feat.stages + fit.stages(inputs)), codes, sizes, fit.weights, fit.gradient)
         total = vec.agg(F.sum("weight")).first()[0] or 0.0
         stages = [_estimator(algorithm, seed, total)]
         if algorithm == "svm":

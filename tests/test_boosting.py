@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fraudframe.operators import evaluate
-from fraudframe.plans import boosting, ml
+from fraudframe.plans import blocks, boosting, ml
 from fraudframe.plans.catalog import processed
 from fraudframe.session import scratch_path
 
@@ -97,8 +97,9 @@ def test_blocks_and_partial_sums_give_the_same_trees_in_one_job_a_level(spark, m
     y = ((x[:, 0] > 4) ^ (x[:, 1] > 0.3)).astype(float)
     df, names = table(spark, x, y, np.ones(400))
     whole = boosting.fit_booster(df, names, rounds=4, depth=3)
-    for name, value in (("BLOCK", 32), ("TASK_ROWS", 40), ("DIRECT", 0), ("REFRESH", 100)):
+    for name, value in (("BLOCK", 32), ("TASK_ROWS", 40), ("REFRESH", 100)):
         monkeypatch.setattr(boosting, name, value)
+    monkeypatch.setattr(blocks, "DIRECT", 0)
     cut = boosting.fit_booster(df, names, rounds=4, depth=3)
     assert [t.feature for t in cut.trees] == [t.feature for t in whole.trees] and [t.cut for t in cut.trees] == [t.cut for t in whole.trees]
     assert np.allclose(cut.margins(x), plain_boosting(x, y, np.ones(400), 4, 3), atol=1e-9)

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from fraudframe.plans import ml
+from fraudframe.plans import ml, newton
 from fraudframe.plans.catalog import processed
 from fraudframe.plans.newton import _sums, fit_logistic
 
@@ -75,3 +75,20 @@ def test_training_ends_at_the_optimum(spark):
     data = ml.prepare(df, model.spec)
     train, _ = ml.stratified_split(data, 0.2, 42)
     assert metrics["gradient"] < 1e-8 and ml.penalised_gradient(model, train) < 1e-8
+
+
+def test_a_pass_is_one_job_without_shuffle(spark):
+    """Blocks of rows stay with the executors: a pass more is a job of one stage more."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(6000, 3)), (rng.random(6000) < 0.3).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), float(a), 1.0) for r, a in zip(x, y)], "x array<double>, y double, w double").repartition(3)
+    blocks = newton._blocks(rows, 4).persist()
+    assert sum(blocks.map(lambda b: len(b[1])).collect()) == 6000
+    spark.sparkContext.setJobGroup("newton-pass", "")
+    total, loss, gradient, hessian = newton._sums(blocks, np.zeros(4))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("newton-pass")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    full = np.column_stack([np.ones(6000), x])
+    assert len(jobs) == 1 and total == 6000 and loss == pytest.approx(6000 * np.log(2))
+    assert np.allclose(gradient, full.T @ (0.5 - y)) and np.allclose(hessian, full.T @ full / 4)
+    blocks.unpersist()
