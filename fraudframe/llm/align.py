@@ -50,7 +50,7 @@ MARK = "▁"
 #: Steps of the merge per piece.
 PIECE = 1 << 16
 #: Bytes of text per block, and per call of a tokenizer.
-BLOCK, CALL = 1 << 22, 1 << 19
+BLOCK, CALL = 1 << 21, 1 << 19
 #: Places that neither a byte-level split nor a piece ever crosses, whatever stands around them: a space with a
 #: character other than a space after it begins behind a plain sign or letter.  (Other characters may be white
 #: space themselves; at the end of a text the model would drop a space that stands alone.)
@@ -60,7 +60,7 @@ WORD_CUT = re.compile("(?<=[!-~\u00C0-\u024F])(?= +[^ ])")
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LATIN = re.compile("[\n\x20-\x7E\xA1-\u024F]*").fullmatch
 #: Aligned words that a worker keeps, in each of two generations (a memory bound only).
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -204,7 +204,7 @@ class Word(NamedTuple):
     n_b: int
     n_groups: int
     groups: str
-    pairs: np.ndarray  # of every link: A id * 2^32 + B id
+    pairs: bytes       # of every link: A id * 2^32 + B id as 64 bits (an array, or a view of one, takes some times as much)
     whole: bool        # the joined bytes of both tokenizers are the word
 
 
@@ -218,8 +218,8 @@ def align_words(words: list[str], a: Side, b: Side, piece: int = PIECE) -> list[
     (flat_a, before_a), (flat_b, before_b) = _laid_out(ids_a), _laid_out(ids_b)
     # Every word ends with an end of both, so no link or group reaches over to the next.
     link_a, link_b, shut_a, shut_b = align_ends(np.cumsum(a.lengths[flat_a]), np.cumsum(b.lengths[flat_b]), piece)
-    pairs = (flat_a[link_a] << 32) | flat_b[link_b]
-    links = np.searchsorted(link_a, before_a).tolist()
+    pairs = ((flat_a[link_a] << 32) | flat_b[link_b]).tobytes()
+    links = (8 * np.searchsorted(link_a, before_a)).tolist()
     shut = np.searchsorted(shut_a, before_a, "right")
     shut[0] = 0  # words without tokens before the first group
 
@@ -280,12 +280,12 @@ class Aligner:
         groups = {w: x.groups for w, x in zip(names, own)}
         out = {"groups": [";".join(map(groups.__getitem__, c)) for c in cut]}
         counts = {"n_a": [x.n_a for x in own], "n_b": [x.n_b for x in own], "n_groups": [x.n_groups for x in own],
-                  "n_links": [len(x.pairs) for x in own]}
+                  "n_links": [len(x.pairs) >> 3 for x in own]}
         ends = np.concatenate([[0], np.cumsum(sizes)])
         for c, of_word in counts.items():
             out[c] = np.diff(np.concatenate([[0], np.cumsum(np.array(of_word, np.int64)[word])])[ends])
         # Words of a text once each with their repeats, then their pairs.
-        pairs, places = np.unique(np.concatenate([np.zeros(0, np.int64), *[x.pairs for x in own]]), return_inverse=True)
+        pairs, places = np.unique(np.frombuffer(b"".join([x.pairs for x in own]), np.int64), return_inverse=True)
         per_word = np.array(counts["n_links"], np.int64)
         starts = np.concatenate([[0], np.cumsum(per_word)])
         held, times = np.unique(text * len(names) + word, return_counts=True)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,6 +104,22 @@ def test_blocks_equal_plain_alignment_with_and_without_cuts(encoders):
             assert got == Counter(pairs)
 
 
+def test_kept_words_hold_on_to_nothing_else(encoders, monkeypatch):
+    """A word that stays does not keep the arrays of all words it was first aligned with."""
+    monkeypatch.setattr(align, "KEPT_WORDS", 400)
+    side = align.Aligner(align.byte_level(align.A_FILE), align.piece_level(align.B_FILE))
+    held = []
+    tracemalloc.start()
+    try:
+        for k in range(60):
+            # One word of every block before, and many that never come again.
+            side.block([" ".join([*(f"stays{i}" for i in range(k + 1)), *(f"once{k}x{i}" for i in range(1000))])])
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert len(side.new) + len(side.old) < 2400 and held[-1] < 1.25 * held[9]
+
+
 def test_query_on_odd_rows(spark, encoders):
     texts = odd_rows() + [(20, "special <|endoftext|> and <s> </s> <unk> strings", "a"), (21, "a ▁mark is no space", "a"),
                           (22, "zero\x00byte and \U0001F600 日本語", "a"), (23, "ﬁ ligature", "b"), (24, " two  spaces ", "b"),
