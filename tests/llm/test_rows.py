@@ -181,6 +181,18 @@ def test_pieces_equal_the_library():
     assert all(own.decode(i) == t for i, t in zip(got, texts) if "▁" not in t)
 
 
+def test_pieces_between_generations_of_kept_words(monkeypatch):
+    import sentencepiece
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 40)
+    random.seed(5)
+    words = ["one", "two,", "ça,", "ça", "a.b", "x\ny", "\n", "", "é!", "%d", "▁", "end."]
+    texts = [" ".join(random.choice(words) + random.choice(["", "", "s", "x1"]) for _ in range(random.randrange(12))) for _ in range(400)]
+    model, own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces(pieces.MODEL)
+    for at in range(0, len(texts), 8):
+        assert own.encode_batch(texts[at:at + 8]) == model.encode(texts[at:at + 8])
+    assert own.older and len(own.kept) < 200
+
+
 # ---- main text -------------------------------------------------------------------------------
 
 def test_minimum_cut_against_all_labellings():

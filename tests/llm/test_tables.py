@@ -294,6 +294,19 @@ def test_embedding_links(spark, monkeypatch, cell):
     assert embeddings.embedding_links(df.limit(0)).count() == 0
 
 
+# ---- 5 pieces --------------------------------------------------------------------------------
+
+def test_texts_are_encoded_once(spark):
+    """Decoding reads the ids, it does not encode the text again."""
+    coded = pieces.decode(pieces.encode(frame(spark, odd_rows() + [(30, " a  b ", "s"), (31, "a \n b.c,d ", "s"), (32, "x\u2581y z", "s")])))
+    plan = coded.select("doc_id", "n_tokens", F.md5("decoded"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("piece_ids(") == 1
+    model = pieces.pieces(pieces.MODEL)
+    for r in coded.collect():
+        assert r["token_ids"] == model.encode_batch([r["text"] or ""])[0] and r["n_tokens"] == len(r["token_ids"])
+        assert r["decoded"] == (r["text"] or "").replace("\u2581", " ")
+
+
 # ---- 8 fingerprints --------------------------------------------------------------------------
 
 def test_fingerprints(spark):
