@@ -1,4 +1,4 @@
-"""Document fingerprints by consistent weighted sampling.
+"""Document fingerprints by consistent weighted sampling (DataFrame functions only).
 
 A text is a weighted set: its words (A-Z lowered) with their counts.  For each of ``samples``
 independent samples, a term of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash:
@@ -9,13 +9,15 @@ and the term with the smallest a is sampled, together with t.  Two texts agree i
 probability equal to their generalised Jaccard similarity, sum min / sum max of the weights; the
 share of equal samples estimates it.
 
-A sample is kept as one 64-bit number: an order-preserving 31-bit form of ln a above 32 bits of hash of
-(term, t), so a sample is a plain minimum; unequal samples agree by accident once in 4 billion.  Which document
-follows which, and the edited texts, are made with DataFrame functions: texts move once, to the partition of
-their key, and the half of each that the document before needs once more.  The samples themselves are
-drawn in the tasks on arrays (see the README for the figures of the form without Python): every
-(word, count) is drawn once for all texts and edited forms that hold it while a worker keeps it; the kept draws are
-bounded by ``KEPT``, so a task's memory does not grow with the words.
+The draws come from three uniform numbers and two exponential ones, e and f, so that most need no logarithm:
+c = e + f, u1 = e / c (uniform, and independent of c), r = -ln(u1 u2), b = ln(u2) / ln(u1 u2).  Then
+a = c u1 (u1 u2)^t = e (u1 u2)^t, and t >= 1 only if S u1 >= 1.  A word that comes once has t = 0 and a = e: its place
+among the others is 1 - exp(-a), a hash as it is.  Places are 62-bit numbers, a sample is their plain minimum in
+generated code, kept as 32 bits of its hash; unequal samples agree by accident once in 4 billion.
+
+Words are counted inside their row (sorted hashes, runs), so no word is shuffled; the aggregate holds one row per
+text and block of LANES samples.  Texts move once, to the partition of their key, and the half of each that the
+document before needs once more; both moves are shared by all that follows.
 
 Defined results: null text is empty; a text without words has the fingerprint of dashes, which is like itself
 and nothing else; a null id stays null and sorts last; rows with equal id are ordered by text, and
@@ -25,142 +27,73 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import cache
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small_batches, with_pid
+from .common import with_pid
 
 SAMPLES = 64
+#: Samples side by side in a row, and those of a repeated word: with more, the generated code is too long to be compiled.
+LANES, PART = 16, 2
 EMPTY = "-"
-#: Bytes of text handled at once (a longer text alone), terms drawn at once, and drawn terms that a worker keeps.
-CHUNK, ROWS, KEPT = 1 << 20, 256, 1 << 18
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = "[\\x20\\x09-\\x0D]+"
+#: Above every place.
+ABSENT = (1 << 63) - 1
+_SCALE = float(1 << 62)
 _STEP = 1.0 / (1 << 32)
-_NONE = np.uint64((1 << 64) - 1)
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64 well mixed bits of 64 bits."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def _minus_log(bits: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1): less the logarithm of the product of two uniforms of 32 bits each."""
-    u = (bits >> np.uint64(32)).astype(np.float64)
-    u += 0.5
-    v = (bits & _LOW).astype(np.float64)
-    v += 0.5
-    u *= v
-    u *= _STEP * _STEP
-    np.log(u, out=u)
-    return np.negative(u, out=u)
-
-
-class Numbers(dict):
-    """(word, count) -> its row in a table; new ones get the next row and are listed in ``fresh``."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[tuple[bytes, int]] = []
-
-    def __missing__(self, term):
-        self.fresh.append(term)
-        n = self[term] = len(self)
-        return n
-
-
-class Sampler:
-    """Signatures of texts; the draws of terms that come again are kept (``KEPT`` of them, then anew)."""
-
-    def __init__(self, samples: int = SAMPLES):
-        self.samples, self.numbers = samples, Numbers()
-        self.table = np.empty((0, samples), np.uint64)
-
-    def draw(self) -> None:
-        """Fill the rows of the fresh terms."""
-        fresh, end = self.numbers.fresh, len(self.numbers)
-        at = end - len(fresh)
-        if end > len(self.table):
-            grown = np.empty((max(end, min(KEPT, 2 * len(self.table))), self.samples), np.uint64)
-            grown[:at] = self.table[:at]
-            self.table = grown
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in fresh), np.uint64, len(fresh))
-        counts = np.fromiter((n for _, n in fresh), np.int64, len(fresh))
-        self.table[at:end] = drawn(hashes, counts, self.samples)
-        self.numbers.fresh = []
-
-    def sign(self, texts: list[bytes]) -> list[list[int] | None]:
-        """The 32-bit parts (as signed ints) of every text's samples; None for a text without words."""
-        # bytes.lower() lowers A-Z, bytes.split() cuts at ASCII white space.
-        held = [list(Counter(t.lower().split()).items()) for t in texts]
-        best = np.full((len(texts), self.samples), _NONE)
-        # Parts of texts, so that the terms of one round fit the table.
-        parts = [(i, p) for i, terms in enumerate(held) for p in range(0, len(terms), KEPT // 4)]
-        at = 0
-        while at < len(parts):
-            if len(self.numbers) > KEPT // 2:
-                self.numbers = Numbers()
-            rows, end = [], at
-            while end < len(parts) and len(self.numbers) <= KEPT * 3 // 4:
-                i, p = parts[end]
-                terms = held[i][p:p + KEPT // 4]
-                rows.append((i, np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))))
-                end += 1
-            self.draw()
-            for i, own in rows:
-                for a in range(0, len(own), ROWS):
-                    np.minimum(best[i], self.table[own[a:a + ROWS]].min(axis=0), out=best[i])
-            at = end
-        low = ((best & _LOW).astype(np.int64) - (1 << 31)).tolist()
-        return [x if terms else None for x, terms in zip(low, held)]
-
-
-@cache
-def sampler(samples: int) -> Sampler:
-    """One per worker process."""
-    return Sampler(samples)
-
-
-def drawn(terms: np.ndarray, counts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """The packed samples (rows) of terms (64-bit hashes) with their counts: ordered ln a, then 32 bits of hash of (term, t)."""
-    out = np.empty((len(terms), samples), np.uint64)
-    k = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(terms), ROWS):  # small enough to stay in the processor's cache
-        h1 = _mixed(terms[at:at + ROWS, None] + k)
-        h2 = _mixed(h1 + np.uint64(0xD1B54A32D192ED03))
-        h3 = _mixed(h2 + np.uint64(0x8CB92BA72F3D8DD7))
-        r = _minus_log(h1)
-        ln_c = np.log(_minus_log(h2))
-        b = (h3 >> np.uint64(32)).astype(np.float64)
-        b += 0.5
-        b *= _STEP
-        t = np.log(counts[at:at + ROWS].astype(np.float64))[:, None] / r
-        t += b
-        np.floor(t, out=t)
-        # ln a lies between -90 and 4; as a fixed-point number it orders like itself.
-        b -= t
-        b -= 1.0
-        b *= r
-        b += ln_c
-        b += 96.0
-        b *= float(1 << 24)
-        which = _mixed(h3 ^ (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        which &= _LOW
-        which |= b.astype(np.uint64) << np.uint64(32)
-        out[at:at + ROWS] = which
-    return out
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _terms(text: Column, side: int) -> Column:
+    """An array of (side, term: hash of a word, n: how often the text has it)."""
+    words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACE), "")
+
+    def runs(h: Column) -> Column:
+        # Without words the places are 0 and -1, where nothing follows nothing.
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ~F.get(h, i).eqNullSafe(F.get(h, i - 1)))
+        return _bound(starts, lambda s: F.transform(s, lambda i, j: F.struct(
+            F.lit(side).alias("side"), F.get(h, i).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(h)) - i).alias("n"))))
+
+    return _bound(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), runs)
+
+
+def _if(condition: Column, value: Column) -> Column:
+    """The value, never null (shorter code), and 0 without taking it where the condition does not hold."""
+    return F.when(condition, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def _places(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and ``_s0``, ``_s1``...: the place of the sample of ``_term`` in each lane of its ``_block``.
+
+    A single word fills all lanes of its row, a repeated one those of its ``_part`` (the others are ABSENT).
+    Steps stand in selects of their own, so that no logarithm is taken twice, and none for single words.
+    """
+    lanes, many = range(PART), F.col("_n") > 1
+    first = F.col("_block") * LANES + F.col("_part") * PART
+    rows = rows.select(*keep, "_n", "_part", *[F.xxhash64("_term", first + j).alias(f"_h{j}") for j in range(LANES)])
+    place = [F.shiftrightunsigned(f"_h{j}", 2) for j in range(LANES)]
+    more = [F.xxhash64(f"_h{j}") for j in lanes]
+    v = [F.least((place[j].cast("double") + 0.5) * (1.0 / _SCALE), F.lit(1.0 - 2.0 ** -53)) for j in lanes]
+    u = [[(bits.cast("double") + 0.5) * _STEP for bits in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))] for x in more]
+    rows = rows.select("*", *[_if(many, -F.log1p(-v[j])).alias(f"_e{j}") for j in lanes], *[_if(many, -F.ln(u[j][0])).alias(f"_f{j}") for j in lanes])
+    e, f, r, t = [[F.col(f"_{c}{j}") for j in lanes] for c in "efrt"]
+    # t >= 1 if n >= 1 / u1 = (e + f) / e.
+    rows = rows.select("*", *[_if(many & (e[j] * (F.col("_n") - 1) >= f[j]), -F.ln(e[j] / (e[j] + f[j]) * u[j][1])).alias(f"_r{j}") for j in lanes])
+    rows = rows.select("*", *[_if(r[j] > 0, F.floor(F.ln(F.col("_n") / u[j][1]) / r[j]).cast("double")).alias(f"_t{j}") for j in lanes])
+    a = [e[j] * F.exp(-r[j] * t[j]) for j in lanes]
+    later = [F.coalesce((-F.expm1(-a[j]) * _SCALE).cast("long"), F.lit(0)) for j in lanes]
+    rows = rows.select(*keep, "_n", "_part", *[f"_h{j}" for j in range(LANES)],
+                       *[F.when(t[j] > 0, later[j]).otherwise(place[j]).alias(f"_p{j}") for j in lanes])
+    return rows.select(*keep, *[F.when(~many, place[j]).when(F.col("_part") == j // PART, F.col(f"_p{j % PART}")).otherwise(ABSENT).alias(f"_s{j}")
+                                for j in range(LANES)])
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -168,36 +101,41 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: i
     return side_signatures(texts, keys, {"signature": F.col(text)}, samples)
 
 
+def _whole(side: int, samples: int) -> Column:
+    """A side's blocks of ``_bs`` as one array; null without any."""
+    own = F.filter("_bs", lambda b: b["_side"] == side)
+    return F.when(F.size(own) > 0, F.slice(F.flatten(F.transform(own, lambda b: b["lanes"])), 1, samples))
+
+
 def side_signatures(texts: DataFrame, keys: list[str], sides: dict[str, Column], samples: int = SAMPLES) -> DataFrame:
     """keys and one signature (array of ints, null without words) per text of ``sides``, for rows with any words."""
     some = F.lit(False)
     for name in sides:
         some = some | F.col(name).isNotNull()
-    return _with_signatures(texts, keys, sides, samples).where(some)
+    # Keys may repeat: a row is told by its texts too, and equal ones are counted.
+    chosen = texts.select(*keys, *[F.coalesce(c, F.lit("")).alias(n) for n, c in sides.items()])
+    told = chosen.groupBy(*keys, F.xxhash64(*sides).alias("_th")).agg(*[F.first(n).alias(n) for n in sides], F.count(F.lit(1)).alias("_copies"))
+    signed = _with_signatures(told, [*keys, "_th", "_copies"], {n: F.col(n) for n in sides}, samples).where(some)
+    return signed.select(*keys, *sides, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def _with_signatures(rows: DataFrame, keep: list[str], sides: dict[str, Column], samples: int) -> DataFrame:
-    """The ``keep`` columns and one signature per text of ``sides``, row by row: nothing moves."""
-    chosen = rows.select(*keep, *[c.alias(n) for n, c in sides.items()])
-
-    def batches(found):
-        for batch in found:
-            texts = [[t or b"" for t in c.cast(pa.binary()).to_pylist()] for c in batch.columns[len(keep):]]
-            out = [[] for _ in texts]
-            at = 0
-            while at < batch.num_rows:
-                end, size = at, 0
-                while end < batch.num_rows and (end == at or size + sum(len(t[end]) for t in texts) <= CHUNK):
-                    size += sum(len(t[end]) for t in texts)
-                    end += 1
-                signed = sampler(samples).sign([x for t in texts for x in t[at:end]])
-                for i, o in enumerate(out):
-                    o += signed[i * (end - at):(i + 1) * (end - at)]
-                at = end
-            yield pa.record_batch([*batch.columns[:len(keep)], *[pa.array(o, pa.list_(pa.int32())) for o in out]], batch.schema.names)
-
-    schema = ", ".join([f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` array<int>" for n in sides])
-    return small_batches(chosen).mapInArrow(batches, schema)
+    """The ``keep`` columns (distinct) and one signature per text of ``sides``.
+
+    Where ``rows`` is partitioned by some of its ``keep`` columns already, this adds no shuffle.
+    """
+    terms = rows.select(*keep, F.explode_outer(F.concat(*[_terms(c, i) for i, c in enumerate(sides.values())])).alias("_t"))
+    terms = terms.select(*keep, *[F.coalesce(F.col(f"_t.{c}"), F.lit(-1)).alias(f"_{c}") for c in ("side", "term", "n")])
+    blocks, parts = -(-samples // LANES), LANES // PART
+    rounds = F.when(F.col("_n") > 1, F.sequence(F.lit(0), F.lit(blocks * parts - 1))).otherwise(F.sequence(F.lit(0), F.lit((blocks - 1) * parts), F.lit(parts)))
+    terms = terms.select("*", F.explode(rounds).alias("_round"))
+    terms = terms.select(*keep, "_side", "_term", "_n", F.expr(f"_round div {parts}").cast("int").alias("_block"), (F.col("_round") % parts).alias("_part"))
+    placed = _places(terms, [*keep, "_side", "_block"])
+    blocks = placed.groupBy(*keep, "_side", "_block").agg(*[F.min(f"_s{j}").alias(f"_m{j}") for j in range(LANES)])
+    lanes = F.array(*[(F.xxhash64(f"_m{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for j in range(LANES)])
+    blocks = blocks.select(*keep, F.struct("_side", "_block", lanes.alias("lanes")).alias("_b"))
+    in_order = blocks.groupBy(*keep).agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
+    return in_order.select(*keep, *[_whole(i, samples).alias(name) for i, name in enumerate(sides)])
 
 
 def fingerprint(signature: Column) -> Column:
@@ -256,10 +194,11 @@ def neighbour_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.expr("length(text) div 2")), F.col("head"))
 
-    facts = pairs.select(*KEY, "next", "copies", n.cast("long").alias("n_chars"),
-                         F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha"), "text", edited.alias("edited"))
-    kept = [*KEY, "next", "copies", "n_chars", "sha"]
-    done = materialize(_with_signatures(facts, kept, {"own": F.col("text"), "edit": F.col("edited")}, samples), "cws-signatures")
+    # Only the narrow keys go through the samples' aggregates.
+    signed = _with_signatures(pairs.select(*KEY, "text", edited.alias("edited")), KEY, {"own": F.col("text"), "edit": F.col("edited")}, samples)
+    signed = signed.select(*[F.col(c).alias(f"_{c}") for c in KEY], "own", "edit")
+    facts = pairs.select(*KEY, "next", "copies", n.cast("long").alias("n_chars"), F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha"))
+    done = materialize(facts.join(signed, mine).drop("_kid", "_nul", "_th"), "cws-signatures")
 
     following = done.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("own").alias("other"))
     behind = (F.col("next.kid") == F.col("_kid")) & (F.col("next.nul") == F.col("_nul")) & (F.col("next.th") == F.col("_th"))

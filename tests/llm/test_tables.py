@@ -370,6 +370,25 @@ def test_fingerprints_are_whole(spark):
         assert {i: r[side] for i, r in both.items() if r[side] is not None} == alone
 
 
+def test_fingerprints_are_drawn_without_python(spark):
+    """DataFrame functions only, and likeness by weight also where words repeat; keys may repeat."""
+    pairs = [("a a b", "a b b"), ("a a a a b c", "a c c c"), ("x " * 7 + "y", "x " * 5 + "y z"), ("p q r s t", "p q r u v")]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)] + [(0, "a  A b"), (0, "other"), (99, " "), (98, None)]
+    signed = cws.signatures(spark.createDataFrame(rows, "id long, text string"), ["id"], samples=1000)
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Arrow|Python|Pandas", plan)
+    got = defaultdict(list)
+    for r in signed.collect():
+        got[r["id"]].append(r["signature"])
+    assert 98 not in got and 99 not in got and all(len(s) == 1000 for v in got.values() for s in v)
+    assert len(got[0]) == 3 and len(set(map(tuple, got[0]))) == 2
+    got[0] = sorted(got[0], key=got[0].count)
+    for i, p in enumerate(pairs):
+        a, b = (Counter(t.split()) for t in p)
+        same = np.mean(np.array(got[2 * i][-1]) == np.array(got[2 * i + 1][0]))
+        assert abs(same - sum((a & b).values()) / sum((a | b).values())) < 0.07
+
+
 # ---- 9 toxicity ------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark):
